@@ -1,0 +1,12 @@
+"""Operators for training-data pipelines.
+
+Nothing else in the library imports this subpackage.  Its functions are sent to
+Python workers by value, so executors need the third-party libraries but not
+this repository on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
