@@ -102,7 +102,7 @@ b AS (SELECT d.doc_id, d.size, t.source_size, t.rank, t.target, CAST(coalesce(su
 c AS (SELECT *, CAST(floor(target) AS BIGINT) AS wanted, CASE WHEN source_size > 0 THEN CAST(floor(CAST(floor(target) AS BIGINT) / source_size) AS BIGINT) ELSE 0 END AS whole FROM b),
 k AS (SELECT *, CAST(whole * size + least(greatest(wanted - whole * source_size - before, 0), size) AS BIGINT) AS taken FROM c),
 p AS (SELECT *, CASE WHEN taken > 0 THEN before / target END AS due, CASE WHEN (rank - 1) % 3 = 2 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS a, CASE WHEN (rank - 1) % 3 = 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS e FROM k)
-SELECT doc_id, size, source_size, target, taken, CASE WHEN e - a = 0 THEN due ELSE (sqrt(a * a + (e - a) * 2.0::DOUBLE * due * ((a + e) / 2)) - a) / (e - a) END AS position FROM p
+SELECT doc_id, size, source_size, target, taken, CASE WHEN e - a = 0 THEN due ELSE abs((sqrt(a * a + (e - a) * 2.0::DOUBLE * due * ((a + e) / 2)) - a) / (e - a)) END AS position FROM p
 """
 
 _OP7 = """
