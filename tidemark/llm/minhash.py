@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import U64, mix64, shingle_set
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import by_keys, materialize
 
 TUPLE = 4
 BLOCK = 1024
@@ -195,8 +195,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # first pass: every member against the least of its bucket
     stars = materialize(members.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    by_rep = rows.join(wanted, "id", "left_semi").dropDuplicates(["id", "text"])
+    wanted = materialize(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
+    by_rep = by_keys(rows, wanted, "id", "left_semi").dropDuplicates(["id", "text"])
     sets = materialize(by_rep.mapInPandas(_sets(shingle_words), "id long, shingles array<long>"), "sets")
     first = materialize(_confirmed(stars, sets, percent).unionByName(same).distinct(), "links")
     comps = materialize(connected_components(first), "first-components")
@@ -237,7 +237,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows without an id, a text or a word stay.
     """
     found = near_duplicates(docs, id_col, text_col, shingle_words, percent)
-    gone = found.where("not kept").select(F.col(id_col)).distinct()
-    left = docs.join(gone, id_col, "left_anti")
+    gone = materialize(found.where("not kept").select(F.col(id_col)).distinct(), "gone")
+    left = by_keys(docs, gone, id_col, "left_anti")
     known = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     return known.unionByName(left.where(F.col(id_col).isNull()))

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Keys up to which a set of them is broadcast: some 20 MB on each executor.
+BROADCAST_KEYS = 1_000_000
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join of wide rows with distinct, written keys.
+
+    The keys are counted: while they are few they are broadcast and the rows stay where
+    they are; beyond that both sides are shuffled.  The result is the same.
+    """
+    return rows.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, on, how)
