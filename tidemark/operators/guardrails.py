@@ -57,7 +57,7 @@ def report_summary(reports: DataFrame) -> DataFrame:
 
 def freshness_risk(reports: DataFrame, recency_sensitive: Column, behavior: Column) -> DataFrame:
     """Each case's risk level, whether the guardrail applies, and whether the behaviour is safe (hedges or refuses when stale)."""
-    level = F.when(F.col("timestamp_available_count") == 0, "missing_timestamps").when(F.col("very_old_review_share") >= 1.0, "very_stale").when("all_timestamped_evidence_old", "stale").otherwise("fresh_enough")
+    level = F.when(F.col("timestamp_available_count") == 0, "missing_timestamps").when(F.col("very_old_review_share") >= 1.0, "very_stale").when(F.col("all_timestamped_evidence_old"), "stale").otherwise("fresh_enough")
     level = F.when(~recency_sensitive, "not_applicable").otherwise(level)
     rows = reports.withColumns({"risk_level": level, "behavior": behavior})
     applies = F.col("risk_level").isin("missing_timestamps", "very_stale", "stale")
