@@ -63,22 +63,24 @@ def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id",
     sides = [x.select(F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("norm", "tokens", "grams", "items")]) for x, n in ((a, "left"), (b, "right"))]
     full = pairs.join(sides[0], "left_id").join(sides[1], "right_id")
     full = full.join(cosines.select("left_id", "right_id", "cosine"), ["left_id", "right_id"], "left") if cosines is not None else full.withColumn("cosine", F.lit(None).cast("double"))
-    full = full.select(
-        "left_id", "right_id", F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"), F.round(jaccard(F.col("left_tokens"), F.col("right_tokens")), 6).alias("token_jaccard"),
+    signals = F.struct(
+        F.round(F.coalesce("cosine", F.lit(0.0)), 6).alias("cosine"), F.round(jaccard(F.col("left_tokens"), F.col("right_tokens")), 6).alias("token_jaccard"),
         F.round(jaccard(F.col("left_grams"), F.col("right_grams")), 6).alias("trigram_jaccard"), F.round(item_coverage(F.col("left_items"), F.col("right_items")), 6).alias("item_coverage"),
         (F.col("left_norm") == F.col("right_norm")).alias("exact"),
     )
-    return full.withColumn("severity", severity()).where("severity is not null").drop("exact")
+    # generated, so that the filter below does not work the signals out again for each of its conditions
+    judged = full.select("left_id", "right_id", F.explode(F.array(signals)).alias("s")).withColumn("severity", severity(F.col("s")))
+    return judged.where("severity is not null").select("left_id", "right_id", "s.cosine", "s.token_jaccard", "s.trigram_jaccard", "s.item_coverage", "severity")
 
 
-def severity() -> Column:
+def severity(s: Column) -> Column:
     """Exact, near duplicate by several strong signals, watchlist by one moderate signal, or null."""
-    strong_cos, strong_tok, strong_tri, strong_rel = (F.col(c) >= t[0] for c, t in (("cosine", COSINE), ("token_jaccard", TOKEN), ("trigram_jaccard", TRIGRAM), ("item_coverage", ITEMS)))
+    strong_cos, strong_tok, strong_tri, strong_rel = (s[c] >= t[0] for c, t in (("cosine", COSINE), ("token_jaccard", TOKEN), ("trigram_jaccard", TRIGRAM), ("item_coverage", ITEMS)))
     watch = F.lit(False)
     for c, t in (("cosine", COSINE), ("token_jaccard", TOKEN), ("trigram_jaccard", TRIGRAM), ("item_coverage", ITEMS)):
-        watch = watch | (F.col(c) >= t[1])
+        watch = watch | (s[c] >= t[1])
     near = (strong_cos & (strong_tok | strong_tri | strong_rel)) | (strong_tok & strong_tri)
-    return F.when(F.col("exact"), "exact_duplicate").when(near, "high_confidence_near_duplicate").when(watch, "semantic_watchlist")
+    return F.when(s["exact"], "exact_duplicate").when(near, "high_confidence_near_duplicate").when(watch, "semantic_watchlist")
 
 
 def leakage_risk(pairs: DataFrame) -> DataFrame:
