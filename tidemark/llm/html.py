@@ -86,6 +86,8 @@ class Page:
                 if m[0].startswith("<![CDATA["):
                     self.texts.append((open_[-1], entities.escape(m[0][9:].removesuffix("]]>"))))
                 continue
+            if not m[0].endswith(">"):
+                continue  # a tag that the page breaks off in
             if name in CLOSES_P:
                 for k in range(len(open_) - 1, 0, -1):
                     if self.tag[open_[k]] == "p":
@@ -231,7 +233,8 @@ def _subtree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             key = xxhash.xxh3_64_intdigest((page.title() or page.text(gone, main)).encode("utf-8", "surrogatepass")) - (1 << 63)
             rows.append((host, None, key))
             rows += {(host, h, key) for _, h in page.subtrees(gone, main)}
-        yield pd.DataFrame(rows, columns=["host", "subtree", "page"]).astype({"subtree": "Int64"})
+        # whole 64-bit numbers: beside a null, pandas would make them floats
+        yield pd.DataFrame({"host": [r[0] for r in rows], "subtree": pd.array([r[1] for r in rows], dtype="Int64"), "page": pd.array([r[2] for r in rows], dtype="Int64")})
 
 
 def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.05, url_col: str = "url", html_col: str = "html") -> DataFrame:
