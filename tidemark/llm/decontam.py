@@ -32,9 +32,20 @@ UNITS = (
     "ml l litre litres liter liters gallon gallons pint pints cup cups ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh kph percent degree degrees "
     "celsius fahrenheit dollar dollars cent cents euro euros usd eur gbp w kw watt watts v volt volts amp amps hz khz mhz ghz kb mb gb tb byte bytes bit bits"
 )
+# Words that are no names, even where a capital stands within a sentence.
+NEVER_NAMES = (
+    "a an the and or but nor so if then than as of in on at by to for from with about into over under after before during between through is are was were be been am do does did has have had can could will would "
+    "shall should may might must not no he she it they we you i his her its their our your my him them us me this that these those there here what which who whom whose when where why how each every all some any "
+    "both one once let find calculate suppose given assume consider ask write solve show explain compute while because since until although"
+)
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
 
 
+def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are in a short sorted array."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 class Canonical:
     """Tables for reading text as canonical tokens; one for each process."""
 
@@ -45,7 +56,7 @@ class Canonical:
         self.upper = np.array([c.isupper() for c in chars])
         self.code = mix64(np.arange(0x10000, dtype=np.uint64) + U64(0x51ED27))
         self.power = np.cumprod(np.full(1 << 12, U64(0x9E3779B97F4A7C15)))
-        self.numbers, self.units = self._hashes(NUMBERS), self._hashes(UNITS)
+        self.numbers, self.units, self.plain = self._hashes(NUMBERS), self._hashes(UNITS), self._hashes(NEVER_NAMES)
         self.slots = mix64(np.arange(1, 5, dtype=np.uint64) * U64(0xA24BAED4963EE407))
 
     def _hashes(self, words: str) -> np.ndarray:
@@ -89,11 +100,11 @@ class Canonical:
         if not len(h):
             return empty
         kind = np.full(len(h), WORD)
-        kind[(cls == 2) | np.isin(h, self.numbers)] = NUMBER
-        kind[(cls == 1) & title.astype(bool) & ~opens.astype(bool) & (kind == WORD)] = NAME
+        kind[(cls == 2) | _among(h, self.numbers)] = NUMBER
+        kind[(cls == 1) & title.astype(bool) & ~opens.astype(bool) & (kind == WORD) & ~_among(h, self.plain)] = NAME
         after = np.zeros(len(h), bool)
         after[1:] = kind[:-1] == NUMBER
-        kind[after & np.isin(h, self.units)] = UNIT
+        kind[after & _among(h, self.units)] = UNIT
         # a run of names is one
         goes_on = np.zeros(len(h), bool)
         goes_on[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
@@ -174,6 +185,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     count as one window of their length.  Windows with placeholders for more than half of
     their tokens say nothing and are no evidence.
 
+    A name is a capitalised word within a sentence that is not a function word.
+
     Null and empty texts and items are in no pair.  Rows that repeat an id are read
     apart and reported once.  A null id is reported as null.  An empty table on either
     side gives an empty result.
