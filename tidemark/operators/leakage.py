@@ -16,7 +16,9 @@ COSINE, TOKEN, TRIGRAM, ITEMS = (0.96, 0.93), (0.75, 0.60), (0.72, 0.68), (0.50,
 def _prepared(rows: DataFrame, id_col: str, text_col: str, items: str | None) -> DataFrame:
     t = F.col(text_col)
     kept = F.col(items) if items else F.lit(None).cast("array<string>")
-    return rows.select(F.col(id_col).alias("id"), squeeze(F.lower(t)).alias("norm"), token_set(t).alias("tokens"), trigram_set(t).alias("grams"), F.coalesce(kept, F.array().cast("array<string>")).alias("items"))
+    # 64-bit hashes of the elements: smaller to shuffle than strings, and faster to intersect
+    hashed = lambda s: F.transform(s, lambda x: F.xxhash64(x))
+    return rows.select(F.col(id_col).alias("id"), squeeze(F.lower(t)).alias("norm"), hashed(token_set(t)).alias("tokens"), hashed(trigram_set(t)).alias("grams"), F.coalesce(kept, F.array().cast("array<string>")).alias("items"))
 
 
 def _prefixes(rows: DataFrame, column: str, order: DataFrame, threshold: float) -> DataFrame:
