@@ -482,14 +482,16 @@ w AS (SELECT a.id AS left_id, b.id AS right_id, {ratio('it.n', 'tokens')} AS tok
 v AS (SELECT left_id, right_id, 0.0::DOUBLE AS cosine, token_jaccard, trigram_jaccard, 0.0::DOUBLE AS item_coverage, {_SEV} AS severity FROM w WHERE severity IS NOT NULL)"""
 
 
-_SHORT = "SELECT conv_id * 100 + turn AS id, text FROM conversations"
-_BENCH = "SELECT item_id AS id, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, text FROM conversations"
+_SHORT = "SELECT min(p_partkey) AS id, p_name || ' ' || p_type AS text FROM part GROUP BY p_name, p_type UNION ALL SELECT -1 - item_id, text FROM benchmark"
+_BENCH = "SELECT min(p_partkey) AS id, p_name || ' ' || p_brand AS text FROM part GROUP BY p_name, p_brand UNION ALL SELECT -1 - item_id, text FROM benchmark"
 
 
 def _surface(spark, sf):
-    c = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return c, b.unionByName(c.select((F.lit(1000000) + F.col("id")).alias("id"), "text"))
+    """Two surfaces of short texts: names with types, names with brands, and the benchmark in both."""
+    b = table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text")
+    p = table(spark, sf, "part")
+    sides = [p.groupBy("p_name", c).agg(F.min("p_partkey").alias("id")).select("id", F.concat_ws(" ", "p_name", c).alias("text")).unionByName(b) for c in ("p_type", "p_brand")]
+    return sides[0], sides[1]
 
 
 def _leaks(spark, sf):
