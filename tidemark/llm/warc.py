@@ -27,6 +27,8 @@ NL = "\r\n"
 #: Bytes of records that an archive is planned to hold before compression.
 FILE_BYTES = 16 << 20
 CUT = 1 << 20
+#: Repeated payloads up to which their digests are broadcast, some 20 MB on an executor.
+BROADCAST_DIGESTS = 100_000
 
 RECORD_SCHEMA = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, content_type string, header map<string,string>, http_header string, payload binary"
 
@@ -48,7 +50,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
     # combined map-side, so a payload that a third of the pages share is no hot spot
     shared = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
-    joined = rows.join(shared, "digest", "left")
+    # payloads that repeat are few as a rule; while they are, pages stay where they are
+    shared = materialize(shared, "shared")
+    joined = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left")
     revisit = F.col("first_id").isNotNull() & (F.col("id") > F.col("first_id"))
     return joined.select("id", "url", "payload", "bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_id")).alias("refers_id"))
 
@@ -190,7 +194,9 @@ def assemble_captures(records: DataFrame, keep_payload: bool = True) -> DataFram
     known = materialize(known.select("record_id", "type", "target_uri", "date", "concurrent_to", "refers_to", "http_header", "size", "sha256", "note", *(["payload"] if keep_payload else [])), "records")
     main = known.where(F.col("type").isin("response", "revisit"))
     original = main.where("type = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min(F.struct("size", "sha256")).alias("o"))
-    whole = main.join(original, "refers_to", "left")
+    # responses refer to nothing: without them, no task gets all the nulls
+    alone = main.where(F.col("refers_to").isNull()).withColumn("o", F.lit(None).cast("struct<size: bigint, sha256: string>"))
+    whole = main.where(F.col("refers_to").isNotNull()).join(original, "refers_to", "left").unionByName(alone)
     revisit = F.col("type") == "revisit"
     response = F.struct(
         "type", "date", "http_header", F.when(revisit, F.col("o.size")).otherwise(F.col("size")).alias("payload_bytes"),
@@ -209,7 +215,8 @@ def page_id_of(captures: DataFrame) -> DataFrame:
     """Captures with the ``page_id`` that their metadata records name, and ``refers_page``, that of the response a revisit refers to."""
     named = captures.withColumn("page_id", F.regexp_extract("metadata.note", r"captureId: (-?\d+)", 1).try_cast("long"))
     known = named.where("response.type = 'response'").groupBy(F.col("record_id").alias("__r")).agg(F.min("page_id").alias("refers_page"))
-    return named.join(known, F.col("response.refers_to") == F.col("__r"), "left").drop("__r")
+    found = named.where("response.refers_to is not null").withColumn("__r", F.col("response.refers_to")).join(known, "__r", "left").drop("__r")
+    return found.unionByName(named.where("response.refers_to is null").withColumn("refers_page", F.lit(None).cast("long")))
 
 
 def archive_round_trip(pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", keep_payload: bool = False) -> DataFrame:
