@@ -75,20 +75,25 @@ def ngram_features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray
 _ASCII = {i: (chr(i) if chr(i).isalpha() else " ") for i in range(128)}
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, epochs: int = 20) -> np.ndarray:
-    """Weights and bias of a linear SVM (hinge loss) by dual coordinate descent (Hsieh et al. 2008)."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    norms, alpha, w = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
+def train_svm(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dimensions: int = DIMENSIONS, cost: float = 1.0, epochs: int = 20) -> np.ndarray:
+    """Weights and bias of a linear SVM (hinge loss) by dual coordinate descent (Hsieh et al. 2008).
+
+    A row is the places of its features that are not 0, and their values; nothing of
+    the size of rows times dimensions is ever made.
+    """
+    norms, alpha, w = np.array([v @ v + 1 for _, v in rows]), np.zeros(len(rows)), np.zeros(dimensions + 1)
     order = np.random.default_rng(1)
     # classes of unlike size weigh alike
     upper = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))) * cost * 10
     for _ in range(epochs):
         moved = 0.0
-        for i in order.permutation(len(x)):
+        for i in order.permutation(len(rows)):
+            at, values = rows[i]
             old = alpha[i]
-            alpha[i] = min(max(old - (y[i] * (w @ x[i]) - 1) / norms[i], 0.0), upper[i])
+            alpha[i] = min(max(old - (y[i] * (w[at] @ values + w[-1]) - 1) / norms[i], 0.0), upper[i])
             if alpha[i] != old:
-                w += (alpha[i] - old) * y[i] * x[i]
+                w[at] += (alpha[i] - old) * y[i] * values
+                w[-1] += (alpha[i] - old) * y[i]
                 moved = max(moved, abs(alpha[i] - old))
         if moved < 1e-3:
             break
@@ -142,14 +147,15 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             vectors = [ngram_features(t) for t in batch["text"]]
             keep = [i for i, v in enumerate(vectors) if v is not None]
-            yield pd.DataFrame({"label": [batch["label"].iloc[i] for i in keep], "x": [vectors[i].astype(np.float32).tobytes() for i in keep]})
+            places = [np.flatnonzero(vectors[i]) for i in keep]
+            yield pd.DataFrame({"label": [batch["label"].iloc[i] for i in keep], "at": [p.astype(np.int32).tobytes() for p in places], "x": [vectors[i][p].astype(np.float32).tobytes() for i, p in zip(keep, places, strict=True)]})
 
-    got = bounded_sample(rows, "label", "id", per_language).mapInPandas(featurize, "label string, x binary").collect()
+    got = bounded_sample(rows, "label", "id", per_language).mapInPandas(featurize, "label string, at binary, x binary").collect()
     if not got:
         return LanguageModel({}, {})
-    got = sorted((r["label"], bytes(r["x"])) for r in got)
+    got = sorted((r["label"], bytes(r["at"]), bytes(r["x"])) for r in got)
     labels = np.array([g[0] for g in got])
-    x = np.stack([np.frombuffer(g[1], np.float32) for g in got]).astype(np.float64)
+    x = [(np.frombuffer(at, np.int32), np.frombuffer(v, np.float32).astype(np.float64)) for _, at, v in got]
     families: dict[str, list[str]] = {}
     for lang in sorted(set(labels.tolist())):
         families.setdefault(family_of(lang), []).append(lang)
@@ -160,9 +166,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return LanguageModel(families, machines)
 
 
-def _pair(x: np.ndarray, labels: np.ndarray, a: str, b: str) -> np.ndarray:
-    rows = (labels == a) | (labels == b)
-    return train_svm(x[rows], np.where(labels[rows] == a, 1.0, -1.0))
+def _pair(x: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, a: str, b: str) -> np.ndarray:
+    rows = np.flatnonzero((labels == a) | (labels == b))
+    return train_svm([x[i] for i in rows], np.where(labels[rows] == a, 1.0, -1.0))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
