@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import materialize
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the usual pattern that cuts text into pieces before byte-pair merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -64,7 +66,8 @@ def length_histogram(lengths: DataFrame, name: str = "n_tokens") -> DataFrame:
     lengths and within each, so that no task sees all lengths.
     """
     counts = lengths.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("n_tokens")).agg(F.count("*").alias("docs")).withColumn("tokens", F.col("n_tokens") * F.col("docs"))
-    counts = counts.withColumn("__group", F.floor(F.col("n_tokens") / GROUP))
+    # written, a row a length: it is used twice below, and texts are to be encoded once
+    counts = materialize(counts.withColumn("__group", F.floor(F.col("n_tokens") / GROUP)), "lengths")
     groups = counts.groupBy("__group").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     # one row for 256 lengths: few, whatever the number of documents
     after = Window.orderBy(F.desc("__group")).rowsBetween(Window.unboundedPreceding, -1)
