@@ -13,12 +13,23 @@ from tidemark.operators.interactions import ensure_checkpoint_dir
 COSINE, TOKEN, TRIGRAM, ITEMS = (0.96, 0.93), (0.75, 0.60), (0.72, 0.68), (0.50, 0.34)
 
 
-def _prepared(rows: DataFrame, id_col: str, text_col: str, items: str | None) -> DataFrame:
+def _prepared(rows: DataFrame, id_col: str, text_col: str, items: str | None, by_id: bool) -> DataFrame:
+    """Sets of each row, and its class: rows of one class have equal texts and items, so that one stands for all."""
     t = F.col(text_col)
     kept = F.col(items) if items else F.lit(None).cast("array<string>")
     # 64-bit hashes of the elements: smaller to shuffle than strings, and faster to intersect
     hashed = lambda s: F.transform(s, lambda x: F.xxhash64(x))
-    return rows.select(F.col(id_col).alias("id"), squeeze(F.lower(t)).alias("norm"), hashed(token_set(t)).alias("tokens"), hashed(trigram_set(t)).alias("grams"), F.coalesce(kept, F.array().cast("array<string>")).alias("items"))
+    out = rows.select(F.col(id_col).alias("id"), squeeze(F.lower(t)).alias("norm"), hashed(token_set(t)).alias("tokens"), hashed(trigram_set(t)).alias("grams"), F.coalesce(kept, F.array().cast("array<string>")).alias("items"))
+    # vectors belong to ids, not to texts
+    own = [F.col("id").cast("string").alias("i")] if by_id else []
+    return out.withColumn("class", F.unhex(F.md5(F.to_json(F.struct("norm", F.array_sort("items").alias("items"), *own)).cast("binary"))))
+
+
+def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes, a row each with the class as ``id``, and ``class, id`` of their members."""
+    ensure_checkpoint_dir(rows.sparkSession)
+    classes = rows.dropDuplicates(["class"]).select(F.col("class").alias("id"), "norm", "tokens", "grams", "items").checkpoint()
+    return classes, rows.select("class", "id").distinct().checkpoint()
 
 
 def _prefixes(rows: DataFrame, column: str, order: DataFrame, threshold: float) -> DataFrame:
@@ -40,8 +51,11 @@ def _candidates(left: DataFrame, right: DataFrame, column: str, threshold: float
     return pairs.where((F.col("n1") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n1"))).select("left_id", "right_id").distinct()
 
 
-def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> DataFrame:
-    """Pairs across two surfaces (or, with ``same``, of one, each once) with overlap signals.
+def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of classes with overlap signals, and ``class, id`` of the members on the left and on the right.
+
+    Rows of equal texts and items are one class, compared once however many copies it
+    has.  With ``same`` a pair of classes is there once, and a class meets itself.
 
     The reference semantics are a nested loop over all pairs; here candidates come from
     equi-joins that lose no pair that could be flagged: texts by prefixes of their token
@@ -49,19 +63,24 @@ def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id",
     item, and vectors from ``cosines`` (``left_id, right_id, cosine``), which a vector
     search supplies.  Every candidate is then judged on whole sets.
     """
-    a, b = _prepared(left, left_id, left_text, items), _prepared(right, right_id, right_text, items)
+    a, left_members = _split(_prepared(left, left_id, left_text, items, cosines is not None))
+    b, right_members = (a, left_members) if same else _split(_prepared(right, right_id, right_text, items, cosines is not None))
     parts = [_candidates(a, b, "tokens", TOKEN[1]), _candidates(a, b, "grams", TRIGRAM[1])]
     parts.append(a.select(F.col("id").alias("left_id"), F.md5(F.col("norm").cast("binary")).alias("h")).join(b.select(F.col("id").alias("right_id"), F.md5(F.col("norm").cast("binary")).alias("h")), "h").select("left_id", "right_id"))
     if items:
         parts.append(a.select(F.col("id").alias("left_id"), F.explode("items").alias("i")).join(b.select(F.col("id").alias("right_id"), F.explode("items").alias("i")), "i").select("left_id", "right_id"))
     if cosines is not None:
+        of = [m.select(F.col("id").alias(f"{n}_id"), F.col("class").alias(f"{n}_class")) for m, n in ((left_members, "left"), (right_members, "right"))]
+        cosines = cosines.join(of[0], "left_id").join(of[1], "right_id").select(F.col("left_class").alias("left_id"), F.col("right_class").alias("right_id"), "cosine")
+        if same:
+            cosines = cosines.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "cosine").groupBy("left_id", "right_id").agg(F.max("cosine").alias("cosine"))
         parts.append(cosines.where(F.col("cosine") >= COSINE[1]).select("left_id", "right_id"))
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.unionByName(p)
-    pairs = pairs.distinct()
     if same:
-        pairs = pairs.where("left_id < right_id")
+        pairs = pairs.where("left_id <= right_id")
+    pairs = pairs.distinct()
     sides = [x.select(F.col("id").alias(f"{n}_id"), *[F.col(c).alias(f"{n}_{c}") for c in ("norm", "tokens", "grams", "items")]) for x, n in ((a, "left"), (b, "right"))]
     full = pairs.join(sides[0], "left_id").join(sides[1], "right_id")
     full = full.join(cosines.select("left_id", "right_id", "cosine"), ["left_id", "right_id"], "left") if cosines is not None else full.withColumn("cosine", F.lit(None).cast("double"))
@@ -71,8 +90,18 @@ def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id",
         (F.col("left_norm") == F.col("right_norm")).alias("exact"),
     )
     # generated, so that the filter below does not work the signals out again for each of its conditions
-    judged = full.select("left_id", "right_id", F.explode(F.array(signals)).alias("s")).withColumn("severity", severity(F.col("s")))
-    return judged.where("severity is not null").select("left_id", "right_id", "s.cosine", "s.token_jaccard", "s.trigram_jaccard", "s.item_coverage", "severity")
+    judged = full.select(F.col("left_id").alias("left_class"), F.col("right_id").alias("right_class"), F.explode(F.array(signals)).alias("s")).withColumn("severity", severity(F.col("s")))
+    judged = judged.where("severity is not null").select("left_class", "right_class", "s.cosine", "s.token_jaccard", "s.trigram_jaccard", "s.item_coverage", "severity")
+    return judged, left_members, right_members
+
+
+def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> DataFrame:
+    """Pairs across two surfaces (or, with ``same``, of one, each once) with overlap signals: ``flagged_classes`` by members."""
+    judged, left_members, right_members = flagged_classes(left, right, left_id, right_id, left_text, right_text, items, cosines, same)
+    pairs = judged.join(left_members.select(F.col("class").alias("left_class"), F.col("id").alias("left_id")), "left_class").join(right_members.select(F.col("class").alias("right_class"), F.col("id").alias("right_id")), "right_class")
+    if same:
+        pairs = pairs.where("left_class <> right_class and left_id <> right_id or left_class = right_class and left_id < right_id").withColumns({"left_id": F.least("left_id", "right_id"), "right_id": F.greatest("left_id", "right_id")})
+    return pairs.select("left_id", "right_id", "cosine", "token_jaccard", "trigram_jaccard", "item_coverage", "severity")
 
 
 def severity(s: Column) -> Column:
@@ -92,8 +121,33 @@ def leakage_risk(pairs: DataFrame) -> DataFrame:
         of("exact_duplicate").alias("exact"), of("high_confidence_near_duplicate").alias("near"), of("semantic_watchlist").alias("watch"),
         F.count_distinct(F.when(F.col("severity") == "semantic_watchlist", F.col("right_id"))).alias("watch_right"),
     )
-    level = F.when((F.col("exact") > 0) | (F.col("near") >= 10), "high").when((F.col("near") > 0) | (F.col("watch_right") >= 20), "moderate").otherwise("low")
-    return sums.withColumn("risk_level", level)
+    return sums.withColumn("risk_level", _risk_level())
+
+
+def _risk_level() -> Column:
+    return F.when((F.col("exact") > 0) | (F.col("near") >= 10), "high").when((F.col("near") > 0) | (F.col("watch_right") >= 20), "moderate").otherwise("low")
+
+
+def class_risk(judged: DataFrame, left_members: DataFrame, right_members: DataFrame) -> DataFrame:
+    """A30 of two surfaces from ``flagged_classes``: the same row, without a row for each pair of copies."""
+    many = [m.groupBy(F.col("class").alias(f"{n}_class")).agg(F.count("*").alias(f"{n}_n")) for m, n in ((left_members, "left"), (right_members, "right"))]
+    counted = judged.join(many[0], "left_class").join(many[1], "right_class")
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("left_n") * F.col("right_n"))), F.lit(0))
+    sums = counted.agg(of("exact_duplicate").alias("exact"), of("high_confidence_near_duplicate").alias("near"), of("semantic_watchlist").alias("watch"))
+    watched = judged.where(F.col("severity") == "semantic_watchlist").select(F.col("right_class").alias("class")).distinct()
+    sums = sums.crossJoin(F.broadcast(right_members.join(watched, "class").agg(F.count_distinct("id").alias("watch_right"))))  # one row
+    return sums.withColumn("risk_level", _risk_level())
+
+
+def class_links(judged: DataFrame, members: DataFrame) -> DataFrame:
+    """``left_id, right_id``: links that join what exact and near pairs of ``flagged_classes`` (``same``) join, one a member and one a pair of classes."""
+    least = members.groupBy("class").agg(F.min("id").alias("least"))
+    strong = judged.where((F.col("severity") != "semantic_watchlist") & (F.col("left_class") != F.col("right_class")))
+    ends = [least.select(F.col("class").alias(f"{n}_class"), F.col("least").alias(f"{n}_id")) for n in ("left", "right")]
+    # rows without a text are no copies of each other
+    alike = judged.where("left_class = right_class and severity = 'exact_duplicate'").select(F.col("left_class").alias("class"))
+    copies = members.join(alike, "class").join(least, "class").where("id <> least").select(F.col("least").alias("left_id"), F.col("id").alias("right_id"))
+    return copies.unionByName(strong.join(ends[0], "left_class").join(ends[1], "right_class").select("left_id", "right_id"))
 
 
 def worst_pairs(pairs: DataFrame, limit: int = 100) -> DataFrame:

@@ -529,6 +529,40 @@ def component_keys(spark, sf):
     return leakage.component_keys(_components(spark, sf), rows.select("id", T.squeeze(F.lower("text")).alias("norm")))
 
 
+def _conversations(spark, sf):
+    """Two surfaces of whole texts, every row: conversations, and the benchmark with conversations."""
+    c = table(spark, sf, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    return c, table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text").unionByName(c)
+
+
+# no SQL for these: a join of all shared trigrams of long texts does not end in useful time; tests compare with brute force
+@register("conversation_leakage_pairs")
+def conversation_leakage_pairs(spark, sf):
+    return leakage.flagged_pairs(*_conversations(spark, sf), "id", "id")
+
+
+@register("conversation_leakage_risk")
+def conversation_leakage_risk(spark, sf):
+    return leakage.class_risk(*leakage.flagged_classes(*_conversations(spark, sf), "id", "id"))
+
+
+def _conversation_components(spark, sf):
+    rows, _ = _conversations(spark, sf)
+    judged, members, _ = leakage.flagged_classes(rows, rows, "id", "id", same=True)
+    return leakage.components(rows, leakage.class_links(judged, members))
+
+
+@register("conversation_components")
+def conversation_components(spark, sf):
+    return _conversation_components(spark, sf)
+
+
+@register("conversation_component_keys")
+def conversation_component_keys(spark, sf):
+    rows, _ = _conversations(spark, sf)
+    return leakage.component_keys(_conversation_components(spark, sf), rows.select("id", T.squeeze(F.lower("text")).alias("norm")))
+
+
 _FRAC = "(('0x' || sha256(CAST(doc_id AS VARCHAR))[1:16])::UBIGINT::DOUBLE / 18446744073709551615.0::DOUBLE)"
 
 
