@@ -5,7 +5,7 @@ and units replaced by typed placeholders whose values are kept aside as slots.
 of tokens of benchmark items and documents are hash-joined; of an item's windows found
 in a document at one alignment, the slots must be filled consistently (equal values of
 the item by equal values of the document), which tells a question with new parameters
-from a chance likeness.
+from a chance likeness.  Windows of placeholders mostly are joined with their values.
 """
 
 from __future__ import annotations
@@ -114,18 +114,26 @@ class Canonical:
         canonical = np.where(kind == WORD, h[begin], self.slots[kind])
         return canonical, kind, value
 
-    def windows(self, text: str | None, size: int, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and place of each window with ``least_words`` words or more; and the tokens' kinds and values."""
+    def windows(self, text: str | None, size: int, least_words: int) -> tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]:
+        """Hash and place of each window, the number of those with ``least_words`` words or more, and the tokens' kinds and values.
+
+        Windows with fewer words are hashed with their values: they match their own copies only.
+        """
         canonical, kind, value = self.tokens(text)
         n = len(canonical) - size + 1
         if n <= 0:
-            return np.empty(0, np.uint64), np.empty(0, np.int64), kind, value
+            return np.empty(0, np.uint64), np.empty(0, np.int64), 0, kind, value
         h = np.full(n, U64(size))
         for k, m in enumerate(window_multipliers(size)):
             h += canonical[k : k + n] * m
         words = np.concatenate(([0], np.cumsum(kind == WORD)))
-        place = np.flatnonzero(words[size:] - words[:-size] >= least_words)
-        return mix64(h[place]), place, kind, value
+        few = np.flatnonzero(words[size:] - words[:-size] < least_words)
+        if len(few):
+            exact = np.full(len(few), U64(size + (1 << 32)))
+            for k, m in enumerate(window_multipliers(size)):
+                exact += (value[few + k] + canonical[few + k]) * m
+            h[few] = exact
+        return mix64(h), np.arange(n), n - len(few), kind, value
 
 
 def _pieces(text: str) -> Iterator[str]:
@@ -140,7 +148,7 @@ def _pieces(text: str) -> Iterator[str]:
         at = to
 
 
-ROWS = "id long, window long, place long, slots array<long>, kinds array<int>, windows long, size int"
+ROWS = "id long, window long, place long, slots array<long>, at array<int>, templates long, windows long, size int, template boolean"
 
 
 def _window_rows(size: int, sizes: list[int], known: np.ndarray | None, items: bool):
@@ -160,18 +168,18 @@ def _window_rows(size: int, sizes: list[int], known: np.ndarray | None, items: b
                     n = len(reader.tokens(text)[0])
                     use = [min(size, n)] if n else []
                 for s in use:
-                    h, place, kind, value = reader.windows(text, s, (s + 1) // 2)
+                    h, place, templates, kind, value = reader.windows(text, s, (s + 1) // 2)
+                    total = len(h)
                     if bits is not None and len(h):
                         maybe = np.flatnonzero(bits[(h & U64(len(bits) - 1)).astype(np.int64)])
                         found = known[np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)] == h[maybe]
                         maybe = maybe[found]
                         h, place = h[maybe], place[maybe]
-                    total = len(h)
                     for w, p in zip(h.astype(np.int64), place, strict=True):
                         at = np.flatnonzero(kind[p : p + s] != WORD) + p
-                        rows.append((id_, w, p, value[at].astype(np.int64), kind[at].astype(np.int32), total, s))
+                        rows.append((id_, w, p, value[at].astype(np.int64), at.astype(np.int32), templates, total, s, s - len(at) >= (s + 1) // 2))
             if rows:
-                yield pd.DataFrame(rows, columns=["id", "window", "place", "slots", "kinds", "windows", "size"])
+                yield pd.DataFrame(rows, columns=["id", "window", "place", "slots", "at", "templates", "windows", "size", "template"])
 
     return run
 
@@ -180,10 +188,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """``id_col, item_id, windows_found, coverage, kind``: documents that hold a benchmark item, or one with other parameters.
 
     A pair is reported if ``coverage`` of the item's windows or more are in the document,
-    in alignments whose slots are filled consistently; ``kind`` is ``exact`` if every
-    slot has the item's own value, else ``reparameterised``.  Items shorter than a window
-    count as one window of their length.  Windows with placeholders for more than half of
-    their tokens say nothing and are no evidence.
+    in alignments whose slots are filled consistently: where a value of the item has
+    several in the document, the windows with any but the commonest (of equally common
+    ones the item's own, or none) are not counted.  ``kind`` is ``exact`` if every window
+    found is in an alignment where each slot has the item's own value, else
+    ``reparameterised``.  Items shorter than a window count as one window of their length.
+
+    Windows with placeholders for more than half of their tokens count where their values
+    are equal too.  New values leave none of them, so that the coverage of an item's other
+    windows alone is enough as well; ``coverage`` is the larger one, and ``windows_found``
+    the windows of either kind.
 
     A name is a capitalised word within a sentence that is not a function word.
 
@@ -203,17 +217,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = rows.mapInPandas(_window_rows(window, sizes, known, False), ROWS).select("id", "window", "place", "slots")
     found = materialize(found, "windows")
     left = found.select("id", "window", F.col("place").alias("d_place"), F.col("slots").alias("d_slots"))
-    right = item_rows.select(F.col("id").alias(item_col), "window", F.col("place").alias("i_place"), F.col("slots").alias("i_slots"), "windows")
+    right = item_rows.select(F.col("id").alias(item_col), "window", F.col("place").alias("i_place"), F.col("slots").alias("i_slots"), "at", "templates", "windows", "template")
     pairs = left.join(right, "window").where(F.size("d_slots") == F.size("i_slots")).withColumn("shift", F.col("d_place") - F.col("i_place"))
-    fills = F.transform(F.arrays_zip("i_slots", "d_slots"), lambda s: F.struct(s["i_slots"].alias("i"), s["d_slots"].alias("d")))
-    aligned = pairs.groupBy("id", item_col, "shift", "windows").agg(F.collect_set("i_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(fills))).alias("fills"))
-    aligned = aligned.where(F.size(F.array_distinct("fills.i")) == F.size("fills"))
-    aligned = aligned.withColumn("same", F.forall("fills", lambda s: s["i"] == s["d"]))
-    total = aligned.groupBy("id", item_col, "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("places")))).cast("long").alias("windows_found"), F.bool_and("same").alias("same"))
-    total = total.withColumn("coverage", F.col("windows_found") / F.col("windows")).where(F.col("coverage") >= coverage)
+    fills = F.transform(F.arrays_zip("i_slots", "d_slots", "at"), lambda s: F.struct(s["i_slots"].alias("i"), s["d_slots"].alias("d"), s["at"].alias("at")))
+    window_found = F.struct(F.col("i_place").alias("place"), F.col("template").alias("template"), fills.alias("fills"))
+    aligned = pairs.groupBy("id", item_col, "shift", "templates", "windows").agg(F.collect_set(window_found).alias("found"))
+    aligned = aligned.withColumn("slots", F.array_distinct(F.flatten("found.fills")))
+    aligned = aligned.withColumn("fills", F.array_distinct(F.transform("slots", lambda s: F.struct(s["i"].alias("i"), s["d"].alias("d")))))
+    aligned = aligned.withColumn("same", F.forall("fills", lambda s: s["i"] == s["d"])).withColumn("found", _consistent())
+    seen = aligned.select("id", item_col, "templates", "windows", "same", F.explode("found").alias("w")).groupBy("id", item_col, "templates", "windows", F.col("w.place").alias("place")).agg(F.bool_or("w.template").alias("template"), F.bool_or("same").alias("same"))
+    total = seen.groupBy("id", item_col, "templates", "windows").agg(F.count("*").alias("windows_found"), F.count_if("template").alias("templates_found"), F.bool_and("same").alias("same"))
+    share = F.greatest(F.col("windows_found") / F.col("windows"), F.try_divide(F.col("templates_found"), F.col("templates")))
+    total = total.withColumn("coverage", share).where(F.col("coverage") >= coverage)
     return total.groupBy(F.col("id").alias(id_col), item_col).agg(F.max("windows_found").alias("windows_found"), F.max("coverage").alias("coverage"), F.when(F.bool_or("same"), "exact").otherwise("reparameterised").alias("kind"))
 
 
+def _consistent() -> F.Column:
+    """The windows ``found`` at an alignment, without those where a slot has a rarer value than elsewhere."""
+    counted = F.transform("fills", lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.size(F.filter("slots", lambda s: (s["i"] == p["i"]) & (s["d"] == p["d"]))).alias("n")))
+    wins = lambda p, q: (p["n"] > q["n"]) | ((p["n"] == q["n"]) & (p["d"] == p["i"]))
+    # one expression for the counts, bound once
+    odd = F.flatten(F.transform(F.array(counted), lambda c: F.filter(c, lambda p: F.exists(c, lambda q: (q["i"] == p["i"]) & (q["d"] != p["d"]) & ~wins(p, q)))))
+    kept = F.flatten(F.transform(F.array(odd), lambda o: F.filter("found", lambda w: ~F.exists(w["fills"], lambda f: F.exists(o, lambda b: (b["i"] == f["i"]) & (b["d"] == f["d"]))))))
+    return F.when(F.size(F.array_distinct("fills.i")) == F.size("fills"), F.col("found")).otherwise(kept)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = 0.4) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item.
 
