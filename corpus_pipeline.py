@@ -40,8 +40,12 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with their words taken, in order of training position."""
-    return mixing.training_order(mixing.plan_mix(docs))
+    """The documents that the mix takes, a row each, in order of the first training position.
+
+    ``positions`` has those of all copies; ``mixing.training_order`` of the result gives
+    a row for each of them.
+    """
+    return mixing.plan_mix(docs).where(F.col("taken") > 0).orderBy("position", "doc_id")
 
 
 STAGES = [

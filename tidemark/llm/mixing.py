@@ -3,7 +3,8 @@
 Every source has a share of the mix's words, its target, and a schedule of its weight
 over training time from 0 to 1.  The integral of the schedule says how many of the
 source's words are due by any time; inverting it at a document's place in its source
-gives the document's training position.  Documents are then range-sorted by position.
+gives the training position of each time that a document is taken.  Those are then
+range-sorted by position.
 
 All of it is DataFrame operations: running sums are taken in two levels, over hash
 buckets of a source and within each, so that a source with most of the rows is spread
@@ -72,7 +73,7 @@ def _position(due: Column, start: Column, end: Column) -> Column:
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, schedules: tuple[tuple[float, float], ...] = SCHEDULES, buckets: int = 4096) -> DataFrame:
-    """``docs`` with ``size, source_size, target, taken, position``: what the mix takes, and when.
+    """``docs`` with ``size, source_size, target, taken, position, positions``: what the mix takes, and when.
 
     A source's documents are in order of a hash of their ids.  With ``target`` words
     wanted of ``source_size``, every document is taken ``floor(target / source_size)``
@@ -80,12 +81,15 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     document at that limit only the words still wanted are taken the last time, so that
     a source's words are its target less a fraction.  ``position``, from 0 to 1, is the
     training time of the first time a document is taken; null if it never is.
+    ``positions`` has the training time of every time it is taken, in order: of copy
+    ``k``, counted from 0, that by which ``k`` times the source and the words before the
+    document in it are due.
 
     Null texts have size 0 and are taken with 0 words, documents without an id come first
     in their source's order, a null source is a source of its own, repeated rows are
     documents of their own.  Columns of the new names are replaced.  Reruns agree.
     """
-    new = ("size", "source_size", "target", "taken", "position")
+    new = ("size", "source_size", "target", "taken", "position", "positions")
     kept = [c for c in docs.columns if c not in new]
     rows = docs.select(*kept, word_count(F.col(text_col).cast("string")).alias("size")).withColumns({"__source": F.col(source_col).cast("string"), "__hash": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))})
     width = max(1, len(hex(buckets - 1)) - 2)
@@ -106,11 +110,21 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     last = F.least(F.greatest(rest - F.col("__before"), F.lit(0)), F.col("size"))
     placed = placed.withColumns({"__whole": whole, "taken": (whole * F.col("size") + last).cast("long")})
     due = F.when(F.col("taken") > 0, F.col("__before") / F.col("target"))
+    copies = F.when(F.col("taken") > 0, F.col("__whole") + F.when(last > 0, 1).otherwise(0)).otherwise(0)
     turn = ((F.col("rank") - 1) % len(schedules) + 1).cast("int")
     start, end = (F.element_at(F.array(*[F.lit(float(s[k])) for s in schedules]), turn) for k in (0, 1))
-    return placed.select(*kept, "size", "source_size", "target", "taken", _position(due, start, end).alias("position"))
+    # the last copy is due at its target at the latest
+    later = lambda k: F.least((k * F.col("source_size") + F.col("__before")) / F.col("target"), F.lit(1.0))
+    placed = placed.withColumns({"__copies": copies.cast("int"), "__start": start, "__end": end})
+    positions = F.transform(F.slice(F.sequence(F.lit(0), F.greatest("__copies", F.lit(1))), F.lit(1), F.col("__copies")), lambda k: _position(later(k), F.col("__start"), F.col("__end")))
+    return placed.select(*kept, "size", "source_size", "target", "taken", _position(due, start, end).alias("position"), positions.alias("positions"))
 
 
 def training_order(mix: DataFrame, id_col: str = "doc_id", position: str = "position") -> DataFrame:
-    """The documents of a mix that are taken, range-sorted by position (ties: by id)."""
-    return mix.where(F.col("taken") > 0).orderBy(position, id_col)
+    """A row for every time that a document of a mix is taken, range-sorted by position (ties: by id).
+
+    ``position`` is that of the copy, ``copy`` counts from 0 and ``words`` are the words
+    taken of it; they add up to ``taken``, which stays the document's.
+    """
+    rows = mix.where(F.col("taken") > 0).select("*", F.posexplode("positions").alias("copy", "__position")).withColumn(position, F.col("__position"))
+    return rows.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))).drop("__position", "positions").orderBy(position, id_col)

@@ -40,6 +40,12 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of every document of the mix, in order; ``op6_curriculum_mix`` has a row a document, as its SQL."""
+    order = mixing.training_order(mixing.plan_mix(_table(spark, sf_dir, "documents")))
+    return order.select("doc_id", "copy", "words", "position")
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archive_round_trip(_table(spark, sf_dir, "pages"))
     response = F.col("response")
@@ -72,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, pipeline)
+    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op6_training_order, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, pipeline)
     return {f.__name__: f for f in own}
 
 
