@@ -55,6 +55,16 @@ class Page:
         self.last = list(range(len(self.tag)))  # each element's last descendant
         for i in range(len(self.tag) - 1, 0, -1):
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
+        #: Elements outside the main text that hold what may be it: wrappers of the page.
+        self.wraps = set()
+        for i in range(1, len(self.tag)):
+            if self.is_main(i) and not self.is_furniture(i):
+                around, k = [], self.parent[i]
+                while k > 0 and k not in self.wraps and not self.is_main(k):
+                    around.append(k)
+                    k = self.parent[k]
+                if k <= 0 or k in self.wraps:
+                    self.wraps.update(around)
 
     def _parse(self) -> None:
         source, open_, at = self.source, [0], 0
@@ -132,16 +142,22 @@ class Page:
         a = self.attrs[i]
         return {w.lower() for w in WORDS.findall(f"{a.get('class', '')} {a.get('id', '')}")} if "class" in a or "id" in a else set()
 
+    def is_main(self, i: int) -> bool:
+        return self.tag[i] in ("article", "main") or self.attrs[i].get("role", "").lower() == "main"
+
     def is_furniture(self, i: int) -> bool:
+        """Whether the element is furniture by itself; of one that wraps the main text, its class and a form say nothing."""
         tag, a = self.tag[i], self.attrs[i]
-        if tag in FURNITURE or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
+        if tag in FURNITURE and not (tag == "form" and i in self.wraps) or a.get("role", "").lower() in ROLES or "hidden" in a or a.get("aria-hidden") == "true":
             return True
         if "style" in a and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a["style"], re.I):
             return True
-        if tag in ("html", "body", "main", "#root"):
+        if tag in ("html", "body", "main", "#root") or a.get("role", "").lower() == "main":
             return False
         if tag == "article" and not self.words(i) & {"comment", "comments", "ad", "advert", "related", "promo", "sponsored"}:
             return False
+        if i in self.wraps:
+            return False
         words = self.words(i)
         if words & MARKS:
             return True
