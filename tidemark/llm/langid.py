@@ -133,12 +133,13 @@ class LanguageModel:
         return lang, float(min(max(p * q, 0.0), 1.0))
 
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400) -> LanguageModel:
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, max_languages: int = 100) -> LanguageModel:
     """Learn from about ``per_language`` documents of each language, chosen by a hash.
 
     Uses documents with an id that is not held out, a label other than ``und`` and a
     letter in the text.  Features are computed on the executors; what reaches the
-    driver is bounded by ``per_language`` and the number of languages.
+    driver is bounded by ``per_language`` and the number of languages.  More languages
+    than ``max_languages`` are a ``ValueError``: a pair of them is a machine.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
     rows = rows.where(learnable("id") & F.col("label").isNotNull() & (F.col("label") != UNKNOWN) & F.col("text").isNotNull())
@@ -150,7 +151,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             places = [np.flatnonzero(vectors[i]) for i in keep]
             yield pd.DataFrame({"label": [batch["label"].iloc[i] for i in keep], "at": [p.astype(np.int32).tobytes() for p in places], "x": [vectors[i][p].astype(np.float32).tobytes() for i, p in zip(keep, places, strict=True)]})
 
-    got = bounded_sample(rows, "label", "id", per_language).mapInPandas(featurize, "label string, at binary, x binary").collect()
+    got = bounded_sample(rows, "label", "id", per_language, max_languages).mapInPandas(featurize, "label string, at binary, x binary").collect()
     if not got:
         return LanguageModel({}, {})
     got = sorted((r["label"], bytes(r["at"]), bytes(r["x"])) for r in got)

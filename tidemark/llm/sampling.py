@@ -20,10 +20,12 @@ def bounded_sample(rows: DataFrame, label: str, key: str, per_label: int, max_la
     """About ``per_label`` rows of each value of ``label``, at most 1.5 times as many.
 
     Rows are chosen by a hash of ``key``, so that reruns agree.  Only the counts a
-    label (one row each, ``max_labels`` at most, the most frequent first) go to the
-    driver; ``rows`` itself is filtered where it is.
+    label (one row each) go to the driver; ``rows`` itself is filtered where it is.
+    More labels than ``max_labels`` are a ``ValueError``: none is left out.
     """
-    counts = rows.groupBy(label).count().where(F.col(label).isNotNull()).orderBy(F.desc("count"), label).limit(max_labels).collect()
+    counts = rows.groupBy(label).count().where(F.col(label).isNotNull()).orderBy(F.desc("count"), label).limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} values of {label}")
     if not counts:
         return rows.limit(0)
     rate = F.lit(0.0)
