@@ -1,4 +1,4 @@
-"""Leakage between query surfaces: similarity joins, components and split assignment."""
+"""Leakage between query surfaces: similarity joins, components and split assignment."""
 
 from __future__ import annotations
 

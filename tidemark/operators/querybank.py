@@ -1,4 +1,4 @@
-"""Query banks: judged queries, candidates and manual boundary queries."""
+"""Query banks: judged queries, candidates and manual boundary queries."""
 
 from __future__ import annotations
 
