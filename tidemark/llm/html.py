@@ -1,9 +1,12 @@
 """Main text of web pages, with the templates of each site removed.
 
-Every element subtree outside the article's own prose is hashed; Spark counts, for
-each host, on how many differently titled pages a subtree recurs, and those on many of
-them are templates.  Extraction then takes the article, leaves out what its element
-names, roles and class names mark as page furniture, and leaves out the templates.
+Every element subtree outside the main text's own prose is hashed, in two ways: with its
+texts, for blocks that a site repeats word by word, and as a skeleton of names, classes
+and ids without texts, for blocks that it fills anew on each page (menus, footers,
+adverts).  Spark counts on how many pages of a host, told apart by what they say, a
+subtree recurs, and those on ``min_pages`` or more are templates.  Extraction deletes
+templates first; what is left of page furniture, on hosts with few pages above all, goes
+by element names, roles and class names.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,7 +26,14 @@ from tidemark.llm.storage import materialize
 # Element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym audio b bdi bdo big button canvas cite code data del dfn em embed font i iframe img input ins kbd label map mark meter object output picture progress q rp rt ruby s samp select small span strike strong "
+    "sub sup svg textarea time tt u var video wbr".split()
+)
+#: Elements that are never shown as text.
+UNSEEN = frozenset("head script style title noscript template xmp noembed noframes iframe".split())
+#: Elements that say nothing about their part in the page.
+GENERIC = frozenset("div section ul ol dl table fieldset center span #root html body hgroup details".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th tr tbody thead tfoot figcaption caption summary address".split())
 FURNITURE = frozenset("nav footer aside form script style head title noscript template svg canvas iframe object embed button select option textarea input dialog menu audio video map xmp noembed noframes".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -48,10 +59,13 @@ class Page:
 
     def __init__(self, source: str):
         self.source = source
-        self.tag, self.parent, self.attrs, self.begin, self.end = ["#root"], [-1], [{}], [0], [len(source)]
-        #: (element, text); None is a break between blocks.
+        self.tag, self.parent, self.attrs = ["#root"], [-1], [{}]
+        #: How many texts come before each element.
+        self.place = [0]
+        #: (element, text), character references decoded; None is a break between blocks.
         self.texts: list[tuple[int, str | None]] = []
         self._parse()
+        self.texts = [(i, t and entities.unescape(t)) for i, t in self.texts]
         self.last = list(range(len(self.tag)))  # each element's last descendant
         for i in range(len(self.tag) - 1, 0, -1):
             self.last[self.parent[i]] = max(self.last[self.parent[i]], self.last[i])
@@ -69,10 +83,9 @@ class Page:
     def _parse(self) -> None:
         source, open_, at = self.source, [0], 0
 
-        def leave(to: int, where: int) -> None:
+        def leave(to: int) -> None:
             while len(open_) > to:
                 i = open_.pop()
-                self.end[i] = where
                 if self.tag[i] not in INLINE:
                     self.texts.append((self.parent[i], None))
 
@@ -89,7 +102,7 @@ class Page:
                 k = next((k for k in range(len(open_) - 1, 0, -1) if self.tag[open_[k]] == name), 0)
                 # an inline end tag closes nothing beyond its block
                 if k and not (name in INLINE and any(self.tag[j] not in INLINE for j in open_[k + 1 :])):
-                    leave(k, at)
+                    leave(k)
                 continue
             name = (m[2] or m[4] or "").lower()
             if not name:
@@ -101,7 +114,7 @@ class Page:
             if name in CLOSES_P:
                 for k in range(len(open_) - 1, 0, -1):
                     if self.tag[open_[k]] == "p":
-                        leave(k, m.start())
+                        leave(k)
                         break
                     if self.tag[open_[k]] not in INLINE:
                         break
@@ -113,16 +126,15 @@ class Page:
                         found = k
                     k -= 1
                 if found:
-                    leave(found, m.start())
+                    leave(found)
             i = len(self.tag)
             raw = (m[3] if m[2] else m[5]) or ""
             self.tag.append(name)
             self.parent.append(open_[-1])
             self.attrs.append({k.lower(): entities.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t") else {})
-            self.begin.append(m.start())
-            self.end.append(at)
             if name not in INLINE:
                 self.texts.append((open_[-1], None))
+            self.place.append(len(self.texts))
             if name in VOID or raw.endswith("/") and name not in RAW:
                 continue
             open_.append(i)
@@ -134,8 +146,8 @@ class Page:
                     close_at, at = close.start(), close.end()
                 if name == "title":
                     self.texts.append((i, source[m.end() : close_at]))
-                leave(len(open_) - 1, at)
-        leave(1, len(source))
+                leave(len(open_) - 1)
+        leave(1)
 
     def words(self, i: int) -> set[str]:
         """The words of the element's class and id, in lower case."""
@@ -195,99 +207,221 @@ class Page:
                 return [first]
         return []
 
-    def subtrees(self, gone: list[bool], main: list[int]) -> list[tuple[int, int]]:
-        """(element, hash) of the subtrees that may be templates.
+    def unseen(self) -> list[bool]:
+        """For every element, whether it is never shown."""
+        out = [False]
+        for i in range(1, len(self.tag)):
+            out.append(out[self.parent[i]] or self.tag[i] in UNSEEN)
+        return out
+
+    def sizes(self) -> list[int]:
+        """The number of characters shown in each element."""
+        unseen = self.unseen()
+        out = [0] * len(self.tag)
+        for i, t in self.texts:
+            if t and not unseen[i]:
+                out[i] += len(t.strip())
+        for i in range(len(self.tag) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
 
-        Never one that holds the main text; within it, containers only, no prose.
+    def bulk(self, sizes: list[int]) -> int:
+        """The innermost element that, like all around it, holds more than half of the page's text."""
+        i = 0
+        while True:
+            j, inner = i + 1, 0
+            while j <= self.last[i]:
+                if 2 * sizes[j] > sizes[0]:
+                    inner = j
+                    break
+                j = self.last[j] + 1
+            if not inner or self.tag[inner] in INLINE or self.tag[inner] in PROSE:
+                return i
+            i = inner
+
+    def hashes(self) -> tuple[list[bytes], list[bytes]]:
+        """Of each element's subtree, a digest with its texts and attributes, and one of its skeleton.
+
+        A skeleton has names, words of classes and ids, and roles; inline elements and
+        texts are left out, and a run of like children counts once.
         """
-        held, within = set(), [False] * len(self.tag)
-        for m in main:
+        flow: list[list] = [[] for _ in self.tag]
+        at = 1
+        opened = sorted(range(1, len(self.tag)), key=lambda i: self.place[i])
+        for k, (i, t) in enumerate(self.texts):
+            while at <= len(opened) and self.place[opened[at - 1]] <= k:
+                flow[self.parent[opened[at - 1]]].append(opened[at - 1])
+                at += 1
+            if t and t.strip():
+                flow[i].append(" ".join(t.split()))
+        for j in opened[at - 1 :]:
+            flow[self.parent[j]].append(j)
+        whole, bare = [b""] * len(self.tag), [b""] * len(self.tag)
+        for i in range(len(self.tag) - 1, -1, -1):
+            attrs = ";".join(f"{k}={v}" for k, v in sorted(self.attrs[i].items()))
+            own = xxhash.xxh3_64(f"{self.tag[i]} {attrs}".encode("utf-8", "surrogatepass"))
+            frame = xxhash.xxh3_64(f"{self.tag[i]} {' '.join(sorted(self.words(i)))} {self.attrs[i].get('role', '')}".encode("utf-8", "surrogatepass"))
+            last = b""
+            for x in flow[i]:
+                if isinstance(x, str):
+                    own.update(b"t" + xxhash.xxh3_64_digest(x.encode("utf-8", "surrogatepass")))
+                    continue
+                own.update(b"e" + whole[x])
+                if self.tag[x] not in INLINE and bare[x] != last:
+                    last = bare[x]
+                    frame.update(last)
+            whole[i], bare[i] = own.digest(), frame.digest()
+        return whole, bare
+
+    def subtrees(self, main: list[int], host: str) -> list[tuple[int, int]]:
+        """(element, hash for this host) of the subtrees that may be templates; an element may have two.
+
+        Never one that holds the main text, and none within it but containers, no prose,
+        with their texts.  Where nothing marks the main text, any element counts with its
+        texts, and the bulk of the page stands for the main text where skeletons are
+        concerned.  Skeletons count of elements with a name, class or id that tells them
+        from others.
+        """
+        sizes, unseen = self.sizes(), self.unseen()
+        held, within, bulk = [False] * len(self.tag), [False] * len(self.tag), main or [self.bulk(sizes)]
+        for m in bulk:
             i = m
             while i > 0:
-                held.add(i)
+                held[i] = True
                 i = self.parent[i]
             for i in range(m + 1, self.last[m] + 1):
                 within[i] = True
+        whole, bare = self.hashes()
+        salt = xxhash.xxh3_64_digest(host.encode("utf-8", "surrogatepass"))
         out = []
         for i in range(1, len(self.tag)):
             tag = self.tag[i]
-            if i in held or tag in INLINE or tag in VOID or tag in ("html", "head", "body") or (within[i] and tag in PROSE):
+            if unseen[i] or not sizes[i] or tag in INLINE or tag in VOID or tag in ("html", "body"):
                 continue
-            if gone[i] and gone[self.parent[i]]:
-                continue  # goes with the furniture that holds it
-            body = " ".join(self.source[self.begin[i] : self.end[i]].split())
-            out.append((i, xxhash.xxh3_64_intdigest(body.encode("utf-8", "surrogatepass")) - (1 << 63)))
+            if not main or not held[i] and not (within[i] and tag in PROSE):
+                out.append((i, xxhash.xxh3_64_intdigest(salt + b"w" + whole[i]) - (1 << 63)))
+            if not held[i] and not within[i] and tag not in PROSE and (tag not in GENERIC or self.words(i) or "role" in self.attrs[i]):
+                out.append((i, xxhash.xxh3_64_intdigest(salt + b"b" + bare[i]) - (1 << 63)))
         return out
 
-    def text(self, gone: list[bool], main: list[int], templates: set[int] | None = None) -> str:
+    def within(self, drop: set[int]) -> list[bool]:
+        """For every element, whether it or one that holds it is among ``drop``."""
+        out = [False]
+        for i in range(1, len(self.tag)):
+            out.append(out[self.parent[i]] or i in drop)
+        return out
+
+    def text(self, gone: list[bool], main: list[int], templates: set[int] | None = None, host: str = "") -> str:
         """Blocks of the main text, each with single spaces, joined by single spaces."""
-        if templates:
-            gone = list(gone)
-            drop = {i for i, h in self.subtrees(gone, main) if h in templates}
-            for i in range(1, len(self.tag)):
-                gone[i] = gone[i] or i in drop or gone[self.parent[i]]
+        return self.parts(gone, main, templates, host)[0]
+
+    def parts(self, gone: list[bool], main: list[int], templates: set[int] | None = None, host: str = "") -> tuple[str, int, int]:
+        """The main text, and the characters of text that templates took off the page, and then names and the choice of the main part."""
+        drop = self.within({i for i, h in self.subtrees(main, host) if h in templates} if templates else set())
+        unseen = self.unseen()
         ranges = [(m, self.last[m]) for m in main] or [(0, len(self.tag))]
-        kept = [t for i, t in self.texts if t is None or (not gone[i] and any(a <= i <= b for a, b in ranges))]
-        return " ".join(entities.unescape("".join(" " if t is None else t for t in kept)).split())
 
-    def title(self) -> str:
-        i = next((i for i, t in enumerate(self.tag) if t == "title"), None) or next((i for i, t in enumerate(self.tag) if t == "h1"), None)
-        return "" if i is None else " ".join("".join(t for k, t in self.texts if t and i <= k <= self.last[i]).split())
+        def joined(keep) -> str:
+            return " ".join("".join(" " if t is None else t for i, t in self.texts if (not gone[i] if t is None else keep(i))).split())
+
+        text = joined(lambda i: not drop[i] and not gone[i] and not unseen[i] and any(a <= i <= b for a, b in ranges))
+        left = len(joined(lambda i: not drop[i] and not unseen[i]))
+        return text, (len(joined(lambda i: not unseen[i])) if templates else left) - left, left - len(text)
+
+    def layout(self, names: bool = True) -> tuple[list[bool], list[int]]:
+        """What is furniture and what the main part, by names; with ``names`` off, nothing is either."""
+        gone = self.furniture() if names else [False] * len(self.tag)
+        return gone, self.main(gone) if names else []
 
 
 def _host(url: F.Column) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def _subtree_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for host, source in zip(batch["host"], batch["html"], strict=True):
-            page = Page(source)
-            gone = page.furniture()
-            main = page.main(gone)
-            key = xxhash.xxh3_64_intdigest((page.title() or page.text(gone, main)).encode("utf-8", "surrogatepass")) - (1 << 63)
-            rows.append((host, None, key))
-            rows += {(host, h, key) for _, h in page.subtrees(gone, main)}
-        # whole 64-bit numbers: beside a null, pandas would make them floats
-        yield pd.DataFrame({"host": [r[0] for r in rows], "subtree": pd.array([r[1] for r in rows], dtype="Int64"), "page": pd.array([r[2] for r in rows], dtype="Int64")})
+def _page_key(page: Page) -> int:
+    """What the page says, hashed: copies of a page count once, whatever their titles."""
+    gone, main = page.layout()
+    return xxhash.xxh3_64_intdigest(page.text(gone, main).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _subtree_rows(names: bool, keyed: bool):
+    """``host, subtree, page`` of every page; ``page`` is the row's own key if it has one, else what the page says."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hosts, subtrees, keys = [], [], []
+            for k, (host, source) in enumerate(zip(batch["host"], batch["html"], strict=True)):
+                page = Page(source)
+                found = {h for _, h in page.subtrees(page.layout(names)[1], host)}
+                hosts += [host] * len(found)
+                subtrees += found
+                keys += [batch["key"].iloc[k] if keyed else _page_key(page)] * len(found)
+            yield pd.DataFrame({"host": hosts, "subtree": np.array(subtrees, np.int64), "page": keys})
+
+    return run
+
 
+def _rows(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null and html <> ''")
 
-def site_templates(pages: DataFrame, min_pages: int = 5, min_share: float = 0.05, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host, subtree, n_pages``: subtrees on at least ``min_pages`` differently titled pages of a host, and ``min_share`` of those.
 
-    Copies of one page have one title, so that an article with many copies is no
-    template.  A host has at most (subtrees of a page) / ``min_share`` of them.
+def site_templates(pages: DataFrame, min_pages: int = 5, url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """``host, subtree, n_pages``: subtrees that recur on ``min_pages`` pages of a host or more, told apart by what they say.
+
+    Copies of one page are one page, so that an article with many copies is no template.
+    The number needed is the same on hosts of any size.
     """
-    rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")).where("html is not null and html <> ''")
     # distinct first, then counts: both are combined before the shuffle
-    seen = rows.mapInPandas(_subtree_rows, "host string, subtree long, page long").distinct()
-    counts = seen.groupBy("host", "subtree").agg(F.count("*").alias("n_pages")).where(F.col("subtree").isNull() | (F.col("n_pages") >= min_pages))
-    of_host = F.max(F.when(F.col("subtree").isNull(), F.col("n_pages")))
-    hosts = counts.groupBy("host").agg(of_host.alias("of_host"))
-    return counts.where("subtree is not null").join(hosts, "host").where(F.col("n_pages") >= min_share * F.col("of_host")).select("host", "subtree", "n_pages")
+    seen = _rows(pages, url_col, html_col).mapInPandas(_subtree_rows(names, False), "host string, subtree long, page long").distinct()
+    return seen.groupBy("host", "subtree").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+
+
+#: Templates up to which their hashes are sent along with the tasks, 8 bytes each.
+SEND_TEMPLATES = 2_000_000
+
 
+def extract_main_text(pages: DataFrame, min_pages: int = 5, url_col: str = "url", html_col: str = "html", names: bool = True) -> DataFrame:
+    """``pages`` without its html, with ``text, n_chars, template_chars, furniture_chars`` (these replace columns of that name).
 
-def extract_main_text(pages: DataFrame, min_pages: int = 5, min_share: float = 0.05, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``pages`` without its html, with ``text`` and ``n_chars`` (these replace columns of that name).
+    Templates are deleted first, and ``template_chars`` counts the characters that this
+    takes off the page; ``furniture_chars`` counts those that element names, roles and
+    class names take off what is left.  Without ``names`` templates alone are deleted.
 
     A page without an article, a main element or a class that says so gives the text of
-    its whole body, less furniture and templates.  Null and empty html give an empty
+    its whole body, less templates and furniture.  Null and empty html give an empty
     text.  A null or odd url puts the page under the host ``''``.  Broken markup is read
     as far as it goes: open elements end with the page.  Repeated rows stay.
-    """
-    found = materialize(site_templates(pages, min_pages, min_share, url_col, html_col), "templates")
-    lists = found.groupBy(F.col("host").alias("__host")).agg(F.array_sort(F.collect_set("subtree")).alias("__templates"))
 
-    @F.pandas_udf("string")
-    def read(sources: pd.Series, templates: pd.Series) -> pd.Series:
-        out = []
-        for source, found in zip(sources, templates, strict=True):
-            page = Page(source or "")
-            gone = page.furniture()
-            out.append(page.text(gone, page.main(gone), None if found is None else {int(x) for x in found}))
-        return pd.Series(out, dtype="object")
-
-    joined = pages.withColumn("__host", _host(F.col(url_col))).join(lists, "__host", "left")
-    out = joined.withColumn("text", read(F.col(html_col).cast("string"), "__templates"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).drop("__host", "__templates", html_col)
+    Hashes of templates are sent along with the tasks while they are few.  Beyond that
+    the subtrees of pages are joined with them, and each page with those of its own;
+    the result is the same.
+    """
+    found = materialize(site_templates(pages, min_pages, url_col, html_col, names), "templates")
+    n = found.count()
+    host, source = _host(F.col(url_col)), F.col(html_col).cast("string")
+    known = set()
+    if n <= SEND_TEMPLATES:
+        known = pages.sparkSession.sparkContext.broadcast(found.select("subtree").toPandas()["subtree"].to_numpy(np.int64)) if n else None
+        joined = pages.withColumn("__own", F.lit(None).cast("array<bigint>"))
+    else:
+        known = None
+        key = F.md5(F.concat_ws("\n", host, source).cast("binary"))
+        rows = pages.select(host.alias("host"), source.alias("html"), key.alias("key")).where("html is not null and html <> ''")
+        parts = rows.mapInPandas(_subtree_rows(names, True), "host string, subtree long, page string").select("subtree", "page").distinct()
+        own = parts.join(found.select("subtree"), "subtree", "left_semi").groupBy(F.col("page").alias("__key")).agg(F.collect_list("subtree").alias("__own"))
+        joined = pages.withColumn("__key", key).join(own, "__key", "left").drop("__key")
+
+    @F.pandas_udf("text string, template_chars long, furniture_chars long")
+    def read(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        every = frozenset(known.value.tolist()) if known is not None else frozenset()
+        for hosts, sources, owns in batches:
+            out = []
+            for host_, source_, own_ in zip(hosts, sources, owns, strict=True):
+                page = Page(source_ or "")
+                gone, main = page.layout(names)
+                out.append(page.parts(gone, main, every if own_ is None else {int(x) for x in own_}, host_))
+            yield pd.DataFrame(out, columns=["text", "template_chars", "furniture_chars"])
+
+    out = joined.withColumn("__read", read(host, source, F.col("__own")))
+    out = out.withColumns({c: F.col(f"__read.{c}") for c in ("text", "template_chars", "furniture_chars")})
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).drop("__own", "__read", *([] if html_col in ("text", "n_chars", "template_chars", "furniture_chars") else [html_col]))

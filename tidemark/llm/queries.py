@@ -28,7 +28,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+    return html.extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars", "template_chars", "furniture_chars")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
