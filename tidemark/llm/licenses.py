@@ -3,34 +3,52 @@
 A text is normalised (case, punctuation, copyright lines and equivalent spellings) and
 its digest is joined with those of known licences.  The whole document is looked up, for
 files that are a licence, and each of its lines, for licence notices.
+
+The whole text has two digests: with the paragraphs that state a copyright left out, for
+a licence with its owner's name, and with everything, for a licence that has such a line
+itself and was wrapped anew, so that the line begins elsewhere.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.storage import materialize
 
-# Equivalent spellings.
+#: Signs of comments at the beginning of a line.
+LEADER = r"(^|\n)[ \t#/*;!%>-]+"
+#: A paragraph that begins with the statement of a copyright, to the end of the line, and such lines after it.
+COPYRIGHT = r"(^|\n\n)\n*((copyright[ \t]*(\(c\)|©|:|[0-9]{4}|\[|<|\{)|(\(c\)|©)[ \t]*[0-9]{4}|portions copyright|all rights reserved)[^\n]*(\n+|\z))+"
+PUNCTUATION = r"[^\p{L}\p{N}]+"
+# Equivalent spellings, of words between single spaces.
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
+    ("sub license", "sublicense"),
+    ("non commercial", "noncommercial"),
     ("authoris", "authoriz"),
     ("organis", "organiz"),
     ("recognis", "recogniz"),
     ("copyright owner", "copyright holder"),
     ("merchantibility", "merchantability"),
-    ("http://", "https://"),
-    ("&", " and "),
+    ("non infringement", "noninfringement"),
+    ("http www", "https www"),
+    ("51 franklin street fifth floor boston ma 02110 1301 usa", "foundation address"),
+    ("51 franklin st fifth floor boston ma 02110 1301 usa", "foundation address"),
+    ("59 temple place suite 330 boston ma 02111 1307 usa", "foundation address"),
+    ("675 mass ave cambridge ma 02139 usa", "foundation address"),
+)
+# Places where licences name their owner.
+OWNERS = (
+    (r"neither the names? of .{1,120}? nor the names of its contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"software is provided by .{1,80}? as is and any express", "software is provided by the copyright holder as is and any express"),
+    (r"in no event shall .{1,80}? be liable for any", "in no event shall the copyright holder be liable for any"),
 )
-#: Fixed value: a line that states a copyright.
-COPYRIGHT = r"^[ \t#/*;-]*(copyright|\(c\)|©|all rights reserved).*$"
-PUNCTUATION = r"[^\p{L}\p{N}]+"
 
-# Texts and notices of well-known licences.
-KNOWN = (
+# Notices of well-known licences, a line each.
+NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -38,77 +56,105 @@ KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
-    (
-        "MIT",
-        "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
-        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
-        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
-        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
-        "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
-    ),
-    (
-        "ISC",
-        "ISC License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
-        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
-        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
-    (
-        "0BSD",
-        "BSD Zero Clause License\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\n"
-        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
-        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF "
-        "OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
-    ),
 )
+#: Fixed value: the line after which licences explain how to apply them.
+END = "END OF TERMS AND CONDITIONS"
+#: Words of a heading at most.
+HEADING = 12
+
 
+def known_texts() -> list[tuple[str, str]]:
+    """``(license_id, text)`` of the whole licences known, from the files beside this module, in the forms in use.
 
-def canonical_line(line: Column) -> Column:
-    """One line in canonical form: lower case, no copyright statement, one spelling, words by single spaces."""
-    out = F.regexp_replace(F.lower(line), COPYRIGHT, "")
+    Each as it is, without its heading, with "The" before it, and without what follows the
+    end of its terms.
+    """
+    out = []
+    for file in sorted((Path(__file__).parent / "known_licenses").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        forms = [text]
+        heading, _, rest = text.strip().partition("\n\n")
+        if "\n" not in heading and len(heading.split()) <= HEADING:
+            forms += [rest, f"The {text.strip()}", f"The {heading} ({file.stem})\n\n{rest}", f"({heading})\n\n{rest}"]
+        if END in text:
+            forms += [text[: text.index(END)], text[: text.index(END) + len(END)]]
+        out += [(file.stem, f) for f in forms]
+    return out
+
+
+def _spelled(text: Column) -> Column:
+    """Words by single spaces, one spelling, one name for owners."""
+    out = F.trim(F.regexp_replace(F.replace(text, F.lit("&"), F.lit(" and ")), PUNCTUATION, " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
+    for pattern, new in OWNERS:
+        out = F.regexp_replace(out, pattern, new)
+    return out
+
+
+def _plain(text: Column) -> Column:
+    """Lower case, one kind of line break, lines without signs of comments."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n?", "\n"), LEADER, "$1")
+
+
+def canonical(text: Column) -> Column:
+    """The whole text in canonical form, without the paragraphs that state a copyright."""
+    return _spelled(F.regexp_replace(_plain(text), COPYRIGHT, "$1"))
+
+
+def canonical_whole(text: Column) -> Column:
+    """The whole text in canonical form, with everything."""
+    return _spelled(_plain(text))
 
 
 def canonical_lines(text: Column) -> Column:
     """The canonical forms of a text's lines that have any; null for a null text."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n"), canonical_line), lambda x: x != "")
+    return F.filter(F.transform(F.split(_plain(text), "\n"), _spelled), lambda x: x != "")
+
+
+def _digest(canonical_text: Column) -> Column:
+    return F.when(canonical_text != "", F.md5(canonical_text.cast("binary")))
 
 
-def known_digests(spark: SparkSession, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    """``digest, license_id``: canonical digests of known licence texts; of equal ones the first id."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.select(F.md5(F.array_join(canonical_lines(F.col("text")), " ").cast("binary")).alias("digest"), "license_id").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``digest, license_id``: canonical digests of known licences and notices; of equal ones the first id."""
+    rows = spark.createDataFrame(known_texts() + list(NOTICES) if known is None else list(known), "license_id string, text string")
+    both = F.array(_digest(canonical(F.col("text"))), _digest(canonical_whole(F.col("text"))))
+    return rows.select(F.explode(both).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, digests: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, text_digest, license_id, notices, n_notices``: one row for each row of ``docs``.
 
-    ``text_digest`` is the canonical digest of the entire text, ``license_id`` the known
-    licence with that digest.  ``notices`` lists the licences of which a line is a known
+    ``text_digest`` is the canonical digest of the entire text without statements of a
+    copyright, ``license_id`` the known licence with that digest, else the one with the
+    digest of the text with them.  ``notices`` lists the licences of which a line is a known
     notice, sorted and joined by commas, and ``n_notices`` counts such lines.
 
     Null texts, and texts of punctuation only, have a null digest and no licence.  Rows
     that repeat an id are each judged by their own text.  An empty table gives no rows.
+    Other columns are ignored.
     """
     digests = known_digests(docs.sparkSession) if digests is None else digests
-    lines = docs.select(F.col(id_col), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
-    rows = lines.select(id_col, F.when(F.size("lines") > 0, F.md5(F.array_join("lines", " ").cast("binary"))).alias("text_digest"), F.transform("lines", lambda x: F.md5(x.cast("binary"))).alias("line_digests"))
+    text = F.col(text_col).cast("string")
     # written once: the canonical forms are the costly part
+    rows = docs.select(F.col(id_col), _digest(canonical(text)).alias("text_digest"), _digest(canonical_whole(text)).alias("whole_digest"), F.transform(canonical_lines(text), lambda x: F.md5(x.cast("binary"))).alias("line_digests"))
     rows = materialize(rows, "license-lines")
-    lines = rows.select("text_digest", F.posexplode("line_digests").alias("place", "digest"))
+    lines = rows.select("whole_digest", F.posexplode("line_digests").alias("place", "digest"))
     # lines at one place of texts of one digest are counted once, so that copies do not add up
-    matched = lines.join(digests, "digest").groupBy("text_digest", "place").agg(F.min("license_id").alias("license_id"))
-    counted = matched.groupBy("text_digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices"))
-    whole = digests.select(F.col("digest").alias("text_digest"), "license_id")
-    out = rows.select(id_col, "text_digest").join(counted, "text_digest", "left").join(whole, "text_digest", "left")
-    return out.select(id_col, "text_digest", "license_id", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
+    matched = lines.join(digests, "digest").groupBy("whole_digest", "place").agg(F.min("license_id").alias("license_id"))
+    counted = matched.groupBy("whole_digest").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"), F.count("*").alias("n_notices"))
+    known = [digests.select(F.col("digest").alias(c), F.col("license_id").alias(n)) for c, n in (("text_digest", "by_text"), ("whole_digest", "by_whole"))]
+    out = rows.drop("line_digests").join(counted, "whole_digest", "left").join(known[0], "text_digest", "left").join(known[1], "whole_digest", "left")
+    return out.select(id_col, "text_digest", F.coalesce("by_text", "by_whole").alias("license_id"), F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))

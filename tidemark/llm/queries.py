@@ -122,21 +122,28 @@ def _op3() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
 
-    line = f"regexp_replace(lower(x), {quoted(licenses.COPYRIGHT)}, '')"
-    for old, new in licenses.SPELLINGS:
-        line = f"replace({line}, {quoted(old)}, {quoted(new)})"
-    line = f"trim(regexp_replace({line}, {quoted(licenses.PUNCTUATION)}, ' ', 'g'))"
-    lines = rf"list_filter(list_transform(string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)), lambda x: {line}), lambda y: y <> '')"
-    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.KNOWN)
+    def spelled(x: str) -> str:
+        x = f"trim(regexp_replace(replace({x}, '&', ' and '), {quoted(licenses.PUNCTUATION)}, ' ', 'g'))"
+        for old, new in licenses.SPELLINGS:
+            x = f"replace({x}, {quoted(old)}, {quoted(new)})"
+        for pattern, new in licenses.OWNERS:
+            x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(new)}, 'g')"
+        return x
+
+    plain = rf"regexp_replace(regexp_replace(lower(text), '\r\n?', chr(10), 'g'), {quoted(licenses.LEADER)}, '\1', 'g')"
+    forms = f"""{spelled(f"regexp_replace(p, {quoted(licenses.COPYRIGHT)}, '{chr(92)}1', 'g')")} AS bare, {spelled('p')} AS whole"""
+    known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.known_texts() + list(licenses.NOTICES))
     return f"""
 WITH raw(license_id, text) AS (VALUES {known}),
-k AS (SELECT md5(array_to_string({lines}, ' ')) AS digest, min(license_id) AS license_id FROM raw GROUP BY 1),
-d AS (SELECT doc_id, {lines} AS l FROM documents),
-n AS (SELECT row_number() OVER () AS r, doc_id, l, CASE WHEN len(l) > 0 THEN md5(array_to_string(l, ' ')) END AS text_digest FROM d),
+kf AS (SELECT license_id, {forms} FROM (SELECT license_id, {plain} AS p FROM raw)),
+k AS (SELECT md5(x) AS digest, min(license_id) AS license_id FROM (SELECT license_id, bare AS x FROM kf UNION ALL SELECT license_id, whole FROM kf) WHERE x <> '' GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {plain} AS p FROM documents),
+f AS (SELECT r, doc_id, p, {forms} FROM d),
+n AS (SELECT r, doc_id, list_filter(list_transform(string_split(p, chr(10)), lambda x: {spelled('x')}), lambda y: y <> '') AS l, CASE WHEN bare <> '' THEN md5(bare) END AS text_digest, CASE WHEN whole <> '' THEN md5(whole) END AS whole_digest FROM f),
 e AS (SELECT r, md5(unnest(l)) AS digest FROM n),
 c AS (SELECT r, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices, count(*) AS n_notices FROM e JOIN k USING (digest) GROUP BY r)
-SELECT n.doc_id, n.text_digest, k.license_id, coalesce(c.notices, '') AS notices, CAST(coalesce(c.n_notices, 0) AS BIGINT) AS n_notices
-FROM n LEFT JOIN c ON c.r = n.r LEFT JOIN k ON k.digest = n.text_digest
+SELECT n.doc_id, n.text_digest, coalesce(a.license_id, b.license_id) AS license_id, coalesce(c.notices, '') AS notices, CAST(coalesce(c.n_notices, 0) AS BIGINT) AS n_notices
+FROM n LEFT JOIN c ON c.r = n.r LEFT JOIN k a ON a.digest = n.text_digest LEFT JOIN k b ON b.digest = n.whole_digest
 """
 
 
