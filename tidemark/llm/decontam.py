@@ -3,9 +3,10 @@
 Text becomes a sequence of canonical tokens: words in lower case, with numbers, names
 and units replaced by typed placeholders whose values are kept aside as slots.  Windows
 of tokens of benchmark items and documents are hash-joined; of an item's windows found
-in a document at one alignment, the slots must be filled consistently (equal values of
-the item by equal values of the document), which tells a question with new parameters
-from a chance likeness.  Windows of placeholders mostly are joined with their values.
+in a document at one alignment, the slots must be filled consistently (equal names and
+units of the item by equal ones of the document), which tells a question with new
+parameters from a chance likeness.  Numbers that are equal in an item may be so by chance
+and need not stay equal.  Windows of placeholders mostly are joined with their values.
 """
 
 from __future__ import annotations
@@ -14,15 +15,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import U64, mix64, window_multipliers
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import by_keys, materialize
 
 WINDOW = 8
-#: Windows of the benchmark up to which their hashes are sent along with the tasks, 8 bytes each.
-FILTER_WINDOWS = 4_000_000
+#: Bits of the largest filter of the benchmark's windows: 128 MB, sent along with the tasks.
+FILTER_BITS = 1 << 30
+#: Hashes that the driver holds at once while it sets the filter's bits.
+FILTER_STEP = 4_000_000
+#: Characters of a text that are read at a time, or more where they have no white space.
 CHUNK = 1 << 19
 
 # Words read as numbers, and as units after a number.
@@ -39,6 +44,8 @@ NEVER_NAMES = (
     "both one once let find calculate suppose given assume consider ask write solve show explain compute while because since until although"
 )
 WORD, NUMBER, NAME, UNIT = 0, 1, 2, 3
+#: Line break and marks after which a sentence begins.
+ENDS = (10, 33, 46, 58, 63, 0x3002, 0xBF, 0xA1)
 
 
 def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -62,8 +69,11 @@ class Canonical:
     def _hashes(self, words: str) -> np.ndarray:
         return np.sort(np.array([self._raw(w)[0][0] for w in words.split()], np.uint64))
 
-    def _raw(self, text: str) -> tuple[np.ndarray, ...]:
-        """Hash, class (1 letters, 2 digits), first and last place and case of each run of letters or digits."""
+    def _raw(self, text: str, fresh: bool = True) -> tuple:
+        """Of each run of letters or digits its hash, class (1 letters, 2 digits), case and whether it opens a sentence.
+
+        ``fresh`` says whether a run at the beginning would; last comes whether one after the end would.
+        """
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = np.where(codes > 0xFFFF, 0xFFFF, codes)
         kind = self.kind[codes]
@@ -75,7 +85,7 @@ class Canonical:
         change = np.flatnonzero(np.diff(kind, prepend=255))
         first = change[kind[change] > 0]
         if not len(first):
-            return (np.empty(0, np.uint64),) + (np.empty(0, np.int64),) * 5
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool), fresh or bool(np.isin(codes, ENDS).any())
         bounds = np.append(change, len(codes))
         last = bounds[np.searchsorted(bounds, first, "right")]
         length = last - first
@@ -85,23 +95,30 @@ class Canonical:
         h = mix64(np.add.reduceat(values, np.cumsum(length) - length) + length.astype(np.uint64))
         second = np.minimum(first + 1, len(codes) - 1)
         title = self.upper[codes[first]] & (length > 1) & ~self.upper[codes[second]]
-        ends = np.cumsum(np.isin(codes, (10, 33, 46, 58, 63, 0x3002, 0xBF, 0xA1)))
-        opens = np.ones(len(first), bool)
+        ends = np.cumsum(np.isin(codes, ENDS))
+        opens = np.empty(len(first), bool)
+        opens[0] = fresh or ends[first[0]] > 0
         opens[1:] = ends[first[1:]] > ends[last[:-1] - 1]
-        return h, kind[first].astype(np.int64), first, last, title, opens
+        return h, kind[first].astype(np.int64), title, opens, bool(ends[-1] > ends[last[-1] - 1])
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Canonical hash, kind and value of each token of the whole text."""
+        """Canonical hash, kind and value of each token of the whole text.
+
+        Long texts are read in pieces, with the same result as in one.
+        """
         empty = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
         if not text:
             return empty
-        parts = [self._raw(p) for p in _pieces(text)]
-        h, cls, _, _, title, opens = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        parts, fresh = [], True
+        for piece in _pieces(text):
+            *part, fresh = self._raw(piece, fresh)
+            parts.append(part)
+        h, cls, title, opens = (np.concatenate([p[k] for p in parts]) for k in range(4))
         if not len(h):
             return empty
         kind = np.full(len(h), WORD)
         kind[(cls == 2) | _among(h, self.numbers)] = NUMBER
-        kind[(cls == 1) & title.astype(bool) & ~opens.astype(bool) & (kind == WORD) & ~_among(h, self.plain)] = NAME
+        kind[(cls == 1) & title & ~opens & (kind == WORD) & ~_among(h, self.plain)] = NAME
         after = np.zeros(len(h), bool)
         after[1:] = kind[:-1] == NUMBER
         kind[after & _among(h, self.units)] = UNIT
@@ -137,32 +154,59 @@ class Canonical:
 
 
 def _pieces(text: str) -> Iterator[str]:
-    """The text in pieces of bounded size, cut at white space where there is any."""
+    """The text in pieces, each cut behind a white space character, so that no run of letters or digits is cut."""
     at = 0
     while at < len(text):
         to = min(len(text), at + CHUNK)
-        if to < len(text):
-            while to > at + CHUNK // 2 and not text[to - 1].isspace():
-                to -= 1
+        while to < len(text) and to > at and not text[to - 1].isspace():
+            to -= 1
+        if to == at:  # no white space in the piece: it goes on to the next
+            to = at + CHUNK
+            while to < len(text) and not text[to - 1].isspace():
+                to += 1
         yield text[at:to]
         at = to
 
 
-ROWS = "id long, window long, place long, slots array<long>, at array<int>, templates long, windows long, size int, template boolean"
+def _filter(windows: DataFrame) -> np.ndarray:
+    """A Bloom filter, two bits a hash, of the distinct ``window`` values; 16 bits of room for each while the largest size allows it."""
+    n = windows.count()
+    room = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * n - 1).bit_length()))
+    bits = np.zeros(room // 8, np.uint8)
+    steps = -(-n // FILTER_STEP)
+    for k in range(steps):
+        part = windows.where(F.pmod("window", F.lit(steps)) == k).toPandas()["window"].to_numpy(np.int64).astype(np.uint64)
+        for h in (part, mix64(part)):
+            at = (h & U64(room - 1)).astype(np.int64)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return bits
+
+
+def _may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter may hold."""
+    out = np.ones(len(h), bool)
+    for x in (h, mix64(h)):
+        at = (x & U64(8 * len(bits) - 1)).astype(np.int64)
+        out &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
-def _window_rows(size: int, sizes: list[int], known: np.ndarray | None, items: bool):
-    """Windows as rows: all of an item's, of its own length if that is shorter; a document's, if they may be known."""
+ROWS = "id long, key long, window long, place long, slots array<long>, kinds array<int>, at array<int>, templates long, windows long, size int, template boolean"
+
+
+def _window_rows(size: int, sizes: list[int], known, items: bool):
+    """Windows as rows: all of an item's, of its own length if that is shorter; a document's, if the filter may hold them.
+
+    ``key`` is a hash of the text: copies of a text have the same windows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Canonical()
-        bits = None
-        if known is not None:
-            bits = np.zeros(1 << max(16, int(len(known)).bit_length() + 4), bool)
-            bits[(known & U64(len(bits) - 1)).astype(np.int64)] = True
+        bits = None if known is None else known.value
         for batch in batches:
             rows = []
             for id_, text in zip(batch["id"], batch["text"], strict=True):
+                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
                 use = sizes
                 if items:
                     n = len(reader.tokens(text)[0])
@@ -171,28 +215,27 @@ def _window_rows(size: int, sizes: list[int], known: np.ndarray | None, items: b
                     h, place, templates, kind, value = reader.windows(text, s, (s + 1) // 2)
                     total = len(h)
                     if bits is not None and len(h):
-                        maybe = np.flatnonzero(bits[(h & U64(len(bits) - 1)).astype(np.int64)])
-                        found = known[np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)] == h[maybe]
-                        maybe = maybe[found]
+                        maybe = _may_hold(bits, h)
                         h, place = h[maybe], place[maybe]
                     for w, p in zip(h.astype(np.int64), place, strict=True):
                         at = np.flatnonzero(kind[p : p + s] != WORD) + p
-                        rows.append((id_, w, p, value[at].astype(np.int64), at.astype(np.int32), templates, total, s, s - len(at) >= (s + 1) // 2))
+                        rows.append((id_, key, w, p, value[at].astype(np.int64), kind[at].astype(np.int32), at.astype(np.int32), templates, total, s, s - len(at) >= (s + 1) // 2))
             if rows:
-                yield pd.DataFrame(rows, columns=["id", "window", "place", "slots", "at", "templates", "windows", "size", "template"])
+                yield pd.DataFrame(rows, columns=[f.split(" ")[0] for f in ROWS.split(", ")])
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, coverage: float = 0.4) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.4) -> DataFrame:
     """``id_col, item_id, windows_found, coverage, kind``: documents that hold a benchmark item, or one with other parameters.
 
     A pair is reported if ``coverage`` of the item's windows or more are in the document,
-    in alignments whose slots are filled consistently: where a value of the item has
-    several in the document, the windows with any but the commonest (of equally common
-    ones the item's own, or none) are not counted.  ``kind`` is ``exact`` if every window
-    found is in an alignment where each slot has the item's own value, else
-    ``reparameterised``.  Items shorter than a window count as one window of their length.
+    in alignments whose slots are filled consistently: where a name or unit of the item has
+    several values in the document, the windows with any but the commonest are not counted
+    (of equally common ones the item's own, else the one that comes first, counts).
+    ``kind`` is ``exact`` if every window found is in an alignment where each slot has the
+    item's own value, else ``reparameterised``.  Items shorter than a window count as one
+    window of their length.
 
     Windows with placeholders for more than half of their tokens count where their values
     are equal too.  New values leave none of them, so that the coverage of an item's other
@@ -202,47 +245,67 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A name is a capitalised word within a sentence that is not a function word.
 
     Null and empty texts and items are in no pair.  Rows that repeat an id are read
-    apart and reported once.  A null id is reported as null.  An empty table on either
-    side gives an empty result.
+    apart, each by its own text; a pair of id and item is reported once, with the most
+    windows found.  A null id is reported as null.  An empty table on either side gives
+    an empty result.  Other columns are ignored.
+
+    Documents are read once, and only windows that a filter of the benchmark's may hold
+    leave the workers.  A text can hold ``coverage`` of an item only if it holds one of
+    the item's rarer windows, so that texts and items meet by those; windows that many
+    items or documents share are looked at for such pairs only.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("text is not null and text <> ''")
-    item_rows = materialize(items.mapInPandas(_window_rows(window, [window], None, True), ROWS), "items")
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and text <> ''")
+    every_item = materialize(items.mapInPandas(_window_rows(window, [window], None, True), ROWS), "items")
+    # items and documents are known by their texts until the end, so that copies are judged once
+    named = every_item.select(F.col("id").alias(item_col), "key").distinct()
+    item_rows = every_item.drop("id").dropDuplicates(["key", "place"])
     sizes = sorted(r[0] for r in item_rows.select("size").distinct().collect()) or [window]
-    # the benchmark's window hashes go along with the tasks only while they are few; beyond, every window is shuffled
-    known = None
-    if item_rows.count() <= FILTER_WINDOWS:
-        got = item_rows.select("window").distinct().toPandas()["window"].to_numpy()
-        known = np.sort(got.astype(np.int64).astype(np.uint64)) if len(got) else None
+    known = docs.sparkSession.sparkContext.broadcast(_filter(item_rows.select("window").distinct()))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''")
-    found = rows.mapInPandas(_window_rows(window, sizes, known, False), ROWS).select("id", "window", "place", "slots")
-    found = materialize(found, "windows")
-    left = found.select("id", "window", F.col("place").alias("d_place"), F.col("slots").alias("d_slots"))
-    right = item_rows.select(F.col("id").alias(item_col), "window", F.col("place").alias("i_place"), F.col("slots").alias("i_slots"), "at", "templates", "windows", "template")
-    pairs = left.join(right, "window").where(F.size("d_slots") == F.size("i_slots")).withColumn("shift", F.col("d_place") - F.col("i_place"))
-    fills = F.transform(F.arrays_zip("i_slots", "d_slots", "at"), lambda s: F.struct(s["i_slots"].alias("i"), s["d_slots"].alias("d"), s["at"].alias("at")))
+    every = materialize(rows.mapInPandas(_window_rows(window, sizes, known, False), ROWS).select("id", "key", "window", "place", "slots"), "windows")
+    holders = every.select("id", "key").distinct()
+    found = materialize(every.drop("id").dropDuplicates(["key", "window", "place"]), "text-windows")
+
+    # of an item's windows, all but the commonest, of which there are too few to be a pair
+    common = found.groupBy("window").agg(F.count("*").alias("n"))
+    of_item = Window.partitionBy("key").orderBy(F.coalesce("n", F.lit(0)).desc(), "place")
+    needed = F.greatest(F.ceil(F.lit(coverage) * F.when(F.col("templates") > 0, F.col("templates")).otherwise(F.col("windows")) - 1e-9), F.lit(1))
+    rare = item_rows.join(common, "window", "left").withColumn("r", F.row_number().over(of_item)).where(F.col("r") >= needed)
+    meet = found.select(F.col("key").alias("text_key"), "window").join(rare.select("key", "window"), "window").select("text_key", "key").distinct()
+    wanted = meet.join(item_rows, "key").select("text_key", "key", "window", F.col("place").alias("i_place"), F.col("slots").alias("i_slots"), "kinds", "at", "templates", "windows", "template")
+    left = found.select(F.col("key").alias("text_key"), "window", F.col("place").alias("d_place"), F.col("slots").alias("d_slots"))
+    pairs = wanted.join(left, ["text_key", "window"]).where(F.size("d_slots") == F.size("i_slots")).withColumn("shift", F.col("d_place") - F.col("i_place"))
+
+    fills = F.transform(F.arrays_zip("i_slots", "d_slots", "at", "kinds"), lambda s: F.struct(s["i_slots"].alias("i"), s["d_slots"].alias("d"), s["at"].alias("at"), s["kinds"].alias("k")))
     window_found = F.struct(F.col("i_place").alias("place"), F.col("template").alias("template"), fills.alias("fills"))
-    aligned = pairs.groupBy("id", item_col, "shift", "templates", "windows").agg(F.collect_set(window_found).alias("found"))
+    pair = ["text_key", "key", "templates", "windows"]
+    aligned = pairs.groupBy(*pair, "shift").agg(F.collect_set(window_found).alias("found"))
     aligned = aligned.withColumn("slots", F.array_distinct(F.flatten("found.fills")))
-    aligned = aligned.withColumn("fills", F.array_distinct(F.transform("slots", lambda s: F.struct(s["i"].alias("i"), s["d"].alias("d")))))
-    aligned = aligned.withColumn("same", F.forall("fills", lambda s: s["i"] == s["d"])).withColumn("found", _consistent())
-    seen = aligned.select("id", item_col, "templates", "windows", "same", F.explode("found").alias("w")).groupBy("id", item_col, "templates", "windows", F.col("w.place").alias("place")).agg(F.bool_or("w.template").alias("template"), F.bool_or("same").alias("same"))
-    total = seen.groupBy("id", item_col, "templates", "windows").agg(F.count("*").alias("windows_found"), F.count_if("template").alias("templates_found"), F.bool_and("same").alias("same"))
+    aligned = aligned.withColumn("same", F.forall("slots", lambda s: s["i"] == s["d"])).withColumn("slots", F.filter("slots", lambda s: s["k"] != NUMBER))
+    aligned = aligned.withColumn("fills", F.array_distinct(F.transform("slots", lambda s: F.struct(s["i"].alias("i"), s["d"].alias("d"))))).withColumn("found", _consistent())
+    seen = aligned.select(*pair, "same", F.explode("found").alias("w")).groupBy(*pair, F.col("w.place").alias("place")).agg(F.bool_or("w.template").alias("template"), F.bool_or("same").alias("same"))
+    total = seen.groupBy(*pair).agg(F.count("*").alias("windows_found"), F.count_if("template").alias("templates_found"), F.bool_and("same").alias("same"))
     share = F.greatest(F.col("windows_found") / F.col("windows"), F.try_divide(F.col("templates_found"), F.col("templates")))
     total = total.withColumn("coverage", share).where(F.col("coverage") >= coverage)
-    return total.groupBy(F.col("id").alias(id_col), item_col).agg(F.max("windows_found").alias("windows_found"), F.max("coverage").alias("coverage"), F.when(F.bool_or("same"), "exact").otherwise("reparameterised").alias("kind"))
+    of_ids = total.join(named, "key").join(holders.select(F.col("id").alias("__id"), F.col("key").alias("text_key")), "text_key")
+    return of_ids.groupBy(F.col("__id").alias(id_col), item_col).agg(F.max("windows_found").alias("windows_found"), F.max("coverage").alias("coverage"), F.when(F.bool_or("same"), "exact").otherwise("reparameterised").alias("kind"))
 
 
 def _consistent() -> F.Column:
     """The windows ``found`` at an alignment, without those where a slot has a rarer value than elsewhere."""
-    counted = F.transform("fills", lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.size(F.filter("slots", lambda s: (s["i"] == p["i"]) & (s["d"] == p["d"]))).alias("n")))
-    wins = lambda p, q: (p["n"] > q["n"]) | ((p["n"] == q["n"]) & (p["d"] == p["i"]))
+
+    def of(p):
+        return F.filter("slots", lambda s: (s["i"] == p["i"]) & (s["d"] == p["d"]))
+
+    counted = F.transform("fills", lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d"), F.size(of(p)).alias("n"), F.array_min(F.transform(of(p), lambda s: s["at"])).alias("first")))
+    wins = lambda p, q: (p["n"] > q["n"]) | ((p["n"] == q["n"]) & ((p["d"] == p["i"]) | ((q["d"] != q["i"]) & (p["first"] < q["first"]))))
     # one expression for the counts, bound once
     odd = F.flatten(F.transform(F.array(counted), lambda c: F.filter(c, lambda p: F.exists(c, lambda q: (q["i"] == p["i"]) & (q["d"] != p["d"]) & ~wins(p, q)))))
     kept = F.flatten(F.transform(F.array(odd), lambda o: F.filter("found", lambda w: ~F.exists(w["fills"], lambda f: F.exists(o, lambda b: (b["i"] == f["i"]) & (b["d"] == f["d"]))))))
     return F.when(F.size(F.array_distinct("fills.i")) == F.size("fills"), F.col("found")).otherwise(kept)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, coverage: float = 0.4) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.4) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item.
 
     Judged by text, so that rows without an id, or with one that repeats, are judged
@@ -250,5 +313,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """
     keyed = docs.withColumn("__text", F.md5(F.col(text_col).cast("string").cast("binary")))
     numbered = keyed.select(F.xxhash64("__text").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = contaminated(numbered, benchmark, window=window, coverage=coverage).select("doc_id").distinct()
-    return keyed.withColumn("__key", F.when(F.col("__text").isNotNull(), F.xxhash64("__text"))).join(gone.withColumnRenamed("doc_id", "__key"), "__key", "left_anti").drop("__key", "__text")
+    found = contaminated(numbered, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, coverage=coverage)
+    gone = materialize(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    return by_keys(keyed.withColumn("__key", F.when(F.col("__text").isNotNull(), F.xxhash64("__text"))), gone, "__key", "left_anti").select(*docs.columns)
