@@ -11,13 +11,15 @@ tables of ``2 k`` minima from ``2 t k`` of them, about the square root.
 Two sets of similarity ``s`` miss every table with a probability of at most
 ``2 (1 - s^k)^t``; ``t`` is chosen so that this is under ``miss`` at the threshold.
 
-Candidates are confirmed on full sets, in two passes that never emit the pairs of
-a group:
+Candidates are confirmed on full sets, in two passes, neither of which emits the pairs
+of a group:
 
 1. each text is compared with the least id of each of its buckets;
-2. buckets whose texts are still in more than one component are compared block by
-   block inside Python workers, where texts that are already connected are
-   skipped; only confirmed links leave the worker.
+2. buckets whose texts are still in more than one component are compared block by block
+   inside Python workers, on full sets, by an inverted index.  A link leaves the worker
+   only if it joins two components that no earlier link of the block joins, so that a
+   block of n texts gives at most n - 1 links.  Texts of the largest component of a block
+   are never looked up themselves.
 """
 
 from __future__ import annotations
@@ -30,14 +32,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm.components import connected_components
 from tidemark.llm.hashing import U64, mix64, shingle_set
-from tidemark.llm.storage import by_keys, materialize
+from tidemark.llm.storage import by_keys, materialize, scratch
 
 TUPLE = 4
+#: Texts, and hashes of shingles (8 bytes each), of one block of the second pass at most, but for a text that has more by itself.
 BLOCK = 1024
+BLOCK_HASHES = 1_000_000
 CHUNK = 8192
 GATHER = 1 << 20
 
@@ -90,11 +93,11 @@ def _find(parent: list[int], x: int) -> int:
 
 
 def links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links between texts of different components, enough to connect what is connected.
+    """Links between texts of different components: a spanning set of those there are, each confirmed on full sets.
 
-    Exact but for hash collisions, which only add pairs to be confirmed: overlaps
-    come from an inverted index over the sets, in pieces of bounded size.  ``left``
-    marks the rows of the first of two blocks; then only pairs across are of interest.
+    Overlaps come from an inverted index over the sets, in pieces of bounded size.
+    ``left`` marks the rows of the first of two blocks; then only pairs across are of
+    interest.  Pairs with the largest component are seen from the other side.
     """
     sizes = np.array([len(s) for s in sets])
     tokens = np.concatenate(sets)
@@ -105,12 +108,11 @@ def links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], per
     by_comp: dict[int, int] = {}
     for i, c in enumerate(comps):
         parent[i] = by_comp.setdefault(c, i)
-    counts = pd.Series(comps).value_counts()
-    largest = counts.index[0]
+    largest = pd.Series(comps).value_counts().index[0]
     found = []
     for x in range(len(ids)):
-        if comps[x] == largest and (left is None or len(counts) == 1):
-            continue  # pairs with the largest component are seen from the other side
+        if comps[x] == largest:
+            continue
         begin, end = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
         overlap = np.zeros(len(ids), np.int64)
         at = 0
@@ -122,14 +124,14 @@ def links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], per
             idx = np.arange(int(n.sum())) + np.repeat(begin[at:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
             overlap += np.bincount(owner[idx], minlength=len(ids))
             at = to
-        near = 100 * (overlap + 1) >= percent * (sizes + sizes[x] - overlap - 1)
+        near = 100 * overlap >= percent * (sizes + sizes[x] - overlap)
         if left is not None:
             near &= left != left[x]
         for y in np.flatnonzero(near & (comps != comps[x])):
-            # every such pair is passed on: it is confirmed on full hashes later
-            found.append((int(ids[x]), int(ids[y])))
-            if _find(parent, x) != _find(parent, int(y)):
-                parent[_find(parent, x)] = _find(parent, int(y))
+            a, b = _find(parent, x), _find(parent, int(y))
+            if a != b:
+                parent[a] = b
+                found.append((int(ids[x]), int(ids[y])))
     return found
 
 
@@ -137,7 +139,7 @@ def _block_links(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ids, comps, sides, sets in zip(batch["ids"], batch["comps"], batch["sides"], batch["sets"], strict=True):
-                arrays = [np.frombuffer(s, np.uint32) for s in sets]
+                arrays = [np.asarray(s, np.int64) for s in sets]
                 sides = np.asarray(sides)
                 left = sides if len(set(sides.tolist())) > 1 else None
                 pairs = links_within(np.asarray(ids), np.asarray(comps), arrays, percent, left)
@@ -173,7 +175,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     t = tuples_needed(percent, miss)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(rows.mapInPandas(_signatures(shingle_words, t), "id long, n long, digest string, first array<long>, second array<long>"), "signatures")
+    with scratch(docs.sparkSession):
+        final = _components(rows, signed, shingle_words, percent)
+    out = signed.select("id", "n").join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+
 
+def _components(rows: DataFrame, signed: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """``id, component_id`` of the texts that are linked with another."""
     # equal sets are one candidate, and linked
     full = signed.where("id is not null and digest is not null")
     least = full.groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
@@ -205,29 +214,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     loose = materialize(placed.join(mixed, "key", "left_semi").select("id", "comp").distinct(), "loose")
-    # pairs of one bucket share a tuple of the first collection: compare by those, fewer, groups
-    tuples = live.join(loose, "id").select("id", "comp", F.explode("first").alias("x")).select("id", "comp", F.xxhash64("x.at", "x.h").alias("cell"))
-    totals = tuples.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("id")).alias("who")).where("c0 < c1")
-    # of cells with the same members one is enough
-    totals = totals.groupBy("who", "size").agg(F.min("cell").alias("cell")).select("cell", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    placed = tuples.join(totals, "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # pairs of one bucket share a tuple of the first collection: compare by those, fewer, groups, but by buckets where such a group is large
+    sized = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("n"))
+    near = live.join(loose, "id").join(sized, "id")
+    tuples = near.select("id", "comp", "n", "second", F.explode("first").alias("x")).withColumn("cell", F.xxhash64("x.at", "x.h"))
+    cells = _groups(tuples.select("id", "comp", "n", "cell").distinct())
+    large = materialize(cells.where("blocks > 1").select("cell").distinct(), "large-cells")
+    finer = tuples.join(large, "cell", "left_semi").select("id", "comp", "n", "x", F.explode("second").alias("y")).select("id", "comp", "n", F.xxhash64("x.at", "y.at", "x.h", "y.h").alias("cell")).distinct()
+    placed = cells.join(large, "cell", "left_anti").unionByName(_groups(finer))
+    # of groups with the same members one is enough
+    one = placed.groupBy("cell").agg(F.bit_xor(F.xxhash64("id")).alias("xor"), F.sum(F.xxhash64("id", F.lit(1)) % 1_000_003).alias("sum"), F.count("*").alias("size")).groupBy("xor", "sum", "size").agg(F.min("cell").alias("cell"))
+    placed = placed.join(one.select("cell"), "cell", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     units = placed.select("id", "comp", "cell", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
     units = units.select("id", "comp", "cell", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    small = sets.select("id", _short("shingles").alias("short"))
-    grouped = units.join(small, "id").groupBy("cell", "lo", "hi").agg(F.collect_list(F.struct("id", "comp", "block", "short")).alias("m"))
-    grouped = grouped.select(F.col("m.id").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.block").alias("sides"), F.col("m.short").alias("sets"))
+    grouped = units.join(sets, "id").groupBy("cell", "lo", "hi").agg(F.collect_list(F.struct("id", "comp", "block", "shingles")).alias("m"))
+    grouped = grouped.select(F.col("m.id").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.block").alias("sides"), F.col("m.shingles").alias("sets"))
     late = grouped.mapInPandas(_block_links(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = materialize(_confirmed(late, sets, percent), "late-links")
+    second = materialize(late, "late-links")
 
-    final = materialize(connected_components(comps.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second)), "final-components")
-    out = signed.select("id", "n").join(final, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True)))
+    linked = comps.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second)
+    return materialize(connected_components(linked), "final-components", keep=True)
 
 
-@F.pandas_udf(T.BinaryType())
-def _short(shingles: pd.Series) -> pd.Series:
-    """The set's hashes cut to 32 bits, sorted; an overlap of these is never much under the true one."""
-    return pd.Series([np.unique(np.asarray(s, np.int64).astype(np.uint64).astype(np.uint32)).tobytes() for s in shingles])
+def _groups(members: DataFrame) -> DataFrame:
+    """``members`` (``id, comp, n, cell``, distinct) of cells with several components, with the number of ``blocks`` of each cell."""
+    totals = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
+    totals = totals.select("cell", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    return members.join(totals, "cell").select("id", "comp", "cell", "blocks")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
@@ -236,8 +249,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The row with the group's smallest id stays; of rows that repeat an id, one.
     Rows without an id, a text or a word stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle_words, percent)
-    gone = materialize(found.where("not kept").select(F.col(id_col)).distinct(), "gone")
+    with scratch(docs.sparkSession):
+        found = near_duplicates(docs, id_col, text_col, shingle_words, percent)
+        gone = materialize(found.where("not kept").select(F.col(id_col)).distinct(), "gone", keep=True)
     left = by_keys(docs, gone, id_col, "left_anti")
     known = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
     return known.unionByName(left.where(F.col(id_col).isNull()))

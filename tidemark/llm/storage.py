@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +29,39 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+#: Paths made in each open ``scratch``.
+_OPEN: list[list[str]] = []
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A path in the shared folder that nothing else uses; it goes with the innermost ``scratch``, with ``keep`` with the one around that, if any."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if len(_OPEN) > keep:
+        _OPEN[-1 - keep].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables written within that were not to be kept.
+
+    What is used after it must be written with ``keep`` or not depend on them.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
     Cuts the lineage: later stages reread the files when an executor is lost.
     """
-    path = new_path(df.sparkSession, name)
+    path = new_path(df.sparkSession, name, keep)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
