@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 
@@ -15,6 +17,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def pieces(text: str, size: int) -> Iterator[str]:
+    """The text in pieces of about ``size`` characters, each cut behind a white space character; longer where there is none."""
+    at = 0
+    while at < len(text):
+        to = min(len(text), at + size)
+        while to < len(text) and to > at and not text[to - 1].isspace():
+            to -= 1
+        if to == at:  # no white space in the piece: it goes on to the next
+            to = at + size
+            while to < len(text) and not text[to - 1].isspace():
+                to += 1
+        yield text[at:to]
+        at = to
+
+
 def ascii_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z in lower case, as UTF-8.
 

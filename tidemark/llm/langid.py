@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.hashing import pieces
 from tidemark.llm.sampling import bounded_sample, held_out, learnable
 
 UNKNOWN = "und"
@@ -53,16 +54,18 @@ def ngram_features(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray
     counts = np.zeros(dimensions)
     seen = False
     mask = np.uint64(dimensions - 1)
-    for at in range(0, len(text), CHUNK):
-        # pieces of bounded size; each begins two characters early, so that no n-gram is lost
-        piece = text[max(0, at - 2) : at + CHUNK].lower()
+    before = " "  # the end of what was read; n-grams go on over it
+    for piece in pieces(text, CHUNK):
+        piece = piece.lower()
         words = "".join(c if c.isalpha() else " " for c in piece) if not piece.isascii() else piece.translate(_ASCII)
         words = " ".join(words.split())
         if not words:
             continue
         seen = True
-        codes = np.frombuffer(f" {words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        one, two, three = codes[1:-1], codes[:-1] * np.uint64(0x10001) + codes[1:], codes[:-2] * np.uint64(0x1000193) + codes[1:-1] * np.uint64(0x10001) + codes[2:]
+        codes = np.frombuffer(f"{before}{words} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        new = len(before)
+        before = f"{before}{words} "[-2:]
+        one, two, three = codes[new:], codes[new - 1 : -1] * np.uint64(0x10001) + codes[new:], codes[:-2] * np.uint64(0x1000193) + codes[1:-1] * np.uint64(0x10001) + codes[2:]
         for size, grams in enumerate((one[one != 32], two, three)):
             h = (grams + np.uint64(size + 1)) * np.uint64(0x9E3779B97F4A7C15)
             counts += np.bincount(((h >> np.uint64(40)) & mask).astype(np.int64), minlength=dimensions)
@@ -134,10 +137,10 @@ class LanguageModel:
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 400, max_languages: int = 100) -> LanguageModel:
-    """Learn from about ``per_language`` documents of each language, chosen by a hash.
+    """Learn from ``per_language`` documents of each language at most, chosen by a hash.
 
     Uses documents with an id that is not held out, a label other than ``und`` and a
-    letter in the text.  Features are computed on the executors; what reaches the
+    letter in the text; rows that repeat an id and label count once, the least text.  Features are computed on the executors; what reaches the
     driver is bounded by ``per_language`` and the number of languages.  More languages
     than ``max_languages`` are a ``ValueError``: a pair of them is a machine.
     """

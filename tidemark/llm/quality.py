@@ -75,12 +75,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-3) -
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 1500, blocks_a_text: int = 12, dictionary_bytes: int = 1 << 16) -> QualityModel:
-    """Learn from about ``per_class`` labelled documents of each class, ``blocks_a_text`` pieces of each.
+    """Learn from ``per_class`` labelled documents of each class at most, ``blocks_a_text`` pieces of each.
 
     Documents are chosen by a hash of their id, pieces evenly over the whole text; what
     reaches the driver is bounded by those two numbers.  Three fifths of the documents
     make the dictionaries, the others the calibration.  Only documents with an id that
-    is not held out are used.  Several labels of a document are averaged (0.5 counts as
+    is not held out are used, one text of each (the least, where rows repeat an id).  Several labels of a document are averaged (0.5 counts as
     good); null labels are ignored.  If a class is missing, every text gets the share
     of good labels (0.5 without labels).
     """
@@ -89,7 +89,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     prior = 0.5 if tally is None else float(tally)
     chosen = bounded_sample(known, "good", "id", per_class, 2)
     # bounded by per_class, so it may be broadcast
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''").join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''").join(F.broadcast(chosen), "id").groupBy("id", "good").agg(F.min("text").alias("text"))
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -99,7 +99,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
                 cut.append([b[i] for i in np.unique(np.linspace(0, len(b) - 1, min(len(b), blocks_a_text)).astype(int))])
             yield pd.DataFrame({"id": batch["id"], "good": batch["good"], "blocks": cut})
 
-    got = rows.limit(3 * per_class).mapInPandas(pieces, "id long, good boolean, blocks array<binary>").collect()
+    got = rows.mapInPandas(pieces, "id long, good boolean, blocks array<binary>").collect()
     got = sorted((r["id"], r["good"], [bytes(b) for b in r["blocks"]]) for r in got)
     sides = {kind: [r for r in got if r[1] == kind] for kind in (True, False)}
     if min(map(len, sides.values())) < 5:
