@@ -27,8 +27,6 @@ NL = "\r\n"
 #: Bytes of records that an archive is planned to hold before compression.
 FILE_BYTES = 16 << 20
 CUT = 1 << 20
-#: Repeated payloads up to which their digests are broadcast, some 20 MB on an executor.
-BROADCAST_DIGESTS = 100_000
 
 RECORD_SCHEMA = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, content_type string, header map<string,string>, http_header string, payload binary"
 
@@ -42,30 +40,35 @@ def _uuid(*parts) -> F.Column:
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 100) -> DataFrame:
     """``id, url, payload, bytes, digest, kind, refers_id``: which captures are responses, which revisits.
 
+    Rows come dealt by id and digest over as many partitions as archives are to be written,
+    so that an archive is of bounded size whatever the number of pages.
+
     Of captures with equal payloads of at least ``least_bytes`` bytes, those with the
     smallest id are responses (rows that repeat that id all are), the others revisit
     it.  A null payload is empty.  A capture with a null id is always a response.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
+    # ids, sizes and digests are worked out once for all that payloads are not needed for
+    narrow = materialize(rows.select("id", "bytes", "digest"), "digests")
     # combined map-side, so a payload that a third of the pages share is no hot spot
-    shared = rows.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id").select("digest", "first_id")
-    # payloads that repeat are few as a rule; while they are, pages stay where they are
-    shared = materialize(shared, "shared")
-    joined = rows.join(F.broadcast(shared) if shared.count() <= BROADCAST_DIGESTS else shared, "digest", "left")
-    revisit = F.col("first_id").isNotNull() & (F.col("id") > F.col("first_id"))
-    return joined.select("id", "url", "payload", "bytes", "digest", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("first_id")).alias("refers_id"))
+    shared = narrow.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("first_id < last_id")
+    revisits = narrow.where("id is not null").select("id", "digest").distinct().join(shared.select("digest", "first_id"), "digest").where("id > first_id")
+    revisits = materialize(revisits.select(F.concat_ws("|", F.col("id").cast("string"), "digest").alias("__key"), F.col("first_id").alias("refers_id")), "revisits")
+    # payloads are dealt once, over as many files as their bytes need, and stay there for the join and for the archives
+    total = narrow.agg(F.sum(F.col("bytes") + 1000)).first()[0] or 0
+    files = int(total // FILE_BYTES) + 1
+    dealt = rows.withColumn("__key", F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), "digest")).repartition(files, "__key")
+    joined = dealt.join(revisits.repartition(files, "__key"), "__key", "left").drop("__key")
+    kind = F.when(F.col("refers_id").isNotNull(), "revisit").otherwise("response")
+    return joined.select("id", "url", "payload", "bytes", "digest", kind.alias("kind"), "refers_id")
 
 
 def write_archives(captures: DataFrame, path: str, date: str = "2020-01-01T00:00:00Z") -> None:
-    """Write ``plan_records`` rows as gzipped WARC files: request, response or revisit, and metadata of each.
+    """Write ``plan_records`` rows as gzipped WARC files, one a partition: request, response or revisit, and metadata of each.
 
-    Rows are dealt by a hash over as many files as their bytes need, so that an archive
-    is of bounded size whatever the number of pages.
+    A file is one gzip member, as Spark's text writer makes it.
     """
-    total = captures.agg(F.sum(F.col("bytes") + 1000)).first()[0] or 0
-    files = int(total // FILE_BYTES) + 1
-    captures = captures.repartition(files, F.xxhash64("id", "digest"))
     rid = _uuid(F.lit("response"), F.col("id"), F.col("digest"))
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
@@ -75,7 +78,8 @@ def write_archives(captures: DataFrame, path: str, date: str = "2020-01-01T00:00
         return F.concat(F.concat_ws(NL, *head, F.concat(F.lit("Content-Length: "), F.octet_length(body).cast("string"))), F.lit(NL + NL), body)
 
     when = F.lit(date)
-    request_body = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{NL}{NL}"))
+    host = F.regexp_extract(uri, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)
+    request_body = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{NL}Host: "), host, F.lit(NL + NL))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{NL}Content-Type: text/html; charset=utf-8{NL}Content-Length: "), F.octet_length("payload").cast("string"), F.lit(NL + NL))
     is_response = F.col("kind") == "response"
     request = record(
@@ -95,12 +99,14 @@ def write_archives(captures: DataFrame, path: str, date: str = "2020-01-01T00:00
     rows.write.option("compression", "gzip").option("lineSep", RECORD_END).text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple]:
+def parse_records(data: bytes, damage: list[str] | None = None) -> Iterator[tuple]:
     """The records of one archive (gzipped or not, of one member or many), as rows of ``RECORD_SCHEMA``.
 
-    A damaged or cut-off record ends the archive: what stands before it is returned.
+    A damaged or cut-off record ends the archive: what stands before it is returned, and
+    what is wrong is added to ``damage``.
     """
-    buffer, feed = bytearray(), _inflate(data)
+    damage = [] if damage is None else damage
+    buffer, feed = bytearray(), _inflate(data, damage)
     at = 0
 
     def more() -> bool:
@@ -114,17 +120,21 @@ def parse_records(data: bytes) -> Iterator[tuple]:
         while (end := buffer.find(b"\r\n\r\n", at)) < 0 and more():
             pass
         if end < 0 or not buffer[at : at + 5] == b"WARC/":
+            if buffer[at:].strip():
+                damage.append("no record header")
             return
         fields: dict[str, str] = {}
         for line in buffer[at:end].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             fields[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
         if not fields.get("content-length", "").isdigit():
+            damage.append("no content length")
             return
         start, length = end + 4, int(fields["content-length"])
         while len(buffer) < start + length and more():
             pass
         if len(buffer) < start + length:
+            damage.append("record cut off")
             return
         block = bytes(buffer[start : start + length])
         http, payload = None, block
@@ -143,7 +153,7 @@ def parse_records(data: bytes) -> Iterator[tuple]:
             at = 0
 
 
-def _inflate(data: bytes) -> Iterator[bytes]:
+def _inflate(data: bytes, damage: list[str]) -> Iterator[bytes]:
     if data[:2] != b"\x1f\x8b":
         for at in range(0, len(data), CUT):
             yield data[at : at + CUT]
@@ -155,8 +165,11 @@ def _inflate(data: bytes) -> Iterator[bytes]:
             while not z.eof and (piece := z.decompress(rest, CUT)):
                 yield piece
                 rest = z.unconsumed_tail
-        except zlib.error:
+        except zlib.error as e:
+            damage.append(str(e))
             return
+        if not z.eof:
+            damage.append("gzip member cut off")
         data = z.unused_data
 
 
@@ -180,6 +193,22 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD_SCHEMA)
 
 
+def damaged_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``archive, records, damage``: archives that end early, the records before that, and what is wrong."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for archive, content in zip(batch["path"], batch["content"], strict=True):
+                damage: list[str] = []
+                n = sum(1 for _ in parse_records(content, damage))
+                if damage:
+                    rows.append((archive, n, "; ".join(damage)))
+            yield pd.DataFrame(rows, columns=["archive", "records", "damage"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, records long, damage string")
+
+
 def assemble_captures(records: DataFrame, keep_payload: bool = True) -> DataFrame:
     """One nested row a capture: ``record_id, url, request, response, metadata``.
 
