@@ -9,6 +9,7 @@ many tokens remain if texts are cut at it.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,13 +22,20 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the usual pattern that cuts text into pieces before byte-pair merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 GROUP = 256
-PIECE = 1 << 20
 
 
-def load_ranks(path: str = VOCABULARY) -> bytes:
-    """The vocabulary file, read on the driver; a few MB at most for any tokenizer."""
-    with open(path, "rb") as f:
-        return f.read()
+def load_ranks(spark: SparkSession, path: str = VOCABULARY) -> bytes:
+    """The vocabulary file, a few MB at most for any tokenizer, read on the driver.
+
+    ``path`` may be of any store that Spark's file systems reach; without a scheme it is
+    one of the driver's own files.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
 
 
 def _encoder(ranks: bytes):
@@ -110,5 +118,9 @@ def quantile_lengths(histogram: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """``length_histogram`` of ``docs``: encoded whole, one row a length.  An empty table gives no rows."""
-    return length_histogram(token_lengths(docs.select(F.col(text_col).alias("text")), load_ranks(vocabulary)))
+    """``length_histogram`` of ``docs``: one row a length, of every whole text, however long.
+
+    Null and empty texts are documents of length 0.  Rows that repeat are counted as often
+    as they are there.  Other columns are ignored.  An empty table gives no rows.
+    """
+    return length_histogram(token_lengths(docs.select(F.col(text_col).alias("text")), load_ranks(docs.sparkSession, vocabulary)))
