@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 WIDTH = 192
 FRAME_ROWS = 512
 BINS = 64
+#: Bytes of results that a worker holds before it passes them on.
+HELD = 8 << 20
 #: Colour index i stands for red i >> 5, green (i >> 2) & 7 and blue i & 3, each spread over 0 to 255.
 PALETTE = np.array([((i >> 5) * 255 // 7, ((i >> 2) & 7) * 255 // 7, (i & 3) * 85) for i in range(256)], np.uint8)
 
-FRAME = "frame int, at_ms long, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, histogram array<long>"
+FRAME = "frame int, at_ms long, delay_ms int, left int, top int, width int, height int, disposal int, transparent int, histogram array<long>, own_histogram array<long>"
 
 
 class GifError(ValueError):
@@ -196,6 +198,8 @@ class Frame:
     transparent: int
     indices: bytes
     canvas: np.ndarray
+    #: The frame's own pixels alone, in colour, those that it leaves out transparent.
+    own: np.ndarray
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -267,7 +271,8 @@ def read_gif(data: bytes, max_pixels: int = 1 << 28) -> Iterator[Frame]:
         full[: len(colours)] = colours
         seen[..., :3] = np.where(drawn[..., None], full[part], seen[..., :3])
         seen[..., 3] = np.where(drawn, 255, seen[..., 3])
-        yield Frame(time, delay, left, top, w, h, disposal, transparent, grid.tobytes(), canvas.copy())
+        own = np.concatenate([full[grid], np.where(grid == transparent, 0, 255)[..., None].astype(np.uint8)], axis=2)
+        yield Frame(time, delay, left, top, w, h, disposal, transparent, grid.tobytes(), canvas.copy(), own)
         time += delay
         if disposal == 2:
             seen[...] = 0
@@ -316,44 +321,66 @@ def store_texts(docs: DataFrame, text_col: str = "text", media_col: str = "media
     """
 
     @F.pandas_udf("n_bytes long, media binary")
-    def store(texts: pd.Series) -> pd.DataFrame:
-        rows = [payload_of(t) for t in texts]
-        return pd.DataFrame({"n_bytes": [n for n, _ in rows], "media": [encode_payload(p, compress) for _, p in rows]})
+    def store(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            out, size = [], 0
+            for text in texts:
+                n, payload = payload_of(text)
+                out.append((n, encode_payload(payload, compress)))
+                size += len(out[-1][1])
+                if size > HELD:
+                    yield pd.DataFrame(out, columns=["n_bytes", "media"])
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["n_bytes", "media"])
 
     return docs.withColumn("__stored", store(F.col(text_col).cast("string"))).withColumns({"n_bytes": F.col("__stored.n_bytes"), media_col: F.col("__stored.media")}).drop("__stored")
 
 
-def read_media(rows: DataFrame, media_col: str = "media", with_payload: bool = True) -> DataFrame:
+def read_media(rows: DataFrame, media_col: str = "media", with_payload: bool = True, max_pixels: int = 1 << 28) -> DataFrame:
     """``rows`` with ``frames`` (timed, with colour histograms), ``payload`` and ``error`` read from the stored bytes.
 
+    ``histogram`` is of the canvas as shown, ``own_histogram`` of the frame's own pixels.
     ``payload`` is the colour indices of all frames, one after the other.  Bytes that
     are no GIF, or a damaged one, give the frames before the damage, a null payload and
-    the reason in ``error``; null media give null frames and no error.
+    the reason in ``error``; null media give null frames and no error.  Screens and frames
+    of more than ``max_pixels`` are an error.  Columns of the three names are replaced.
+    What is read leaves the worker in parts of bounded size.
     """
     fields = [f.split(" ")[0] for f in FRAME.split(", ")]
     frame_type = ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in FRAME.split(", ")))
 
     @F.pandas_udf(f"frames array<struct<{frame_type}>>, payload binary, error string")
-    def read(media: pd.Series) -> pd.DataFrame:
-        out = []
-        for data in media:
-            if data is None:
-                out.append((None, None, None))
-                continue
-            frames, parts, error = [], [], None
-            try:
-                for i, f in enumerate(read_gif(bytes(data))):
-                    values = (i, f.at_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, histogram(f.canvas).tolist())
-                    frames.append(dict(zip(fields, values, strict=True)))
-                    parts.append(f.indices)
-            except GifError as e:
-                error = str(e)
-            out.append((frames, b"".join(parts) if with_payload and error is None else None, error))
-        return pd.DataFrame(out, columns=["frames", "payload", "error"])
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for media in batches:
+            out, size = [], 0
+            for data in media:
+                out.append(_read_one(data, fields, with_payload, max_pixels))
+                size += len(data or b"") + len(out[-1][1] or b"")
+                if size > HELD:
+                    yield pd.DataFrame(out, columns=["frames", "payload", "error"])
+                    out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["frames", "payload", "error"])
 
     return rows.withColumn("__read", read(F.col(media_col))).withColumns({n: F.col(f"__read.{n}") for n in ("frames", "payload", "error")}).drop("__read")
 
 
+def _read_one(data: bytes | None, fields: list[str], with_payload: bool, max_pixels: int) -> tuple:
+    if data is None:
+        return None, None, None
+    frames, parts, error = [], [], None
+    try:
+        for i, f in enumerate(read_gif(bytes(data), max_pixels)):
+            values = (i, f.at_ms, f.delay_ms, f.left, f.top, f.width, f.height, f.disposal, f.transparent, histogram(f.canvas).tolist(), histogram(f.own).tolist())
+            frames.append(dict(zip(fields, values, strict=True)))
+            if with_payload:
+                parts.append(f.indices)
+    except GifError as e:
+        error = str(e)
+    return frames, b"".join(parts) if with_payload and error is None else None, error
+
+
 def frame_rows(media: DataFrame) -> DataFrame:
     """One row a frame of ``read_media``'s rows: their other columns and the frame's fields."""
     keep = [c for c in media.columns if c not in ("frames", "payload", "error")]

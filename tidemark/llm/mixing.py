@@ -87,7 +87,8 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null texts have size 0 and are taken with 0 words, documents without an id come first
     in their source's order, a null source is a source of its own, repeated rows are
-    documents of their own.  Columns of the new names are replaced.  Reruns agree.
+    documents of their own, those with one id in the order of their sizes and a hash of
+    their texts.  Columns of the new names are replaced.  Reruns agree.
     """
     new = ("size", "source_size", "target", "taken", "position", "positions")
     kept = [c for c in docs.columns if c not in new]
@@ -102,7 +103,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     plan = sums.alias("s").join(targets.alias("t"), F.col("s.__source").eqNullSafe(F.col("t.__source"))).select("s.__source", "s.__bucket", "s.__before_bucket", "t.source_size", "t.rank", "t.target")
     plan = plan.withColumnsRenamed({"__source": "__plan_source", "__bucket": "__plan_bucket"})
     placed = rows.join(plan, F.col("__source").eqNullSafe(F.col("__plan_source")) & (F.col("__bucket") == F.col("__plan_bucket")))
-    within = Window.partitionBy("__source", "__bucket").orderBy("__hash", F.col(id_col), F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__source", "__bucket").orderBy("__hash", F.col(id_col), F.desc("size"), F.xxhash64(F.col(text_col).cast("string"))).rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("__before", F.col("__before_bucket") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     wanted = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(wanted / F.col("source_size"))).otherwise(0).cast("long")
