@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.hashing import U64, mix64, window_multipliers
+from tidemark.llm.hashing import U64, mix64, pieces, window_multipliers
 from tidemark.llm.storage import by_keys, materialize
 
 WINDOW = 8
@@ -110,7 +110,7 @@ class Canonical:
         if not text:
             return empty
         parts, fresh = [], True
-        for piece in _pieces(text):
+        for piece in pieces(text, CHUNK):
             *part, fresh = self._raw(piece, fresh)
             parts.append(part)
         h, cls, title, opens = (np.concatenate([p[k] for p in parts]) for k in range(4))
@@ -153,25 +153,10 @@ class Canonical:
         return mix64(h), np.arange(n), n - len(few), kind, value
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """The text in pieces, each cut behind a white space character, so that no run of letters or digits is cut."""
-    at = 0
-    while at < len(text):
-        to = min(len(text), at + CHUNK)
-        while to < len(text) and to > at and not text[to - 1].isspace():
-            to -= 1
-        if to == at:  # no white space in the piece: it goes on to the next
-            to = at + CHUNK
-            while to < len(text) and not text[to - 1].isspace():
-                to += 1
-        yield text[at:to]
-        at = to
-
-
 def _filter(windows: DataFrame) -> np.ndarray:
-    """A Bloom filter, two bits a hash, of the distinct ``window`` values; 16 bits of room for each while the largest size allows it."""
+    """A Bloom filter, two bits a hash, of the distinct ``window`` values; 64 bits of room for each while the largest size allows it."""
     n = windows.count()
-    room = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * n - 1).bit_length()))
+    room = 1 << min(FILTER_BITS.bit_length() - 1, max(20, (64 * n - 1).bit_length()))
     bits = np.zeros(room // 8, np.uint8)
     steps = -(-n // FILTER_STEP)
     for k in range(steps):
