@@ -22,7 +22,7 @@ from tidemark.llm.storage import materialize
 LEADER = r"(^|\n)[ \t#/*;!%>-]+"
 #: A paragraph that begins with the statement of a copyright, to the end of the line, and such lines after it.
 COPYRIGHT = r"(^|\n\n)\n*((copyright[ \t]*(\(c\)|©|:|[0-9]{4}|\[|<|\{)|(\(c\)|©)[ \t]*[0-9]{4}|portions copyright|all rights reserved)[^\n]*(\n+|\z))+"
-PUNCTUATION = r"[^\p{L}\p{N}]+"
+PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 # Equivalent spellings, of words between single spaces.
 SPELLINGS = (
     ("licence", "license"),
@@ -68,6 +68,8 @@ NOTICES = (
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
 )
+#: What the places begin with.
+OWNED = "neither the name|software is provided by|in no event shall"
 #: Fixed value: the line after which licences explain how to apply them.
 END = "END OF TERMS AND CONDITIONS"
 #: Words of a heading at most.
@@ -93,45 +95,61 @@ def known_texts() -> list[tuple[str, str]]:
     return out
 
 
-def _spelled(text: Column) -> Column:
-    """Words by single spaces, one spelling, one name for owners."""
-    out = F.trim(F.regexp_replace(F.replace(text, F.lit("&"), F.lit(" and ")), PUNCTUATION, " "))
+def _spelled(words: Column) -> Column:
+    """One spelling, of words between single spaces."""
     for old, new in SPELLINGS:
-        out = F.replace(out, F.lit(old), F.lit(new))
+        words = F.replace(words, F.lit(old), F.lit(new))
+    return words
+
+
+def _owned(words: Column) -> Column:
+    """One name for owners; looked for only where a licence speaks of them."""
     for pattern, new in OWNERS:
-        out = F.regexp_replace(out, pattern, new)
-    return out
+        words = F.regexp_replace(words, pattern, new)
+    return words
 
 
 def _plain(text: Column) -> Column:
     """Lower case, one kind of line break, lines without signs of comments."""
-    return F.regexp_replace(F.regexp_replace(F.lower(text), "\r\n?", "\n"), LEADER, "$1")
-
-
-def canonical(text: Column) -> Column:
-    """The whole text in canonical form, without the paragraphs that state a copyright."""
-    return _spelled(F.regexp_replace(_plain(text), COPYRIGHT, "$1"))
+    low = F.replace(F.replace(F.lower(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.regexp_replace(low, LEADER, "$1")
 
 
-def canonical_whole(text: Column) -> Column:
-    """The whole text in canonical form, with everything."""
-    return _spelled(_plain(text))
+def _words(plain: Column) -> Column:
+    """Words by single spaces, lines by single line breaks."""
+    out = F.regexp_replace(F.replace(plain, F.lit("&"), F.lit(" and ")), PUNCTUATION, " ")
+    return F.trim(F.regexp_replace(out, " ?\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def canonical_lines(text: Column) -> Column:
-    """The canonical forms of a text's lines that have any; null for a null text."""
-    return F.filter(F.transform(F.split(_plain(text), "\n"), _spelled), lambda x: x != "")
+def _whole(words: Column) -> Column:
+    return _spelled(F.replace(words, F.lit("\n"), F.lit(" ")))
 
 
 def _digest(canonical_text: Column) -> Column:
     return F.when(canonical_text != "", F.md5(canonical_text.cast("binary")))
 
 
+def canonical_digests(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """``rows`` with ``text_digest, whole_digest, line_digests`` for ``text_col``: without statements of a copyright, with everything, of each line.
+
+    Null texts, and those of punctuation only, have null digests.  In steps, so that each
+    form is worked out once: a text without a statement has one digest for both.
+    """
+    out = rows.withColumn("__plain", _plain(F.col(text_col).cast("string")))
+    out = out.withColumns({"__words": _words(F.col("__plain")), "__bare": F.when(F.col("__plain").rlike(COPYRIGHT), F.regexp_replace("__plain", COPYRIGHT, "$1"))}).drop("__plain")
+    out = out.withColumns({"__lines": _spelled(F.col("__words")), "__whole": _whole(F.col("__words")), "__bare": _whole(_words(F.col("__bare")))}).drop("__words")
+    for c in ("__whole", "__bare"):
+        out = out.withColumn(c, F.when(F.col(c).rlike(OWNED), _owned(F.col(c))).otherwise(F.col(c)))
+    lines = F.transform(F.filter(F.split("__lines", "\n"), lambda x: x != ""), lambda x: F.md5(x.cast("binary")))
+    out = out.withColumns({"whole_digest": _digest(F.col("__whole")), "line_digests": lines})
+    return out.withColumn("text_digest", F.when(F.col("__bare").isNotNull(), _digest(F.col("__bare"))).otherwise(F.col("whole_digest"))).drop("__whole", "__bare", "__lines")
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """``digest, license_id``: canonical digests of known licences and notices; of equal ones the first id."""
     rows = spark.createDataFrame(known_texts() + list(NOTICES) if known is None else list(known), "license_id string, text string")
-    both = F.array(_digest(canonical(F.col("text"))), _digest(canonical_whole(F.col("text"))))
-    return rows.select(F.explode(both).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    both = canonical_digests(rows)
+    return both.select(F.explode(F.array("text_digest", "whole_digest")).alias("digest"), "license_id").where("digest is not null").groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, digests: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,9 +165,8 @@ def scan_licenses(docs: DataFrame, digests: DataFrame | None = None, id_col: str
     Other columns are ignored.
     """
     digests = known_digests(docs.sparkSession) if digests is None else digests
-    text = F.col(text_col).cast("string")
     # written once: the canonical forms are the costly part
-    rows = docs.select(F.col(id_col), _digest(canonical(text)).alias("text_digest"), _digest(canonical_whole(text)).alias("whole_digest"), F.transform(canonical_lines(text), lambda x: F.md5(x.cast("binary"))).alias("line_digests"))
+    rows = canonical_digests(docs.select(F.col(id_col), F.col(text_col).alias("__text")), "__text").drop("__text")
     rows = materialize(rows, "license-lines")
     lines = rows.select("whole_digest", F.posexplode("line_digests").alias("place", "digest"))
     # lines at one place of texts of one digest are counted once, so that copies do not add up

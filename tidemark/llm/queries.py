@@ -61,10 +61,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a GIF, read back; ``feature`` is the colour histogram of all its frames."""
+    """Every text as a GIF, read back; ``feature`` is the colour histogram of the pixels of all its frames."""
     stored = gif.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     read = gif.read_media(stored)
-    bins = F.transform(F.sequence(F.lit(0), F.lit(gif.BINS - 1)), lambda i: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + F.get(f["histogram"], i)).cast("string"))
+    bins = F.transform(F.sequence(F.lit(0), F.lit(gif.BINS - 1)), lambda i: F.aggregate("frames", F.lit(0).cast("long"), lambda a, f: a + F.get(f["own_histogram"], i)).cast("string"))
     return read.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -16, 16)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.array_join(bins, ",").alias("feature"),
@@ -123,15 +123,19 @@ def _op3() -> str:
         return "'" + text.replace("'", "''") + "'"
 
     def spelled(x: str) -> str:
-        x = f"trim(regexp_replace(replace({x}, '&', ' and '), {quoted(licenses.PUNCTUATION)}, ' ', 'g'))"
+        x = f"trim(regexp_replace(replace({x}, '&', ' and '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
         for old, new in licenses.SPELLINGS:
             x = f"replace({x}, {quoted(old)}, {quoted(new)})"
+        return x
+
+    def owned(x: str) -> str:
         for pattern, new in licenses.OWNERS:
             x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(new)}, 'g')"
         return x
 
     plain = rf"regexp_replace(regexp_replace(lower(text), '\r\n?', chr(10), 'g'), {quoted(licenses.LEADER)}, '\1', 'g')"
-    forms = f"""{spelled(f"regexp_replace(p, {quoted(licenses.COPYRIGHT)}, '{chr(92)}1', 'g')")} AS bare, {spelled('p')} AS whole"""
+    bare = f"regexp_replace(p, {quoted(licenses.COPYRIGHT)}, '{chr(92)}1', 'g')"
+    forms = f"{owned(spelled(bare))} AS bare, {owned(spelled('p'))} AS whole"
     known = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in licenses.known_texts() + list(licenses.NOTICES))
     return f"""
 WITH raw(license_id, text) AS (VALUES {known}),
