@@ -154,14 +154,47 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 if i < 9 else i for i in range(12)}
 
 
+def plain_windows(text, step=600, keep=120):
+    """Windows by the definition, one character at a time."""
+    out, at = [], 0
+    while at < len(text) and not (out and at >= len(text) - keep):
+        end = at + step
+        if end < len(text):
+            low = end - step // 5
+            for mark in (". ", "! ", "? ", "\n"):
+                last = max((p for p in range(low, end - len(mark) + 1) if text[p : p + len(mark)] == mark), default=-1)
+                if last > low:
+                    end = last + 1
+                    break
+        out.append(text[at:end].strip())
+        at = end - keep
+    return [o for o in out if o]
+
+
 def test_chunk_windows(spark):
-    text = "".join(f"Sentence number {i} is here. " for i in range(100)).strip()
-    parts = chunking.sliding_chunks(text)
-    assert all(p.endswith(".") for p in parts) and "".join(text.split()) .startswith("".join(parts[0].split()))
-    assert chunking.chunk_text("short") == ["short"] and chunking.chunk_text(None) == [] and chunking.chunk_text("   ") == []
-    assert chunking.topic_cuts([0.9, 0.1, 0.8, 0.9, 0.9]) == [1]
-    rows = spark.createDataFrame([("a", text), ("b", None)], "review_id string, text string")
-    assert chunking.chunk_reviews(rows).count() == len(parts)
+    rng = np.random.default_rng(5)
+    words = ["alpha", "beta.", "gamma!", "delta?", "eps\n", "é", "x" * 40, "  "]
+    texts = ["".join(f"Sentence number {i} is here. " for i in range(100)), "short", None, "   ", "y" * 3000] + [" ".join(rng.choice(words, rng.integers(100, 900))) for _ in range(30)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "review_id int, text string")
+    got = {}
+    for r in sorted(chunking.chunk_reviews(rows).collect(), key=lambda r: r["chunk_index"]):
+        got.setdefault(r["review_id"], []).append(r["text"])
+    for i, t in enumerate(texts):
+        t = (t or "").strip()
+        assert got.get(i, []) == ([] if not t else [t] if len(t) // 4 <= 200 else plain_windows(t)), i
+
+
+def test_chunks_by_topic(spark):
+    sentences = [f"Part {'one' if i < 12 else 'two' if i < 25 else 'three'} of this text is sentence number {i}." for i in range(40)]
+    vector = [[1.0, 0.0] if i < 12 else [0.0, 1.0] if i < 25 else [-1.0, 0.0] for i in range(40)]
+    rows = spark.createDataFrame([("a", " ".join(sentences)), ("b", " ".join(sentences)), ("c", "x" * 900)], "review_id string, text string")
+    vectors = spark.createDataFrame([("a", i, v) for i, v in enumerate(vector)] + [("b", 0, [1.0, 0.0])], "review_id string, pos int, vector array<double>")
+    got = {}
+    for r in sorted(chunking.chunk_reviews(rows, vectors=vectors).collect(), key=lambda r: r["chunk_index"]):
+        got.setdefault(r["review_id"], []).append(r["text"])
+    assert got["a"] == [" ".join(sentences[:12]), " ".join(sentences[12:25]), " ".join(sentences[25:])]
+    assert got["b"] == plain_windows(" ".join(sentences))  # a sentence without a vector: windows
+    assert got["c"] == ["x" * 900]
 
 
 def test_ages_and_freshness(spark):
@@ -191,7 +224,12 @@ def test_exact_cache_like_a_dictionary(spark):
 def test_stratified_sample_and_packing(spark):
     rows = spark.createDataFrame([(i, "a" if i < 90 else "b" if i < 99 else "c") for i in range(100)], "id int, g string")
     got = [r["g"] for r in faithfulness.stratified_sample(rows, "g", 10, "id").collect()]
-    assert len(got) == 11 and {"a", "b", "c"} == set(got)  # one a stratum at least
+    assert sorted(got) == ["a"] * 7 + ["b"] * 2 + ["c"]  # one each, then in proportion, the rest by the largest fraction
+    few = faithfulness.stratified_sample(rows, "g", 2, "id").collect()
+    assert len(few) == 2
+    null = rows.withColumn("g", F.when(F.col("g") != "b", F.col("g")))
+    assert sorted(str(r["g"]) for r in faithfulness.stratified_sample(null, "g", 10, "id").collect()) == ["None"] * 2 + ["a"] * 7 + ["c"]
+    assert faithfulness.stratified_sample(rows, "g", 500, "id").count() == 100
     chunks = spark.createDataFrame([(1, 1, "x" * 2000), (1, 2, "y" * 400)], "g int, o int, text string")
     packed = {r["o"]: len(r["text"]) for r in faithfulness.pack_budget(chunks, "g", ["o"]).collect()}
     assert packed == {1: 2000, 2: 32}

@@ -56,5 +56,12 @@ def item_coverage(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.least(F.size(a), F.size(b))), F.lit(0.0))
 
 
-def round_to(x: Column, digits: int = 6) -> Column:
-    return F.round(x, digits)
+def hash_cells(key: Column, dimensions: int = 8) -> Column:
+    """Coordinates between -1 and 1 that depend on the key alone: each from a hash of key and place."""
+    cell = lambda i: F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967295.0 * 2 - 1
+    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), cell)
+
+
+def hash_vector(key: Column, dimensions: int = 8) -> Column:
+    """M7: a vector of length 1 that depends on the key alone."""
+    return F.transform(F.array(hash_cells(key, dimensions)), l2_normalize)[0]

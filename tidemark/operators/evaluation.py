@@ -1,10 +1,10 @@
-"""Ranking metrics, breakdowns, baselines and comparison policies."""
+"""Ranking metrics, breakdowns, baselines and comparison policies."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 METRICS = ("ndcg", "hit", "mrr", "precision", "recall")
@@ -52,6 +52,81 @@ def report(per_query: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return per_query.groupBy(*by).agg(F.count("*").alias("queries"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
+def full_report(per_query: DataFrame, diversity: DataFrame, novelty_: DataFrame, coverage: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``report`` with the means of diversity and novelty, over the queries that have one, and the catalog coverage."""
+    keys = ["query_id", *by]
+    rows = per_query.join(diversity.select(*keys, "diversity"), keys, "left").join(novelty_.select(*keys, "novelty"), keys, "left")
+    extra = rows.groupBy(*by).agg(F.count("*").alias("queries"), *[F.round(F.avg(m), 6).alias(m) for m in (*METRICS, "diversity", "novelty")])
+    return extra.join(F.broadcast(coverage.select("coverage")))  # one row
+
+
+def hit_list(ranking: DataFrame, judgments: DataFrame) -> DataFrame:
+    """For each query of ``ranking``, its first relevant rank and the relevant products it holds, in order of rank."""
+    hits = ranking.join(judgments.where("grade > 0").select("query_id", "product_id", "grade"), ["query_id", "product_id"], "left")
+    found = F.array_sort(F.collect_list(F.when(F.col("grade").isNotNull(), F.struct("rank", "product_id", "grade"))))
+    return hits.groupBy("query_id").agg(F.min(F.when(F.col("grade").isNotNull(), F.col("rank"))).alias("first_rank"), found.alias("hits"))
+
+
+def case_counters(cases: DataFrame, single: tuple[str, ...], multi: tuple[str, ...] = ()) -> DataFrame:
+    """``field, value, cases`` of each single-valued field (null as ``unknown``) and each value of list-valued fields."""
+    sides = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("unknown")).alias("value")) for f in single]
+
+    def listed(field: str):
+        found = F.transform(F.array_distinct(field), lambda v: F.struct(F.lit(field).alias("field"), v.cast("string").alias("value")))
+        return F.coalesce(found, F.array().cast("array<struct<field:string,value:string>>"))
+
+    pairs = reduce(lambda a, b: F.concat(a, b), [F.array(*sides), *[listed(f) for f in multi]])
+    return cases.select(F.explode(pairs).alias("p")).groupBy(F.col("p.field").alias("field"), F.col("p.value").alias("value")).agg(F.count("*").alias("cases"))
+
+
+def dataset_statistics(judgments: DataFrame, queries: DataFrame) -> DataFrame:
+    """Queries, relevant products together and a query, and distinct products."""
+    n = queries.agg(F.count_distinct("query_id").alias("queries"))
+    sums = judgments.where("grade > 0").join(queries.select("query_id").distinct(), "query_id", "left_semi").agg(F.count("*").alias("relevant"), F.count_distinct("product_id").alias("products"))
+    return n.join(F.broadcast(sums)).withColumn("avg_relevant", F.round(F.coalesce(F.try_divide(F.col("relevant").cast("double"), F.col("queries")), F.lit(0.0)), 6))  # one row each
+
+
+def popularity_lists(queries: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
+    """The k items with most rows in ``items`` (``product_id, n``), for every query alike."""
+    return _same_for_all(queries, items.orderBy(F.desc("n"), "product_id").limit(k).select((-F.col("n")).alias("o"), "product_id"))
+
+
+def random_lists(queries: DataFrame, items: DataFrame, k: int = 10, seed: int = 42) -> DataFrame:
+    """K items by a seeded hash, for every query alike."""
+    lot = F.md5(F.concat(F.col("product_id").cast("string"), F.lit(f"|{seed}")).cast("binary"))
+    return _same_for_all(queries, items.select(lot.alias("o"), "product_id").orderBy("o", "product_id").limit(k))
+
+
+def _same_for_all(queries: DataFrame, top: DataFrame) -> DataFrame:
+    row = top.agg(F.array_sort(F.collect_list(F.struct("o", "product_id"))).alias("l"))  # one row of k items
+    lists = queries.select("query_id").distinct().join(F.broadcast(row)).select("query_id", F.posexplode("l").alias("pos", "x"))
+    return lists.select("query_id", F.col("x.product_id").alias("product_id"), (F.col("pos") + 1).alias("rank"))
+
+
+def nearest_product_lists(queries: DataFrame, products: DataFrame, k: int = 10) -> DataFrame:
+    """Item neighbours: the k products whose pooled vectors (``product_id, vector``) are most like the query's."""
+    from tidemark.functions.vectors import l2_normalize
+    from tidemark.operators.retrieval import vector_search
+
+    asked = queries.select("query_id", l2_normalize(F.col("vector")).alias("vector"))
+    there = products.select(F.col("product_id").alias("point_id"), l2_normalize(F.col("vector")).alias("vector"))
+    return vector_search(asked, there, k).select("query_id", F.col("point_id").alias("product_id"), "rank")
+
+
+def config_comparison(per_query: DataFrame, subsets: DataFrame) -> DataFrame:
+    """``per_query`` (``query_id, config`` and metrics, config ``baseline`` or ``candidate``) by subset, combined by the subsets' sizes, and decided.
+
+    ``subsets``: ``query_id, subset``.  One row a subset, and one for all, null, that
+    weighs each subset's means by its number of queries; a query in two subsets counts in both.
+    """
+    rows = per_query.join(subsets.select("query_id", "subset").distinct(), "query_id")
+    means = rows.groupBy("subset", "config").agg(F.count("*").alias("n"), *[F.avg(m).alias(m) for m in METRICS])
+    all_ = means.groupBy("config").agg(F.sum("n").alias("n"), *[F.coalesce(F.try_divide(F.sum(F.col(m) * F.col("n")), F.sum("n")), F.lit(0.0)).alias(m) for m in METRICS])
+    both = means.unionByName(all_.withColumn("subset", F.lit(None).cast(dict(means.dtypes)["subset"])))
+    wide = both.groupBy("subset").agg(F.max("n").alias("queries"), *[F.round(F.max(F.when(F.col("config") == c, F.col(m))), 6).alias(f"{c}_{m}") for c in ("baseline", "candidate") for m in METRICS])
+    return retrieval_decision(wide)
+
+
 def list_diversity(ranking: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """For each query, the mean of one less cosine over the pairs of its first k products; 0 under two.
 
@@ -98,23 +173,29 @@ def weighted_mean(parts: DataFrame, value: str, count: str) -> DataFrame:
     return parts.agg(F.round(F.coalesce(F.try_divide(F.sum(F.col(value) * F.col(count)), F.sum(count)), F.lit(0.0)), 6).alias(value))
 
 
-def bootstrap_ci(scores: DataFrame, value: str, samples: int = 200, seed: int = 13, key: str = "query_id", confidence: float = 0.95) -> DataFrame:
-    """Mean and percentile interval of resampled means.
-
-    Every row gets a Poisson(1) number of copies in each resample, from a hash of its key,
-    the sample and the seed, so that resamples need no ordering, no second pass and no
-    shuffle of rows: sums are combined map-side into ``samples`` rows.
-    """
-    lot = F.pmod(F.xxhash64(F.col(key), F.col("b"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    copies, edge, p = F.lit(0), 0.0, 0.36787944117144233
+def copies_in(key: Column, sample: Column, seed: int) -> Column:
+    """A Poisson(1) number from a hash of key, sample and seed: how often a row is drawn."""
+    text = F.concat_ws("|", key.cast("string"), sample.cast("string"), F.lit(str(seed)))
+    lot = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    out, edge, p = F.lit(0), 0.0, 0.36787944117144233
     for n in range(1, 9):
         edge += p
-        copies = copies + F.when(lot >= edge, 1).otherwise(0)
+        out = out + F.when(lot >= edge, 1).otherwise(0)
         p /= n
-    rows = scores.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("b")).withColumn("c", copies)
+    return out
+
+
+def bootstrap_ci(scores: DataFrame, value: str, samples: int = 200, seed: int = 13, key: str = "query_id", confidence: float = 0.95) -> DataFrame:
+    """Mean and percentile interval of resampled means.
+
+    Every row gets a Poisson(1) number of copies in each resample, so that resamples need
+    no ordering, no second pass and no shuffle of rows: sums are combined map-side into
+    ``samples`` rows.
+    """
+    rows = scores.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("b")).withColumn("c", copies_in(F.col(key), F.col("b"), seed))
     means = rows.groupBy("b").agg(F.try_divide(F.sum(F.col(value) * F.col("c")), F.sum("c")).alias("m"))
-    edges = means.agg(F.percentile("m", (1 - confidence) / 2).alias("lower"), F.percentile("m", (1 + confidence) / 2).alias("upper"))
-    return scores.agg(F.avg(value).alias("mean")).join(edges)
+    edges = means.agg(F.round(F.percentile("m", (1 - confidence) / 2), 6).alias("lower"), F.round(F.percentile("m", (1 + confidence) / 2), 6).alias("upper"))
+    return scores.agg(F.round(F.avg(value), 6).alias("mean")).join(edges)
 
 
 def retrieval_decision(metrics: DataFrame, min_gain: float = 0.01, drops: tuple[tuple[str, float], ...] = (("mrr", 0.005), ("hit", 0.01), ("recall", 0.01))) -> DataFrame:

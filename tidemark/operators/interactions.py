@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import missing_identifier, normalize_text
+from tidemark.operators.ordering import ensure_checkpoint_dir, placed
 
 
 def quality_masks(text: str = "text", rating: str = "rating", user: str = "user_id", product: str = "parent_asin", least_chars: int = 10) -> dict[str, Column]:
@@ -58,6 +57,15 @@ def review_stats(interactions: DataFrame, user: str = "user_id", item: str = "it
     return sums.withColumn("sparsity", F.coalesce(1 - filled, F.lit(1.0)))
 
 
+def review_report(reviews: DataFrame, user: str = "user_id", item: str = "item_id", rating: str = "rating", text: str = "text", verified: str = "verified_purchase") -> DataFrame:
+    """A2: counts, distinct users and items, average rating and text length, and the share of verified purchases in per cent (null without any flag)."""
+    flag = F.col(verified).cast("boolean")
+    return reviews.agg(
+        F.count("*").alias("n"), F.count_distinct(user).alias("users"), F.count_distinct(item).alias("items"), F.round(F.avg(rating), 6).alias("avg_rating"),
+        F.round(F.avg(F.length(text)), 6).alias("avg_text_length"), F.round(F.avg(flag.cast("double")) * 100, 6).alias("verified_percent"),
+    )
+
+
 def rating_distribution(interactions: DataFrame, rating: str = "rating") -> DataFrame:
     return interactions.groupBy(rating).agg(F.count("*").alias("n"))
 
@@ -74,16 +82,7 @@ def popular_items(interactions: DataFrame, k: int = 10, item: str = "item_id") -
     return interactions.groupBy(item).agg(F.count("*").alias("n")).orderBy(F.desc("n"), item).limit(k)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder where neither the session nor the context has one, which only one machine may do."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-
-
-def k_core(interactions: DataFrame, k: int = 5, user: str = "user_id", item: str = "item_id", max_rounds: int = 100) -> DataFrame:
+def k_core(interactions: DataFrame, k: int = 5, user: str = "user_id", item: str = "item_id") -> DataFrame:
     """Drop users, then items, with fewer than k interactions, until nothing changes.
 
     Works on (user, item, n), the counts of repeated pairs combined; each round is two
@@ -93,7 +92,7 @@ def k_core(interactions: DataFrame, k: int = 5, user: str = "user_id", item: str
     ensure_checkpoint_dir(interactions.sparkSession)
     now = interactions.where(F.col(user).isNotNull() & F.col(item).isNotNull()).groupBy(user, item).agg(F.count("*").alias("__n")).checkpoint()
     size = now.agg(F.sum("__n")).first()[0]
-    for _ in range(max_rounds):
+    while True:  # every round but the last takes rows away
         for key in (user, item):
             enough = now.groupBy(key).agg(F.sum("__n").alias("__s")).where(F.col("__s") >= k).select(key)
             now = now.join(enough, key, "left_semi")
@@ -108,20 +107,12 @@ def k_core(interactions: DataFrame, k: int = 5, user: str = "user_id", item: str
 def temporal_split(rows: DataFrame, ts: str = "timestamp", train: float = 0.7, val: float = 0.1) -> DataFrame:
     """``split`` by place in time: train up to round(n * train), validation up to round(n * (train + val)), then test.
 
-    Places are counted in two levels: rows of each instant (each bucket of the time
-    range) are summed first, so that only a bucket is ever sorted in one task.
-    Rows of one instant are in the order of all their columns.
+    Rows without a time come last, rows of one instant in the order of their other columns.
     """
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = rows.agg(F.min(micros).alias("lo"), F.max(micros).alias("hi"), F.count("*").alias("total"))  # one row
-    wide = rows.join(F.broadcast(span)).withColumn("__bucket", F.floor((micros - F.col("lo")) / F.greatest((F.col("hi") - F.col("lo") + 1) / 4096.0, F.lit(1.0))))
-    counts = wide.groupBy("__bucket").agg(F.count("*").alias("__in"))
-    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most 4097 rows
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__in").over(before), F.lit(0))).drop("__in")
-    place = F.row_number().over(Window.partitionBy("__bucket").orderBy(ts, *[c for c in rows.columns if c != ts])) + F.col("__before")
-    cut = [F.bround(F.col("total") * F.lit(x)).cast("long") for x in (train, train + val)]
-    placed = wide.join(counts, "__bucket").withColumn("__place", place)
-    return placed.withColumn("split", F.when(F.col("__place") <= cut[0], "train").when(F.col("__place") <= cut[1], "val").otherwise("test")).drop("__bucket", "__before", "__place", "lo", "hi", "total")
+    total = rows.agg(F.count("*").alias("__total"))  # one row
+    cut = [F.bround(F.col("__total") * F.lit(x)).cast("long") for x in (train, train + val)]
+    out = placed(rows, [F.col(ts).asc_nulls_last()], "__place").join(F.broadcast(total))
+    return out.withColumn("split", F.when(F.col("__place") <= cut[0], "train").when(F.col("__place") <= cut[1], "val").otherwise("test")).drop("__place", "__total")
 
 
 def split_bounds(splits: DataFrame, ts: str = "timestamp") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import jaccard, squeeze, token_set, trigram_set
 from tidemark.functions.vectors import hash_fraction, item_coverage, subset_tag
-from tidemark.operators.interactions import ensure_checkpoint_dir
+from tidemark.operators.ordering import ensure_checkpoint_dir
 
 # Strong and watchlist thresholds of each signal.
 COSINE, TOKEN, TRIGRAM, ITEMS = (0.96, 0.93), (0.75, 0.60), (0.72, 0.68), (0.50, 0.34)
@@ -156,7 +156,7 @@ def worst_pairs(pairs: DataFrame, limit: int = 100) -> DataFrame:
     return pairs.orderBy(rank, F.desc("cosine"), F.desc("token_jaccard"), F.desc("trigram_jaccard"), F.desc("item_coverage"), "left_id", "right_id").limit(limit)
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` (the least id that links reach) for each node; ``edges`` has ``left_id, right_id``.
 
     Least labels are passed along edges and then along labels themselves, so that the
@@ -165,9 +165,9 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     ensure_checkpoint_dir(nodes.sparkSession)
     both = edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).unionByName(edges.select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))).distinct().checkpoint()
     label = nodes.select("id", F.col("id").alias("component")).distinct().checkpoint()
-    for _ in range(max_rounds):
+    while True:  # labels only ever fall, and a round in which none does is the last
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
+        step = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old")).checkpoint()
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
         step = step.join(jump, "component").select("id", F.least("component", "further").alias("component"), "old").checkpoint()
         changed = step.where("component <> old").count()

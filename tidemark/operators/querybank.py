@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import placed
+
 LABEL_WEIGHTS = {"E": 3.0, "S": 2.0}
 
 
@@ -28,19 +30,9 @@ def judged_queries(judgments: DataFrame, corpus: DataFrame, least_items: int = 1
     return out.where(F.col("n_relevant") >= least_items)
 
 
-def numbered(rows: DataFrame, prefix: str, order: list[Column | str], name: str = "query_id") -> DataFrame:
-    """Ids ``prefix_00001`` on, in the given order.
-
-    Numbers are dealt in two levels: rows are range-partitioned by a bucket of the first
-    order column's rank hash, so only bucket counts meet in one place.
-    """
-    first = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    keyed = rows.withColumn("__k", order[0] if isinstance(order[0], Column) else F.col(order[0]))
-    bucketed = keyed.withColumn("__b", F.substring(F.hex(F.encode(F.col("__k").cast("string"), "utf-8")), 1, 4))
-    counts = bucketed.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    out = bucketed.join(counts.withColumn("__before", before).drop("__n"), "__b").withColumn("__i", first + F.col("__before"))
-    return out.withColumn(name, F.format_string(f"{prefix}_%05d", F.col("__i").cast("long"))).drop("__b", "__k", "__before", "__i")
+def numbered(rows: DataFrame, prefix: str, order: list[Column | str], name: str = "query_id", digits: int = 5) -> DataFrame:
+    """Ids ``prefix_00001`` on, in the given order; every row gets one, rows with null keys too."""
+    return placed(rows, order, "__i").withColumn(name, F.format_string(f"{prefix}_%0{digits}d", F.col("__i").cast("long"))).drop("__i")
 
 
 def candidates(rows: DataFrame, max_queries: int | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Queries of one block: with 384 dimensions a few MB.
 QUERY_BLOCK = 1024
+#: Bytes of query vectors that are broadcast for one scan of the corpus; more queries take further scans.
+SCAN_BYTES = 64 << 20
 CORPUS_BATCH = 4096
 
 
@@ -24,24 +26,26 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def vector_search(queries: DataFrame, corpus: DataFrame, limit: int = 100, query_id: str = "query_id", point_id: str = "point_id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
     """``query_id, point_id, score, rank``: the ``limit`` nearest points of each query by dot product.
 
-    Exact.  Queries are packed into blocks of vectors; every block meets every batch of
-    the corpus in one matrix product inside an Arrow batch, which passes on only the best
-    ``limit`` of a batch for each query.  Scores are rounded to six digits, ties go to the
-    smaller id.  With one block of queries the packed side is small enough for Spark to
-    broadcast by its own size check; with many, corpus rows are sent to each block.
-    Filters on the corpus belong before this call, where they reach the scan (F4).
+    Exact.  Queries are packed into blocks of vectors and broadcast, as many as ``SCAN_BYTES``
+    hold for each scan of the corpus; every block meets every batch of the corpus in one
+    matrix product where the batch is, which passes on only the best ``limit`` of a batch for
+    each query.  The corpus is never shuffled.  Scores are rounded to six digits, ties go to
+    the smaller id.  Filters on the corpus belong before this call, where they reach the scan (F4).
     """
     q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    n_blocks = -(-q.count() // QUERY_BLOCK) or 1
-    packed = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("queries"))
+    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first()
+    n_blocks, scans = -(-size["n"] // QUERY_BLOCK) or 1, -(-8 * size["cells"] // SCAN_BYTES) or 1
+    n_blocks = max(n_blocks, scans)
+    block = F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int")
+    packed = q.groupBy(block.alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("queries"))
     points = corpus.select(F.col(point_id).alias("p"), F.col(vector).cast("array<double>").alias("pv")).where(F.col("pv").isNotNull())
     # the corpus is packed too, so that the join has a row a batch and not a row a point
-    spread = points.mapInPandas(_packed, f"ids array<{dict(corpus.dtypes)[point_id]}>, matrix binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    batches = points.mapInPandas(_packed, f"ids array<{dict(corpus.dtypes)[point_id]}>, matrix binary")
     id_type = dict(corpus.dtypes)[point_id]
     q_type = dict(queries.dtypes)[query_id]
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def best(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rows:
             for ids_, matrix_, got in zip(batch["ids"], batch["matrix"], batch["queries"], strict=True):
                 points_ = np.asarray(ids_)
                 block = np.stack([np.asarray(r["v"]) for r in got])
@@ -53,7 +57,12 @@ def vector_search(queries: DataFrame, corpus: DataFrame, limit: int = 100, query
                     out.append(pd.DataFrame({"q": r["q"], "p": points_[keep], "score": scores[i][keep]}))
                 yield pd.concat(out)
 
-    near = spread.join(packed, "block").select("ids", "matrix", "queries").mapInPandas(best, f"q {q_type}, p {id_type}, score double")
+    near = None
+    for scan in range(scans):
+        # of a checked size: the scan's share of the queries
+        some = F.broadcast(packed.where(F.pmod("block", F.lit(scans)) == scan).select("queries"))
+        part = batches.join(some).mapInPandas(best, f"q {q_type}, p {id_type}, score double")
+        near = part if near is None else near.unionByName(part)
     if exclude_self:
         near = near.where("q <> p")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))
@@ -88,6 +97,18 @@ def weighted_ranking(products: DataFrame, similarity_weight: float = 0.8, rating
     return products.withColumn("score", F.round(F.lit(similarity_weight) * scaled + F.lit(rating_weight) * (F.col("avg_rating") / 5.0), 6))
 
 
+def weight_rankings(products: DataFrame, pairs: tuple[tuple[float, float], ...], k: int) -> DataFrame:
+    """The first k of each query under each pair of weights, with ``config`` as ``similarity/rating``; products are read once."""
+    w = Window.partitionBy("query_id")
+    low, high = F.min("score").over(w), F.max("score").over(w)
+    scaled = F.when(high - low > 1e-8, (F.col("score") - low) / (high - low)).otherwise(1.0)
+    blended = lambda a, b: F.col("score") if (a, b) == (1.0, 0.0) else F.round(F.lit(a) * F.col("__scaled") + F.lit(b) * (F.col("avg_rating") / 5.0), 6)
+    configs = F.array(*[F.struct(F.lit(f"{a}/{b}").alias("config"), blended(a, b).alias("score")) for a, b in pairs])
+    rows = products.withColumn("__scaled", scaled).withColumn("__c", F.explode(configs)).withColumns({"config": F.col("__c.config"), "score": F.col("__c.score")}).drop("__c", "__scaled")
+    out = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "config").orderBy(F.desc("score"), "product_id")))
+    return out.where(F.col("rank") <= k)
+
+
 def ranked(products: DataFrame, k: int | None = None) -> DataFrame:
     """``rank`` 1..k by score, ties by product id."""
     out = products.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "product_id")))

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordering import percentiles
+
 
 def latency_summary(samples: DataFrame, by: tuple[str, ...] = (), value: str = "client_ms") -> DataFrame:
     """Range, mean, exact linear percentiles and sample deviation."""
-    p = F.percentile(value, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = samples.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), p.alias("p"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("std"))
-    return out.select(*by, "n", "min", "max", "mean", *[F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))], "std")
+    sums = samples.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.avg(value), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("std"))
+    cuts = percentiles(samples, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, list(by))
+    cuts = cuts.select(*[F.col(c).alias(f"__{c}") for c in by], *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return sums.join(cuts, on, "left").select(*by, "n", "min", "max", "mean", "p50", "p95", "p99", "std")  # a row a group on either side
 
 
 def phase_summary(samples: DataFrame, phase: str = "phase") -> DataFrame:
@@ -27,26 +37,44 @@ def headline(summary: DataFrame, target_ms: float = 500.0) -> DataFrame:
 def exact_cache(requests: DataFrame, key: str = "key", ts: str = "ts", ttl_s: int = 3600) -> DataFrame:
     """Each request as a hit if the same key was put within the time to live.
 
-    A miss puts the result, which then lives for ``ttl_s``; a hit doesn't prolong it.
-    With puts at misses only, an entry's life is a chain of misses: a request hits if it
-    comes within the life of the latest miss, which a fold over the key's requests in
-    order finds.  Requests of one key are one group; the fold keeps one number of state.
+    A miss puts the result, which then lives for ``ttl_s``; a hit doesn't prolong it.  Rows
+    are dealt by key and sorted by time within their part; each part is then read once from
+    front to back, and what is kept meanwhile is one key and the time of its last miss.
+    From a miss on, the next is found by a search in the sorted times.
     """
-    per = requests.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col("request_id").alias("r")))).alias("reqs"))
-    ttl = F.lit(ttl_s * 1_000_000)
-    start = F.struct(F.lit(None).cast("long").alias("put"), F.array().cast("array<struct<r:bigint,hit:boolean>>").alias("out"))
-
-    def step(state, x):
-        hit = F.coalesce(x["t"] - state["put"] <= ttl, F.lit(False))
-        return F.struct(F.when(hit, state["put"]).otherwise(x["t"]).alias("put"), F.concat(state["out"], F.array(F.struct(x["r"].alias("r"), hit.alias("hit")))).alias("out"))
-
-    folded = per.select(key, F.aggregate("reqs", start, step)["out"].alias("out"))
-    return folded.select(key, F.explode("out").alias("o")).select(key, F.col("o.r").alias("request_id"), F.col("o.hit").alias("hit"))
-
-
-def cache_stats(results: DataFrame) -> DataFrame:
-    """Requests, hits and hit rate."""
-    return results.agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"))
+    types = dict(requests.dtypes)
+    rows = requests.select(F.col(key).alias("key"), F.col("request_id"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
+    ttl = ttl_s * 1_000_000
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, put = None, None
+        for batch in batches:
+            keys, times = batch["key"].to_numpy(), batch["t"].to_numpy()
+            hit = np.ones(len(batch), bool)
+            # the first row of each run of one key
+            edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(batch) else np.empty(0, int)
+            for begin, end in zip(edges, np.append(edges[1:], len(batch)), strict=True):
+                if keys[begin] != last:
+                    last, put = keys[begin], None
+                own = times[begin:end]
+                at = 0 if put is None else int(np.searchsorted(own, put + ttl, "right"))
+                while at < len(own):
+                    put = own[at]
+                    hit[begin + at] = False
+                    at = int(np.searchsorted(own, put + ttl, "right"))
+            yield pd.DataFrame({"key": keys, "request_id": batch["request_id"], "hit": hit})
+
+    known = rows.where("key is not null and t is not null").repartition("key").sortWithinPartitions("key", "t", "request_id")
+    out = known.mapInPandas(run, f"key {types[key]}, request_id {types['request_id']}, hit boolean")
+    # a request without a key or a time is never a hit
+    out = out.unionByName(rows.where("key is null or t is null").select("key", "request_id", F.lit(False).alias("hit")))
+    return out.select(F.col("key").alias(key), "request_id", "hit")
+
+
+def cache_stats(results: DataFrame, similarity: str | None = None) -> DataFrame:
+    """Requests, hits and hit rate, and the mean similarity of hits that have one."""
+    mean = F.round(F.avg(F.when(F.col("hit"), F.col(similarity))), 6) if similarity else F.lit(None).cast("double")
+    return results.agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"), F.round(F.avg(F.col("hit").cast("double")), 6).alias("hit_rate"), mean.alias("avg_similarity"))
 
 
 def request_counters(events: DataFrame, ts: str = "ts", width: str = "1 hour", endpoint: str = "event_type", value: str = "value") -> DataFrame:

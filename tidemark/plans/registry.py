@@ -76,6 +76,8 @@ m AS (SELECT i.query_id, coalesce(dcg / nullif(idcg, 0), 0) AS ndcg, CASE WHEN h
 
 _MEANS = "count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall"
 
+_SUBSET = "CASE query_id % 3 WHEN 0 THEN 'retrieval_dev_holdout' WHEN 1 THEN 'faithfulness_dev_seed' ELSE 'own' END"
+
 # --- reviews and interactions ----------------------------------------------------------
 
 _ISSUES = "(trim(text) <> '' AND length(trim(text)) < 10)"
@@ -130,12 +132,12 @@ def kcore_interactions(spark, sf):
     return interactions.k_core(X.interactions(spark, sf)).groupBy("user_id", "item_id").agg(F.count("*").alias("n"), F.sum("rating").alias("ratings"))
 
 
-_SPLIT = "e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS i, count(*) OVER () AS n FROM events), s AS (SELECT *, CASE WHEN i <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * (0.7::DOUBLE + 0.1::DOUBLE), 0) THEN 'val' ELSE 'test' END AS split FROM e)"
+_SPLIT = "v AS (SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN ts END AS ts FROM events), e AS (SELECT *, row_number() OVER (ORDER BY ts NULLS LAST, event_id) AS i, count(*) OVER () AS n FROM v), s AS (SELECT *, CASE WHEN i <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * (0.7::DOUBLE + 0.1::DOUBLE), 0) THEN 'val' ELSE 'test' END AS split FROM e)"
 
 
 @register("temporal_split_bounds", f"WITH {_SPLIT}, b AS (SELECT split, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY split) SELECT *, coalesce(last_ts < lead(first_ts) OVER (ORDER BY first_ts), true) AS ordered FROM b")
 def temporal_split_bounds(spark, sf):
-    return interactions.split_bounds(interactions.temporal_split(table(spark, sf, "events").select("ts", "event_id"), "ts"), "ts")
+    return interactions.split_bounds(interactions.temporal_split(table(spark, sf, "events").select(F.when(F.col("event_id") % 97 != 0, F.col("ts")).alias("ts"), "event_id"), "ts"), "ts")
 
 
 @register("item_popularity", f"WITH r AS ({INTER}) SELECT item_id, count(*) AS n, count(*) / (SELECT count(*) FROM r) AS share FROM r GROUP BY item_id")
@@ -196,9 +198,22 @@ def _observed(spark, sf):
     return rows.groupBy("query_id", "product_id").agg(F.count("*").alias("chunk_count"), F.floor(F.coalesce(F.sum("chars"), F.lit(0)) / 4).alias("total_tokens"), F.max("score").alias("top_score"))
 
 
-@register("pooled_vector_norms")
-def pooled_vector_norms(spark, sf):
-    return retrieval.pooled_vectors(X.points(spark, sf))
+_POOLED = "u AS (SELECT product_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM p), "
+
+
+def _pooled(how: str) -> str:
+    agg = {"mean": "avg", "max": "max"}[how]
+    return f"{_POOLED} g AS (SELECT product_id, pos, {agg}(x) AS x FROM u GROUP BY ALL), pv AS (SELECT product_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY product_id)) AS x FROM g)"
+
+
+for _h in ("mean", "max"):
+
+    def _pooled_query(spark, sf, how=_h):
+        """The coordinates of pooled vectors."""
+        pooled = retrieval.pooled_vectors(X.points(spark, sf), how=how)
+        return pooled.select("product_id", F.posexplode("vector").alias("pos", "x")).select("product_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
+
+    register(f"pooled_vectors_{_h}", f"WITH p AS ({POINTS}), {_pooled(_h)} SELECT product_id, CAST(pos AS INT) AS pos, round(x, 6) + 0.0::DOUBLE AS x FROM pv")(_pooled_query)
 
 
 @register("embedding_validation", "SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS wrong_size, count(*) FILTER (len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0) AS not_finite, count(*) FILTER (abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.01) AS not_unit FROM embeddings")
@@ -226,7 +241,9 @@ def retrieval_report(spark, sf):
     return evaluation.report(evaluation.ranking_metrics(_ranking(spark, sf), X.judgments(spark, sf)))
 
 
-@register("list_diversity")
+@register("list_diversity", f"""WITH {_RANKING}, {_pooled('mean')}, pq AS (SELECT a.query_id, a.product_id AS pa, b.product_id AS pb FROM r a JOIN r b ON a.query_id = b.query_id AND a.product_id < b.product_id),
+dc AS (SELECT query_id, pa, pb, sum(v.x * w.x) AS cosine FROM pq JOIN pv v ON v.product_id = pa JOIN pv w ON w.product_id = pb AND w.pos = v.pos GROUP BY ALL),
+dn AS (SELECT DISTINCT query_id FROM r) SELECT dn.query_id, round(coalesce(avg(1 - cosine), 0), 6) AS diversity FROM dn LEFT JOIN dc ON dc.query_id = dn.query_id GROUP BY dn.query_id""")
 def list_diversity(spark, sf):
     return evaluation.list_diversity(_ranking(spark, sf), retrieval.pooled_vectors(X.points(spark, sf)))
 
@@ -255,12 +272,9 @@ _PAIRS = ((1.0, 0.0), (0.9, 0.1), (0.8, 0.2), (0.7, 0.3), (0.6, 0.4), (0.5, 0.5)
 
 @register("weight_sweep", _sweep_sql([(f"{a}/{b}", f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM ({_blend(a, b, 'a')}) QUALIFY rank <= 10") for a, b in _PAIRS]))
 def weight_sweep(spark, sf):
-    """One pass over the products for all weight pairs; each pair is a column of scores."""
+    """One search and one scoring of products; every weight pair is a row of each product."""
     products = retrieval.product_scores(X.chunks(spark, sf))
-    parts = [retrieval.ranked(retrieval.weighted_ranking(products, a, b), 10).withColumn("config", F.lit(f"{a}/{b}")) for a, b in _PAIRS]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = retrieval.weight_rankings(products, _PAIRS, 10)
     return evaluation.report(evaluation.ranking_metrics(every, X.judgments(spark, sf), by=("config",)), ("config",))
 
 
@@ -287,25 +301,96 @@ def metric_breakdown(spark, sf):
     return evaluation.breakdown(evaluation.ranking_metrics(_ranking(spark, sf), X.judgments(spark, sf)), tags, ("label",), ("tags",))
 
 
-@register("baseline_comparison", f"""WITH {_ALL}, {JUDGED}, a AS ({_products('max')}),
+@register("baseline_comparison", f"""WITH {_ALL}, {JUDGED}, a AS ({_products('max')}), {_pooled('mean')},
 n AS (SELECT product_id, count(*) AS n FROM p GROUP BY product_id),
 pr AS (SELECT q.query_id, t.product_id, t.rank FROM q JOIN (SELECT product_id, row_number() OVER (ORDER BY n DESC, product_id) AS rank FROM n QUALIFY rank <= 10) t ON TRUE),
-rr AS (SELECT q.query_id, t.product_id, t.rank FROM q JOIN (SELECT product_id, row_number() OVER (ORDER BY md5(CAST(product_id AS VARCHAR) || '|42'), product_id) AS rank FROM n QUALIFY rank <= 10) t ON TRUE),
-rt AS ({_ranked('a', 10)}) """ + " UNION ALL ".join(f"SELECT '{name}' AS method, * FROM (WITH {_metrics(src)} SELECT {_MEANS} FROM m)" for name, src in (("popularity", "pr"), ("random", "rr"), ("retrieval", "rt"))))
+rd AS (SELECT q.query_id, t.product_id, t.rank FROM q JOIN (SELECT product_id, row_number() OVER (ORDER BY md5(CAST(product_id AS VARCHAR) || '|42'), product_id) AS rank FROM n QUALIFY rank <= 10) t ON TRUE),
+qu AS (SELECT query_id, generate_subscripts(vector, 1) - 1 AS pos, unnest(vector) AS x FROM q), qn AS (SELECT query_id, pos, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS x FROM qu),
+kn AS (SELECT query_id, product_id, round(sum(qn.x * pv.x), 6) AS score FROM qn JOIN pv USING (pos) GROUP BY ALL), kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM kn QUALIFY rank <= 10),
+rt AS ({_ranked('a', 10)}) """ + " UNION ALL ".join(f"SELECT '{name}' AS method, * FROM (WITH {_metrics(src)} SELECT {_MEANS} FROM m)" for name, src in (("popularity", "pr"), ("random", "rd"), ("item_neighbours", "kr"), ("retrieval", "rt"))))
 def baseline_comparison(spark, sf):
-    """Popularity, a seeded random list, and retrieval."""
+    """Popularity, a seeded random list, item neighbours, and retrieval."""
     n = X.points(spark, sf).groupBy("product_id").agg(F.count("*").alias("n"))
-    ids = X.queries(spark, sf).select("query_id")
-    every = _ranking(spark, sf).select("query_id", "product_id", "rank").withColumn("method", F.lit("retrieval"))
-    lot = F.md5(F.concat(F.col("product_id").cast("string"), F.lit("|42")).cast("binary"))
-    for name, order in (("popularity", -F.col("n")), ("random", lot)):
-        top = n.select(order.alias("o"), "product_id").orderBy("o", "product_id").limit(10)
-        row = top.agg(F.array_sort(F.collect_list(F.struct("o", "product_id"))).alias("l"))  # one row of ten products
-        lists = ids.join(F.broadcast(row)).select("query_id", F.posexplode("l").alias("pos", "x")).select("query_id", F.col("x.product_id").alias("product_id"), (F.col("pos") + 1).alias("rank"))
-        every = every.unionByName(lists.withColumn("method", F.lit(name)))
+    asked = X.queries(spark, sf)
+    lists = {
+        "popularity": evaluation.popularity_lists(asked, n),
+        "random": evaluation.random_lists(asked, n),
+        "item_neighbours": evaluation.nearest_product_lists(asked, retrieval.pooled_vectors(X.points(spark, sf))),
+        "retrieval": _ranking(spark, sf),
+    }
+    every = None
+    for name, rows in lists.items():
+        part = rows.select("query_id", "product_id", "rank").withColumn("method", F.lit(name))
+        every = part if every is None else every.unionByName(part)
     return evaluation.report(evaluation.ranking_metrics(every, X.judgments(spark, sf), by=("method",)), ("method",))
 
 
+@register("rating_filter_sweep", " UNION ALL ".join(f"SELECT '{name}' AS config, * FROM (WITH {SEARCH.format(where=where)}, {JUDGED}, a AS ({_products('max')}), r AS ({_ranked('a', 10)}), {_metrics('r')} SELECT {_MEANS} FROM m)" for name, where in (("none", "TRUE"), ("3.0", "p.rating >= 3"), ("4.0", "p.rating >= 4"))))
+def rating_filter_sweep(spark, sf):
+    """The ranking with a least rating of none, 3 and 4."""
+    every = None
+    for name, least in (("none", None), ("3.0", 3.0), ("4.0", 4.0)):
+        part = retrieval.ranked(retrieval.product_scores(X.chunks(spark, sf, least_rating=least)), 10).withColumn("config", F.lit(name))
+        every = part if every is None else every.unionByName(part)
+    return evaluation.report(evaluation.ranking_metrics(every, X.judgments(spark, sf), by=("config",)), ("config",))
+
+
+@register("full_report", f"""WITH {_RANKING}, {_metrics('r')}, {_pooled('mean')}, {_POP}, pq AS (SELECT a.query_id, a.product_id AS pa, b.product_id AS pb FROM r a JOIN r b ON a.query_id = b.query_id AND a.product_id < b.product_id),
+cs AS (SELECT query_id, pa, pb, sum(v.x * w.x) AS cosine FROM pq JOIN pv v ON v.product_id = pa JOIN pv w ON w.product_id = pb AND w.pos = v.pos GROUP BY ALL), dv AS (SELECT query_id, round(avg(1 - cosine), 6) AS diversity FROM cs GROUP BY query_id),
+nv AS (SELECT query_id, round(avg(-log2(greatest(coalesce(share, 0.001::DOUBLE), 0.001::DOUBLE))), 6) AS novelty FROM r LEFT JOIN pop USING (product_id) WHERE query_id % 100 = 0 GROUP BY query_id)
+SELECT {_MEANS}, round(avg(diversity), 6) AS diversity, round(avg(novelty), 6) AS novelty, (SELECT round(count(DISTINCT product_id)::DOUBLE / (SELECT count(DISTINCT product_id) FROM p), 6) FROM r) AS coverage FROM m LEFT JOIN dv USING (query_id) LEFT JOIN nv USING (query_id)""")
+def full_report(spark, sf):
+    """All means; novelty is known for every other query only, and its mean is over those."""
+    ranking = _ranking(spark, sf)
+    popular = interactions.item_popularity(X.interactions(spark, sf)).select(F.col("item_id").alias("product_id"), "share")
+    return evaluation.full_report(
+        evaluation.ranking_metrics(ranking, X.judgments(spark, sf)), evaluation.list_diversity(ranking, retrieval.pooled_vectors(X.points(spark, sf))),
+        evaluation.novelty(ranking, popular).where("query_id % 100 = 0"), evaluation.catalog_coverage(ranking, X.points(spark, sf)),
+    )
+
+
+@register("hit_list", f"WITH {_RANKING}, h AS (SELECT r.query_id, r.rank, r.product_id, j.grade FROM r LEFT JOIN j ON j.query_id = r.query_id AND j.product_id = r.product_id) SELECT query_id, CAST(min(rank) FILTER (grade > 0) AS INT) AS first_rank, coalesce(string_agg(product_id || ':' || CAST(grade AS INT), ',' ORDER BY rank) FILTER (grade > 0), '') AS hits FROM h GROUP BY query_id")
+def hit_list(spark, sf):
+    found = evaluation.hit_list(_ranking(spark, sf), X.judgments(spark, sf))
+    shown = F.array_join(F.transform("hits", lambda h: F.concat_ws(":", h["product_id"].cast("string"), h["grade"].cast("int").cast("string"))), ",")
+    return found.select("query_id", "first_rank", shown.alias("hits"))
+
+
+@register("case_counters", f"WITH p AS ({POINTS}), q AS (SELECT point_id AS query_id, CASE WHEN label > 0 THEN label END AS label, ['all', CASE WHEN point_id % 100 = 0 THEN 'even' ELSE 'odd' END, 'all'] AS tags FROM p WHERE point_id % 50 = 0), t AS (SELECT 'label' AS field, coalesce(CAST(label AS VARCHAR), 'unknown') AS value FROM q UNION ALL SELECT 'tags', unnest(list_distinct(tags)) FROM q) SELECT field, value, count(*) AS cases FROM t GROUP BY ALL")
+def case_counters(spark, sf):
+    rows = X.queries(spark, sf).select(F.when(F.col("label") > 0, F.col("label")).alias("label"), F.array(F.lit("all"), F.when(F.col("query_id") % 100 == 0, "even").otherwise("odd"), F.lit("all")).alias("tags"))
+    return evaluation.case_counters(rows, ("label",), ("tags",))
+
+
+@register("dataset_statistics", f"WITH p AS ({POINTS}), q AS (SELECT point_id AS query_id, vector, label FROM p WHERE point_id % 50 = 0), {JUDGED} SELECT (SELECT count(*) FROM q) AS queries, count(*) AS relevant, count(DISTINCT product_id) AS products, round(count(*)::DOUBLE / (SELECT count(*) FROM q), 6) AS avg_relevant FROM j WHERE grade > 0")
+def dataset_statistics(spark, sf):
+    return evaluation.dataset_statistics(X.judgments(spark, sf), X.queries(spark, sf))
+
+
+def _config_sql() -> str:
+    side = "SELECT '{c}' AS config, * FROM (WITH r AS ({r}), {m} SELECT * FROM m)"
+    both = " UNION ALL ".join(side.format(c=c, r=_ranked(src, 10), m=_metrics("r")) for c, src in (("baseline", "a"), ("candidate", "b")))
+    cols = ", ".join(f"round(max(CASE WHEN config = '{c}' THEN {m} END), 6) AS {c}_{m}" for c in ("baseline", "candidate") for m in evaluation.METRICS)
+    means = ", ".join(f"avg({m}) AS {m}" for m in evaluation.METRICS)
+    whole = ", ".join(f"sum({m} * n) / sum(n) AS {m}" for m in evaluation.METRICS)
+    ok = "round(candidate_mrr - baseline_mrr, 6) >= -0.005 AND round(candidate_hit - baseline_hit, 6) >= -0.01 AND round(candidate_recall - baseline_recall, 6) >= -0.01"
+    return f"""WITH {_ALL}, {JUDGED}, a AS ({_products('max')}), b AS ({_blend(0.8, 0.2, 'a')}), pm AS ({both}), ps AS (SELECT pm.*, {_SUBSET} AS subset FROM pm UNION ALL SELECT pm.*, 'every' FROM pm),
+g AS (SELECT subset, config, count(*) AS n, {means} FROM ps GROUP BY ALL), ga AS (SELECT * FROM g UNION ALL SELECT NULL, config, sum(n), {whole} FROM g GROUP BY config), wd AS (SELECT subset, CAST(max(n) AS BIGINT) AS queries, {cols} FROM ga GROUP BY subset)
+SELECT *, round(candidate_ndcg - baseline_ndcg, 6) AS ndcg_delta, {ok} AS guardrails_passed, CASE WHEN round(candidate_ndcg - baseline_ndcg, 6) >= 0.01 AND {ok} THEN 'candidate' ELSE 'baseline' END AS recommended_config FROM wd"""
+
+
+@register("retrieval_config_comparison", _config_sql())
+def retrieval_config_comparison(spark, sf):
+    """Two configurations over four subsets."""
+    products = retrieval.product_scores(X.chunks(spark, sf))
+    sides = [retrieval.ranked(p, 10).withColumn("config", F.lit(c)) for c, p in (("baseline", products), ("candidate", retrieval.weighted_ranking(products)))]
+    per_query = evaluation.ranking_metrics(sides[0].unionByName(sides[1]), X.judgments(spark, sf), by=("config",))
+    m = F.col("query_id") % 3
+    own = F.when(m == 0, "retrieval_dev_holdout").when(m == 1, "faithfulness_dev_seed").otherwise("own")
+    subsets = X.queries(spark, sf).select("query_id", F.explode(F.array(own, F.lit("every"))).alias("subset"))
+    return evaluation.config_comparison(per_query, subsets)
+
+
 @register("retrieval_ab_decision", f"""WITH {_ALL}, {JUDGED}, a AS ({_products('max')}), b AS ({_blend(0.8, 0.2, 'a')}),
 x AS (SELECT * FROM (WITH r AS ({_ranked('a', 10)}), {_metrics('r')} SELECT {_MEANS} FROM m)), y AS (SELECT * FROM (WITH r AS ({_ranked('b', 10)}), {_metrics('r')} SELECT {_MEANS} FROM m))
 SELECT x.ndcg AS baseline_ndcg, y.ndcg AS candidate_ndcg, round(y.ndcg - x.ndcg, 6) AS ndcg_delta, round(y.mrr - x.mrr, 6) >= -0.005 AND round(y.hit - x.hit, 6) >= -0.01 AND round(y.recall - x.recall, 6) >= -0.01 AS guardrails_passed,
@@ -318,7 +403,17 @@ def retrieval_ab_decision(spark, sf):
     return evaluation.retrieval_decision(one.join(two)).select("baseline_ndcg", "candidate_ndcg", "ndcg_delta", "guardrails_passed", "recommended_config")
 
 
-@register("bootstrap_ci")
+def _copies_sql(key: str, sample: str, seed: int) -> str:
+    edges, e, p = [], 0.0, 0.36787944117144233
+    for n in range(1, 9):
+        e += p
+        edges.append(f"(lot >= {e!r}::DOUBLE)::INT")
+        p /= n
+    return f"(SELECT {' + '.join(edges)} FROM (SELECT ('0x' || md5({key} || '|' || {sample} || '|{seed}')[1:8])::UBIGINT::DOUBLE / 4294967296.0::DOUBLE AS lot))"
+
+
+@register("bootstrap_ci", f"""WITH {_RANKING}, {_metrics('r')}, b AS (SELECT unnest(range(1, 201)) AS b), bs AS (SELECT b, ndcg, {_copies_sql('query_id', 'b', 13)} AS c FROM m, b),
+e AS (SELECT b, sum(ndcg * c) / nullif(sum(c), 0) AS v FROM bs GROUP BY b) SELECT (SELECT round(avg(ndcg), 6) FROM m) AS mean, round(quantile_cont(v, 0.025), 6) AS lower, round(quantile_cont(v, 0.975), 6) AS upper FROM e""")
 def bootstrap_ci(spark, sf):
     return evaluation.bootstrap_ci(evaluation.ranking_metrics(_ranking(spark, sf), X.judgments(spark, sf)), "ndcg")
 
@@ -335,8 +430,17 @@ pq AS (SELECT g.min_tokens, g.min_chunks, g.min_score, o.query_id, count(*) AS n
 pc AS (SELECT min_tokens, min_chunks, min_score, count(*) FILTER (r > 0) AS accepted_queries, CAST(sum(n) AS BIGINT) AS accepted_count, CAST(sum(r) AS BIGINT) AS accepted_relevant_count, sum(gm) AS accepted_relevant_grade_mass FROM pq GROUP BY ALL),
 z AS (SELECT g.*, tt.*, coalesce(accepted_queries, 0) AS accepted_queries, coalesce(accepted_count, 0) AS accepted_count, coalesce(accepted_relevant_count, 0) AS accepted_relevant_count, coalesce(accepted_relevant_grade_mass, 0) AS accepted_relevant_grade_mass, coalesce(accepted_count, 0) - coalesce(accepted_relevant_count, 0) AS accepted_irrelevant_count
       FROM g CROSS JOIN tt LEFT JOIN pc ON pc.min_tokens = g.min_tokens AND pc.min_chunks = g.min_chunks AND pc.min_score = g.min_score),
-y AS (SELECT *, {', '.join(f'round(coalesce({a}::DOUBLE / nullif({b}, 0), 0), 6) AS {n}' for n, a, b in calibration.RATES)} FROM z)"""
-_BEST = "SELECT * FROM y ORDER BY CASE WHEN accepted_queries / total_queries >= (SELECT max(accepted_queries / total_queries) FROM y) * 0.95::DOUBLE AND accepted_relevant_count > 0 THEN 0 WHEN accepted_relevant_count > 0 THEN 1 ELSE 2 END, precision_at_accept DESC, query_success_rate DESC, retrieved_relevant_grade_mass_pass_rate DESC, min_tokens, min_chunks, min_score LIMIT 1"
+rr AS (SELECT *, coalesce(candidate_hit_queries::DOUBLE / nullif(total_queries, 0), 0) AS r_hit, coalesce(accepted_queries::DOUBLE / nullif(total_queries, 0), 0) AS r_success, coalesce(accepted_queries::DOUBLE / nullif(candidate_hit_queries, 0), 0) AS r_conditional,
+      coalesce(accepted_count::DOUBLE / nullif(total_observations, 0), 0) AS r_acceptance, coalesce(accepted_relevant_count::DOUBLE / nullif(accepted_count, 0), 0) AS r_precision, coalesce(accepted_relevant_count::DOUBLE / nullif(total_retrieved_relevant, 0), 0) AS r_pass,
+      coalesce(accepted_relevant_grade_mass / nullif(total_retrieved_relevant_grade_mass, 0), 0) AS r_mass FROM z),
+yr AS (SELECT *, coalesce(r_success / nullif(r_hit, 0), 0) AS r_retention FROM rr),
+y AS (SELECT * EXCLUDE (r_hit, r_success, r_conditional, r_acceptance, r_precision, r_pass, r_mass, r_retention), round(r_hit, 4) AS candidate_hit_rate, round(r_success, 4) AS query_success_rate, round(r_conditional, 4) AS conditional_query_success_rate, round(r_retention, 4) AS query_success_retention,
+      round(r_acceptance, 4) AS acceptance_rate, round(r_precision, 4) AS precision_at_accept, round(r_pass, 4) AS retrieved_relevant_pass_rate, round(r_mass, 4) AS retrieved_relevant_grade_mass_pass_rate FROM yr)"""
+_RAW = "y.*, yr.r_hit, yr.r_success, yr.r_conditional, yr.r_acceptance, yr.r_precision, yr.r_pass, yr.r_mass FROM y JOIN yr USING (min_tokens, min_chunks, min_score)"
+_TIER = "CASE WHEN r_success >= (SELECT max(r_success) FROM yr) * 0.95::DOUBLE AND accepted_relevant_count > 0 THEN 0 WHEN accepted_relevant_count > 0 THEN 1 ELSE 2 END"
+_PLACE = "r_precision DESC, r_success DESC, r_mass DESC, min_tokens, min_chunks, min_score"
+_BEST = f"SELECT * EXCLUDE (r_hit, r_success, r_conditional, r_acceptance, r_precision, r_pass, r_mass) FROM (SELECT {_RAW}) ORDER BY {_TIER}, {_PLACE} LIMIT 1"
+_LONG = "l AS (SELECT min_tokens, min_chunks, min_score, unnest(['candidate_hit_rate', 'query_success_rate', 'conditional_query_success_rate', 'query_success_retention', 'acceptance_rate', 'precision_at_accept', 'retrieved_relevant_pass_rate', 'retrieved_relevant_grade_mass_pass_rate']) AS metric, unnest([r_hit, r_success, r_conditional, r_retention, r_acceptance, r_precision, r_pass, r_mass]) AS value FROM yr)"
 
 
 def _observations(spark, sf):
@@ -358,15 +462,107 @@ def gate_recommended_threshold(spark, sf):
     return calibration.recommended_threshold(_sweep(spark, sf))
 
 
-@register("gate_threshold_comparison", f"""WITH {_GRID}, u AS (UNPIVOT (SELECT min_tokens, min_chunks, min_score, {', '.join(n for n, _, _ in calibration.RATES)} FROM y) ON {', '.join(n for n, _, _ in calibration.RATES)} INTO NAME metric VALUE value)
-SELECT a.metric, a.value AS baseline, b.value AS candidate, round(b.value - a.value, 4) AS delta FROM u a JOIN u b USING (metric) WHERE (a.min_tokens, a.min_chunks, a.min_score) = (20, 1, 0.2::DOUBLE) AND (b.min_tokens, b.min_chunks, b.min_score) = (100, 1, 0.25::DOUBLE)""")
+@register("gate_threshold_comparison", f"""WITH {_GRID}, {_LONG}
+SELECT a.metric, round(a.value, 4) AS baseline, round(b.value, 4) AS candidate, round(b.value - a.value, 4) AS delta FROM l a JOIN l b USING (metric) WHERE (a.min_tokens, a.min_chunks, a.min_score) = (20, 1, 0.2::DOUBLE) AND (b.min_tokens, b.min_chunks, b.min_score) = (100, 1, 0.25::DOUBLE)""")
 def gate_threshold_comparison(spark, sf):
     return calibration.compare_thresholds(_sweep(spark, sf), (20, 1, 0.2), (100, 1, 0.25))
 
 
-@register("calibration_dataset_summary", f"WITH {_OBS}, n AS (SELECT q.query_id, count(o.query_id) AS n, count(*) FILTER (o.grade > 0) AS r FROM q LEFT JOIN o ON o.query_id = q.query_id GROUP BY q.query_id) SELECT count(*) AS queries, min(n) AS min_candidates, quantile_cont(n, 0.5) AS median_candidates, max(n) AS max_candidates, round(avg(n), 6) AS mean_candidates, round(avg((r > 0)::INT::DOUBLE), 6) AS candidate_hit_rate FROM n")
+_DELTAS = ", ".join(f"round({r} - (SELECT {r} FROM yr WHERE (min_tokens, min_chunks, min_score) = (20, 1, 0.2::DOUBLE)), 4) AS {n}_delta" for n, r in (("precision_at_accept", "r_precision"), ("query_success_rate", "r_success"), ("conditional_query_success_rate", "r_conditional"), ("retrieved_relevant_pass_rate", "r_pass"), ("retrieved_relevant_grade_mass_pass_rate", "r_mass"), ("acceptance_rate", "r_acceptance")))
+
+
+@register("gate_sweep_report", f"""WITH {_GRID}, k AS (SELECT {_RAW}), tp AS (SELECT *, row_number() OVER (ORDER BY {_PLACE}) AS place FROM k),
+u AS (SELECT *, 'top' AS role FROM tp WHERE place <= 20 UNION ALL SELECT *, 0, 'current' FROM k WHERE (min_tokens, min_chunks, min_score) = (20, 1, 0.2::DOUBLE) UNION ALL SELECT * FROM (SELECT *, 0, 'recommended' FROM k ORDER BY {_TIER}, {_PLACE} LIMIT 1))
+SELECT * EXCLUDE (r_hit, r_success, r_conditional, r_acceptance, r_precision, r_pass, r_mass), {_DELTAS}, round((SELECT max(r_success) FROM yr) * 0.95::DOUBLE, 4) AS required_query_success_rate FROM u""")
+def gate_sweep_report(spark, sf):
+    return calibration.sweep_report(_sweep(spark, sf), (20, 1, 0.2))
+
+
+_BOOT = """x AS (SELECT q.query_id, count(o.query_id) AS n, count(*) FILTER (o.grade > 0) AS r, count(*) FILTER (o.total_tokens >= 20 AND o.chunk_count >= 1 AND o.top_score >= 0.2) AS an, count(*) FILTER (o.grade > 0 AND o.total_tokens >= 20 AND o.chunk_count >= 1 AND o.top_score >= 0.2) AS ar FROM q LEFT JOIN o ON o.query_id = q.query_id GROUP BY q.query_id)"""
+
+
+@register("gate_bootstrap", f"""WITH {_OBS}, {_BOOT}, b AS (SELECT unnest(range(1, 201)) AS b), bs AS (SELECT b, x.*, {_copies_sql('query_id', 'b', 13)} AS c FROM x, b),
+e AS (SELECT b, coalesce(sum(c * ar)::DOUBLE / nullif(sum(c * an), 0), 0) AS p, coalesce(sum(c * (ar > 0)::INT)::DOUBLE / nullif(sum(c), 0), 0) AS s, coalesce(sum(c * (ar > 0)::INT)::DOUBLE / nullif(sum(c * (r > 0)::INT), 0), 0) AS k, coalesce(sum(c * ar)::DOUBLE / nullif(sum(c * r), 0), 0) AS v FROM bs GROUP BY b),
+l AS (SELECT unnest(['precision_at_accept', 'query_success_rate', 'conditional_query_success_rate', 'retrieved_relevant_pass_rate']) AS metric, unnest([p, s, k, v]) AS v FROM e)
+SELECT metric, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.025), 4) AS lower, round(quantile_cont(v, 0.975), 4) AS upper FROM l GROUP BY metric""")
+def gate_bootstrap(spark, sf):
+    return calibration.bootstrap_thresholds(X.queries(spark, sf), _observations(spark, sf), (20, 1, 0.2))
+
+
+_ATT = "att AS (SELECT point_id AS query_id, label AS source_type, CASE WHEN point_id % 150 = 0 THEN 'timeout' END AS error FROM p WHERE point_id % 50 = 0)"
+_DONE = f"""{_OBS}, {_ATT}, dn AS (SELECT query_id, source_type FROM att WHERE error IS NULL), dr AS (SELECT dn.query_id, count(o.query_id) AS n, count(*) FILTER (o.grade > 0) AS r FROM dn LEFT JOIN o ON o.query_id = dn.query_id GROUP BY dn.query_id),
+rc AS (SELECT query_id, count(*) AS relevant_count FROM j WHERE grade > 0 GROUP BY query_id)"""
+
+
+def _attempted(spark, sf):
+    return X.queries(spark, sf).select("query_id", F.col("label").alias("source_type"), F.when(F.col("query_id") % 150 == 0, "timeout").alias("error"))
+
+
+def _completed(spark, sf):
+    attempted = _attempted(spark, sf)
+    relevant = X.judgments(spark, sf).where("grade > 0").groupBy("query_id").agg(F.count("*").alias("relevant_count"))
+    done = attempted.where("error is null").select("query_id", "source_type").join(relevant, "query_id", "left").na.fill(0)
+    return done, calibration.restrict(_observations(spark, sf), done), attempted.where("error is not null").select("query_id", "source_type")
+
+
+@register("calibration_dataset_summary", f"""WITH {_DONE}, f AS (SELECT count(DISTINCT query_id) AS failed_queries FROM att WHERE error IS NOT NULL),
+sm AS (SELECT count(*) AS queries, min(n) AS min_candidates, quantile_cont(n, 0.5) AS median_candidates, max(n) AS max_candidates, round(avg(n), 3) AS mean_candidates, CAST(sum(n) AS BIGINT) AS observations, CAST(sum(r) AS BIGINT) AS relevant_observations,
+count(*) FILTER (r > 0) AS candidate_hit_queries, round(avg((r > 0)::INT::DOUBLE), 4) AS candidate_hit_rate, min(coalesce(relevant_count, 0)) AS min_relevant_items, quantile_cont(coalesce(relevant_count, 0), 0.5) AS median_relevant_items, max(coalesce(relevant_count, 0)) AS max_relevant_items FROM dr LEFT JOIN rc USING (query_id))
+SELECT sm.*, failed_queries, queries + failed_queries AS attempted_queries, round(failed_queries::DOUBLE / (queries + failed_queries), 4) AS failed_query_rate, round(queries::DOUBLE / (queries + failed_queries), 4) AS query_coverage_rate FROM sm, f""")
 def calibration_dataset_summary(spark, sf):
-    return calibration.dataset_summary(X.queries(spark, sf), _observations(spark, sf))
+    return calibration.dataset_summary(*_completed(spark, sf))
+
+
+@register("calibration_group_counts", f"WITH p AS ({POINTS}), {_ATT} SELECT source_type, count(*) FILTER (error IS NULL) AS completed, count(*) FILTER (error IS NOT NULL) AS failed FROM att GROUP BY source_type")
+def calibration_group_counts(spark, sf):
+    done, _, failed = _completed(spark, sf)
+    return calibration.group_counts(done, "source_type", failed)
+
+
+@register("calibration_dataset_rows", f"""WITH {_ALL}, {JUDGED}, {_ATT}, a AS ({_products('max')}), r AS ({_ranked('a', 10)}), k AS (SELECT r.query_id, r.product_id, CAST(r.rank AS INT) AS rank, coalesce(j.grade, 0) AS grade FROM r JOIN att ON att.query_id = r.query_id AND att.error IS NULL LEFT JOIN j ON j.query_id = r.query_id AND j.product_id = r.product_id) SELECT * FROM k""")
+def calibration_dataset_rows(spark, sf):
+    _, rows = calibration.dataset_rows(X.judgments(spark, sf), _ranking(spark, sf, 20), _attempted(spark, sf))
+    return rows.select("query_id", "product_id", "rank", "grade")
+
+
+@register("calibration_failure_budget", f"WITH p AS ({POINTS}), {_ATT}, s AS (SELECT count(DISTINCT query_id) AS attempted, count(DISTINCT CASE WHEN error IS NOT NULL THEN query_id END) AS failed FROM att) SELECT attempted, failed, round(failed::DOUBLE / attempted, 4) AS failure_rate, failed <= 25 AND failed::DOUBLE / attempted <= 0.02 AS within_budget FROM s")
+def calibration_failure_budget(spark, sf):
+    return calibration.failure_budget(_attempted(spark, sf))
+
+
+@register("missed_relevant_items", f"WITH {_ALL}, {JUDGED}, a AS ({_products('max')}), r AS ({_ranked('a', 10)}) SELECT j.query_id, j.product_id, j.grade FROM j ANTI JOIN r ON r.query_id = j.query_id AND r.product_id = j.product_id WHERE grade > 0")
+def missed_relevant_items(spark, sf):
+    return calibration.missed_items(X.judgments(spark, sf), _ranking(spark, sf))
+
+
+
+
+@register("gate_holdout_comparison", f"""WITH {_OBS}, ss AS (SELECT q.query_id, {_SUBSET.replace('query_id', 'q.query_id')} AS subset, o.product_id, o.grade, o.total_tokens, o.chunk_count, o.top_score FROM q LEFT JOIN o ON o.query_id = q.query_id),
+sd AS (SELECT *, 'baseline' AS side, coalesce(total_tokens >= 20 AND chunk_count >= 1 AND top_score >= 0.2, false) AS ok FROM ss UNION ALL SELECT *, 'candidate', coalesce(total_tokens >= 100 AND chunk_count >= 2 AND top_score >= 0.25, false) FROM ss),
+pq AS (SELECT subset, side, query_id, count(product_id) AS n, count(*) FILTER (grade > 0) AS r, coalesce(sum(grade) FILTER (grade > 0), 0) AS g, count(*) FILTER (ok) AS an, count(*) FILTER (ok AND grade > 0) AS ar, coalesce(sum(grade) FILTER (ok AND grade > 0), 0) AS ag FROM sd GROUP BY ALL),
+hc AS (SELECT subset, side, count(*)::DOUBLE AS q, sum(n)::DOUBLE AS n, sum(r)::DOUBLE AS r, sum(g)::DOUBLE AS g, sum(an)::DOUBLE AS an, sum(ar)::DOUBLE AS ar, sum(ag)::DOUBLE AS ag, count(*) FILTER (r > 0)::DOUBLE AS hq, count(*) FILTER (ar > 0)::DOUBLE AS aq FROM pq GROUP BY ALL),
+l AS (SELECT subset, side, unnest(['candidate_hit_rate', 'query_success_rate', 'conditional_query_success_rate', 'query_success_retention', 'acceptance_rate', 'precision_at_accept', 'retrieved_relevant_pass_rate', 'retrieved_relevant_grade_mass_pass_rate']) AS metric,
+unnest([hq / q, aq / q, coalesce(aq / nullif(hq, 0), 0), coalesce((aq / q) / nullif(hq / q, 0), 0), coalesce(an / nullif(n, 0), 0), coalesce(ar / nullif(an, 0), 0), coalesce(ar / nullif(r, 0), 0), coalesce(ag / nullif(g, 0), 0)]) AS v FROM hc)
+SELECT a.subset, CASE a.subset WHEN 'retrieval_dev_holdout' THEN 'promotion_holdout' WHEN 'faithfulness_dev_seed' THEN 'diagnostic_non_promotion' ELSE 'custom_non_promotion' END AS role, a.metric, round(a.v, 4) AS baseline, round(b.v, 4) AS candidate, round(b.v - a.v, 4) AS delta
+FROM l a JOIN l b ON a.subset = b.subset AND a.metric = b.metric WHERE a.side = 'baseline' AND b.side = 'candidate'""")
+def gate_holdout_comparison(spark, sf):
+    m = F.col("query_id") % 3
+    queries = X.queries(spark, sf).select("query_id", F.when(m == 0, "retrieval_dev_holdout").when(m == 1, "faithfulness_dev_seed").otherwise("own").alias("subset"))
+    return calibration.holdout_comparison(queries, _observations(spark, sf), (20, 1, 0.2), (100, 2, 0.25))
+
+
+@register("case_evidence_metrics", f"""WITH {_ALL}, t AS (SELECT c.query_id, c.product_id, CAST(length(coalesce(d.text, '')) // 4 AS BIGINT) AS tokens FROM c LEFT JOIN documents d ON d.doc_id = c.chunk_id WHERE c.query_id % 100 = 0)
+SELECT query_id, product_id, count(*) AS chunk_count, CAST(sum(tokens) AS BIGINT) AS total_tokens, min(tokens) AS min_chunk_tokens, max(tokens) AS max_chunk_tokens FROM t GROUP BY ALL""")
+def case_evidence_metrics(spark, sf):
+    """A20 over the evidence of every other query's products."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    rows = X.chunks(spark, sf).where("query_id % 100 = 0").join(d, "chunk_id", "left").groupBy("query_id", "product_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("evidence_texts"))
+    return calibration.evidence_metrics(rows).drop("evidence_texts")
+
+
+@register("limited_queries", "SELECT event_id AS query_id, (SELECT count(*) FROM events) > 50 AS sample_limited FROM events ORDER BY event_id LIMIT 50")
+def limited_queries(spark, sf):
+    return calibration.limit_queries(table(spark, sf, "events").select(F.col("event_id").alias("query_id")), 50, ["query_id"])
 
 
 # --- text policies and verification ----------------------------------------------------
@@ -606,6 +802,13 @@ def numbered_candidates(spark, sf):
     return querybank.numbered(table(spark, sf, "part").select("p_name", "p_partkey"), "qc", ["p_name", "p_partkey"]).select("query_id", "p_name", "p_partkey")
 
 
+@register("numbered_by_size", "SELECT printf('mq_%05d', row_number() OVER (ORDER BY CASE WHEN p_partkey % 31 <> 0 THEN p_size END DESC NULLS FIRST, p_partkey)) AS query_id, p_partkey FROM part")
+def numbered_by_size(spark, sf):
+    """W9 with integers, in falling order, with nulls."""
+    rows = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 31 != 0, F.col("p_size")).alias("size"))
+    return querybank.numbered(rows, "mq", [F.col("size").desc_nulls_first(), "p_partkey"]).select("query_id", "p_partkey")
+
+
 @register("corpus_anchor", "WITH i AS (SELECT DISTINCT md5(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem), b AS (SELECT h[1:3] AS b, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS d FROM i GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS products, sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM b")
 def corpus_anchor(spark, sf):
     return querybank.corpus_anchor(table(spark, sf, "lineitem"), "l_partkey")
@@ -719,11 +922,15 @@ def faithfulness_by_lang(spark, sf):
     return faithfulness.score_report(X.scored(spark, sf).select("doc_id", "score").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id"), ("lang",))
 
 
-@register("stratified_sample", """WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), s AS (SELECT *, n * 100 / sum(n) OVER () AS exact FROM c), b AS (SELECT *, greatest(CAST(floor(exact) AS BIGINT), 1) AS base FROM s),
-q AS (SELECT *, least(n, base + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, lang) <= 100 - sum(base) OVER () THEN 1 ELSE 0 END) AS quota FROM b),
-r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM documents) SELECT r.doc_id, r.lang FROM r JOIN q USING (lang) WHERE r.r <= q.quota""")
+@register("stratified_sample", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN lang END AS lang FROM documents), c AS (SELECT lang, count(*) AS n FROM d GROUP BY lang),
+f AS (SELECT *, CASE WHEN count(*) OVER () <= 100 THEN 1 ELSE 0 END AS first FROM c), i AS (SELECT *, n - first AS lft, 100 - sum(first) OVER () AS rest FROM f),
+j AS (SELECT *, CAST(rest * lft AS DOUBLE) / sum(lft) OVER () AS ideal FROM i), b AS (SELECT *, least(lft, CAST(floor(ideal) AS BIGINT)) AS base FROM j),
+q AS (SELECT *, first + base + CASE WHEN lft > base AND row_number() OVER (ORDER BY (lft > base)::INT DESC, ideal - base DESC, n DESC, lang DESC NULLS LAST) <= 100 - sum(first + base) OVER () THEN 1 ELSE 0 END AS quota FROM b),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5(doc_id || '|42'), doc_id) AS r FROM d) SELECT r.doc_id, r.lang FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang WHERE r.r <= q.quota""")
 def stratified_sample(spark, sf):
-    return faithfulness.stratified_sample(table(spark, sf, "documents").select("doc_id", "lang"), "lang", 100, "doc_id")
+    """W13, with a stratum of documents without a language."""
+    rows = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 17 != 0, F.col("lang")).alias("lang"))
+    return faithfulness.stratified_sample(rows, "lang", 100, "doc_id")
 
 
 @register("premise_packing", "WITH d AS (SELECT doc_id, source, text, CAST(length(text) // 4 AS BIGINT) AS tokens FROM documents), b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d) SELECT doc_id, source, CASE WHEN before + tokens > 508 THEN text[1:CAST((508 - before) * 4 AS INT)] ELSE text END AS text FROM b WHERE before < 508 OR before = 0")
@@ -731,9 +938,10 @@ def premise_packing(spark, sf):
     return faithfulness.pack_budget(table(spark, sf, "documents").select("doc_id", "source", "text"), "source", ["doc_id"])
 
 
-@register("confidence_terciles", f"WITH {_SCORED}, o AS (SELECT score, doc_id, row_number() OVER (ORDER BY score, doc_id) - 1 AS i, count(*) OVER () AS n FROM sc) SELECT CASE WHEN i < n // 3 THEN 'low' WHEN i < 2 * n // 3 THEN 'mid' ELSE 'high' END AS tercile, count(*) AS rows, round(avg(score), 6) AS mean_score FROM o GROUP BY 1")
+@register("confidence_terciles", f"WITH {_SCORED}, v AS (SELECT doc_id, score, CASE WHEN doc_id % 19 <> 0 THEN score END AS confidence FROM sc), o AS (SELECT score, doc_id, row_number() OVER (ORDER BY confidence NULLS FIRST, doc_id) - 1 AS i, count(*) OVER () AS n FROM v) SELECT CASE WHEN i < n // 3 THEN 'low' WHEN i < 2 * n // 3 THEN 'mid' ELSE 'high' END AS tercile, count(*) AS rows, round(avg(score), 6) AS mean_score FROM o GROUP BY 1")
 def confidence_terciles(spark, sf):
-    return faithfulness.tercile_means(X.scored(spark, sf).select("doc_id", "score"), "score", "score", "doc_id")
+    rows = X.scored(spark, sf).select("doc_id", "score", F.when(F.col("doc_id") % 19 != 0, F.col("score")).alias("confidence"))
+    return faithfulness.tercile_means(rows, "confidence", "score", "doc_id")
 
 
 # --- serving ---------------------------------------------------------------------------
@@ -763,7 +971,10 @@ def headline_metric(spark, sf):
     return serving.headline(s.select(F.lit(None).cast("double").alias("server_p95"), F.col("p95").alias("client_p95")))
 
 
-@register("cache_exact_sim")
+@register("cache_exact_sim", """WITH RECURSIVE r AS (SELECT event_id AS request_id, epoch_us(ts) AS t, event_type || ':' || (user_id % 20) AS key FROM events),
+m(key, t) AS (SELECT key, min(t) FROM r GROUP BY key UNION ALL SELECT m.key, min(r.t) FROM m JOIN r ON r.key = m.key AND r.t > m.t + 3600000000 GROUP BY m.key),
+f AS (SELECT m.key, min(r.request_id) AS request_id FROM m JOIN r ON r.key = m.key AND r.t = m.t GROUP BY m.key, m.t)
+SELECT r.key, r.request_id, f.request_id IS NULL AS hit FROM r LEFT JOIN f USING (key, request_id)""")
 def cache_exact_sim(spark, sf):
     return serving.exact_cache(X.requests(spark, sf))
 
@@ -782,16 +993,43 @@ def _doc_chunks(spark, sf):
     return chunking.chunk_reviews(table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text"))
 
 
-@register("chunk_sliding_window")
+def _last(mark: str) -> str:
+    """Characters of the fifth before the last of a mark, if that is not at its beginning."""
+    cut = f"length(regexp_extract(tail, '(?s)^(.*){mark}', 1))"
+    return f"CASE WHEN regexp_matches(tail, '(?s){mark}') AND {cut} > 0 THEN s + 480 + {cut} + 1 END"
+
+
+_WINDOW_END = f"(SELECT CASE WHEN s + 600 < length(x) THEN coalesce({_last('[.] ')}, {_last('! ')}, {_last('[?] ')}, {_last(chr(92) + 'n')}, s + 600) ELSE s + 600 END FROM (SELECT {{t}} AS x, {{s}} AS s, substr({{t}}, {{s}} + 481, 120) AS tail))"
+_CHUNKS = rf"""st AS (SELECT doc_id AS review_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL), lt AS (SELECT * FROM st WHERE length(t) // 4 > 200),
+w(review_id, t, i, b, e) AS (SELECT review_id, t, 0, 0, {_WINDOW_END.format(t='t', s='0')} FROM lt UNION ALL SELECT review_id, t, i + 1, e - 120, {_WINDOW_END.format(t='t', s='(e - 120)')} FROM w WHERE e < length(t)),
+cw AS (SELECT review_id, i, regexp_replace(substr(t, b + 1, e - b), '^\s+|\s+$', '', 'g') AS text FROM w), ck AS (SELECT review_id, i, text FROM cw WHERE text <> '' UNION ALL SELECT review_id, 0, t FROM st WHERE t <> '' AND length(t) // 4 <= 200),
+ch AS (SELECT review_id, CAST(row_number() OVER (PARTITION BY review_id ORDER BY i) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY review_id) AS INT) AS total_chunks, text FROM ck)"""
+
+
+@register("chunk_sliding_window", f"WITH RECURSIVE {_CHUNKS} SELECT * FROM ch")
 def chunk_sliding_window(spark, sf):
     return _doc_chunks(spark, sf)
 
 
-@register("chunks_per_review")
+@register("chunks_per_review", f"WITH RECURSIVE {_CHUNKS}, n AS (SELECT review_id, count(*) AS n_chunks FROM ch GROUP BY review_id) SELECT n_chunks, count(*) AS reviews FROM n GROUP BY n_chunks")
 def chunks_per_review(spark, sf):
     return serving.chunks_per_review(_doc_chunks(spark, sf))
 
 
+_HV = "list_transform(range(0, 8), lambda i: ('0x' || md5(sentence || '|' || i)[1:8])::UBIGINT::DOUBLE / 4294967295.0::DOUBLE * 2 - 1)"
+_SENT = r"list_filter(list_transform(string_split(regexp_replace(trim(regexp_replace(regexp_replace(t, '<br ?/>|\n', ' ', 'g'), '\s+', ' ', 'g')), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@register("topic_chunks", rf"""WITH st AS (SELECT doc_id AS review_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL), sl AS (SELECT review_id, {_SENT} AS l FROM st WHERE length(t) // 4 > 200),
+sn AS (SELECT review_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence FROM sl WHERE len(l) > 2), sv AS (SELECT *, {_HV} AS h FROM sn), sc AS (SELECT *, round(list_dot_product(h, lead(h) OVER (PARTITION BY review_id ORDER BY pos)), 6) AS sim FROM sv),
+se AS (SELECT *, quantile_cont(sim, 0.15) OVER (PARTITION BY review_id) AS edge FROM sc), sk AS (SELECT *, coalesce(sum((sim < edge)::INT) OVER (PARTITION BY review_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM se)
+SELECT review_id, CAST(chunk AS BIGINT) AS chunk, string_agg(sentence, ' ' ORDER BY pos) AS text FROM sk GROUP BY review_id, chunk""")
+def topic_chunks(spark, sf):
+    """W5, W6 with vectors that a hash of the sentence gives (M7)."""
+    sentences = chunking.sentences_of(table(spark, sf, "documents").select(F.col("doc_id").alias("review_id"), "text"))
+    return chunking.topic_chunks(sentences.withColumn("vector", V.hash_cells(F.col("sentence"))))
+
+
 @register("corpus_statistics", "SELECT count(*) AS chunks, count(DISTINCT doc_id) AS reviews, count(DISTINCT doc_id % 50) AS products, quantile_cont(length(text), 0.5) AS median_chars, round(avg(length(text)), 6) AS mean_chars, min(length(text)) AS min_chars, max(length(text)) AS max_chars FROM documents")
 def corpus_statistics(spark, sf):
     return serving.corpus_statistics(table(spark, sf, "documents").select("text", F.col("doc_id").alias("review_id"), (F.col("doc_id") % 50).alias("product_id")))
