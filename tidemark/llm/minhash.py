@@ -15,11 +15,12 @@ Candidates are confirmed on full sets, in two passes, neither of which emits the
 of a group:
 
 1. each text is compared with the least id of each of its buckets;
-2. buckets whose texts are still in more than one component are compared block by block
-   inside Python workers, on full sets, by an inverted index.  A link leaves the worker
-   only if it joins two components that no earlier link of the block joins, so that a
-   block of n texts gives at most n - 1 links.  Texts of the largest component of a block
-   are never looked up themselves.
+2. of groups whose texts are still in more than one component, those outside the group's
+   largest component are looked up among all of it, block by block inside Python workers,
+   on full sets, by an inverted index.  A link leaves the worker only if it joins two
+   components that no earlier link of the block joins, so that a block of n texts gives at
+   most n - 1 links.  A large group of near copies, nearly all in one component, is read
+   once; the number of blocks grows with the texts outside of it.
 """
 
 from __future__ import annotations
@@ -96,23 +97,24 @@ def links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], per
     """Links between texts of different components: a spanning set of those there are, each confirmed on full sets.
 
     Overlaps come from an inverted index over the sets, in pieces of bounded size.
-    ``left`` marks the rows of the first of two blocks; then only pairs across are of
-    interest.  Pairs with the largest component are seen from the other side.
+    ``left`` marks the rows that are looked up among the others; without it, all rows but
+    those of the largest component are looked up among all, which sees every pair.
     """
     sizes = np.array([len(s) for s in sets])
-    tokens = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    if left is None:
+        left, inside = comps != pd.Series(comps).value_counts().index[0], np.ones(len(ids), bool)
+    else:
+        inside = ~left
+    tokens = np.concatenate([s for s, i in zip(sets, inside, strict=True) if i] or [np.empty(0, np.int64)])
+    owner = np.repeat(np.flatnonzero(inside).astype(np.int32), sizes[inside])
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     parent = list(range(len(ids)))
     by_comp: dict[int, int] = {}
     for i, c in enumerate(comps):
         parent[i] = by_comp.setdefault(c, i)
-    largest = pd.Series(comps).value_counts().index[0]
     found = []
-    for x in range(len(ids)):
-        if comps[x] == largest:
-            continue
+    for x in np.flatnonzero(left):
         begin, end = np.searchsorted(tokens, sets[x], "left"), np.searchsorted(tokens, sets[x], "right")
         overlap = np.zeros(len(ids), np.int64)
         at = 0
@@ -124,11 +126,9 @@ def links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], per
             idx = np.arange(int(n.sum())) + np.repeat(begin[at:to] - np.concatenate(([0], np.cumsum(n)[:-1])), n)
             overlap += np.bincount(owner[idx], minlength=len(ids))
             at = to
-        near = 100 * overlap >= percent * (sizes + sizes[x] - overlap)
-        if left is not None:
-            near &= left != left[x]
+        near = inside & (100 * overlap >= percent * (sizes + sizes[x] - overlap)) & (overlap > 0)
         for y in np.flatnonzero(near & (comps != comps[x])):
-            a, b = _find(parent, x), _find(parent, int(y))
+            a, b = _find(parent, int(x)), _find(parent, int(y))
             if a != b:
                 parent[a] = b
                 found.append((int(ids[x]), int(ids[y])))
@@ -138,11 +138,9 @@ def links_within(ids: np.ndarray, comps: np.ndarray, sets: list[np.ndarray], per
 def _block_links(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for ids, comps, sides, sets in zip(batch["ids"], batch["comps"], batch["sides"], batch["sets"], strict=True):
+            for ids, comps, asked, sets in zip(batch["ids"], batch["comps"], batch["asked"], batch["sets"], strict=True):
                 arrays = [np.asarray(s, np.int64) for s in sets]
-                sides = np.asarray(sides)
-                left = sides if len(set(sides.tolist())) > 1 else None
-                pairs = links_within(np.asarray(ids), np.asarray(comps), arrays, percent, left)
+                pairs = links_within(np.asarray(ids), np.asarray(comps), arrays, percent, np.asarray(asked, bool))
                 if pairs:
                     yield pd.DataFrame(pairs, columns=["a", "b"])
 
@@ -214,21 +212,22 @@ def _components(rows: DataFrame, signed: DataFrame, shingle_words: int, percent:
     placed = members.select("key", "id").join(comps, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
     loose = materialize(placed.join(mixed, "key", "left_semi").select("id", "comp").distinct(), "loose")
-    # pairs of one bucket share a tuple of the first collection: compare by those, fewer, groups, but by buckets where such a group is large
+    # pairs of one bucket share a tuple of the first collection: compare by those, fewer, groups, but by buckets where many texts of such a group are to be looked up
     sized = sets.groupBy("id").agg(F.sum(F.size("shingles")).alias("n"))
     near = live.join(loose, "id").join(sized, "id")
     tuples = near.select("id", "comp", "n", "second", F.explode("first").alias("x")).withColumn("cell", F.xxhash64("x.at", "x.h"))
-    cells = _groups(tuples.select("id", "comp", "n", "cell").distinct())
-    large = materialize(cells.where("blocks > 1").select("cell").distinct(), "large-cells")
+    cells = materialize(_groups(tuples.select("id", "comp", "n", "cell").distinct()), "cells")
+    large = materialize(cells.where("asked_blocks > 1").select("cell").distinct(), "large-cells")
     finer = tuples.join(large, "cell", "left_semi").select("id", "comp", "n", "x", F.explode("second").alias("y")).select("id", "comp", "n", F.xxhash64("x.at", "y.at", "x.h", "y.h").alias("cell")).distinct()
     placed = cells.join(large, "cell", "left_anti").unionByName(_groups(finer))
     # of groups with the same members one is enough
     one = placed.groupBy("cell").agg(F.bit_xor(F.xxhash64("id")).alias("xor"), F.sum(F.xxhash64("id", F.lit(1)) % 1_000_003).alias("sum"), F.count("*").alias("size")).groupBy("xor", "sum", "size").agg(F.min("cell").alias("cell"))
-    placed = placed.join(one.select("cell"), "cell", "left_semi").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = placed.select("id", "comp", "cell", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    units = units.select("id", "comp", "cell", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    grouped = units.join(sets, "id").groupBy("cell", "lo", "hi").agg(F.collect_list(F.struct("id", "comp", "block", "shingles")).alias("m"))
-    grouped = grouped.select(F.col("m.id").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.block").alias("sides"), F.col("m.shingles").alias("sets"))
+    placed = placed.join(one.select("cell"), "cell", "left_semi")
+    # every block of texts to look up meets every block of the group
+    asked = placed.where("asked").select("id", "comp", "cell", F.lit(True).alias("asked"), _block("asked_blocks").alias("lo"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("hi"))
+    among = placed.select("id", "comp", "cell", F.lit(False).alias("asked"), F.explode(F.expr("sequence(0, asked_blocks - 1)")).alias("lo"), _block("blocks").alias("hi"))
+    grouped = asked.unionByName(among).join(sets, "id").groupBy("cell", "lo", "hi").agg(F.collect_list(F.struct("id", "comp", "asked", "shingles")).alias("m"))
+    grouped = grouped.select(F.col("m.id").alias("ids"), F.col("m.comp").alias("comps"), F.col("m.asked").alias("asked"), F.col("m.shingles").alias("sets"))
     late = grouped.mapInPandas(_block_links(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(late, "late-links")
 
@@ -236,11 +235,21 @@ def _components(rows: DataFrame, signed: DataFrame, shingle_words: int, percent:
     return materialize(connected_components(linked), "final-components", keep=True)
 
 
+def _block(blocks: str) -> F.Column:
+    return F.pmod(F.xxhash64("id", F.lit(blocks)), F.col(blocks)).cast("int")
+
+
 def _groups(members: DataFrame) -> DataFrame:
-    """``members`` (``id, comp, n, cell``, distinct) of cells with several components, with the number of ``blocks`` of each cell."""
-    totals = members.groupBy("cell").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1")
-    totals = totals.select("cell", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    return members.join(totals, "cell").select("id", "comp", "cell", "blocks")
+    """``members`` (``id, comp, n, cell``, distinct) of cells with several components.
+
+    ``asked`` marks those outside the cell's largest component, ``blocks`` and
+    ``asked_blocks`` say into how many blocks all and those are dealt.
+    """
+    parts = members.groupBy("cell", "comp").agg(F.count("*").alias("size"), F.sum("n").alias("hashes"))
+    totals = parts.groupBy("cell").agg(F.max(F.struct("size", "comp", "hashes")).alias("top"), F.sum("size").alias("size"), F.sum("hashes").alias("hashes"), F.count("*").alias("comps")).where("comps > 1")
+    dealt = lambda size, hashes: F.greatest(F.ceil(size / BLOCK), F.ceil(hashes / BLOCK_HASHES), F.lit(1)).cast("int")
+    totals = totals.select("cell", F.col("top.comp").alias("top"), dealt(F.col("size"), F.col("hashes")).alias("blocks"), dealt(F.col("size") - F.col("top.size"), F.col("hashes") - F.col("top.hashes")).alias("asked_blocks"))
+    return members.join(totals, "cell").select("id", "comp", "cell", (F.col("comp") != F.col("top")).alias("asked"), "blocks", "asked_blocks")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
