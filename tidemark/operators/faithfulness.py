@@ -1,4 +1,4 @@
-"""Verification of explanations and faithfulness statistics."""
+"""Verification of explanations and faithfulness statistics."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Evidence age, freshness and behaviour guardrails."""
+"""Evidence age, freshness and behaviour guardrails."""
 
 from __future__ import annotations
 

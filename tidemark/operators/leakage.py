@@ -1,4 +1,4 @@
-"""Leakage between query surfaces: similarity joins, components and split assignment."""
+"""Leakage between query surfaces: similarity joins, components and split assignment."""
 
 from __future__ import annotations
 
@@ -150,6 +150,50 @@ def class_links(judged: DataFrame, members: DataFrame) -> DataFrame:
     return copies.unionByName(strong.join(ends[0], "left_class").join(ends[1], "right_class").select("left_id", "right_id"))
 
 
+def surface_matrix(entries: DataFrame) -> DataFrame:
+    """A row for each two surfaces (the lesser name left): pairs of each severity and the risk.
+
+    ``entries``: ``surface, query_id, text``; a query may be on several surfaces.  Texts of all
+    surfaces are compared once, as classes; pairs of surfaces are counted by the members of
+    each class on either.  Surfaces without a flagged pair are there with zeros.
+    """
+    ids = entries.select("query_id", "text").distinct()
+    judged, members, _ = flagged_classes(ids, ids, "query_id", "query_id", same=True)
+    on = members.withColumnRenamed("id", "query_id").join(entries.select("surface", "query_id").distinct(), "query_id")
+    n = on.groupBy("class", "surface").agg(F.count("*").alias("n"))
+    # a pair of classes counts in both directions, a class with itself once
+    turned = judged.select(F.col("right_class").alias("left_class"), F.col("left_class").alias("right_class"), "severity").where("left_class <> right_class")
+    both = judged.select("left_class", "right_class", "severity").unionByName(turned)
+    sides = [n.select(F.col("class").alias(f"{s}_class"), F.col("surface").alias(f"{s}_surface"), F.col("n").alias(f"{s}_n")) for s in ("left", "right")]
+    met = both.join(sides[0], "left_class").join(sides[1], "right_class").where("left_surface < right_surface")
+    of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("left_n") * F.col("right_n"))), F.lit(0))
+    counts = met.groupBy("left_surface", "right_surface").agg(of("exact_duplicate").alias("exact"), of("high_confidence_near_duplicate").alias("near"), of("semantic_watchlist").alias("watch"))
+    # distinct queries on the right with one on the watchlist
+    watched = met.where(F.col("severity") == "semantic_watchlist").select("left_surface", "right_surface", "right_class").distinct()
+    own = on.select(F.col("class").alias("right_class"), F.col("surface").alias("right_surface"), "query_id")
+    watch = watched.join(own, ["right_class", "right_surface"]).groupBy("left_surface", "right_surface").agg(F.count_distinct("query_id").alias("watch_right"))
+    names = entries.select("surface").distinct()
+    every = names.select(F.col("surface").alias("left_surface")).join(F.broadcast(names.select(F.col("surface").alias("right_surface"))), F.col("left_surface") < F.col("right_surface"))  # a row a surface
+    out = every.join(counts, ["left_surface", "right_surface"], "left").join(watch, ["left_surface", "right_surface"], "left").na.fill(0)
+    return out.withColumn("risk_level", _risk_level())
+
+
+def matrix_risk(matrix: DataFrame, worst: int = 5) -> DataFrame:
+    """One row: the worst level, pairs of surfaces at each, flagged pairs of each severity, and the ``worst`` pairs by name."""
+    level = F.when(F.col("risk_level") == "high", 2).when(F.col("risk_level") == "moderate", 1).otherwise(0)
+    flagged = F.col("exact") + F.col("near") + F.col("watch")
+    pair = F.concat_ws("__", "left_surface", "right_surface")
+    # a row for two surfaces: few
+    order = F.struct((-level).alias("a"), (-F.col("exact")).alias("b"), (-F.col("near")).alias("c"), (-F.col("watch")).alias("d"), (-flagged).alias("e"), pair.alias("pair"))
+    of = lambda n: F.count_if(F.col("risk_level") == n)
+    sums = matrix.agg(
+        F.count("*").alias("pairs"), of("high").alias("high"), of("moderate").alias("moderate"), of("low").alias("low"), F.coalesce(F.sum("exact"), F.lit(0)).alias("exact"), F.coalesce(F.sum("near"), F.lit(0)).alias("near"),
+        F.coalesce(F.sum("watch"), F.lit(0)).alias("watch"), F.slice(F.array_sort(F.collect_list(order)), 1, worst).alias("__w"),
+    )
+    overall = F.when(F.col("high") > 0, "high").when(F.col("moderate") > 0, "moderate").otherwise("low")
+    return sums.select("pairs", overall.alias("overall_risk_level"), "high", "moderate", "low", "exact", "near", "watch", F.array_join(F.transform("__w", lambda w: w["pair"]), ",").alias("worst_pairs"))
+
+
 def worst_pairs(pairs: DataFrame, limit: int = 100) -> DataFrame:
     """K7: the pairs to look at first."""
     rank = F.when(F.col("severity") == "exact_duplicate", 0).when(F.col("severity") == "high_confidence_near_duplicate", 1).otherwise(2)

@@ -1,4 +1,4 @@
-"""Exact vector search, product scores, re-ranking and recommendation."""
+"""Exact vector search, product scores, re-ranking and recommendation."""
 
 from __future__ import annotations
 
@@ -80,7 +80,7 @@ def product_scores(chunks: DataFrame, method: str = "max") -> DataFrame:
 
 
 def with_evidence(chunks: DataFrame, products: DataFrame, limit: int = 5) -> DataFrame:
-    """Products with their ``limit`` best chunks as ``evidence``, best first."""
+    """Products with their ``limit`` best chunks as ``evidence``, best first."""
     best = F.row_number().over(Window.partitionBy("query_id", "product_id").orderBy(F.desc("score"), "chunk_id"))
     top = chunks.withColumn("__r", best).where(F.col("__r") <= limit)
     evidence = top.groupBy("query_id", "product_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "chunk_id", "score", "rating"))).alias("evidence"))
