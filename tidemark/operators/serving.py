@@ -24,14 +24,33 @@ def latency_summary(samples: DataFrame, by: tuple[str, ...] = (), value: str = "
 
 
 def phase_summary(samples: DataFrame, phase: str = "phase") -> DataFrame:
-    """Requests, errors and cache hits of each phase."""
-    hit = F.col("cache_result") == "hit"
-    return samples.groupBy(phase).agg(F.count("*").alias("requests"), F.count_if(F.col("status") >= 400).alias("errors"), F.count_if(hit).alias("cache_hits"), F.round(F.avg(hit.cast("double")), 6).alias("cache_hit_rate"), F.count_distinct("query").alias("queries"))
+    """Each phase's requests, successes and errors, headers that came, cache results that are known, and how many answers are grounded or rightly refused.
+
+    Rates are over successful requests that tell: a cache rate over known results, quality
+    rates over requests that were judged; null without any.
+    """
+    good = F.col("status") == 200
+    known = good & F.col("cache_result").isNotNull() & (F.col("cache_result") != "unknown")
+    hit = known & F.col("cache_result").isin("exact", "semantic")
+    judged = good & F.col("grounded_success").isNotNull()
+    rate = lambda a, b: F.round(F.try_divide(F.count_if(a).cast("double"), F.count_if(b)), 4)
+    return samples.groupBy(phase).agg(
+        F.count("*").alias("total_requests"), F.count_if(good).alias("successful"), F.count_if(~F.coalesce(good, F.lit(False))).alias("errors"),
+        F.count_if(good & F.col("server_timing_header_present")).alias("timing_headers"), F.count_if(good & F.col("cache_result_header_present")).alias("cache_headers"),
+        F.count_if(hit).alias("cache_hits"), rate(hit, known).alias("cache_hit_rate"), F.count_if(judged).alias("judged"), rate(judged & F.col("grounded_success"), judged).alias("grounded_rate"),
+        rate(judged & F.col("refusal_aware_success"), judged).alias("refusal_aware_rate"), F.count_distinct("query").alias("queries"),
+    )
+
+
+def status_counts(samples: DataFrame, phase: str = "phase") -> DataFrame:
+    """Requests of each phase by status."""
+    return samples.groupBy(phase, F.col("status").cast("string").alias("status")).agg(F.count("*").alias("requests"))
 
 
 def headline(summary: DataFrame, target_ms: float = 500.0) -> DataFrame:
-    """The server's 95th percentile, else the client's, and whether it meets the target."""
-    return summary.select(F.coalesce("server_p95", "client_p95").alias("headline_ms"), (F.coalesce("server_p95", "client_p95") <= target_ms).alias("pass"))
+    """The server's 95th percentile, else the client's, where it is from, and whether it meets the target (null without either)."""
+    value = F.coalesce("server_p95", "client_p95")
+    return summary.select(value.alias("headline_ms"), F.when(F.col("server_p95").isNotNull(), "server").otherwise("client_fallback").alias("source"), (value <= target_ms).alias("pass"))
 
 
 def exact_cache(requests: DataFrame, key: str = "key", ts: str = "ts", ttl_s: int = 3600) -> DataFrame:
@@ -80,7 +99,8 @@ def cache_stats(results: DataFrame, similarity: str | None = None) -> DataFrame:
 def request_counters(events: DataFrame, ts: str = "ts", width: str = "1 hour", endpoint: str = "event_type", value: str = "value") -> DataFrame:
     """Requests, errors and a latency histogram by window and endpoint; works on a stream too."""
     edges = ((50, "le_50"), (100, "le_100"), (250, "le_250"), (500, "le_500"))
-    return events.groupBy(F.window(ts, width)["start"].alias("window_start"), endpoint).agg(F.count("*").alias("requests"), F.round(F.sum(value), 4).alias("total"), *[F.count_if(F.col(value) <= e).alias(n) for e, n in edges])
+    sums = events.groupBy(F.window(ts, width).alias("__w"), endpoint).agg(F.count("*").alias("requests"), F.round(F.sum(value), 4).alias("total"), *[F.count_if(F.col(value) <= e).alias(n) for e, n in edges])
+    return sums.select(F.col("__w.start").alias("window_start"), endpoint, "requests", "total", *[n for _, n in edges])
 
 
 def corpus_statistics(chunks: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from tidemark.plans import lifecycle  # noqa: F401 - registers its own
+    from tidemark.plans import lifecycle, stores  # noqa: F401 - they register their own
 
     return dict(_QUERIES)
 
@@ -79,6 +79,10 @@ m AS (SELECT i.query_id, coalesce(dcg / nullif(idcg, 0), 0) AS ndcg, CASE WHEN h
 
 _MEANS = "count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(hit), 6) AS hit, round(avg(mrr), 6) AS mrr, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall"
 
+def _rate(a: str, b: str) -> str:
+    return f"round(({a})::DOUBLE / nullif({b}, 0), 4)"
+
+
 _SUBSET = "CASE query_id % 3 WHEN 0 THEN 'retrieval_dev_holdout' WHEN 1 THEN 'faithfulness_dev_seed' ELSE 'own' END"
 
 # --- reviews and interactions ----------------------------------------------------------
@@ -825,7 +829,7 @@ def bank_summary(spark, sf):
 
 # --- guardrails ------------------------------------------------------------------------
 
-_EVID = "ev AS (SELECT user_id AS case_id, event_id, CASE WHEN event_id % 11 <> 0 THEN epoch_ms(ts) - (event_id % 1500) * 86400000 END AS timestamp_ms, CAST(event_id % 5 + 1 AS DOUBLE) AS rating, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 = 0 END AS verified_purchase, event_type FROM events)"
+_EVID = "ev AS (SELECT user_id AS case_id, event_id, CASE WHEN event_id % 11 <> 0 THEN epoch_us(ts) // 1000 - (event_id % 1500) * 86400000 END AS timestamp_ms, CAST(event_id % 5 + 1 AS DOUBLE) AS rating, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 2 = 0 END AS verified_purchase, event_type FROM events)"
 _AGE = f"greatest(({X.REFERENCE_MS} - timestamp_ms) / 86400000.0::DOUBLE, 0.0::DOUBLE)"
 
 
@@ -834,17 +838,14 @@ def evidence_age_histogram(spark, sf):
     return guardrails.age_histogram(X.evidence(spark, sf), X.REFERENCE_MS)
 
 
-def _rate(a: str, b: str) -> str:
-    return f"round(({a})::DOUBLE / nullif({b}, 0), 4)"
-
-
 _REPORT = f"""{_EVID}, g AS (SELECT *, CASE WHEN timestamp_ms IS NOT NULL THEN {_AGE} END AS age FROM ev),
 rp AS (SELECT case_id, count(*) AS evidence_chunk_count, count(timestamp_ms) AS timestamp_available_count, {_rate('count(timestamp_ms)', 'count(*)')} AS timestamp_available_rate,
 strftime(make_timestamp(min(timestamp_ms) * 1000), '%Y-%m-%d') AS evidence_date_min, strftime(make_timestamp(max(timestamp_ms) * 1000), '%Y-%m-%d') AS evidence_date_max,
 round(quantile_cont(age, 0.5), 1) AS median_evidence_age_days, round(max(age), 1) AS max_evidence_age_days, count(*) FILTER (age > 365) AS old_review_count, {_rate('count(*) FILTER (age > 365)', 'count(age)')} AS old_review_share,
 count(*) FILTER (age > 1095) AS very_old_review_count, {_rate('count(*) FILTER (age > 1095)', 'count(age)')} AS very_old_review_share, count(age) > 0 AND count(*) FILTER (age > 365) = count(age) AS all_timestamped_evidence_old,
 count(verified_purchase) AS verified_purchase_available_count, {_rate('count(*) FILTER (verified_purchase)', 'count(verified_purchase)')} AS verified_purchase_true_rate, count(rating) AS rating_available_count,
-count(*) FILTER (rating <= 2) AS negative_review_count, {_rate('count(*) FILTER (rating <= 2)', 'count(rating)')} AS negative_review_rate, count(*) FILTER (rating <= 2) > 0 AS has_negative_review_evidence FROM g GROUP BY case_id)"""
+count(*) FILTER (rating <= 2) AS negative_review_count, {_rate('count(*) FILTER (rating <= 2)', 'count(rating)')} AS negative_review_rate, count(*) FILTER (rating <= 2) > 0 AS has_negative_review_evidence, {X.REFERENCE_MS}::BIGINT AS reference_timestamp_ms, '2024-02-01' AS reference_date, min(timestamp_ms) AS evidence_timestamp_min, max(timestamp_ms) AS evidence_timestamp_max, 365 AS old_review_days_threshold, 1095 AS very_old_review_days_threshold,
+count(*) FILTER (verified_purchase) AS verified_purchase_true_count, {_rate('count(verified_purchase)', 'count(*)')} AS verified_purchase_available_rate, count(*) FILTER (age IS NULL) AS missing_timestamp_count, count(*) FILTER (age <= 30) AS recent_count, count(*) FILTER (age > 30 AND age <= 365) AS within_old_count, count(*) FILTER (age > 365 AND age <= 1095) AS within_very_old_count, count(*) FILTER (age > 1095) AS beyond_very_old_count FROM g GROUP BY case_id)"""
 
 
 @register("evidence_age_report", f"WITH {_REPORT} SELECT * FROM rp")
@@ -871,11 +872,18 @@ def freshness_risk(spark, sf):
     return _fresh(spark, sf).select("case_id", "risk_level", "behavior", "applicable", "violation")
 
 
-@register("freshness_summary", f"WITH {_FRESH}, s AS (SELECT count(*) AS cases, count(*) FILTER (risk_level <> 'not_applicable') AS recency_sensitive, count(*) FILTER (applicable) AS applicable_cases, count(*) FILTER (violation) AS violations, round(count(*) FILTER (violation)::DOUBLE / nullif(count(*) FILTER (applicable), 0), 4) AS violation_rate FROM fv) SELECT *, CASE WHEN recency_sensitive < 3 OR applicable_cases < 3 THEN 'insufficient_coverage' WHEN violation_rate > 0 THEN 'blocked' ELSE 'pass' END AS promotion_status FROM s")
+@register("freshness_summary", f"""WITH {_FRESH}, fsum AS (SELECT count(*) AS cases, count(*) FILTER (risk_level <> 'not_applicable') AS recency_sensitive, count(*) FILTER (applicable) AS applicable_cases, count(*) FILTER (violation) AS violations, round(count(*) FILTER (violation)::DOUBLE / nullif(count(*) FILTER (applicable), 0), 4) AS violation_rate,
+count(*) FILTER (applicable AND NOT violation) AS safe_cases, round(count(*) FILTER (applicable AND NOT violation)::DOUBLE / nullif(count(*) FILTER (applicable), 0), 4) AS safe_rate FROM fv)
+SELECT *, concat_ws(',', CASE WHEN recency_sensitive < 3 THEN 'too_few_recency_sensitive_cases' END, CASE WHEN applicable_cases < 3 THEN 'too_few_applicable_cases' END) AS coverage_failure_reasons, CASE WHEN recency_sensitive < 3 OR applicable_cases < 3 THEN 'insufficient_coverage' WHEN violation_rate > 0 THEN 'blocked' ELSE 'pass' END AS promotion_status FROM fsum""")
 def freshness_summary(spark, sf):
     return guardrails.freshness_summary(_fresh(spark, sf))
 
 
+@register("freshness_counters", f"WITH {_FRESH} SELECT 'risk_level' AS counter, risk_level AS value, count(*) AS n FROM fv WHERE applicable GROUP BY 2 UNION ALL SELECT 'behavior', behavior, count(*) FROM fv WHERE applicable GROUP BY 2 UNION ALL SELECT 'recency_risk_level', risk_level, count(*) FROM fv WHERE risk_level <> 'not_applicable' GROUP BY 2")
+def freshness_counters(spark, sf):
+    return guardrails.freshness_counters(_fresh(spark, sf))
+
+
 _CASES = "bc AS (SELECT doc_id AS query_id, CASE doc_id % 4 WHEN 0 THEN 'refuse' WHEN 1 THEN 'clarify' WHEN 2 THEN 'hedge_or_refuse' ELSE 'answer' END AS expected, CASE WHEN quality = 1 AND toxic = 0 THEN CASE doc_id % 4 WHEN 0 THEN 'refuse' WHEN 1 THEN 'clarify' WHEN 2 THEN 'hedge' ELSE 'answer' END WHEN toxic = 1 THEN 'answer' ELSE 'hedge' END AS observed FROM labels)"
 
 
@@ -891,13 +899,6 @@ def behavior_confusion(spark, sf):
     return guardrails.behavior_confusion(_cases(spark, sf))
 
 
-@register("boundary_rates", f"""WITH {_CASES}, s AS (SELECT count(*) AS queries, round(count(*) FILTER (expected = observed)::DOUBLE / count(*), 4) AS strict_match_rate, round(count(*) FILTER (expected = observed OR (expected = 'hedge_or_refuse' AND observed IN ('hedge', 'refuse')))::DOUBLE / count(*), 4) AS acceptable_match_rate,
-round(count(*) FILTER (expected = 'refuse' AND observed = 'answer')::DOUBLE / count(*) FILTER (expected = 'refuse'), 4) AS refusal_false_accept_rate, round(count(*) FILTER (expected = 'clarify' AND observed = 'clarify')::DOUBLE / count(*) FILTER (expected = 'clarify'), 4) AS ambiguous_clarify_rate, round(count(*) FILTER (observed IN ('clarify', 'hedge', 'refuse'))::DOUBLE / count(*), 4) AS safe_behavior_rate FROM bc)
-SELECT *, CASE WHEN queries < 25 THEN 'insufficient_coverage' WHEN refusal_false_accept_rate <= 0.1 AND ambiguous_clarify_rate >= 0.8 AND safe_behavior_rate >= 0.8 AND acceptable_match_rate >= 0.75 THEN 'pass' ELSE 'fail' END AS status FROM s""")
-def boundary_rates(spark, sf):
-    return guardrails.boundary_rates(_cases(spark, sf))
-
-
 # --- faithfulness ----------------------------------------------------------------------
 
 
@@ -955,25 +956,51 @@ def latency_summary(spark, sf):
     return serving.latency_summary(table(spark, sf, "events"), ("event_type",), "value")
 
 
-_SAMPLES = "sp AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'warmup' ELSE 'measured' END AS phase, CASE WHEN event_id % 17 = 0 THEN 503 ELSE 200 END AS status, CASE WHEN event_id % 3 = 0 THEN 'hit' ELSE 'miss' END AS cache_result, event_type AS query, value FROM events)"
+_SAMPLES = """sp AS (SELECT CASE WHEN event_id % 10 = 0 THEN 'warmup' ELSE 'measured' END AS phase, CASE WHEN event_id % 17 = 0 THEN 503 WHEN event_id % 29 <> 0 THEN 200 END AS status, CASE event_id % 5 WHEN 0 THEN 'exact' WHEN 1 THEN 'semantic' WHEN 2 THEN 'miss' WHEN 3 THEN 'unknown' END AS cache_result, event_type AS query, value,
+CASE WHEN event_id % 3 <> 0 THEN round(value * 0.8, 3) END AS server_ms, event_id % 4 <> 0 AS timing, event_id % 5 < 3 AS header, CASE WHEN event_id % 6 <> 0 THEN event_id % 7 <> 0 END AS grounded, CASE WHEN event_id % 6 <> 0 THEN event_id % 14 <> 0 END AS aware FROM events)"""
 
 
 def _samples(spark, sf):
     i = F.col("event_id")
-    return table(spark, sf, "events").select(F.when(i % 10 == 0, "warmup").otherwise("measured").alias("phase"), F.when(i % 17 == 0, 503).otherwise(200).alias("status"), F.when(i % 3 == 0, "hit").otherwise("miss").alias("cache_result"), F.col("event_type").alias("query"), "value")
+    known = F.when(i % 5 == 0, "exact").when(i % 5 == 1, "semantic").when(i % 5 == 2, "miss").when(i % 5 == 3, "unknown")
+    return table(spark, sf, "events").select(
+        F.when(i % 10 == 0, "warmup").otherwise("measured").alias("phase"), F.when(i % 17 == 0, 503).when(i % 29 != 0, 200).alias("status"), known.alias("cache_result"), F.col("event_type").alias("query"), "value",
+        F.when(i % 3 != 0, F.round(F.col("value") * 0.8, 3)).alias("server_ms"), (i % 4 != 0).alias("server_timing_header_present"), (i % 5 < 3).alias("cache_result_header_present"),
+        F.when(i % 6 != 0, i % 7 != 0).alias("grounded_success"), F.when(i % 6 != 0, i % 14 != 0).alias("refusal_aware_success"),
+    )
 
 
-@register("load_phase_summary", f"WITH {_SAMPLES} SELECT phase, count(*) AS requests, count(*) FILTER (status >= 400) AS errors, count(*) FILTER (cache_result = 'hit') AS cache_hits, round(avg((cache_result = 'hit')::INT::DOUBLE), 6) AS cache_hit_rate, count(DISTINCT query) AS queries FROM sp GROUP BY phase")
+@register("load_phase_summary", f"""WITH {_SAMPLES} SELECT phase, count(*) AS total_requests, count(*) FILTER (status = 200) AS successful, count(*) FILTER (coalesce(status, 0) <> 200) AS errors, count(*) FILTER (status = 200 AND timing) AS timing_headers, count(*) FILTER (status = 200 AND header) AS cache_headers,
+count(*) FILTER (status = 200 AND cache_result IN ('exact', 'semantic')) AS cache_hits, round(count(*) FILTER (status = 200 AND cache_result IN ('exact', 'semantic'))::DOUBLE / nullif(count(*) FILTER (status = 200 AND cache_result <> 'unknown'), 0), 4) AS cache_hit_rate, count(*) FILTER (status = 200 AND grounded IS NOT NULL) AS judged,
+round(count(*) FILTER (status = 200 AND grounded)::DOUBLE / nullif(count(*) FILTER (status = 200 AND grounded IS NOT NULL), 0), 4) AS grounded_rate, round(count(*) FILTER (status = 200 AND grounded IS NOT NULL AND aware)::DOUBLE / nullif(count(*) FILTER (status = 200 AND grounded IS NOT NULL), 0), 4) AS refusal_aware_rate, count(DISTINCT query) AS queries FROM sp GROUP BY phase""")
 def load_phase_summary(spark, sf):
     return serving.phase_summary(_samples(spark, sf))
 
 
-@register("headline_metric", f"WITH {_SAMPLES} SELECT round(quantile_cont(value, 0.95), 6) AS headline_ms, round(quantile_cont(value, 0.95), 6) <= 500 AS pass FROM sp WHERE phase = 'measured'")
+@register("load_status_counts", f"WITH {_SAMPLES} SELECT phase, CAST(status AS VARCHAR) AS status, count(*) AS requests FROM sp GROUP BY phase, status")
+def load_status_counts(spark, sf):
+    return serving.status_counts(_samples(spark, sf))
+
+
+@register("headline_metric", f"WITH {_SAMPLES} SELECT round(quantile_cont(server_ms, 0.95), 6) AS headline_ms, 'server' AS source, round(quantile_cont(server_ms, 0.95), 6) <= 500 AS pass FROM sp WHERE phase = 'measured'")
 def headline_metric(spark, sf):
-    s = serving.latency_summary(_samples(spark, sf).where("phase = 'measured'"), value="value")
+    rows = _samples(spark, sf).where("phase = 'measured'")
+    server, client = (serving.latency_summary(rows, value=v).select(F.col("p95").alias(n)) for v, n in (("server_ms", "server_p95"), ("value", "client_p95")))
+    return serving.headline(server.join(F.broadcast(client)))
+
+
+@register("headline_fallback", f"WITH {_SAMPLES} SELECT round(quantile_cont(value, 0.95), 6) AS headline_ms, 'client_fallback' AS source, round(quantile_cont(value, 0.95), 6) <= 500 AS pass FROM sp WHERE phase = 'warmup'")
+def headline_fallback(spark, sf):
+    s = serving.latency_summary(_samples(spark, sf).where("phase = 'warmup'"), value="value")
     return serving.headline(s.select(F.lit(None).cast("double").alias("server_p95"), F.col("p95").alias("client_p95")))
 
 
+@register("cache_stats", "WITH RECURSIVE r AS (SELECT event_id AS request_id, epoch_us(ts) AS t, event_type || ':' || (user_id % 20) AS key, event_id % 100 / 100.0::DOUBLE AS sim FROM events), m(key, t) AS (SELECT key, min(t) FROM r GROUP BY key UNION ALL SELECT m.key, min(r.t) FROM m JOIN r ON r.key = m.key AND r.t > m.t + 3600000000 GROUP BY m.key), f AS (SELECT m.key, min(r.request_id) AS request_id FROM m JOIN r ON r.key = m.key AND r.t = m.t GROUP BY m.key, m.t), h AS (SELECT r.sim, f.request_id IS NULL AS hit FROM r LEFT JOIN f USING (key, request_id)) SELECT count(*) AS requests, count(*) FILTER (hit) AS hits, round(avg(hit::INT::DOUBLE), 6) AS hit_rate, round(avg(sim) FILTER (hit), 6) AS avg_similarity FROM h")
+def cache_stats(spark, sf):
+    found = serving.exact_cache(X.requests(spark, sf)).withColumn("similarity", (F.col("request_id") % 100) / 100.0)
+    return serving.cache_stats(found, "similarity")
+
+
 @register("cache_exact_sim", """WITH RECURSIVE r AS (SELECT event_id AS request_id, epoch_us(ts) AS t, event_type || ':' || (user_id % 20) AS key FROM events),
 m(key, t) AS (SELECT key, min(t) FROM r GROUP BY key UNION ALL SELECT m.key, min(r.t) FROM m JOIN r ON r.key = m.key AND r.t > m.t + 3600000000 GROUP BY m.key),
 f AS (SELECT m.key, min(r.request_id) AS request_id FROM m JOIN r ON r.key = m.key AND r.t = m.t GROUP BY m.key, m.t)

@@ -1,4 +1,4 @@
-"""Sources and sinks: JSON lines, JSON, CSV and TSV, Parquet, and versioned results."""
+"""Sources and sinks: JSON lines, JSON, CSV and TSV, Parquet, versioned results, caches."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import validation as V
+from tidemark.sources.paths import exists, head
+
 REVIEW = T.StructType(
     [
         T.StructField("text", T.StringType()), T.StructField("rating", T.DoubleType()), T.StructField("user_id", T.StringType()), T.StructField("parent_asin", T.StringType()),
@@ -31,20 +34,52 @@ def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tupl
     return good, parsed.where("j.__bad is not null").select("file", "value")
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON object or array of objects, over any number of lines."""
-    return spark.read.option("multiLine", True).json(path)
+def numbered_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """As ``read_json_rows``, with ``file`` and ``line``, counted from 1, of each row and each line that doesn't fit.
+
+    A file is read as one text, so this is for banks and reports, not for corpora.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    wide = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
+    parsed = files.where(F.trim("value") != "").withColumn("line", F.col("line") + 1).withColumn("j", F.from_json("value", wide, {"columnNameOfCorruptRecord": "__bad"}))
+    good = parsed.where("j.__bad is null").select("file", "line", *[F.col(f"j.{f.name}").alias(f.name) for f in schema.fields])
+    return good, parsed.where("j.__bad is not null").select("file", "line", "value")
+
+
+def require_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of JSON lines; a line that doesn't fit is an error that names file and line."""
+    good, bad = numbered_json_rows(spark, path, schema)
+    first = bad.orderBy("file", "line").first()
+    if first is not None:
+        raise ValueError(f"{first['file']}, line {first['line']}: no object of the expected form")
+    return good.drop("file", "line")
 
 
-def delimiter(path: str, head: str = "") -> str:
-    """S3: by suffix, else whichever of tab and comma is more frequent in the first line, else tab."""
+def read_json_array(spark: SparkSession, path: str, required: bool = True, non_empty: bool = False, schema: T.StructType | str | None = None) -> DataFrame | None:
+    """A JSON object or array of objects, over any number of lines.
+
+    Without a file: an error if it is ``required``, else none.  ``non_empty`` makes a table
+    without rows an error.
+    """
+    if not exists(spark, path):
+        if required:
+            raise FileNotFoundError(path)
+        return None
+    reader = spark.read.option("multiLine", True)
+    rows = (reader.schema(schema) if schema is not None else reader).json(path)
+    if non_empty and rows.limit(1).count() == 0:
+        raise ValueError(f"{path} holds nothing")
+    return rows
+
+
+def delimiter(path: str, sample: str = "") -> str:
+    """S3: by suffix, else whichever of tab and comma is more frequent in a sample of the file, else tab."""
     name = path.lower()
     if name.endswith((".csv", ".csv.gz")):
         return ","
     if name.endswith((".tsv", ".tsv.gz")):
         return "\t"
-    first = head.split("\n", 1)[0]
-    return "," if first.count(",") > first.count("\t") else "\t"
+    return "," if sample.count(",") > sample.count("\t") else "\t"
 
 
 def read_table(spark: SparkSession, path: str, columns: dict[str, list[str]] | None = None) -> DataFrame:
@@ -58,8 +93,7 @@ def read_table(spark: SparkSession, path: str, columns: dict[str, list[str]] | N
     elif name.endswith((".json", ".jsonl", ".json.gz", ".jsonl.gz")):
         df = spark.read.json(path)
     else:
-        head = spark.read.text(path).limit(1).collect()
-        df = spark.read.option("header", True).option("sep", delimiter(path, head[0][0] if head else "")).csv(path)
+        df = spark.read.option("header", True).option("sep", delimiter(path, head(spark, path))).csv(path)
     if columns is None:
         return df
     there = {c.lower(): c for c in df.columns}
@@ -129,7 +163,66 @@ def assert_unique(rows: DataFrame, key: str) -> DataFrame:
     return checked.where("__ok").drop("__n", "__ok")
 
 
-def active_subset(bank: DataFrame, tag: str, need_items: bool = False) -> DataFrame:
-    """Active rows with a tag, with relevant items if that is asked for."""
+def bank_checks() -> dict[str, F.Column]:
+    """What each row of a query bank must have."""
+    tags = F.col("subset_tags")
+    return {"query_id": V.non_empty(F.col("query_id")), "text": V.non_empty(F.col("text")), "source_type": V.non_empty(F.col("source_type")), "subset_tags": F.when(F.exists(tags, lambda t: t.isNull() | (F.trim(t) == "")), "empty tag")}
+
+
+def load_bank(bank: DataFrame, active_only: bool = True) -> DataFrame:
+    """Rows of a bank, each with what it must have and an id of its own; active ones, if that is asked for."""
+    rows = assert_unique(V.required(bank, bank_checks()), "query_id")
+    return rows.where(F.coalesce("active", F.lit(True))) if active_only and "active" in bank.columns else rows
+
+
+def active_subset(bank: DataFrame, tag: str, need_items: bool = False, non_empty: bool = False) -> DataFrame:
+    """Active rows with a tag, with relevant items if that is asked for; none at all is an error with ``non_empty``."""
     rows = bank.where(F.coalesce("active", F.lit(True)) & F.array_contains("subset_tags", tag))
-    return rows.where(F.size(F.map_keys("relevant_items")) > 0) if need_items else rows
+    rows = rows.where(F.size(F.map_keys("relevant_items")) > 0) if need_items else rows
+    if non_empty and rows.limit(1).count() == 0:
+        raise ValueError(f"no row of the bank has the tag {tag}")
+    return rows
+
+
+def write_json_table(rows: DataFrame, path: str) -> None:
+    """Cases, bundles or outcomes as JSON lines that keep nulls."""
+    write_json_lines(rows, path)
+
+
+def read_json_table(spark: SparkSession, path: str, schema: T.StructType, limit: int | None = None, order: str | None = None) -> DataFrame:
+    """What ``write_json_table`` wrote, in the type that is given; the first ``limit`` in order, if that is asked for."""
+    rows = spark.read.schema(schema).json(path)
+    return rows if limit is None else rows.orderBy(order or schema.fields[0].name).limit(limit)
+
+
+def write_dataset(queries: DataFrame, observations: DataFrame, path: str) -> None:
+    """A calibration dataset, as two tables under one path."""
+    queries.write.mode("overwrite").parquet(f"{path}/queries")
+    observations.write.mode("overwrite").parquet(f"{path}/observations")
+
+
+def read_dataset(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Queries and observations of a calibration dataset."""
+    return spark.read.parquet(f"{path}/queries"), spark.read.parquet(f"{path}/observations")
+
+
+def cached(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:
+    """The table at ``path``; made by ``make()`` and written there if it isn't, or with ``refresh``."""
+    if refresh or not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def prepared_path(root: str, subset_size: int | None) -> str:
+    """Where the prepared data of a subset's size are kept."""
+    return f"{root.rstrip('/')}/prepared-{'all' if subset_size is None else int(subset_size)}"
+
+
+def product_ids(spark: SparkSession, path: str, rows: DataFrame, product: str = "product_id", refresh: bool = False) -> DataFrame:
+    """The distinct product ids of prepared data, kept at ``path``."""
+    return cached(spark, path, lambda: rows.select(F.trim(F.col(product).cast("string")).alias("product_id")).where("product_id <> ''").distinct(), refresh)
+
+
+def scroll(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A whole collection, the columns that are wanted; what was a cursor over pages is one scan."""
+    return spark.read.parquet(path).select(*columns)

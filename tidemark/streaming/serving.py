@@ -19,6 +19,16 @@ def stream_counters(events: DataFrame, ts: str = "ts", late: str = "10 minutes",
     return request_counters(timed.withWatermark(ts, late), ts, width)
 
 
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Runs a stream over what its source holds now, into a Parquet table at ``path``, and reads that.
+
+    Progress is kept beside the table, so that a run that is broken off goes on where it was.
+    """
+    query = stream.writeStream.format("parquet").option("path", f"{path}/table").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/table")
+
+
 def semantic_cache(requests: DataFrame, shard: str = "shard", threshold: float = 0.92, ttl_s: int = 3600, capacity: int = 1000) -> DataFrame:
     """A cache of two levels over a stream of ``shard, request_id, ts, key, vector``.
 
@@ -26,18 +36,23 @@ def semantic_cache(requests: DataFrame, shard: str = "shard", threshold: float =
     least ``threshold`` similar; else it is put.  Entries live ``ttl_s`` seconds; beyond
     ``capacity`` the entry that was used longest ago goes.  The parameters of a request
     are part of its shard, so that a result is never taken for other parameters.  State
-    is one shard's entries, so ``capacity`` bounds it; requests of a shard are taken in
-    order of time within a batch.
+    is one shard's entries, so ``capacity`` bounds it, and it goes when the shard had no
+    request for ``ttl_s`` seconds; requests of a shard are taken in order of time within a
+    batch.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # nothing in it is alive any more
+            state.remove()
+            return
         names, vectors, put, used = (list(x) for x in state.get) if state.exists else ([], [], [], [])
         rows = pd.concat(list(batches)).sort_values(["ts", "request_id"])
         out = []
         for r in rows.itertuples():
             now = r.ts.timestamp()
-            live = [i for i, p in enumerate(put) if now - p <= ttl_s]
-            names, vectors, put, used = ([x[i] for i in live] for x in (names, vectors, put, used))
+            if put and now - min(put) > ttl_s:
+                live = [i for i, p in enumerate(put) if now - p <= ttl_s]
+                names, vectors, put, used = ([x[i] for i in live] for x in (names, vectors, put, used))
             v = np.asarray(r.vector, float)
             hit, level, similarity = -1, "miss", None
             if r.key in names:
@@ -60,9 +75,10 @@ def semantic_cache(requests: DataFrame, shard: str = "shard", threshold: float =
                 used.append(now)
             out.append((key[0], r.request_id, level, similarity))
         state.update((names, vectors, put, used))
+        state.setTimeoutDuration(max(1, int(ttl_s * 1000)))
         yield pd.DataFrame(out, columns=["shard", "request_id", "level", "similarity"])
 
     return requests.groupBy(shard).applyInPandasWithState(
         step, f"shard {dict(requests.dtypes)[shard]}, request_id long, level string, similarity double",
-        "names array<string>, vectors array<array<double>>, put array<double>, used array<double>", "append", GroupStateTimeout.NoTimeout,
+        "names array<string>, vectors array<array<double>>, put array<double>, used array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout,
     )
