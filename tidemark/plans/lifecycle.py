@@ -61,17 +61,17 @@ def refusal_messages(spark, sf):
 
 
 def _evidence(spark, sf):
-    """Documents of a source as pieces of evidence, the first six by id."""
+    """Documents of a language as pieces of evidence of forty products, in order of their ids."""
     d = table(spark, sf, "documents")
-    piece = F.struct("doc_id", F.concat(F.lit("review_"), F.col("doc_id").cast("string")).alias("review_id"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 6).cast("double")).alias("rating"), F.substring("text", 1, 200).alias("text"))
-    return d.groupBy("lang", (F.col("doc_id") % 40).alias("product")).agg(F.slice(F.array_sort(F.collect_list(piece)), 1, 6).alias("evidence"))
+    piece = F.struct("doc_id", F.concat(F.lit("review_"), F.col("doc_id").cast("string")).alias("review_id"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 6).cast("double")).alias("rating"), "text")
+    return d.groupBy("lang", (F.col("doc_id") % 40).alias("product")).agg(F.array_sort(F.collect_list(piece)).alias("evidence"))
 
 
 _CLEAN_Q = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '[\r\n\t]+', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g'))"
 
 
-@register("formatted_evidence", f"""WITH e AS (SELECT lang, doc_id % 40 AS product, doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 6 AS DOUBLE) END AS rating, substr(text, 1, 200) AS text, row_number() OVER (PARTITION BY lang, doc_id % 40 ORDER BY doc_id) AS i FROM documents),
-s AS (SELECT *, {_CLEAN_Q} AS clean FROM e WHERE i <= 6)
+@register("formatted_evidence", f"""WITH e AS (SELECT lang, doc_id % 40 AS product, doc_id, CASE WHEN doc_id % 5 <> 0 THEN CAST(doc_id % 6 AS DOUBLE) END AS rating, text, row_number() OVER (PARTITION BY lang, doc_id % 40 ORDER BY doc_id) AS i FROM documents),
+s AS (SELECT *, {_CLEAN_Q} AS clean FROM e)
 SELECT lang, product, coalesce(string_agg('[review_' || doc_id || '] (' || CAST(coalesce(rating, 0) AS INT) || '/5 stars): "' || clean || '"', chr(10) || chr(10) ORDER BY i) FILTER (i <= 5), '(No review evidence available)') AS evidence,
 count(rating) FILTER (i <= 3) >= 2 AND coalesce(max(rating) FILTER (i <= 3) - min(rating) FILTER (i <= 3), 0) >= 2 AS mixed, string_agg('review_' || doc_id, ',' ORDER BY i) FILTER (i <= 3) AS ids FROM s GROUP BY lang, product""")
 def formatted_evidence(spark, sf):
@@ -477,18 +477,20 @@ def response_quality(spark, sf):
 
 # --- recommendations -------------------------------------------------------------------
 
-_HIST = "hi AS (SELECT doc_id % 60 AS user_id, doc_id % 50 AS product_id, doc_id AS place, CAST(doc_id % 6 AS DOUBLE) AS rating, text FROM documents WHERE doc_id % 60 < 45 AND NOT (doc_id % 60 < 30 AND doc_id > 150)), us AS (SELECT unnest(range(0, 60)) AS user_id)"
+_HIST = "hi AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 100 + doc_id // 30 ELSE doc_id % 60 END AS user_id, doc_id % 50 AS product_id, doc_id AS place, CAST(doc_id % 6 AS DOUBLE) AS rating, text FROM documents), us AS (SELECT unnest(range(0, 80)) AS user_id UNION SELECT user_id FROM hi)"
 _LEV = f"{_HIST}, ul AS (SELECT us.user_id, count(hi.user_id) AS n, CASE WHEN us.user_id % 2 = 0 THEN 'q' || us.user_id END AS query FROM us LEFT JOIN hi ON hi.user_id = us.user_id GROUP BY us.user_id), lv AS (SELECT *, CASE WHEN n = 0 THEN 'cold' WHEN n < 5 THEN 'warming' ELSE 'warm' END AS level FROM ul)"
 
 
 def _history(spark, sf):
+    """Documents as what users read: most of sixty users, every tenth of users with three each."""
     i = F.col("doc_id")
-    d = table(spark, sf, "documents").select((i % 60).alias("user_id"), (i % 50).alias("product_id"), i.alias("place_id"), (i % 6).cast("double").alias("rating"), "text")
-    return d.where("user_id < 45 and not (user_id < 30 and place_id > 150)")
+    user = F.when(i % 10 == 0, 100 + F.floor(i / 30)).otherwise(i % 60)
+    return table(spark, sf, "documents").select(user.alias("user_id"), (i % 50).alias("product_id"), i.alias("place_id"), (i % 6).cast("double").alias("rating"), "text")
 
 
 def _levels(spark, sf):
-    users = spark.range(60).select(F.col("id").alias("user_id"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("q"), F.col("id").cast("string"))).alias("query"))
+    ids = spark.range(80).select(F.col("id").alias("user_id")).unionByName(_history(spark, sf).select("user_id")).distinct()
+    users = ids.select("user_id", F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("q"), F.col("user_id").cast("string"))).alias("query"))
     return recommend.history_queries(users, _history(spark, sf), ["place_id"])
 
 
@@ -505,8 +507,8 @@ hb AS ({R._blend(0.8, 0.2, 'hp')}), hr AS (SELECT *, row_number() OVER (PARTITIO
 
 def _user_chunks(spark, sf):
     """Each user asks what one of ten search results answers."""
-    found = X.chunks(spark, sf)
-    return found.where("query_id < 500").select(F.explode(F.sequence((F.col("query_id") / 50).cast("long"), F.lit(59).cast("long"), F.lit(10).cast("long"))).alias("user_id"), "chunk_id", "product_id", "score", "rating").withColumnRenamed("user_id", "query_id")
+    asked = _levels(spark, sf).select("user_id", (F.col("user_id") % 10 * 50).alias("query_id"))
+    return X.chunks(spark, sf).join(asked, "query_id").select(F.col("user_id").alias("query_id"), "chunk_id", "product_id", "score", "rating")
 
 
 @register("hybrid_recommendations", f"WITH {_HYB} SELECT hr.query_id AS user_id, product_id, score, CAST(rank AS INT) AS rank FROM hr ANTI JOIN hi ON hi.user_id = hr.query_id AND hi.product_id = hr.product_id")
@@ -523,7 +525,7 @@ def _explainable(spark, sf):
     """The first products of each query with documents as evidence, a draft, and a retry for some."""
     top = retrieval.recommend(X.chunks(spark, sf), 3)
     i = F.col("doc_id")
-    d = table(spark, sf, "documents").select(i.alias("chunk_id"), F.concat(F.lit("review_"), i.cast("string")).alias("review_id"), F.substring("text", 1, 200).alias("text"), F.when(i % 3 != 0, F.lit(X.REFERENCE_MS) - (i % 1500) * F.lit(86400000)).alias("timestamp_ms"), (i % 2 == 0).alias("verified_purchase"))
+    d = table(spark, sf, "documents").select(i.alias("chunk_id"), F.concat(F.lit("review_"), i.cast("string")).alias("review_id"), "text", F.when(i % 3 != 0, F.lit(X.REFERENCE_MS) - (i % 1500) * F.lit(86400000)).alias("timestamp_ms"), (i % 2 == 0).alias("verified_purchase"))
     rows = recommend.product_rows(top, X.chunks(spark, sf), d)
     q, n = F.col("query_id"), F.col("product_id")
     texts = {
@@ -535,13 +537,13 @@ def _explainable(spark, sf):
 
 
 @register("explanation_sources", f"""WITH {R._ALL}, a AS ({R._products('max')}), b AS ({R._blend(0.8, 0.2, 'a')}), rt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM b QUALIFY rank <= 3),
-pc AS (SELECT c.query_id, c.product_id, c.chunk_id, c.score, substr(d.text, 1, 200) AS text, CASE WHEN d.doc_id % 3 <> 0 THEN {X.REFERENCE_MS} - (d.doc_id % 1500) * 86400000 END AS ms, row_number() OVER (PARTITION BY c.query_id, c.product_id ORDER BY c.score DESC, c.chunk_id) AS i FROM c JOIN rt ON rt.query_id = c.query_id AND rt.product_id = c.product_id LEFT JOIN documents d ON d.doc_id = c.chunk_id),
+pc AS (SELECT c.query_id, c.product_id, c.chunk_id, c.score, d.text AS text, CASE WHEN d.doc_id % 3 <> 0 THEN {X.REFERENCE_MS} - (d.doc_id % 1500) * 86400000 END AS ms, row_number() OVER (PARTITION BY c.query_id, c.product_id ORDER BY c.score DESC, c.chunk_id) AS i FROM c JOIN rt ON rt.query_id = c.query_id AND rt.product_id = c.product_id LEFT JOIN documents d ON d.doc_id = c.chunk_id),
 pg AS (SELECT query_id, product_id, count(*) AS chunk_count, coalesce(sum(length(text)), 0) // 4 AS tokens, max(score) AS top, count(ms) FILTER (i <= 5) AS ta, count(*) FILTER (i <= 5 AND ({X.REFERENCE_MS} - ms) / 86400000.0 > 1095) AS vo, count(*) FILTER (i <= 5 AND ({X.REFERENCE_MS} - ms) / 86400000.0 > 365) AS ol FROM pc GROUP BY query_id, product_id)
-SELECT query_id, product_id, CASE WHEN chunk_count < 2 OR tokens < 150 OR top < 0.2 THEN 'quality_gate_refusal' WHEN query_id % 100 = 0 AND (ta = 0 OR vo = ta OR ol = ta) THEN 'freshness_hedge' WHEN product_id % 3 = 0 AND product_id % 2 = 0 THEN 'retry' ELSE 'draft' END AS source,
-CASE WHEN chunk_count < 2 THEN 'insufficient_chunks' WHEN tokens < 150 THEN 'insufficient_tokens' WHEN top < 0.2 THEN 'low_relevance' END AS refusal_type FROM pg""")
+SELECT query_id, product_id, CASE WHEN chunk_count < 2 OR tokens < 500 OR top < 0.2 THEN 'quality_gate_refusal' WHEN query_id % 100 = 0 AND (ta = 0 OR vo = ta OR ol = ta) THEN 'freshness_hedge' WHEN product_id % 3 = 0 AND product_id % 2 = 0 THEN 'retry' ELSE 'draft' END AS source,
+CASE WHEN chunk_count < 2 THEN 'insufficient_chunks' WHEN tokens < 500 THEN 'insufficient_tokens' WHEN top < 0.2 THEN 'low_relevance' END AS refusal_type FROM pg""")
 def explanation_sources(spark, sf):
     """P20: what each product's explanation comes from."""
-    return recommend.explain(_explainable(spark, sf), X.REFERENCE_MS, 2, 150, 0.2).select("query_id", "product_id", "source", "refusal_type")
+    return recommend.explain(_explainable(spark, sf), X.REFERENCE_MS, 2, 500, 0.2).select("query_id", "product_id", "source", "refusal_type")
 
 
 _REQS = f"""rq AS (SELECT i AS request_id, text AS query, {_CLEAN_Q} AS sq FROM en), ke AS (SELECT *, trim(regexp_replace(lower(sq), '\\s+', ' ', 'g')) || ':3:' || CASE WHEN request_id % 2 = 0 THEN 'true' ELSE 'false' END || ':4.0' AS cache_key FROM rq)"""
@@ -570,20 +572,20 @@ def candidate_rows_filtered(spark, sf):
     return querybank.candidate_rows(rows, "BRAND#12", need_large=True).select("p_partkey")
 
 
-_BUCK = """jr AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, l_orderkey % 400 AS sq, 'find part number ' || (l_orderkey % 400) || ' of ' || (l_orderkey % 7) AS query, l_partkey AS product_id, CASE l_returnflag WHEN 'A' THEN 'E' WHEN 'N' THEN 'S' ELSE 'C' END AS label FROM lineitem WHERE l_orderkey < 3000),
-js AS (SELECT split, sq, min(row_id) AS first_row, arg_min(query, row_id) AS text FROM jr GROUP BY ALL), jg AS (SELECT split, sq, product_id, max(CASE label WHEN 'E' THEN 3.0 ELSE 2.0 END) AS grade FROM jr WHERE label IN ('E', 'S') AND product_id % 2 = 0 GROUP BY ALL), jk AS (SELECT split, sq, count(*) AS n_relevant, sum(grade)::DOUBLE AS mass FROM jg GROUP BY ALL HAVING count(*) >= 3),
+_BUCK = """jr AS (SELECT l_orderkey * 10 + l_linenumber AS row_id, CASE WHEN l_orderkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, l_orderkey % 400 AS sq, 'find part number ' || (l_orderkey % 400) || ' of ' || (l_orderkey % 7) AS query, l_partkey + l_linenumber % 2 * 1000000 AS product_id, CASE l_returnflag WHEN 'A' THEN 'E' WHEN 'N' THEN 'S' ELSE 'C' END AS label FROM lineitem),
+js AS (SELECT split, sq, min(row_id) AS first_row, arg_min(query, row_id) AS text FROM jr GROUP BY ALL), jg AS (SELECT split, sq, product_id, max(CASE label WHEN 'E' THEN 3.0 ELSE 2.0 END) AS grade FROM jr WHERE label IN ('E', 'S') AND product_id IN (SELECT p_partkey FROM part) GROUP BY ALL), jk AS (SELECT split, sq, count(*) AS n_relevant, sum(grade)::DOUBLE AS mass FROM jg GROUP BY ALL HAVING count(*) >= 3),
 jb AS (SELECT jk.*, first_row, text FROM jk JOIN js USING (split, sq) ORDER BY first_row LIMIT 120), jn AS (SELECT *, printf('qb_%05d', row_number() OVER (ORDER BY first_row, split || ':' || sq)) AS query_id FROM jb)"""
 
 
 def _bank_judgments(spark, sf):
-    li = table(spark, sf, "lineitem").where("l_orderkey < 3000")
+    li = table(spark, sf, "lineitem")
     o = F.col("l_orderkey")
     label = F.when(F.col("l_returnflag") == "A", "E").when(F.col("l_returnflag") == "N", "S").otherwise("C")
-    return li.select((o * 10 + F.col("l_linenumber")).alias("row_id"), F.when(o % 3 == 0, "test").otherwise("train").alias("split"), (o % 400).alias("source_query_id"), F.concat(F.lit("find part number "), (o % 400).cast("string"), F.lit(" of "), (o % 7).cast("string")).alias("query"), F.col("l_partkey").alias("product_id"), label.alias("label"))
+    return li.select((o * 10 + F.col("l_linenumber")).alias("row_id"), F.when(o % 3 == 0, "test").otherwise("train").alias("split"), (o % 400).alias("source_query_id"), F.concat(F.lit("find part number "), (o % 400).cast("string"), F.lit(" of "), (o % 7).cast("string")).alias("query"), (F.col("l_partkey") + F.col("l_linenumber") % 2 * 1000000).alias("product_id"), label.alias("label"))
 
 
 def _bank(spark, sf):
-    corpus = table(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("product_id"))
+    corpus = table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"))
     return querybank.overlap_bank(_bank_judgments(spark, sf), corpus, 3, 120)
 
 
@@ -594,7 +596,7 @@ kl AS (SELECT component, sha256(string_agg(a.norm || chr(9) || a.id, chr(10) ORD
 @register("overlap_bank", f"""WITH RECURSIVE {_BANK} SELECT jn.query_id, jn.text, CASE WHEN split = 'train' THEN 'gate_calibration' WHEN f < 0.8 THEN CASE WHEN f / 0.8::DOUBLE < 0.75 THEN 'retrieval_dev_holdout' ELSE 'retrieval_final_report' END ELSE CASE WHEN (f - 0.8::DOUBLE) / (1 - 0.8::DOUBLE) < 1.0::DOUBLE / 3 THEN 'faithfulness_dev_seed' ELSE 'faithfulness_final_seed' END END AS subset_tags,
 n_relevant, mass, 'judgments:split=' || split || ':query_id=' || sq AS source_ref FROM jn LEFT JOIN kf ON kf.id = split || ':' || sq""")
 def overlap_bank(spark, sf):
-    """P7, over judgments of the first orders, the first 120 queries with three products or more (K9)."""
+    """The first 120 queries with three products or more (K9)."""
     mass = F.aggregate(F.map_values("relevant_items"), F.lit(0.0), lambda a, x: a + x)
     return _bank(spark, sf).select("query_id", "text", F.array_join("subset_tags", ",").alias("subset_tags"), F.size(F.map_keys("relevant_items")).cast("long").alias("n_relevant"), mass.alias("mass"), "source_ref")
 
@@ -625,14 +627,14 @@ def bank_manifest(spark, sf):
     return m.select(j("canonical_row_count").cast("long").alias("canonical_row_count"), j("corpus_product_count").cast("long").alias("corpus_product_count"), j("corpus_fingerprint").alias("corpus_fingerprint"), j("status").alias("status"))
 
 
-@register("bootstrap_bank", """WITH c AS (SELECT p_name AS text, count(*) AS record_count, list_sort(list(CAST(p_partkey AS VARCHAR))) AS ids, min(p_partkey) AS first_row FROM part WHERE p_partkey % 3 = 0 GROUP BY p_name) SELECT printf('qc_%04d', row_number() OVER (ORDER BY record_count DESC, lower(text), text)) AS query_id, text, 'part.parquet:query_id=' || ids[1] || CASE WHEN len(ids) > 1 THEN '(+' || (len(ids) - 1) || ' more)' ELSE '' END AS source_ref FROM c""")
+@register("bootstrap_bank", """WITH c AS (SELECT p_name AS text, count(*) AS record_count, list_sort(list(CAST(p_partkey AS VARCHAR))) AS ids, min(p_partkey) AS first_row FROM part GROUP BY p_name) SELECT printf('qc_%04d', row_number() OVER (ORDER BY record_count DESC, lower(text), text)) AS query_id, text, 'part.parquet:query_id=' || ids[1] || CASE WHEN len(ids) > 1 THEN '(+' || (len(ids) - 1) || ' more)' ELSE '' END AS source_ref FROM c""")
 def bootstrap_bank(spark, sf):
     """P8, T24, K8."""
-    rows = table(spark, sf, "part").where("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("text")).agg(F.count("*").alias("record_count"), F.array_sort(F.collect_list(F.col("p_partkey").cast("string"))).alias("query_ids"), F.min("p_partkey").alias("first_row"))
+    rows = table(spark, sf, "part").groupBy(F.col("p_name").alias("text")).agg(F.count("*").alias("record_count"), F.array_sort(F.collect_list(F.col("p_partkey").cast("string"))).alias("query_ids"), F.min("p_partkey").alias("first_row"))
     return querybank.bootstrap_rows(rows, "part.parquet").select("query_id", "text", "source_ref")
 
 
-_SURF = "sf AS (SELECT item_id AS query_id, text, 's' || (item_id % 3) AS surface FROM benchmark UNION ALL SELECT item_id, text, 's0' FROM benchmark WHERE item_id % 3 = 1 AND item_id % 2 = 0 UNION ALL SELECT 100000 + item_id, text || ' please', 's2' FROM benchmark WHERE item_id % 3 = 0 UNION ALL SELECT p_partkey + 200000, p_name, 's3' FROM part WHERE p_partkey % 10 = 0)"
+_SURF = "sf AS (SELECT item_id AS query_id, text, 's' || (item_id % 3) AS surface FROM benchmark UNION ALL SELECT item_id, text, 's0' FROM benchmark WHERE item_id % 3 = 1 AND item_id % 2 = 0 UNION ALL SELECT 10000000 + item_id, text || ' please', 's2' FROM benchmark UNION ALL SELECT p_partkey + 20000000, p_name, 's3' FROM part)"
 _SUP = R._pairs_sql("SELECT DISTINCT query_id AS id, text FROM sf", "SELECT DISTINCT query_id AS id, text FROM sf", "TRUE")
 _MATRIX = f"""{_SURF}, {_SUP}, nm AS (SELECT DISTINCT surface FROM sf), sp AS (SELECT x.surface AS left_surface, y.surface AS right_surface FROM nm x JOIN nm y ON x.surface < y.surface),
 sc AS (SELECT l.surface AS left_surface, r.surface AS right_surface, severity, right_id FROM v JOIN sf l ON l.query_id = left_id JOIN sf r ON r.query_id = right_id WHERE l.surface < r.surface),
@@ -644,8 +646,8 @@ def _matrix(spark, sf):
     b = table(spark, sf, "benchmark")
     i = F.col("item_id")
     tagged = b.select(i.alias("query_id"), "text", F.array_compact(F.array(F.concat(F.lit("t"), (i % 3).cast("string")), F.when((i % 3 == 1) & (i % 2 == 0), "t0"))).alias("subset_tags"))
-    near = b.where(i % 3 == 0).select((i + 100000).alias("query_id"), F.concat("text", F.lit(" please")).alias("text"), F.array(F.lit("t2")).alias("subset_tags"))
-    parts = table(spark, sf, "part").where("p_partkey % 10 = 0").select((F.col("p_partkey") + 200000).alias("query_id"), F.col("p_name").alias("text"), F.array(F.lit("t3"), F.lit("older")).alias("subset_tags"))
+    near = b.select((i + 10000000).alias("query_id"), F.concat("text", F.lit(" please")).alias("text"), F.array(F.lit("t2")).alias("subset_tags"))
+    parts = table(spark, sf, "part").select((F.col("p_partkey") + 20000000).alias("query_id"), F.col("p_name").alias("text"), F.array(F.lit("t3"), F.lit("older")).alias("subset_tags"))
     specs = {"s0": ("t0",), "s1": ("t1",), "s2": ("t2", "t9"), "s3": ("older", "t3")}
     return leakage.surface_matrix(querybank.surfaces(tagged.unionByName(near).unionByName(parts), specs))
 

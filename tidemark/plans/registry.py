@@ -344,7 +344,7 @@ def rating_filter_sweep(spark, sf):
 
 @register("full_report", f"""WITH {_RANKING}, {_metrics('r')}, {_pooled('mean')}, {_POP}, pq AS (SELECT a.query_id, a.product_id AS pa, b.product_id AS pb FROM r a JOIN r b ON a.query_id = b.query_id AND a.product_id < b.product_id),
 cs AS (SELECT query_id, pa, pb, sum(v.x * w.x) AS cosine FROM pq JOIN pv v ON v.product_id = pa JOIN pv w ON w.product_id = pb AND w.pos = v.pos GROUP BY ALL), dv AS (SELECT query_id, round(avg(1 - cosine), 6) AS diversity FROM cs GROUP BY query_id),
-nv AS (SELECT query_id, round(avg(-log2(greatest(coalesce(share, 0.001::DOUBLE), 0.001::DOUBLE))), 6) AS novelty FROM r LEFT JOIN pop USING (product_id) WHERE query_id % 100 = 0 GROUP BY query_id)
+nv AS (SELECT query_id, CASE WHEN query_id % 100 = 0 THEN round(avg(-log2(greatest(coalesce(share, 0.001::DOUBLE), 0.001::DOUBLE))), 6) END AS novelty FROM r LEFT JOIN pop USING (product_id) GROUP BY query_id)
 SELECT {_MEANS}, round(avg(diversity), 6) AS diversity, round(avg(novelty), 6) AS novelty, (SELECT round(count(DISTINCT product_id)::DOUBLE / (SELECT count(DISTINCT product_id) FROM p), 6) FROM r) AS coverage FROM m LEFT JOIN dv USING (query_id) LEFT JOIN nv USING (query_id)""")
 def full_report(spark, sf):
     """All means; novelty is known for every other query only, and its mean is over those."""
@@ -352,7 +352,7 @@ def full_report(spark, sf):
     popular = interactions.item_popularity(X.interactions(spark, sf)).select(F.col("item_id").alias("product_id"), "share")
     return evaluation.full_report(
         evaluation.ranking_metrics(ranking, X.judgments(spark, sf)), evaluation.list_diversity(ranking, retrieval.pooled_vectors(X.points(spark, sf))),
-        evaluation.novelty(ranking, popular).where("query_id % 100 = 0"), evaluation.catalog_coverage(ranking, X.points(spark, sf)),
+        evaluation.novelty(ranking, popular).withColumn("novelty", F.when(F.col("query_id") % 100 == 0, F.col("novelty"))), evaluation.catalog_coverage(ranking, X.points(spark, sf)),
     )
 
 
@@ -558,12 +558,12 @@ def gate_holdout_comparison(spark, sf):
     return calibration.holdout_comparison(queries, _observations(spark, sf), (20, 1, 0.2), (100, 2, 0.25))
 
 
-@register("case_evidence_metrics", f"""WITH {_ALL}, t AS (SELECT c.query_id, c.product_id, CAST(length(coalesce(d.text, '')) // 4 AS BIGINT) AS tokens FROM c LEFT JOIN documents d ON d.doc_id = c.chunk_id WHERE c.query_id % 100 = 0)
+@register("case_evidence_metrics", f"""WITH {_ALL}, t AS (SELECT c.query_id, c.product_id, CAST(length(coalesce(d.text, '')) // 4 AS BIGINT) AS tokens FROM c LEFT JOIN documents d ON d.doc_id = c.chunk_id)
 SELECT query_id, product_id, count(*) AS chunk_count, CAST(sum(tokens) AS BIGINT) AS total_tokens, min(tokens) AS min_chunk_tokens, max(tokens) AS max_chunk_tokens FROM t GROUP BY ALL""")
 def case_evidence_metrics(spark, sf):
-    """A20 over the evidence of every other query's products."""
+    """A20 over the evidence of each query's products."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    rows = X.chunks(spark, sf).where("query_id % 100 = 0").join(d, "chunk_id", "left").groupBy("query_id", "product_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("evidence_texts"))
+    rows = X.chunks(spark, sf).join(d, "chunk_id", "left").groupBy("query_id", "product_id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("evidence_texts"))
     return calibration.evidence_metrics(rows).drop("evidence_texts")
 
 
@@ -625,7 +625,7 @@ def query_policy(spark, sf):
 
 
 _EXPL = r"""x AS (SELECT doc_id, text, (CASE WHEN doc_id % 9 = 0 THEN 'It may not be the best match for you: ' WHEN doc_id % 13 = 0 THEN 'Highly recommended and perfect for all: ' ELSE 'Buyers say ' END) || '"' ||
-(CASE WHEN doc_id % 5 = 0 THEN 'no such words as these in it ' || doc_id ELSE translate(text[1:40], '"''' || chr(10) || '[]', '     ') END) || '" [review_' || (CASE WHEN doc_id % 7 = 0 THEN doc_id + 1 ELSE doc_id END) || ']' AS explanation FROM documents)"""
+(CASE WHEN doc_id % 5 = 0 THEN 'no such words as these in it ' || doc_id ELSE translate(substr(text, CAST(doc_id * 7919 % greatest(length(text) - 40, 1) AS INT) + 1, 40), '"''' || chr(10) || '[]', '     ') END) || '" [review_' || (CASE WHEN doc_id % 7 = 0 THEN doc_id + 1 ELSE doc_id END) || ']' AS explanation FROM documents)"""
 _QUOTES = r"list_filter(list_transform(list_concat(regexp_extract_all(explanation, '\x22([^\x22]+)\x22', 1), regexp_extract_all(explanation, '\x27([^\x27]+)\x27', 1)), lambda y: trim(y)), lambda y: length(y) >= 4)"
 _IN = f"(contains({NORM.format('text')}, {NORM.format('y')}) OR (len(string_split({NORM.format('y')}, ' ')) >= 3 AND contains({NORM.format('text')}, array_to_string(string_split({NORM.format('y')}, ' ')[1:greatest(3, CAST(floor(len(string_split({NORM.format('y')}, ' ')) * 0.8::DOUBLE) AS INT))], ' '))))"
 
@@ -781,19 +781,20 @@ def point_ids(spark, sf):
 
 # --- query bank ------------------------------------------------------------------------
 
-_JSRC = "SELECT CASE WHEN l_linestatus = 'O' THEN 'train' ELSE 'test' END AS split, 'q' || (l_orderkey % 500) AS query, l_partkey AS product_id, CASE l_returnflag WHEN 'A' THEN 'E' WHEN 'N' THEN 'S' ELSE 'C' END AS label FROM lineitem"
-_CORP = "SELECT p_partkey AS product_id FROM part WHERE p_size <= 25"
+_JSRC = "SELECT CASE WHEN l_linestatus = 'O' THEN 'train' ELSE 'test' END AS split, 'q' || (l_orderkey % 500) AS query, l_partkey + l_linenumber % 2 * 1000000 AS product_id, CASE l_returnflag WHEN 'A' THEN 'E' WHEN 'N' THEN 'S' ELSE 'C' END AS label FROM lineitem"
+_CORP = "SELECT p_partkey AS product_id FROM part"
 
 
 def _judgment_rows(spark, sf):
+    """Lines as judgments; those with an odd number are of products that the corpus lacks."""
     li = table(spark, sf, "lineitem")
     label = F.when(F.col("l_returnflag") == "A", "E").when(F.col("l_returnflag") == "N", "S").otherwise("C")
-    return li.select(F.when(F.col("l_linestatus") == "O", "train").otherwise("test").alias("split"), F.concat(F.lit("q"), F.col("l_orderkey") % 500).alias("query"), F.col("l_partkey").alias("product_id"), label.alias("label"))
+    return li.select(F.when(F.col("l_linestatus") == "O", "train").otherwise("test").alias("split"), F.concat(F.lit("q"), F.col("l_orderkey") % 500).alias("query"), (F.col("l_partkey") + F.col("l_linenumber") % 2 * 1000000).alias("product_id"), label.alias("label"))
 
 
 @register("esci_overlap_bank", f"WITH s AS ({_JSRC}), g AS (SELECT split, query, product_id, max(CASE label WHEN 'E' THEN 3.0::DOUBLE WHEN 'S' THEN 2.0::DOUBLE END) AS grade, list(DISTINCT label) AS l FROM s WHERE label IN ('E', 'S') AND product_id IN ({_CORP}) GROUP BY ALL) SELECT split, query, count(*) AS n_relevant, sum(grade) AS grade_mass, array_to_string(list_sort(list_distinct(flatten(list(l)))), ',') AS labels FROM g GROUP BY ALL HAVING count(*) >= 3")
 def esci_overlap_bank(spark, sf):
-    corpus = table(spark, sf, "part").where("p_size <= 25").select(F.col("p_partkey").alias("product_id"))
+    corpus = table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"))
     bank = querybank.judged_queries(_judgment_rows(spark, sf), corpus, 3)
     return bank.select("split", "query", "n_relevant", "grade_mass", F.array_join("labels", ",").alias("labels"))
 

@@ -30,17 +30,17 @@ def _mixed_lines(spark, sf):
     path = new_path(spark, "mixed-lines")
     i = F.col("event_id")
     line = F.when(i % 50 == 7, "{not json").when(i % 50 == 9, "").when(i % 50 == 11, '{"doc_id": "x"}').otherwise(F.to_json(F.struct(i.alias("doc_id"), F.col("event_type").alias("lang"))))
-    table(spark, sf, "events").where("event_id < 1000").coalesce(1).sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    table(spark, sf, "events").coalesce(1).sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
     return path
 
 
-@register("source_good_rows", "SELECT event_id AS doc_id, event_type AS lang FROM events WHERE event_id < 1000 AND event_id % 50 NOT IN (7, 9, 11)")
+@register("source_good_rows", "SELECT event_id AS doc_id, event_type AS lang FROM events WHERE event_id % 50 NOT IN (7, 9, 11)")
 def source_good_rows(spark, sf):
     good, _ = readers.read_json_rows(spark, _mixed_lines(spark, sf), _DOC)
     return good.select("doc_id", "lang")
 
 
-@register("source_bad_lines", "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line FROM events WHERE event_id < 1000) SELECT CAST(line AS INT) AS line, CASE event_id % 50 WHEN 7 THEN '{not json' ELSE '{\"doc_id\": \"x\"}' END AS value FROM n WHERE event_id % 50 IN (7, 11)")
+@register("source_bad_lines", "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line FROM events) SELECT CAST(line AS INT) AS line, CASE event_id % 50 WHEN 7 THEN '{not json' ELSE '{\"doc_id\": \"x\"}' END AS value FROM n WHERE event_id % 50 IN (7, 11)")
 def source_bad_lines(spark, sf):
     """Lines that don't fit, with their numbers."""
     return readers.numbered_json_rows(spark, _mixed_lines(spark, sf), _DOC)[1].select("line", "value")
