@@ -32,6 +32,7 @@ DIGITS = 4
 
 
 def _ratio(a: Column, b: Column) -> Column:
+    """A over b, 0 where there is nothing to divide by."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 

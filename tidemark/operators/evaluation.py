@@ -11,7 +11,7 @@ METRICS = ("ndcg", "hit", "mrr", "precision", "recall")
 
 
 def ranking_metrics(ranking: DataFrame, judgments: DataFrame, k: int = 10, by: tuple[str, ...] = ()) -> DataFrame:
-    """Metrics of each query of ``judgments`` (``query_id, product_id, grade``).
+    """Metrics of each query of ``judgments`` (``query_id, product_id, grade``).
 
     The ideal ranking is over all judged grades.  Reciprocal rank looks at the whole
     list, the others at the first k; precision divides by the products there are.  A
@@ -128,7 +128,7 @@ def config_comparison(per_query: DataFrame, subsets: DataFrame) -> DataFrame:
 
 
 def list_diversity(ranking: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """For each query, the mean of one less cosine over the pairs of its first k products; 0 under two.
+    """For each query, the mean of one less cosine over the pairs of its first k products; 0 under two.
 
     Needs no pairs: over unit vectors they sum to (|sum|^2 - n) / 2.
     """
@@ -147,7 +147,7 @@ def catalog_coverage(ranking: DataFrame, catalog: DataFrame, item: str = "produc
 
 
 def novelty(ranking: DataFrame, popularity: DataFrame, item: str = "product_id", floor: float = 0.001) -> DataFrame:
-    """For each query, the mean of -log2 of the products' popularity, ``floor`` at least."""
+    """For each query, the mean of -log2 of the products' popularity, ``floor`` at least."""
     share = F.greatest(F.coalesce("share", F.lit(floor)), F.lit(floor))
     return ranking.join(popularity.select(item, "share"), item, "left").groupBy("query_id").agg(F.round(F.avg(-F.log2(share)), 6).alias("novelty"))
 

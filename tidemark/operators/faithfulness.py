@@ -17,13 +17,19 @@ def verify_quotes(rows: DataFrame) -> DataFrame:
 
 
 def verify_citations(rows: DataFrame) -> DataFrame:
-    """Cited ids that are evidence, with their quote in a text of that evidence."""
+    """Cited ids that are evidence, with their quote in a text of that evidence."""
     pairs = F.arrays_zip("evidence_ids", "evidence_texts")
     valid = F.filter("citations", lambda c: F.exists(pairs, lambda e: (e["evidence_ids"] == c["citation_id"]) & (c["quote"].isNull() | quote_in(c["quote"], e["evidence_texts"]))))
     out = rows.withColumn("citations", extract_citations(F.col("explanation"))).withColumn("n_valid", F.size(valid).cast("long"))
     return out.withColumn("n_invalid", F.size("citations").cast("long") - F.col("n_valid")).withColumn("all_valid", F.col("n_invalid") == 0)
 
 
+def judged_scores(rows: DataFrame, score: str = "score", degraded: str = "degraded", threshold: float = 0.5) -> DataFrame:
+    """``rows`` with ``score`` as it counts, 0 where the scorer was degraded, and ``is_hallucinated``, a score under the threshold."""
+    counted = F.when(F.coalesce(F.col(degraded), F.lit(False)), F.lit(0.0)).otherwise(F.col(score))
+    return rows.withColumn(score, counted).withColumn("is_hallucinated", F.col(score) < threshold)
+
+
 def claim_report(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Claim scores over all and by explanation: mean, range, pass rate, explanations that pass whole."""
     ok = F.col("score") >= threshold

@@ -31,7 +31,7 @@ def clean_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def review_issues(reviews: DataFrame) -> DataFrame:
-    """``issue, reviews`` for each issue that occurs, with duplicate texts and the number that is clean.
+    """``issue, reviews`` for each issue that occurs, with duplicate texts and the number that is clean.
 
     One pass counts the issues; distinct texts are counted by a hash of their normal form.
     """

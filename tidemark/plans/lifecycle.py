@@ -670,3 +670,29 @@ def review_report(spark, sf):
 
     flag = F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") % 2 == 0)
     return interactions.review_report(X.reviews(spark, sf).withColumn("verified_purchase", flag), item="parent_asin")
+
+
+@register("approximate_topk")
+def approximate_topk(spark, sf):
+    """K1: the ten best points of each query in 44 of 64 lists (these vectors hardly cluster); tests hold its recall against the exact search."""
+    from tidemark.operators import approximate
+
+    points = X.points(spark, sf)
+    centroids = approximate.fit_centroids(points)
+    indexed = approximate.assign_lists(points.select("point_id", "vector"), centroids)
+    return approximate.search_lists(X.queries(spark, sf), indexed, centroids, limit=10, probes=44)
+
+
+@register("judged_scores", f"WITH {R._SCORED} SELECT doc_id, CASE WHEN doc_id % 8 = 0 THEN 0.0::DOUBLE ELSE score END AS score, CASE WHEN doc_id % 8 = 0 THEN true ELSE score < 0.5 END AS is_hallucinated FROM sc")
+def judged_scores(spark, sf):
+    """E2, with a scorer that was degraded for every eighth document."""
+    rows = X.scored(spark, sf).select("doc_id", "score", F.when(F.col("doc_id") % 8 == 0, True).alias("degraded"))
+    return faithfulness.judged_scores(rows).select("doc_id", "score", "is_hallucinated")
+
+
+@register("positive_items", "SELECT l_partkey AS product_id, count(*) AS n FROM (SELECT l_orderkey, l_partkey, max(CAST(l_quantity AS INT) % 3 - 1) AS grade FROM lineitem GROUP BY ALL) WHERE grade > 0 GROUP BY l_partkey")
+def positive_items(spark, sf):
+    """R2: orders as maps from part to grade, the parts that any order grades over 0."""
+    graded = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(F.col("l_quantity").cast("int") % 3 - 1).alias("grade"))
+    maps = graded.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "grade"))).alias("items"))
+    return maps.select(F.explode(F.map_keys(T.positive_items(F.col("items")))).alias("product_id")).groupBy("product_id").agg(F.count("*").alias("n"))

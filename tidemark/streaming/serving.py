@@ -30,7 +30,7 @@ def run_to_table(stream: DataFrame, path: str) -> DataFrame:
 
 
 def semantic_cache(requests: DataFrame, shard: str = "shard", threshold: float = 0.92, ttl_s: int = 3600, capacity: int = 1000) -> DataFrame:
-    """A cache of two levels over a stream of ``shard, request_id, ts, key, vector``.
+    """A cache of two levels over a stream of ``shard, request_id, ts, key, vector``.
 
     A request hits on an equal key, else on the most similar live vector if that is at
     least ``threshold`` similar; else it is put.  Entries live ``ttl_s`` seconds; beyond
