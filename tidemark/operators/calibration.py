@@ -135,7 +135,7 @@ def sweep_report(metrics: DataFrame, current: tuple[int, int, float] = CURRENT,
     now = _at(metrics, current).select(*[rates[n].alias(f"__{n}") for n in COMPARED])
     out = rows.join(F.broadcast(now)).join(F.broadcast(ceiling))  # one row each
     deltas = {f"{n}_delta": F.round(rates[n] - F.col(f"__{n}"), DIGITS) for n in COMPARED}
-    return out.withColumns(deltas | {"required_query_success_rate": F.round(F.col("__top") * retention, DIGITS)}).drop("__top", *[f"__{n}" for n in COMPARED])
+    return out.withColumn("place", F.col("place").cast("long")).withColumns(deltas | {"required_query_success_rate": F.round(F.col("__top") * retention, DIGITS)}).drop("__top", *[f"__{n}" for n in COMPARED])
 
 
 def bootstrap_thresholds(queries: DataFrame, observations: DataFrame, threshold: tuple[int, int, float], samples: int = 200, seed: int = 13) -> DataFrame:

@@ -247,7 +247,7 @@ def _entries(spark, sf):
 
 
 _CTX = f"""en AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_lit(t)})' for i, t in enumerate(TEXTS))}) t(i, text)),
-cx AS (SELECT i AS query_id, text AS query, {_CLEAN_Q} AS sq, CASE WHEN i % 11 = 0 THEN 'clarify' WHEN i % 7 = 0 THEN 'refuse' ELSE CASE i % 5 WHEN 0 THEN 'refuse' WHEN 1 THEN 'clarify' WHEN 2 THEN 'hedge_or_refuse' ELSE 'answer' END END AS expected,
+cx AS (SELECT CAST(i AS BIGINT) AS query_id, text AS query, {_CLEAN_Q} AS sq, CASE WHEN i % 11 = 0 THEN 'clarify' WHEN i % 7 = 0 THEN 'refuse' ELSE CASE i % 5 WHEN 0 THEN 'refuse' WHEN 1 THEN 'clarify' WHEN 2 THEN 'hedge_or_refuse' ELSE 'answer' END END AS expected,
 CASE WHEN i % 4 = 0 THEN 'low_evidence_boundary' WHEN i % 2 = 0 THEN 'ambiguous_query' END AS boundary_type, CASE WHEN i % 13 = 0 THEN 'runtime_e2e' WHEN i % 17 = 0 THEN 'policy_terminal' WHEN i % 3 = 0 THEN 'policy_terminal' ELSE 'runtime_e2e' END AS surface, CASE WHEN i % 6 = 0 THEN 'own' ELSE 'c1' END AS tag FROM en)"""
 
 
@@ -546,7 +546,7 @@ def explanation_sources(spark, sf):
     return recommend.explain(_explainable(spark, sf), X.REFERENCE_MS, 2, 500, 0.2).select("query_id", "product_id", "source", "refusal_type")
 
 
-_REQS = f"""rq AS (SELECT i AS request_id, text AS query, {_CLEAN_Q} AS sq FROM en), ke AS (SELECT *, trim(regexp_replace(lower(sq), '\\s+', ' ', 'g')) || ':3:' || CASE WHEN request_id % 2 = 0 THEN 'true' ELSE 'false' END || ':4.0' AS cache_key FROM rq)"""
+_REQS = f"""rq AS (SELECT CAST(i AS BIGINT) AS request_id, text AS query, {_CLEAN_Q} AS sq FROM en), ke AS (SELECT *, trim(regexp_replace(lower(sq), '\\s+', ' ', 'g')) || ':3:' || CASE WHEN request_id % 2 = 0 THEN 'true' ELSE 'false' END || ':4.0' AS cache_key FROM rq)"""
 
 
 @register("request_paths", f"""WITH en AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_lit(t)})' for i, t in enumerate(TEXTS))}) t(i, text)), {_REQS}, {_policy_of('sq', 'rq')}, pu AS (SELECT DISTINCT text, d FROM pd),

@@ -184,4 +184,5 @@ def stream_request_counters(spark, sf):
     events = table(spark, sf, "events")
     events.repartitionByRange(4, "ts").write.parquet(f"{path}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    return run_to_table(stream_counters(stream), f"{path}/out")
+    counters = run_to_table(stream_counters(stream), f"{path}/out")
+    return counters.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
