@@ -132,3 +132,9 @@ def test_freshness_of_no_case(spark):
     empty = spark.createDataFrame([], "risk_level string, applicable boolean, violation boolean, behavior string")
     row = guardrails.freshness_summary(empty).first()
     assert row["promotion_status"] == "insufficient_coverage" and row["violation_rate"] is None and guardrails.freshness_counters(empty).count() == 0
+
+
+def test_parts_are_trimmed(spark):
+    assert one(spark, "a, b,, a ,", T.csv_list) == ["a", "b"]
+    assert one(spark, 'x " 0 spaced out 1 " y "1 2 3 4"', T.extract_quotes) == ["0 spaced out 1", "1 2 3 4"]
+    assert one(spark, "0 One.  1 two. Three 2.", T.split_sentences) == ["0 One. 1 two.", "Three 2."]

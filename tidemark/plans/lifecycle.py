@@ -696,3 +696,86 @@ def positive_items(spark, sf):
     graded = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max(F.col("l_quantity").cast("int") % 3 - 1).alias("grade"))
     maps = graded.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_partkey", "grade"))).alias("items"))
     return maps.select(F.explode(F.map_keys(T.positive_items(F.col("items")))).alias("product_id")).groupBy("product_id").agg(F.count("*").alias("n"))
+
+
+def _side_sql(name: str) -> str:
+    grams = R._GRAM.format("text")
+    return f"{name}p AS (SELECT id, v, items, {R._N} AS norm, {R._TOK.format('text')} AS tokens, {grams} AS grams FROM {name})"
+
+
+def _over(a: str, b: str, whole: str) -> str:
+    return f"round(coalesce(len(list_intersect({a}, {b}))::DOUBLE / nullif({whole}, 0), 0), 6)"
+
+
+@register("leakage_signals", f"""WITH l AS (SELECT vec_id AS id, 'point ' || vec_id || ' label ' || label AS text, CAST(embedding AS DOUBLE[]) AS v, ['a' || (vec_id // 4), 'b' || (vec_id // 8)] AS items FROM embeddings),
+r AS (SELECT 10000000 + e.vec_id AS id, CASE WHEN e.vec_id % 5 = 0 THEN 'point ' ELSE 'vector ' END || e.vec_id || ' label ' || e.label AS text, CAST(CASE WHEN e.vec_id % 3 = 0 THEN e.embedding ELSE f.embedding END AS DOUBLE[]) AS v, CASE WHEN e.vec_id % 2 = 0 THEN ['a' || (e.vec_id // 4), 'c'] ELSE ['d'] END AS items
+      FROM embeddings e JOIN embeddings f ON f.vec_id = (e.vec_id + 1) % (SELECT count(*) FROM embeddings)), {_side_sql('l')}, {_side_sql('r')},
+x AS (SELECT lp.id AS left_id, rp.id AS right_id, CASE WHEN round(list_dot_product(lp.v, rp.v), 6) >= 0.93 THEN round(list_dot_product(lp.v, rp.v), 6) ELSE 0.0::DOUBLE END AS cosine, {_over('lp.tokens', 'rp.tokens', 'len(list_distinct(list_concat(lp.tokens, rp.tokens)))')} AS token_jaccard,
+{_over('lp.grams', 'rp.grams', 'len(list_distinct(list_concat(lp.grams, rp.grams)))')} AS trigram_jaccard, {_over('lp.items', 'rp.items', 'least(len(lp.items), len(rp.items))')} AS item_coverage, lp.norm = rp.norm AS exact FROM lp, rp)
+SELECT left_id, right_id, cosine, token_jaccard, trigram_jaccard, item_coverage, CASE WHEN exact THEN 'exact_duplicate' WHEN (cosine >= 0.96 AND (token_jaccard >= 0.75 OR trigram_jaccard >= 0.72 OR item_coverage >= 0.5)) OR (token_jaccard >= 0.75 AND trigram_jaccard >= 0.72) THEN 'high_confidence_near_duplicate'
+WHEN cosine >= 0.93 OR token_jaccard >= 0.6 OR trigram_jaccard >= 0.68 OR item_coverage >= 0.34 THEN 'semantic_watchlist' END AS severity FROM x WHERE severity IS NOT NULL""")
+def leakage_signals(spark, sf):
+    """J7, M9, M10 with all four signals: texts, vectors from a search, and shared items."""
+    e = table(spark, sf, "embeddings")
+    i = F.col("vec_id")
+    n = e.agg(F.count("*").alias("n"))
+    nxt = e.select((F.col("vec_id")).alias("nxt"), F.col("embedding").alias("other"))
+    label = F.concat(F.lit(" label "), F.col("label").cast("string"))
+    left = e.select(i.alias("id"), F.concat(F.lit("point "), i.cast("string"), label).alias("text"), F.col("embedding").alias("vector"), F.array(F.concat(F.lit("a"), F.floor(i / 4).cast("string")), F.concat(F.lit("b"), F.floor(i / 8).cast("string"))).alias("items"))
+    both = e.join(F.broadcast(n)).withColumn("nxt", (i + 1) % F.col("n")).join(nxt, "nxt")
+    right = both.select(
+        (i + 10000000).alias("id"), F.concat(F.when(i % 5 == 0, "point ").otherwise("vector "), i.cast("string"), label).alias("text"), F.when(i % 3 == 0, F.col("embedding")).otherwise(F.col("other")).alias("vector"),
+        F.when(i % 2 == 0, F.array(F.concat(F.lit("a"), F.floor(i / 4).cast("string")), F.lit("c"))).otherwise(F.array(F.lit("d"))).alias("items"),
+    )
+    near = retrieval.vector_search(left.select(F.col("id").alias("query_id"), "vector"), right.select(F.col("id").alias("point_id"), "vector"), 50)
+    cosines = near.where("score >= 0.93").select(F.col("query_id").alias("left_id"), F.col("point_id").alias("right_id"), F.col("score").alias("cosine"))
+    return leakage.flagged_pairs(left, right, "id", "id", items="items", cosines=cosines)
+
+
+@register("worst_leaks", "WITH v AS (SELECT * FROM ({pairs})) SELECT left_id, right_id, severity FROM v ORDER BY CASE severity WHEN 'exact_duplicate' THEN 0 WHEN 'high_confidence_near_duplicate' THEN 1 ELSE 2 END, cosine DESC, token_jaccard DESC, trigram_jaccard DESC, item_coverage DESC, left_id, right_id LIMIT 100".replace("{pairs}", R._SQL["leakage_signals"]))
+def worst_leaks(spark, sf):
+    """K7."""
+    return leakage.worst_pairs(leakage_signals(spark, sf)).select("left_id", "right_id", "severity")
+
+
+@register("bank_union", f"""WITH {_MAN}, u AS (SELECT 'bq_' || (item_id % 70) AS query_id, text, 'bench' AS source_type, 0 AS o FROM benchmark UNION ALL SELECT 'bq_' || i, text, 'manual_boundary', 1 FROM mq), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o, text) AS k FROM u) SELECT query_id, text, source_type FROM w WHERE k = 1""")
+def bank_union(spark, sf):
+    """Judged rows and manual boundary rows, of which some have the id of a judged one."""
+    judged = table(spark, sf, "benchmark").select(F.concat(F.lit("bq_"), (F.col("item_id") % 70).cast("string")).alias("query_id"), "text", F.lit("bench").alias("source_type"), F.array(F.lit("t")).alias("subset_tags"))
+    return querybank.union_banks(judged, querybank.boundary_bank(_manual(spark, sf))).select("query_id", "text", "source_type")
+
+
+@register("weighted_metric", f"WITH {R._RANKING}, {R._metrics('r')}, g AS (SELECT q.label, count(*) AS n, avg(ndcg) AS ndcg FROM m JOIN q USING (query_id) GROUP BY q.label) SELECT round(sum(ndcg * n) / sum(n), 6) AS ndcg FROM g")
+def weighted_metric(spark, sf):
+    """The mean over labels, weighted by their queries."""
+    from tidemark.operators import evaluation
+
+    rows = evaluation.ranking_metrics(R._ranking(spark, sf), X.judgments(spark, sf)).join(X.queries(spark, sf).select("query_id", "label"), "query_id")
+    return evaluation.weighted_mean(rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg")), "ndcg", "n")
+
+
+@register("product_evidence", f"WITH {R._ALL}, e AS (SELECT *, row_number() OVER (PARTITION BY query_id, product_id ORDER BY score DESC, chunk_id) AS i FROM c) SELECT query_id, product_id, string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY i) FILTER (i <= 5) AS chunks FROM e GROUP BY query_id, product_id")
+def product_evidence(spark, sf):
+    """The best chunks of each product."""
+    found = X.chunks(spark, sf, limit=retrieval.candidate_limit(10))
+    rows = retrieval.with_evidence(found, retrieval.product_scores(found))
+    return rows.select("query_id", "product_id", F.array_join(F.transform("evidence", lambda e: e["chunk_id"].cast("string")), ",").alias("chunks"))
+
+
+@register("relevance_grades", "WITH r AS (SELECT l_quantity / 10 AS rating FROM lineitem) SELECT CASE WHEN rating < 3 THEN 0.0::DOUBLE WHEN rating < 4 THEN 1.0::DOUBLE WHEN rating < 5 THEN 2.0::DOUBLE ELSE 3.0::DOUBLE END AS grade, count(*) AS n FROM r GROUP BY 1")
+def relevance_grades(spark, sf):
+    """M3."""
+    from tidemark.functions.vectors import relevance_grade
+
+    return table(spark, sf, "lineitem").groupBy(relevance_grade(F.col("l_quantity") / 10).alias("grade")).agg(F.count("*").alias("n"))
+
+
+@register("text_helpers", r"""WITH z AS (SELECT p_partkey, p_name, p_type, list_filter(list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')), lambda t: length(t) >= 4) AS a, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS b FROM part)
+SELECT p_partkey, round(coalesce(len(list_intersect(a, b))::DOUBLE / nullif(len(a), 0), 0), 6) AS overlap, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS label, p_brand_id AS brand_id, 'a|b' AS parts FROM z JOIN (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS p_brand_id FROM part) USING (p_partkey)""")
+def text_helpers(spark, sf):
+    """Overlap of terms, labels, lists between commas and tags by prefix."""
+    tag = F.array(F.lit("x"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("size:"), F.col("p_size").cast("string"))).otherwise("y"))
+    return table(spark, sf, "part").select(
+        "p_partkey", F.round(T.term_overlap(F.col("p_name"), F.col("p_type")), 6).alias("overlap"), T.profile_label(F.col("p_type")).alias("label"),
+        F.array_join(T.tags_with(tag, "size:"), ",").alias("brand_id"), F.array_join(T.csv_list(F.lit("a, b,, a ,")), "|").alias("parts"),
+    )
