@@ -29,7 +29,7 @@ def chain(n):
     return [(i, " ".join(f"w{k}" for k in range(3 * i, 3 * i + 60))) for i in range(n)]
 
 
-@pytest.mark.parametrize("block,hashes", [(1024, 1_000_000), (4, 1_000_000), (1024, 300)])
+@pytest.mark.parametrize("block,hashes", [(1024, 250_000), (4, 250_000), (1024, 300)])
 def test_blocks_and_chains(spark, monkeypatch, block, hashes):
     monkeypatch.setattr(minhash, "BLOCK", block)
     monkeypatch.setattr(minhash, "BLOCK_HASHES", hashes)

@@ -248,6 +248,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     known = docs.sparkSession.sparkContext.broadcast(_filter(item_rows.select("window").distinct()))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null and text <> ''")
     every = materialize(rows.mapInPandas(_window_rows(window, sizes, known, False), ROWS).select("id", "key", "window", "place", "slots"), "windows")
+    known.unpersist()
     holders = every.select("id", "key").distinct()
     found = materialize(every.drop("id").dropDuplicates(["key", "window", "place"]), "text-windows")
 

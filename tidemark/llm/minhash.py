@@ -41,7 +41,7 @@ from tidemark.llm.storage import by_keys, materialize, scratch
 TUPLE = 4
 #: Texts, and hashes of shingles (8 bytes each), of one block of the second pass at most, but for a text that has more by itself.
 BLOCK = 1024
-BLOCK_HASHES = 1_000_000
+BLOCK_HASHES = 250_000
 CHUNK = 8192
 GATHER = 1 << 20
 
@@ -217,9 +217,9 @@ def _components(rows: DataFrame, signed: DataFrame, shingle_words: int, percent:
     near = live.join(loose, "id").join(sized, "id")
     tuples = near.select("id", "comp", "n", "second", F.explode("first").alias("x")).withColumn("cell", F.xxhash64("x.at", "x.h"))
     cells = materialize(_groups(tuples.select("id", "comp", "n", "cell").distinct()), "cells")
-    large = materialize(cells.where("asked_blocks > 1").select("cell").distinct(), "large-cells")
+    large = cells.where("asked_blocks > 1").select("cell").distinct()
     finer = tuples.join(large, "cell", "left_semi").select("id", "comp", "n", "x", F.explode("second").alias("y")).select("id", "comp", "n", F.xxhash64("x.at", "y.at", "x.h", "y.h").alias("cell")).distinct()
-    placed = cells.join(large, "cell", "left_anti").unionByName(_groups(finer))
+    placed = cells.where("asked_blocks = 1").unionByName(_groups(finer))
     # of groups with the same members one is enough
     one = placed.groupBy("cell").agg(F.bit_xor(F.xxhash64("id")).alias("xor"), F.sum(F.xxhash64("id", F.lit(1)) % 1_000_003).alias("sum"), F.count("*").alias("size")).groupBy("xor", "sum", "size").agg(F.min("cell").alias("cell"))
     placed = placed.join(one.select("cell"), "cell", "left_semi")
@@ -231,8 +231,13 @@ def _components(rows: DataFrame, signed: DataFrame, shingle_words: int, percent:
     late = grouped.mapInPandas(_block_links(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     second = materialize(late, "late-links")
 
-    linked = comps.where("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b")).unionByName(second)
-    return materialize(connected_components(linked), "final-components", keep=True)
+    # late links join components; a text that is in none yet is one of its own
+    of = [comps.select(F.col("id").alias(c), F.col("component_id").alias(f"{c}_comp")) for c in ("a", "b")]
+    ends = second.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
+    joined = materialize(connected_components(ends).withColumnRenamed("component_id", "root"), "joined-components")
+    moved = comps.join(joined.withColumnRenamed("id", "component_id"), "component_id", "left").select("id", F.coalesce("root", "component_id").alias("component_id"))
+    new = joined.join(comps.select("id"), "id", "left_anti").select("id", F.col("root").alias("component_id"))
+    return materialize(moved.unionByName(new), "final-components", keep=True)
 
 
 def _block(blocks: str) -> F.Column:
