@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, gif, html, langid, licenses, minhash, mixing, quality, tokens, warc
+from tidemark.llm import decontam, gif, html, langid, licenses, minhash, mixing, quality, sessions, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op10_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of ``clicks``; values that are no finite number count 0."""
+    value = F.col("value")
+    cents = F.when(F.abs(value) < float("inf"), F.floor(100 * value + 0.5))
+    found = sessions.sessionise(_table(spark, sf_dir, "clicks"), final=(value >= 60) & (F.col("kind") == "error"), value=cents)
+    return found.withColumn("path_sha256", F.sha2("path", 256)).drop("path")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,7 +86,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op6_training_order, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, pipeline)
+    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op6_training_order, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, op12_sessions, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -118,6 +126,27 @@ SELECT page_id, n AS payload_bytes, h AS payload_digest, CASE WHEN n >= 100 AND
 """
 
 
+#: From click to click of each client.
+_OP12 = """
+WITH RECURSIVE d AS (SELECT DISTINCT click_id, client_id, epoch_us(ts) AS us, coalesce(epoch_us(arrived_at) - epoch_us(ts) > 21600000000, false) AS late, coalesce(value >= 60 AND kind = 'error', false) AS final,
+                            CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) ELSE 0 END AS cents
+                     FROM clicks WHERE click_id IS NOT NULL AND client_id IS NOT NULL AND ts IS NOT NULL),
+t AS MATERIALIZED (SELECT client_id, us, click_id, cents, final, row_number() OVER w AS i, lag(final) OVER w AS p_final, lag(us) OVER w AS p_us FROM d WHERE NOT late WINDOW w AS (PARTITION BY client_id ORDER BY us, click_id)),
+f(client_id, i, session_id, start_us, why) AS (
+  SELECT client_id, i, click_id, us, '' FROM t WHERE i = 1
+  UNION ALL
+  SELECT client_id, i, CASE WHEN why = '' THEN session_id ELSE click_id END, CASE WHEN why = '' THEN start_us ELSE us END, why
+  FROM (SELECT t.client_id, t.i, t.us, t.click_id, f.session_id, f.start_us, CASE WHEN t.p_final THEN 'end' WHEN t.us - t.p_us >= 600000000 THEN 'gap' WHEN t.us - f.start_us > 2400000000 THEN 'length' ELSE '' END AS why
+        FROM f JOIN t ON t.client_id = f.client_id AND t.i = f.i + 1)),
+s AS (SELECT f.client_id, f.session_id, f.start_us, min(f.i) AS i, max(t.us) AS end_us, count(*) AS n_clicks, sum(t.cents) AS cents, arg_max(t.final, f.i) AS final, arg_min(f.why, f.i) AS why, sha256(string_agg(CAST(t.click_id AS VARCHAR), ',' ORDER BY f.i)) AS path
+      FROM f JOIN t ON t.client_id = f.client_id AND t.i = f.i GROUP BY f.client_id, f.session_id, f.start_us),
+n AS (SELECT *, lead(why) OVER w AS next_why, lead(start_us) OVER w AS next_us FROM s WINDOW w AS (PARTITION BY client_id ORDER BY i))
+SELECT client_id, session_id, start_us, end_us, n_clicks, (SELECT count(*) FROM d WHERE d.late AND d.client_id = n.client_id AND d.us >= n.start_us AND (n.next_us IS NULL OR d.us < n.next_us)) AS n_late,
+       CAST(cents AS BIGINT) AS value_cents, coalesce(next_why, CASE WHEN final THEN 'end' ELSE 'none' END) AS closed_by, path AS path_sha256
+FROM n
+"""
+
+
 def _op3() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
@@ -152,4 +181,4 @@ FROM n LEFT JOIN c ON c.r = n.r LEFT JOIN k a ON a.digest = n.text_digest LEFT J
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _OP1, "op3_license_scan": _op3(), "op6_curriculum_mix": _OP6, "op7_warc_round_trip": _OP7}
+    return {"op1_near_duplicates": _OP1, "op3_license_scan": _op3(), "op6_curriculum_mix": _OP6, "op7_warc_round_trip": _OP7, "op12_sessions": _OP12}
