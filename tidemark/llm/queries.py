@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, gif, html, langid, licenses, minhash, mixing, quality, sessions, tokens, warc
+from tidemark.llm import decontam, gif, html, langid, licenses, minhash, mixing, quality, repair, sessions, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,13 @@ def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("path_sha256", F.sha2("path", 256)).drop("path")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations repaired; ``repaired_sha256`` is of the rows afterwards as lines ``role:text``."""
+    found = repair.repair_conversations(repair.damage(_table(spark, sf_dir, "conversations")))
+    lines = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return found.withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op6_training_order, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, op12_sessions, pipeline)
+    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op6_training_order, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, op12_sessions, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -147,6 +154,60 @@ FROM n
 """
 
 
+def _op13() -> str:
+    """The least cost and audit from each state on, from a conversation's last row to its first.
+
+    ``v0`` to ``v3`` hold the best from each state as a struct of cost, audit and lines,
+    which compare in that order.
+    """
+
+    def put(letter: str, cost: str, line: str | None, rest: str) -> str:
+        lines = f"list_prepend({line}, {rest}.r)" if line else f"{rest}.r"
+        return f"{{'c': {rest}.c + {cost}, 'a': '{letter}' || {rest}.a, 'r': {lines}}}"
+
+    due, role = {0: 2, 1: 2, 2: 3, 3: 2}, {2: "user", 3: "assistant"}
+    never = "{'c': 1000000000, 'a': '', 'r': CAST([] AS VARCHAR[])}"
+
+    def stepped(q: int) -> str:
+        to = {0: "WHEN x = 's' THEN v1 WHEN x = 'u' THEN v2", 2: "WHEN x = 'a' THEN v3"}.get(q, "WHEN x = 'u' THEN v2")
+        kept = f"(CASE WHEN NOT ok THEN {never} {to} ELSE {never} END)"
+        again = f"(CASE WHEN ok THEN v{due[q]} ELSE {never} END)"
+        return f"least({put('D', '2', None, f'v{q}')}, {put('K', 'stays', 'line', kept)}, {put('R', 'stays + 1', chr(39) + role[due[q]] + ':' + chr(39) + ' || text', again)}) AS p{q}"
+
+    def inserted(q: int, of: str, to: str) -> str:
+        line = f"'{role[due[q]]}:'"
+        return f"least(p{q}, {put('I', '5', line, f'{of}{due[q]}')}) AS {to}{q}"
+
+    states = range(4)
+    crc = "xor(list_reduce(list_transform(range(1, length(k) + 1), lambda i: CAST(ascii(substr(k, i, 1)) AS BIGINT)), lambda c, y: list_reduce(range(8), lambda d, j: CASE WHEN d & 1 = 1 THEN xor(d >> 1, 3988292384) ELSE d >> 1 END, xor(c, y)), CAST(4294967295 AS BIGINT)), 4294967295)"
+    end = {0: "{'c': 0, 'a': '', 'r': CAST([] AS VARCHAR[])}", 1: "{'c': 10, 'a': 'II', 'r': ['user:', 'assistant:']}", 2: "{'c': 5, 'a': 'I', 'r': ['assistant:']}"}
+    end[3] = end[0]
+    return rf"""
+WITH RECURSIVE b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {crc} % 20 AS how FROM b),
+x AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE WHEN how = 1 THEN '' WHEN how = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE how WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+o AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[ 	-
+]+$', '') AS bare FROM x),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS x, role || ':' || text AS line,
+                          CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+g AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+             count(*) FILTER (p IS NOT NULL AND p || x NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM f) GROUP BY conv_id),
+z(conv_id, i, v0, v1, v2, v3) AS (
+  SELECT conv_id, n + 1, {', '.join(end[q] for q in states)} FROM g
+  UNION ALL
+  SELECT conv_id, i, {', '.join(inserted(q, 'q', 'w') for q in states)}
+  FROM (SELECT *, {', '.join(inserted(q, 'p', 'q') for q in states)}
+        FROM (SELECT conv_id, i, {', '.join(stepped(q) for q in states)}
+              FROM (SELECT z.conv_id, f.i, v0, v1, v2, v3, f.x, f.text, f.line, f.fault NOT IN ('b', 'd') AS ok, CASE WHEN f.fault = 't' THEN 5 ELSE 0 END AS stays
+                    FROM z JOIN f ON f.conv_id IS NOT DISTINCT FROM z.conv_id AND f.i = z.i - 1))))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(z.v0.c, 0) AS BIGINT) AS cost, coalesce(z.v0.a, '') AS audit, sha256(coalesce(array_to_string(z.v0.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id AND z.i = 1
+"""
+
+
 def _op3() -> str:
     def quoted(text: str) -> str:
         return "'" + text.replace("'", "''") + "'"
@@ -181,4 +242,4 @@ FROM n LEFT JOIN c ON c.r = n.r LEFT JOIN k a ON a.digest = n.text_digest LEFT J
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _OP1, "op3_license_scan": _op3(), "op6_curriculum_mix": _OP6, "op7_warc_round_trip": _OP7, "op12_sessions": _OP12}
+    return {"op1_near_duplicates": _OP1, "op3_license_scan": _op3(), "op6_curriculum_mix": _OP6, "op7_warc_round_trip": _OP7, "op12_sessions": _OP12, "op13_conversation_repair": _op13()}
