@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontam, gif, html, langid, licenses, minhash, mixing, quality, repair, sessions, tokens, warc
+from tidemark.llm import decontam, gif, html, langid, licenses, lm, minhash, mixing, quality, repair, sessions, tokens, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op10_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a log-bilinear model that has not seen the held-out fifth of the documents."""
+    kept_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return lm.language_model_scores(_table(spark, sf_dir, "documents"), kept_out)
+
+
 def op12_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of ``clicks``; values that are no finite number count 0."""
     value = F.col("value")
@@ -93,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op6_training_order, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, op12_sessions, op13_conversation_repair, pipeline)
+    own = (op1_near_duplicates, op2_language_id, op3_license_scan, op4_html_text, op5_decontamination, op6_curriculum_mix, op6_training_order, op7_warc_round_trip, op8_token_histogram, op9_quality, op10_media_gif, op11_language_model, op12_sessions, op13_conversation_repair, pipeline)
     return {f.__name__: f for f in own}
 
 
