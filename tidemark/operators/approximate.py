@@ -1,111 +1,172 @@
-"""Approximate vector search by inverted lists (K1).
-
-Points are dealt to the nearest of a few centroids; a query looks into the lists of the
-centroids nearest to it.  Every point is in a list; only the centroids are fitted on a
-sample.  ``retrieval.vector_search`` is the exact search, by which recall is measured.
+"""Approximate vector search by a stored index: inverted lists of product-quantised codes (K1).
+
+Points are dealt to the nearest of some centroids, whose number grows with the corpus; what
+is left of a vector after its centroid is cut into pieces, and each piece stands as one
+byte, the nearest of up to 256 pieces learned for its place.  The index is a folder:
+``points``, by list, and ``model``.  A search reads the codes of the lists that its queries
+look into, a sixteenth or less of what their vectors take, and then the vectors of the best
+by codes, which it scores exactly.  Every point is in the index; only the model is
+fitted on a sample.  ``retrieval.vector_search`` is the exact search, by which recall is
+measured.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.retrieval import CORPUS_BATCH, QUERY_BLOCK, SCAN_BYTES
+from tidemark.operators.retrieval import Best, query_scans
 
-#: Points that centroids are fitted on at most, chosen by a hash of their ids.
+#: Points that the model is fitted on at most, chosen by a hash of their ids.
 SAMPLE = 20_000
+#: Numbers of a vector that one byte stands for, and lists at most.
+PIECE, MOST_LISTS = 4, 65_536
 
 
-def fit_centroids(corpus: DataFrame, lists: int = 64, point_id: str = "point_id", vector: str = "vector", rounds: int = 12, sample: int = SAMPLE) -> np.ndarray:
-    """``lists`` unit vectors, or as many as there are points, by spherical k-means over a sample of ``sample`` points at most."""
+def _sample(corpus: DataFrame, point_id: str, vector: str, sample: int) -> tuple[np.ndarray, int]:
     known = corpus.select(F.col(point_id).alias("p"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     total = known.count()
     lot = F.pmod(F.xxhash64("p", F.lit("lists")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     some = known.where(lot < min(1.0, 1.2 * sample / max(total, 1))).orderBy(F.xxhash64("p"), "p").limit(sample).toPandas()
-    if not len(some):
-        return np.zeros((0, 0))
-    points = np.stack(some["v"].to_numpy())
-    points = points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-12)
-    centres = points[np.random.default_rng(7).permutation(len(points))[: min(lists, len(points))]]
+    return (np.stack(some["v"].to_numpy()).astype(float) if len(some) else np.zeros((0, 0))), total
+
+
+def _means(points: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
+    """Centres of k-means; as many as there are points if fewer."""
+    centres = points[np.random.default_rng(seed).permutation(len(points))[: min(k, len(points))]].copy()
     for _ in range(rounds):
-        own = (points @ centres.T).argmax(axis=1)
-        for k in range(len(centres)):
-            mean = points[own == k].sum(axis=0)
-            if (size := np.linalg.norm(mean)) > 0:
-                centres[k] = mean / size
+        own = nearest(points, centres)
+        sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
+        np.add.at(sums, own, points)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
 
-def assign_lists(corpus: DataFrame, centroids: np.ndarray, vector: str = "vector", name: str = "list") -> DataFrame:
-    """``corpus`` with the list of each point's nearest centroid; -1 without a vector.  Written by it, a search reads only the lists that it looks into."""
+def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return (points @ centres.T - (centres * centres).sum(1) / 2).argmax(1)
 
-    @F.pandas_udf("int")
-    def nearest(vectors: pd.Series) -> pd.Series:
-        out = np.full(len(vectors), -1)
-        have = np.flatnonzero(vectors.notna().to_numpy())
-        if len(have) and len(centroids):
-            out[have] = (np.stack(vectors.to_numpy()[have]) @ centroids.T).argmax(axis=1)
-        return pd.Series(out.astype(np.int32))
 
-    return corpus.withColumn(name, nearest(F.col(vector).cast("array<double>")))
+@dataclass
+class Model:
+    """Centroids of the lists, and for each piece of a vector the values that its byte stands for."""
 
+    centroids: np.ndarray
+    books: list[np.ndarray]
 
-def search_lists(queries: DataFrame, indexed: DataFrame, centroids: np.ndarray, limit: int = 100, probes: int = 8, query_id: str = "query_id", point_id: str = "point_id", vector: str = "vector", name: str = "list") -> DataFrame:
-    """K1: ``query_id, point_id, score, rank``: the ``limit`` best points of each query in the ``probes`` lists nearest to it.
+    def pieces(self, vectors: np.ndarray) -> list[np.ndarray]:
+        return [vectors[:, at : at + PIECE] for at in range(0, vectors.shape[1], PIECE)]
 
-    Queries are broadcast, as many as ``SCAN_BYTES`` hold for each scan; a batch of the corpus
-    meets only the queries that look into its lists, and the corpus is never shuffled.  Scores
-    are rounded to six digits, ties go to the smaller id.
-    """
-    q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first()
-    scans = -(-8 * size["cells"] // SCAN_BYTES) or 1
-    blocks = max(-(-size["n"] // QUERY_BLOCK) or 1, scans)
-    packed = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("queries"))
-    id_type, q_type = dict(indexed.dtypes)[point_id], dict(queries.dtypes)[query_id]
+    def encode(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list of each vector, and its bytes."""
+        own = nearest(vectors, self.centroids)
+        left = self.pieces(vectors - self.centroids[own])
+        return own, np.column_stack([nearest(x, book) for x, book in zip(left, self.books, strict=True)]).astype(np.uint8)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def fit_model(corpus: DataFrame, point_id: str = "point_id", vector: str = "vector", lists: int | None = None, rounds: int = 10, sample: int = SAMPLE) -> Model:
+    """Learned from ``sample`` points at most; ``lists`` is the square root of the corpus' size unless given."""
+    points, total = _sample(corpus, point_id, vector, sample)
+    if not len(points):
+        return Model(np.zeros((0, 0)), [])
+    centroids = _means(points, lists or max(4, min(MOST_LISTS, math.isqrt(total))), rounds, 7)
+    left = points - centroids[nearest(points, centroids)]
+    return Model(centroids, [_means(left[:, at : at + PIECE], 256, rounds, at) for at in range(0, points.shape[1], PIECE)])
+
+
+def write_index(corpus: DataFrame, path: str, model: Model, point_id: str = "point_id", vector: str = "vector") -> None:
+    """The index of every point with a vector; one shuffle by list, in which large lists take several files."""
+    id_type = dict(corpus.dtypes)[point_id]
+    points = corpus.select(F.col(point_id).alias("point_id"), F.col(vector).cast("array<double>").alias("vector")).where("vector is not null")
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), CORPUS_BATCH):
-                part = batch.iloc[at : at + CORPUS_BATCH]
-                yield pd.DataFrame({"ids": [part["p"].tolist()], "lists": [part["l"].tolist()], "matrix": [np.stack(part["v"].to_numpy()).tobytes()]})
-
-    def best(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for ids, lists, matrix, got in zip(batch["ids"], batch["lists"], batch["matrix"], batch["queries"], strict=True):
-                ids, lists = np.asarray(ids), np.asarray(lists)
-                points = np.frombuffer(matrix).reshape(len(ids), -1)
-                block = np.stack([np.asarray(r["v"]) for r in got])
-                names = np.array([r["q"] for r in got])
-                near = np.argsort(-(block @ centroids.T), axis=1, kind="stable")[:, :probes]
-                out = []
+            if len(batch):
+                own, codes = model.encode(np.stack(batch["vector"].to_numpy()).astype(float))
+                yield pd.DataFrame({"point_id": batch["point_id"], "vector": batch["vector"], "code": [c.tobytes() for c in codes], "list": own.astype(np.int32)})
+
+    rows = points.mapInPandas(encode, f"point_id {id_type}, vector array<double>, code binary, list int")
+    rows.hint("rebalance", "list").sortWithinPartitions("list", "point_id").write.partitionBy("list").parquet(f"{path}/points")
+    shapes = [("centroids", 0, model.centroids), *[("book", i, b) for i, b in enumerate(model.books)]]
+    corpus.sparkSession.createDataFrame([(k, i, bytearray(x.tobytes()), x.shape[1] if x.ndim == 2 else 0) for k, i, x in shapes], "kind string, nth int, data binary, width int").coalesce(1).write.parquet(f"{path}/model")
+
+
+def read_model(spark: SparkSession, path: str) -> Model:
+    parts = {(r["kind"], r["nth"]): np.frombuffer(bytes(r["data"])).reshape(-1, max(r["width"], 1)) for r in spark.read.parquet(f"{path}/model").collect()}
+    return Model(parts["centroids", 0], [parts["book", i] for i in range(len(parts) - 1)])
+
+
+def search_index(queries: DataFrame, path: str, limit: int = 100, probes: int = 8, refine: int = 10, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
+    """K1: ``query_id, point_id, score, rank``: the ``limit`` best of each query among the points of its ``probes`` nearest lists.
+
+    Codes are scored first, by a table of the query's products with each place's values;
+    the best ``limit * refine`` of each query are then scored by their vectors.  Lists
+    that no query looks into are not read.  Scores are rounded to six digits, ties go to the smaller id.
+    """
+    spark = queries.sparkSession
+    model, q_type = read_model(spark, path), dict(queries.dtypes)[query_id]
+    if not len(model.centroids):
+        return spark.createDataFrame([], f"{query_id} {q_type}, point_id long, score double, rank int")
+    points = spark.read.parquet(f"{path}/points")
+    id_type = dict(points.dtypes)["point_id"]
+    out = spark.createDataFrame([], f"q {q_type}, point_id {id_type}, score double")
+    for names, block in query_scans(queries, limit * refine, query_id, vector):
+        # the nearest lists by product, as the search is by product
+        near = np.argsort(-(block @ model.centroids.T), axis=1, kind="stable")[:, :probes]
+        sent = spark.sparkContext.broadcast((names, block, near, model))
+
+        def guess(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, block, near, model = sent.value
+            tables = [x @ book.T for x, book in zip(model.pieces(block), model.books, strict=True)]
+            best = Best(len(names), limit * refine)
+            for batch in batches:
+                ids, lists = batch["point_id"].to_numpy(), batch["list"].to_numpy()
+                code = np.frombuffer(b"".join(batch["code"]), np.uint8).reshape(len(ids), -1)
                 for k in np.unique(lists):
-                    asks, own = np.flatnonzero((near == k).any(axis=1)), np.flatnonzero(lists == k)
-                    if not len(asks):
-                        continue
-                    own = own[np.argsort(ids[own], kind="stable")]
-                    scores = np.round(block[asks] @ points[own].T, 6)
-                    for i, row in zip(asks, scores, strict=True):
-                        keep = np.argsort(-row, kind="stable")[:limit]
-                        out.append(pd.DataFrame({"q": names[i], "p": ids[own[keep]], "score": row[keep]}))
-                if out:
-                    yield pd.concat(out)
-
-    points = indexed.select(F.col(point_id).alias("p"), F.col(name).alias("l"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    batches = points.mapInPandas(pack, f"ids array<{id_type}>, lists array<int>, matrix binary")
-    near = None
-    for scan in range(scans):
-        # of a checked size: the scan's share of the queries
-        some = F.broadcast(packed.where(F.pmod("block", F.lit(scans)) == scan).select("queries"))
-        part = batches.join(some).mapInPandas(best, f"q {q_type}, p {id_type}, score double")
-        near = part if near is None else near.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))
-    out = near.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return out.select(F.col("q").alias(query_id), F.col("p").alias(point_id), (F.col("score") + 0.0).alias("score"), "rank")
+                    own, asks = np.flatnonzero(lists == k), np.flatnonzero((near == k).any(axis=1))
+                    base = block[asks] @ model.centroids[k]
+                    for i, b in zip(asks, base, strict=True):
+                        scores = b + sum(t[i][code[own, j]] for j, t in enumerate(tables))
+                        passing = scores >= best.least[i]
+                        if passing.any():
+                            best.add(i, ids[own[passing]], scores[passing])
+            yield best.frame(names)
+
+        some = [int(k) for k in np.unique(near)]
+        found = points.where(F.col("list").isin(some)).select("point_id", "list", "code").mapInPandas(guess, f"q {q_type}, p {id_type}, score double")
+        place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))
+        chosen = found.withColumn("r", place).where(F.col("r") <= limit * refine).select("q", "p")
+        asked = spark.createDataFrame([(n, [float(x) for x in v]) for n, v in zip(names, block, strict=True)], f"q {q_type}, v array<double>")
+        # both are of the scan's checked size
+        whole = points.where(F.col("list").isin(some)).select("point_id", "vector").join(F.broadcast(chosen), F.col("point_id") == F.col("p")).join(F.broadcast(asked), "q")
+        score = F.round(F.aggregate(F.zip_with("vector", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x), 6)
+        out = out.unionByName(whole.select("q", "point_id", score.alias("score")))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "point_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= limit).select(F.col("q").alias(query_id), "point_id", (F.col("score") + 0.0).alias("score"), "rank")
+
+
+def files_read(queries: DataFrame, path: str, probes: int, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
+    """K1: a row a query: lists and rows that a search by it alone reads, and all there are."""
+    spark = queries.sparkSession
+    centroids = read_model(spark, path).centroids
+    sizes = spark.read.parquet(f"{path}/points").groupBy("list").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("rows"), F.count("*").alias("lists"))
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                block = np.stack(batch["v"].to_numpy()).astype(float)
+                yield pd.DataFrame({"q": batch["q"], "lists": np.argsort(-(block @ centroids.T), axis=1, kind="stable")[:, :probes].tolist()})
+
+    q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    asked = q.mapInPandas(near, f"q {dict(queries.dtypes)[query_id]}, lists array<int>").select("q", F.explode("lists").alias("list"))
+    sums = asked.join(sizes, "list").groupBy("q").agg(F.count("*").alias("lists_read"), F.sum("n").alias("rows_read"))
+    return sums.join(F.broadcast(total)).select(F.col("q").alias(query_id), "lists_read", F.col("lists").alias("lists_total"), "rows_read", F.col("rows").alias("rows_total"))
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str = "query_id", point_id: str = "point_id") -> DataFrame:

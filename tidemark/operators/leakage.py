@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,23 +37,51 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, rows.select("class", "id").distinct().checkpoint()
 
 
-def _prefixes(rows: DataFrame, column: str, order: DataFrame, threshold: float) -> DataFrame:
-    """The rarest elements of each set, as many as a set of ``threshold`` similarity must share one of.
+#: Words of 64 bits in the sketch of a set; the three lowest bits of an element choose the word.
+_SKETCH = 8
+
+
+def _cells(rows: DataFrame, column: str, order: DataFrame, threshold: float) -> DataFrame:
+    """The elements of each set's prefix, rarest first, with the set's size, each element's place, and a sketch of the set.
 
     Two sets with a Jaccard similarity of t share at least t |x| elements of either, so
-    the first |x| - ceil(t |x|) + 1 in any common order hold a shared one.
+    the first |x| - ceil(t |x|) + 1 in any common order hold a shared one; of the smaller
+    the first |x| - ceil(2 t / (1 + t) |x|) + 1 do (``few``).  A sketch has for each of its
+    bits whether an odd number of elements fall on it: as many bits differ at most as
+    elements are in only one of two sets.
     """
-    cells = rows.select("id", F.size(column).alias("n"), F.explode(column).alias("e")).join(order, "e")
+    bit = lambda i: F.when(F.pmod("e", F.lit(_SKETCH)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("e", 3), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    cells = rows.select("id", F.size(column).alias("n"), F.explode(column).alias("e"))
+    sketch = cells.groupBy("id").agg(*[F.bit_xor(bit(i)).alias(f"b{i}") for i in range(_SKETCH)])
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))  # a set at a time
-    return cells.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("id", "n", "e")
+    n = F.col("n")
+    kept = cells.join(order, "e").withColumn("place", place).where(F.col("place") <= n - F.ceil(threshold * n) + 1)
+    band = F.floor(F.log(n) / -math.log(threshold) + 1e-9)
+    return kept.join(sketch, "id").select("id", "n", "e", "place", (F.col("place") <= n - F.ceil(2 * threshold / (1 + threshold) * n) + 1).alias("few"), band.alias("band"), *[f"b{i}" for i in range(_SKETCH)])
 
 
-def _candidates(left: DataFrame, right: DataFrame, column: str, threshold: float) -> DataFrame:
-    """Pairs that may reach ``threshold`` in ``column``: equi-joined by a shared rare element, with sizes that allow it."""
-    order = left.select(F.explode(column).alias("e")).unionAll(right.select(F.explode(column).alias("e"))).groupBy("e").agg(F.count("*").alias("df"))
-    a, b = (_prefixes(x, column, order, threshold) for x in (left, right))
-    pairs = a.select(F.col("id").alias("left_id"), F.col("n").alias("n1"), "e").join(b.select(F.col("id").alias("right_id"), F.col("n").alias("n2"), "e"), "e")
-    return pairs.where((F.col("n1") >= threshold * F.col("n2")) & (F.col("n2") >= threshold * F.col("n1"))).select("left_id", "right_id").distinct()
+def _candidates(left: DataFrame, right: DataFrame, column: str, threshold: float, same: bool) -> DataFrame:
+    """Pairs that may reach ``threshold`` in ``column``.
+
+    Prefixes meet on an element and a band of sizes; sizes of a pair differ by one band at
+    most.  A pair leaves the join only if the elements behind the shared one are enough
+    on both sides, and if no more bits of the sketches differ than elements may.
+    With ``same`` each pair of different classes is there once.
+    """
+    threshold -= 1e-6  # similarities are rounded to as much
+    order = (left if same else left.select(column).unionAll(right.select(column))).select(F.explode(column).alias("e")).groupBy("e").agg(F.count("*").alias("df"))
+    a = _cells(left, column, order, threshold)
+    b = a if same else _cells(right, column, order, threshold)
+    b = b.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    both = x("n") + y("n")
+    shared = F.ceil(threshold / (1 + threshold) * both)  # as many elements at least
+    differ = sum((F.bit_count(x(f"b{i}").bitwiseXOR(y(f"b{i}"))) for i in range(_SKETCH)), F.lit(0))
+    on = (x("e") == y("e")) & (x("band") == y("band")) & (1 + F.least(x("n") - x("place"), y("n") - y("place")) >= shared) & (both - differ >= 2 * shared)
+    on = on & F.when(x("n") >= y("n"), y("few") & (y("n") >= threshold * x("n"))).otherwise(x("few") & (x("n") >= threshold * y("n")))
+    if same:
+        on = on & (x("id") < y("id"))
+    return a.alias("x").join(b.alias("y"), on).select(x("id").alias("left_id"), y("id").alias("right_id")).distinct()
 
 
 def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -59,13 +92,13 @@ def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id"
 
     The reference semantics are a nested loop over all pairs; here candidates come from
     equi-joins that lose no pair that could be flagged: texts by prefixes of their token
-    and trigram sets at the watchlist thresholds, equal texts by hash, items by a shared
+    and trigram sets at the watchlist thresholds (``_candidates``), equal texts by hash, items by a shared
     item, and vectors from ``cosines`` (``left_id, right_id, cosine``), which a vector
     search supplies.  Every candidate is then judged on whole sets.
     """
     a, left_members = _split(_prepared(left, left_id, left_text, items, cosines is not None))
     b, right_members = (a, left_members) if same else _split(_prepared(right, right_id, right_text, items, cosines is not None))
-    parts = [_candidates(a, b, "tokens", TOKEN[1]), _candidates(a, b, "grams", TRIGRAM[1])]
+    parts = [_candidates(a, b, "tokens", TOKEN[1], same), _candidates(a, b, "grams", TRIGRAM[1], same)]
     parts.append(a.select(F.col("id").alias("left_id"), F.md5(F.col("norm").cast("binary")).alias("h")).join(b.select(F.col("id").alias("right_id"), F.md5(F.col("norm").cast("binary")).alias("h")), "h").select("left_id", "right_id"))
     if items:
         parts.append(a.select(F.col("id").alias("left_id"), F.explode("items").alias("i")).join(b.select(F.col("id").alias("right_id"), F.explode("items").alias("i")), "i").select("left_id", "right_id"))
@@ -200,33 +233,82 @@ def worst_pairs(pairs: DataFrame, limit: int = 100) -> DataFrame:
     return pairs.orderBy(rank, F.desc("cosine"), F.desc("token_jaccard"), F.desc("trigram_jaccard"), F.desc("item_coverage"), "left_id", "right_id").limit(limit)
 
 
+#: Links of a node from which on it is a hub, and parts that the hub's links are dealt to at least.
+HUB = 10_000
+
+
+def _least(links: DataFrame, total: int) -> DataFrame:
+    """``links`` (``u, v``) with ``m``, the least neighbour of ``u``.
+
+    The links of a hub are dealt by salts, so that no task gets them all.  A hub has more
+    than ``HUB`` links and more than one in 256 of all, so that there are 256 hubs at most.
+    """
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    most = max(HUB, total // 256)
+    hubs = F.broadcast(least.where(F.col("n") > most).select("u", F.ceil(F.col("n") * 64 / total).alias("salts")))
+    dealt = links.join(hubs, "u", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("v"), "salts"), F.lit(0)))
+    copies = least.join(hubs, "u", "left").select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("salts") - 1, F.lit(0)))).alias("salt"))
+    return dealt.join(copies, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id, component`` (the least id that links reach) for each node; ``edges`` has ``left_id, right_id``.
 
-    Least labels are passed along edges and then along labels themselves, so that the
-    rounds needed grow with the logarithm of a path; labels are checkpointed each round.
+    By star contraction: in turn, the neighbours above a node are linked with the least of
+    its neighbourhood, and the neighbours below it, and itself, with the least of those.
+    Links only ever come down, until all of a component hang on its least node; the rounds
+    needed grow with the logarithm of a path.  Each round is checkpointed.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
-    both = edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).unionByName(edges.select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))).distinct().checkpoint()
-    label = nodes.select("id", F.col("id").alias("component")).distinct().checkpoint()
-    while True:  # labels only ever fall, and a round in which none does is the last
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("m"))
-        step = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old")).checkpoint()
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, "component").select("id", F.least("component", "further").alias("component"), "old").checkpoint()
-        changed = step.where("component <> old").count()
-        label = step.select("id", "component")
-        if not changed:
-            break
-    return label
+    pair = lambda a, b: F.struct(F.col(a).alias("u"), F.col(b).alias("v"))
+    links = edges.select(F.greatest("left_id", "right_id").alias("u"), F.least("left_id", "right_id").alias("v")).where("u <> v").distinct().checkpoint()
+    before = None
+    while (now := tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())) != before:
+        before = now
+        both = links.select(F.explode(F.array(pair("u", "v"), pair("v", "u"))).alias("e")).select("e.*")
+        large = _least(both, 2 * now[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct().checkpoint()
+        small = _least(large, large.count()).select(F.explode(F.array(pair("v", "m"), pair("u", "m"))).alias("e")).select("e.*")
+        links = small.where("u <> v").distinct().checkpoint()
+    known = nodes.select("id").distinct()
+    return known.join(links, F.col("id") == F.col("u"), "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
 def component_keys(labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """M8: each component's members and an assignment key from their texts and ids."""
-    lines = F.array_sort(F.collect_list(F.concat("norm", F.lit("\t"), F.col("id").cast("string"))))
-    rows = labels.join(texts, "id").groupBy("component").agg(F.count("*").alias("members"), lines.alias("lines"))
-    key = F.sha2(F.array_join("lines", "\n"), 256)
-    return rows.select("component", "members", F.concat(F.lit("qpc_"), F.substring(key, 1, 16)).alias("component_id"), key.alias("assignment_key"))
+    """M8: each component's members and an assignment key, a digest of their texts and ids in order.
+
+    A component's lines pass through one task, in order, and are digested one by one; members
+    without a text are counted only.
+    """
+    kind = dict(labels.dtypes)["component"]
+    lines = labels.join(texts, "id").select("component", F.concat("norm", F.lit("\t"), F.col("id").cast("string")).alias("line"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sha, n, first, done, of = None, None, 0, True, [], None
+
+        def rows() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], of), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done])], names=["component", "members", "key"])
+
+        for batch in batches:
+            of = batch.column("component").type
+            for component, line in zip(batch.column("component").to_pylist(), batch.column("line").to_pylist(), strict=True):
+                if sha is None or component != last:
+                    if sha is not None:
+                        done.append((last, n, sha.hexdigest()))
+                    last, sha, n, first = component, hashlib.sha256(), 0, True
+                    if len(done) >= 10_000:
+                        yield rows()
+                        done = []
+                n += 1
+                if line is not None:
+                    sha.update((b"" if first else b"\n") + line.encode("utf-8"))
+                    first = False
+        if sha is not None:
+            done.append((last, n, sha.hexdigest()))
+        if done:
+            yield rows()
+
+    keys = lines.repartition("component").sortWithinPartitions("component", "line").mapInArrow(digest, f"component {kind}, members long, key string")
+    return keys.select("component", "members", F.concat(F.lit("qpc_"), F.substring("key", 1, 16)).alias("component_id"), F.col("key").alias("assignment_key"))
 
 
 def split_assignment(rows: DataFrame, key: Column) -> DataFrame:

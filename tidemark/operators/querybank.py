@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import boolish, canonical_json, json_field, query_slices, source_ref, squeeze
 from tidemark.functions.vectors import hash_fraction, subset_tag
 from tidemark.operators import leakage
+from tidemark.operators.fingerprints import merkle_tree, root
 from tidemark.operators.ordering import ensure_checkpoint_dir, placed
 
 LABEL_WEIGHTS = {"E": 3.0, "S": 2.0}
@@ -213,14 +214,8 @@ def manifest(bank: DataFrame, anchor: DataFrame, risk: DataFrame | None = None)
 
 
 def corpus_anchor(rows: DataFrame, product: str = "product_id") -> DataFrame:
-    """Number of products and a fingerprint of the sorted, trimmed, distinct ids.
-
-    Ids are hashed in 4096 buckets, each bucket's sorted hashes are digested, and the
-    digests are digested in order, so that no task sees all ids.
-    """
-    ids = rows.select(F.trim(F.col(product).cast("string")).alias("p")).where("p <> ''").distinct().select(F.md5(F.col("p").cast("binary")).alias("h"))
-    buckets = ids.groupBy(F.substring("h", 1, 3).alias("b")).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("h")), "").cast("binary")).alias("d"))
-    return buckets.agg(F.sum("n").alias("products"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), ""), 256).alias("fingerprint"))
+    """Number of products and a fingerprint of the trimmed, distinct ids: the root of their Merkle tree."""
+    return root(merkle_tree(rows, product)).select(F.col("n").alias("products"), "fingerprint")
 
 
 def duplicate_ids(bank: DataFrame, key: str = "query_id") -> DataFrame:

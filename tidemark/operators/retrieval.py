@@ -9,60 +9,101 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of one block: with 384 dimensions a few MB.
-QUERY_BLOCK = 1024
-#: Bytes of query vectors that are broadcast for one scan of the corpus; more queries take further scans.
+#: Bytes of query vectors and of their best points that a task holds; more queries take further scans of the corpus.
 SCAN_BYTES = 64 << 20
-CORPUS_BATCH = 4096
+#: Points that are scored at a time, and groups that they are parted into.
+CORPUS_BATCH, GROUPS = 4096, 16
 
 
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for at in range(0, len(batch), CORPUS_BATCH):
-            part = batch.iloc[at : at + CORPUS_BATCH]
-            yield pd.DataFrame({"ids": [part["p"].tolist()], "matrix": [np.stack(part["pv"].to_numpy()).tobytes()]})
+class Best:
+    """The best ``limit`` points of each query so far, by falling score and rising id; one for all that a task reads."""
 
+    def __init__(self, n: int, limit: int):
+        self.limit = limit
+        self.scores: list[np.ndarray] = [np.empty(0)] * n
+        self.ids: list[np.ndarray | None] = [None] * n
+        self.least = np.full(n, -np.inf)  # what a point must reach to be among them
+
+    def add(self, query: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if self.ids[query] is not None:
+            ids, scores = np.concatenate([self.ids[query], ids]), np.concatenate([self.scores[query], scores])
+        keep = np.lexsort((ids, -scores))[: self.limit]
+        self.ids[query], self.scores[query] = ids[keep], scores[keep]
+        if len(keep) == self.limit:
+            self.least[query] = scores[keep[-1]]
+
+    def frame(self, names: list) -> pd.DataFrame:
+        found = [i for i, ids in enumerate(self.ids) if ids is not None]
+        if not found:
+            return pd.DataFrame({"q": [], "p": [], "score": []})
+        times = [len(self.ids[i]) for i in found]
+        return pd.DataFrame({"q": np.repeat(np.array([names[i] for i in found]), times), "p": np.concatenate([self.ids[i] for i in found]), "score": np.concatenate([self.scores[i] for i in found])})
 
-def vector_search(queries: DataFrame, corpus: DataFrame, limit: int = 100, query_id: str = "query_id", point_id: str = "point_id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
-    """``query_id, point_id, score, rank``: the ``limit`` nearest points of each query by dot product.
 
-    Exact.  Queries are packed into blocks of vectors and broadcast, as many as ``SCAN_BYTES``
-    hold for each scan of the corpus; every block meets every batch of the corpus in one
-    matrix product where the batch is, which passes on only the best ``limit`` of a batch for
-    each query.  The corpus is never shuffled.  Scores are rounded to six digits, ties go to
-    the smaller id.  Filters on the corpus belong before this call, where they reach the scan (F4).
+def meet(best: Best, block: np.ndarray, lengths: np.ndarray, ids: np.ndarray, points: np.ndarray) -> int:
+    """Points of a batch met by the queries of ``block``; the number of scores that were worked out.
+
+    The batch is parted about some of its points.  With c such a point and r the largest
+    distance from it in its part, no point of the part scores over q c + |q| r, so that
+    the part is met only by queries whose least best is not above that.
     """
+    pivots = points[np.linspace(0, len(points) - 1, min(GROUPS, len(points))).astype(int)]
+    own = (points @ pivots.T - (pivots * pivots).sum(1) / 2).argmax(1)  # the nearest
+    done = 0
+    for g in np.unique(own):
+        part = np.flatnonzero(own == g)
+        away = points[part] - pivots[g]
+        radius = float(np.sqrt((away * away).sum(1).max()))
+        asks = np.flatnonzero(block @ pivots[g] + lengths * radius + 1e-6 >= best.least)
+        if not len(asks):
+            continue
+        scores = np.round(block[asks] @ points[part].T, 6)
+        done += scores.size
+        passing = scores >= best.least[asks, None]
+        for i in np.flatnonzero(passing.any(1)):
+            k = passing[i]
+            best.add(asks[i], ids[part[k]], scores[i, k])
+    return done
+
+
+def query_scans(queries: DataFrame, limit: int, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and vectors of the queries, as many at a time as fit into ``SCAN_BYTES`` with their best points: what goes to the driver is of a checked size."""
     q = queries.select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first()
-    n_blocks, scans = -(-size["n"] // QUERY_BLOCK) or 1, -(-8 * size["cells"] // SCAN_BYTES) or 1
-    n_blocks = max(n_blocks, scans)
-    block = F.pmod(F.xxhash64("q"), F.lit(n_blocks)).cast("int")
-    packed = q.groupBy(block.alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("queries"))
-    points = corpus.select(F.col(point_id).alias("p"), F.col(vector).cast("array<double>").alias("pv")).where(F.col("pv").isNotNull())
-    # the corpus is packed too, so that the join has a row a batch and not a row a point
-    batches = points.mapInPandas(_packed, f"ids array<{dict(corpus.dtypes)[point_id]}>, matrix binary")
-    id_type = dict(corpus.dtypes)[point_id]
-    q_type = dict(queries.dtypes)[query_id]
-
-    def best(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            for ids_, matrix_, got in zip(batch["ids"], batch["matrix"], batch["queries"], strict=True):
-                points_ = np.asarray(ids_)
-                block = np.stack([np.asarray(r["v"]) for r in got])
-                scores = np.round(block @ np.frombuffer(matrix_).reshape(len(points_), -1).T, 6)
-                order = np.argsort(points_, kind="stable")
-                out = []
-                for i, r in enumerate(got):
-                    keep = order[np.argsort(-scores[i][order], kind="stable")[: limit + exclude_self]]
-                    out.append(pd.DataFrame({"q": r["q"], "p": points_[keep], "score": scores[i][keep]}))
-                yield pd.concat(out)
-
-    near = None
+    scans = -(-(8 * size["cells"] + 16 * limit * size["n"]) // SCAN_BYTES)
     for scan in range(scans):
-        # of a checked size: the scan's share of the queries
-        some = F.broadcast(packed.where(F.pmod("block", F.lit(scans)) == scan).select("queries"))
-        part = batches.join(some).mapInPandas(best, f"q {q_type}, p {id_type}, score double")
-        near = part if near is None else near.unionByName(part)
+        some = q.where(F.pmod(F.xxhash64("q"), F.lit(scans)) == scan).toPandas()
+        if len(some):
+            yield some["q"].tolist(), np.stack(some["v"].to_numpy()).astype(float)
+
+
+def vector_search(queries: DataFrame, corpus: DataFrame, limit: int = 100, query_id: str = "query_id", point_id: str = "point_id", vector: str = "vector", exclude_self: bool = False) -> DataFrame:
+    """``query_id, point_id, score, rank``: the ``limit`` nearest points of each query by dot product.
+
+    Exact.  Queries are broadcast, as many as ``SCAN_BYTES`` hold for each scan of the corpus.
+    A task keeps the best points of every query over all that it reads (``Best``) and hands
+    on only those, so that tasks times queries times ``limit`` rows are shuffled, however
+    large the corpus; parts of it that a bound rules out are not scored (``meet``).  Scores
+    are rounded to six digits, ties go to the smaller id.  Null vectors are not met.
+    Filters on the corpus belong before this call, where they reach the scan (F4).
+    """
+    id_type, q_type = dict(corpus.dtypes)[point_id], dict(queries.dtypes)[query_id]
+    points = corpus.select(F.col(point_id).alias("p"), F.col(vector).cast("array<double>").alias("pv")).where(F.col("pv").isNotNull())
+    spark, schema = corpus.sparkSession, f"q {q_type}, p {id_type}, score double"
+    near = spark.createDataFrame([], schema)
+    for names, block in query_scans(queries, limit, query_id, vector):
+        sent = spark.sparkContext.broadcast((names, block))
+
+        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            names, block = sent.value
+            best, lengths = Best(len(names), limit + exclude_self), np.sqrt((block * block).sum(1))
+            for batch in batches:
+                for at in range(0, len(batch), CORPUS_BATCH):
+                    part = batch.iloc[at : at + CORPUS_BATCH]
+                    meet(best, block, lengths, part["p"].to_numpy(), np.stack(part["pv"].to_numpy()))
+            yield best.frame(names)
+
+        near = near.unionByName(points.mapInPandas(search, schema))
     if exclude_self:
         near = near.where("q <> p")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))

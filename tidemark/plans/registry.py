@@ -28,6 +28,14 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def merkle_sql(name: str, ids: str, depth: int = 4) -> str:
+    """Levels ``{name}4`` to ``{name}0`` of the Merkle tree over the digests of a query's column ``id``."""
+    out = f"{name}i AS (SELECT id, md5(id) AS h FROM ({ids})), {name}{depth} AS (SELECT h[1:{depth}] AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS d FROM {name}i GROUP BY 1)"
+    for k in range(depth - 1, -1, -1):
+        out += f", {name}{k} AS (SELECT left(p, {k}) AS p, CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(p || d, '' ORDER BY p)) AS d FROM {name}{k + 1} GROUP BY 1)"
+    return out
+
+
 def queries() -> dict[str, Query]:
     from tidemark.plans import lifecycle, stores  # noqa: F401 - they register their own
 
@@ -817,7 +825,7 @@ def numbered_by_size(spark, sf):
     return querybank.numbered(rows, "mq", [F.col("size").desc_nulls_first(), "p_partkey"]).select("query_id", "p_partkey")
 
 
-@register("corpus_anchor", "WITH i AS (SELECT DISTINCT md5(CAST(l_partkey AS VARCHAR)) AS h FROM lineitem), b AS (SELECT h[1:3] AS b, count(*) AS n, md5(string_agg(h, '' ORDER BY h)) AS d FROM i GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS products, sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM b")
+@register("corpus_anchor", f"WITH {merkle_sql('m', 'SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS id FROM lineitem')} SELECT n AS products, d AS fingerprint FROM m0")
 def corpus_anchor(spark, sf):
     return querybank.corpus_anchor(table(spark, sf, "lineitem"), "l_partkey")
 

@@ -12,7 +12,7 @@ from tidemark.plans.registry import register
 from tidemark.session import table
 from tidemark.sources import readers
 from tidemark.sources.paths import new_path
-from tidemark.streaming.serving import run_to_table, stream_counters
+from tidemark.streaming.serving import cache_settings, run_to_table, semantic_cache, stream_counters
 
 _DOC = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("text", T.StringType())])
 
@@ -186,3 +186,23 @@ def stream_request_counters(spark, sf):
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
     counters = run_to_table(stream_counters(stream), f"{path}/out")
     return counters.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@register("semantic_cache_levels")
+def semantic_cache_levels(spark, sf):
+    """A vector with each event, through the cache as a stream that is started anew for each quarter of the events' time."""
+    path = new_path(spark, "cache")
+    vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = vectors.count()
+    requests = table(spark, sf, "events").select(
+        F.concat(F.lit("s"), F.pmod("user_id", F.lit(8))).alias("shard"), F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(":", "event_type", F.pmod("user_id", F.lit(20))).alias("key"), F.pmod(F.col("event_id") * 7, F.lit(n)).alias("vec_id")
+    ).join(vectors, "vec_id", "left").drop("vec_id")
+    low, high = requests.agg(F.min("ts"), F.max("ts")).first()
+    quarter = F.least(F.lit(3), F.floor((F.unix_micros("ts") - F.unix_micros(F.lit(low))) * 4 / F.greatest(F.lit(1), F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)))))
+    found = None
+    with cache_settings(spark):
+        for q in range(4):
+            requests.where(quarter == q).write.mode("append").parquet(f"{path}/in")
+            stream = spark.readStream.schema(requests.schema).parquet(f"{path}/in")
+            found = run_to_table(semantic_cache(stream, ttl_s=86_400, capacity=40), f"{path}/out")
+    return found
