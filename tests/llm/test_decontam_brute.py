@@ -128,7 +128,7 @@ def test_filter_holds_every_hash(spark, monkeypatch):
 
     values = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 5000)
     df = spark.createDataFrame([(int(v),) for v in values], "window long")
-    monkeypatch.setattr(decontam, "FILTER_STEP", 1000)
+    monkeypatch.setattr(decontam, "SEGMENT_BITS", 1 << 16)
     bits = decontam._filter(df)
     assert decontam._may_hold(bits, values.astype(np.uint64)).all()
     other = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 100_000).astype(np.uint64)

@@ -11,22 +11,22 @@ and need not stay equal.  Windows of placeholders mostly are joined with their v
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import U64, mix64, pieces, window_multipliers
-from tidemark.llm.storage import by_keys, materialize
+from tidemark.llm.storage import by_keys, materialize, scratch, spare
 
 WINDOW = 8
 #: Bits of the largest filter of the benchmark's windows: 128 MB, sent along with the tasks.
 FILTER_BITS = 1 << 30
-#: Hashes that the driver holds at once while it sets the filter's bits.
-FILTER_STEP = 4_000_000
+#: Bits of the filter that one task sets.
+SEGMENT_BITS = 1 << 22
 #: Characters of a text that are read at a time, or more where they have no white space.
 CHUNK = 1 << 19
 
@@ -56,16 +56,25 @@ def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 class Canonical:
     """Tables for reading text as canonical tokens; one for each process."""
 
+    #: Codes above the first 65,536, up to the end of the last plane with letters; what lies beyond is no letter.
+    FIRST, ALL = 0x10000, 0x40000
+
     def __init__(self) -> None:
-        chars = [chr(i) for i in range(0x10000)]
-        self.kind = np.array([2 if c.isdigit() else 1 if c.isalpha() else 0 for c in chars], np.uint8)
-        self.lower = np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint64)
-        self.upper = np.array([c.isupper() for c in chars])
-        self.code = mix64(np.arange(0x10000, dtype=np.uint64) + U64(0x51ED27))
+        self.kind, self.lower, self.upper = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, bool)
+        self._read(self.FIRST)
         self.power = np.cumprod(np.full(1 << 12, U64(0x9E3779B97F4A7C15)))
         self.numbers, self.units, self.plain = self._hashes(NUMBERS), self._hashes(UNITS), self._hashes(NEVER_NAMES)
         self.slots = mix64(np.arange(1, 5, dtype=np.uint64) * U64(0xA24BAED4963EE407))
 
+    def _read(self, until: int) -> None:
+        """Kind and case of the characters up to a code; those above ``FIRST`` are looked up when a text has one."""
+        at = len(self.kind)
+        chars = [chr(i) for i in range(at, until)]
+        self.kind = np.append(self.kind, np.array([2 if c.isdigit() else 1 if c.isalpha() else 0 for c in chars], np.uint8))
+        self.lower = np.append(self.lower, np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(chars, at)], np.int64))
+        self.upper = np.append(self.upper, np.array([c.isupper() for c in chars]))
+        self.code = mix64(np.arange(until, dtype=np.uint64) + U64(0x51ED27)) | U64(1)
+
     def _hashes(self, words: str) -> np.ndarray:
         return np.sort(np.array([self._raw(w)[0][0] for w in words.split()], np.uint64))
 
@@ -75,7 +84,9 @@ class Canonical:
         ``fresh`` says whether a run at the beginning would; last comes whether one after the end would.
         """
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(codes > 0xFFFF, 0xFFFF, codes)
+        if len(codes) and codes.max() >= len(self.kind):
+            self._read(self.ALL)
+            codes = np.minimum(codes, self.ALL - 1)
         kind = self.kind[codes]
         # points and commas between digits belong to the number
         inner = np.flatnonzero(((codes == 46) | (codes == 44)))
@@ -89,9 +100,11 @@ class Canonical:
         bounds = np.append(change, len(codes))
         last = bounds[np.searchsorted(bounds, first, "right")]
         length = last - first
-        place = np.minimum(np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length), len(self.power) - 1)
+        if length.max() > len(self.power):
+            self.power = np.cumprod(np.full(int(length.max()), self.power[0]))
+        place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length - first, length)
-        values = (self.code[self.lower[codes[at]].astype(np.int64)] | U64(1)) * self.power[place]
+        values = self.code[self.lower[codes[at]]] * self.power[place]
         h = mix64(np.add.reduceat(values, np.cumsum(length) - length) + length.astype(np.uint64))
         second = np.minimum(first + 1, len(codes) - 1)
         title = self.upper[codes[first]] & (length > 1) & ~self.upper[codes[second]]
@@ -154,16 +167,30 @@ class Canonical:
 
 
 def _filter(windows: DataFrame) -> np.ndarray:
-    """A Bloom filter, two bits a hash, of the distinct ``window`` values; 64 bits of room for each while the largest size allows it."""
+    """A Bloom filter, two bits a hash, of the distinct ``window`` values; 64 bits of room for each while the largest size allows it.
+
+    Its segments are made by tasks, each of the bits that fall on it; the driver only puts
+    them side by side, at most ``FILTER_BITS`` in all.
+    """
     n = windows.count()
     room = 1 << min(FILTER_BITS.bit_length() - 1, max(20, (64 * n - 1).bit_length()))
+    size = min(room, SEGMENT_BITS)
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            h = batch["window"].to_numpy(np.int64).astype(np.uint64)
+            at = np.concatenate([h, mix64(h)]) & U64(room - 1)
+            yield pd.DataFrame({"segment": (at // U64(size)).astype(np.int32), "bit": (at % U64(size)).astype(np.int32)})
+
+    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(size, bool)
+        bits[rows["bit"]] = True
+        return pd.DataFrame({"segment": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    made = windows.mapInPandas(places, "segment int, bit int").distinct().groupBy("segment").applyInPandas(fill, "segment int, bits binary").collect()
     bits = np.zeros(room // 8, np.uint8)
-    steps = -(-n // FILTER_STEP)
-    for k in range(steps):
-        part = windows.where(F.pmod("window", F.lit(steps)) == k).toPandas()["window"].to_numpy(np.int64).astype(np.uint64)
-        for h in (part, mix64(part)):
-            at = (h & U64(room - 1)).astype(np.int64)
-            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    for r in made:
+        bits[r["segment"] * size // 8 : (r["segment"] + 1) * size // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return bits
 
 
@@ -176,13 +203,13 @@ def _may_hold(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-ROWS = "id long, key long, window long, place long, slots array<long>, kinds array<int>, at array<int>, templates long, windows long, size int, template boolean"
+ROWS = "id long, key binary, window long, place long, slots array<long>, kinds array<int>, at array<int>, templates long, windows long, size int, template boolean"
 
 
 def _window_rows(size: int, sizes: list[int], known, items: bool):
     """Windows as rows: all of an item's, of its own length if that is shorter; a document's, if the filter may hold them.
 
-    ``key`` is a hash of the text: copies of a text have the same windows.
+    ``key`` is the text's digest, 128 bits: copies of a text have the same windows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +218,7 @@ def _window_rows(size: int, sizes: list[int], known, items: bool):
         for batch in batches:
             rows = []
             for id_, text in zip(batch["id"], batch["text"], strict=True):
-                key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+                key = hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
                 use = sizes
                 if items:
                     n = len(reader.tokens(text)[0])
@@ -211,34 +238,8 @@ def _window_rows(size: int, sizes: list[int], known, items: bool):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.4) -> DataFrame:
-    """``id_col, item_id, windows_found, coverage, kind``: documents that hold a benchmark item, or one with other parameters.
-
-    A pair is reported if ``coverage`` of the item's windows or more are in the document,
-    in alignments whose slots are filled consistently: where a name or unit of the item has
-    several values in the document, the windows with any but the commonest are not counted
-    (of equally common ones the item's own, else the one that comes first, counts).
-    ``kind`` is ``exact`` if every window found is in an alignment where each slot has the
-    item's own value, else ``reparameterised``.  Items shorter than a window count as one
-    window of their length.
-
-    Windows with placeholders for more than half of their tokens count where their values
-    are equal too.  New values leave none of them, so that the coverage of an item's other
-    windows alone is enough as well; ``coverage`` is the larger one, and ``windows_found``
-    the windows of either kind.
-
-    A name is a capitalised word within a sentence that is not a function word.
-
-    Null and empty texts and items are in no pair.  Rows that repeat an id are read
-    apart, each by its own text; a pair of id and item is reported once, with the most
-    windows found.  A null id is reported as null.  An empty table on either side gives
-    an empty result.  Other columns are ignored.
-
-    Documents are read once, and only windows that a filter of the benchmark's may hold
-    leave the workers.  A text can hold ``coverage`` of an item only if it holds one of
-    the item's rarer windows, so that texts and items meet by those; windows that many
-    items or documents share are looked at for such pairs only.
-    """
+def _of_texts(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, window: int, coverage: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pairs of texts, ``text_key`` and ``key`` of an item's, with what was found; ids and keys of items; ids and keys of documents that share a window."""
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null and text <> ''")
     every_item = materialize(items.mapInPandas(_window_rows(window, [window], None, True), ROWS), "items")
     # items and documents are known by their texts until the end, so that copies are judged once
@@ -273,8 +274,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = seen.groupBy(*pair).agg(F.count("*").alias("windows_found"), F.count_if("template").alias("templates_found"), F.bool_and("same").alias("same"))
     share = F.greatest(F.col("windows_found") / F.col("windows"), F.try_divide(F.col("templates_found"), F.col("templates")))
     total = total.withColumn("coverage", share).where(F.col("coverage") >= coverage)
-    of_ids = total.join(named, "key").join(holders.select(F.col("id").alias("__id"), F.col("key").alias("text_key")), "text_key")
-    return of_ids.groupBy(F.col("__id").alias(id_col), item_col).agg(F.max("windows_found").alias("windows_found"), F.max("coverage").alias("coverage"), F.when(F.bool_or("same"), "exact").otherwise("reparameterised").alias("kind"))
+    return total, named, holders
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, coverage: float = 0.4) -> DataFrame:
+    """``id_col, item_id, windows_found, coverage, kind``: documents that hold a benchmark item, or one with other parameters.
+
+    A pair is reported if ``coverage`` of the item's windows or more are in the document,
+    in alignments whose slots are filled consistently: where a name or unit of the item has
+    several values in the document, the windows with any but the commonest are not counted
+    (of equally common ones the item's own, else the one that comes first, counts).
+    ``kind`` is ``exact`` if every window found is in an alignment where each slot has the
+    item's own value, else ``reparameterised``.  Items shorter than a window count as one
+    window of their length.
+
+    Windows with placeholders for more than half of their tokens count where their values
+    are equal too.  New values leave none of them, so that the coverage of an item's other
+    windows alone is enough as well; ``coverage`` is the larger one, and ``windows_found``
+    the windows of either kind.
+
+    A name is a capitalised word within a sentence that is not a function word.
+
+    Null and empty texts and items are in no pair.  Rows that repeat an id are read
+    apart, each by its own text; a pair of id and item is reported once, with the most
+    windows found.  A null id is reported as null.  An empty table on either side gives
+    an empty result.  Other columns are ignored.
+
+    Documents are read once, and only windows that a filter of the benchmark's may hold
+    leave the workers.  A text can hold ``coverage`` of an item only if it holds one of
+    the item's rarer windows, so that texts and items meet by those; windows that many
+    items or documents share are looked at for such pairs only.
+    """
+    with scratch(docs.sparkSession):
+        total, named, holders = _of_texts(docs, benchmark, id_col, text_col, item_col, item_text_col, window, coverage)
+        of_ids = total.join(named, "key").join(holders.select(F.col("id").alias("__id"), F.col("key").alias("text_key")), "text_key")
+        found = of_ids.groupBy(F.col("__id").alias(id_col), item_col).agg(F.max("windows_found").alias("windows_found"), F.max("coverage").alias("coverage"), F.when(F.bool_or("same"), "exact").otherwise("reparameterised").alias("kind"))
+        return materialize(found, "contamination", keep=True)
 
 
 def _consistent() -> F.Column:
@@ -297,8 +332,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     Judged by text, so that rows without an id, or with one that repeats, are judged
     each by its own text.  Rows without a text stay.
     """
-    keyed = docs.withColumn("__text", F.md5(F.col(text_col).cast("string").cast("binary")))
-    numbered = keyed.select(F.xxhash64("__text").alias("doc_id"), F.col(text_col).alias("text"))
-    found = contaminated(numbered, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, coverage=coverage)
-    gone = materialize(found.select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
-    return by_keys(keyed.withColumn("__key", F.when(F.col("__text").isNotNull(), F.xxhash64("__text"))), gone, "__key", "left_anti").select(*docs.columns)
+    (key,) = spare(docs.columns, "__key")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))))
+    with scratch(docs.sparkSession):
+        texts = docs.select(F.lit(0).alias("doc_id"), F.col(text_col).alias("text"))
+        total, _, _ = _of_texts(texts, benchmark, "doc_id", "text", item_col, item_text_col, window, coverage)
+        gone = materialize(total.select(F.col("text_key").alias(key)).distinct(), "contaminated", keep=True)
+    return by_keys(keyed, gone, key, "left_anti").select(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.hashing import pieces
 from tidemark.llm.sampling import bounded_sample, held_out, learnable
+from tidemark.llm.storage import spare
 
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
@@ -175,8 +176,8 @@ def _pair(x: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, a: str, b:
     return train_svm([x[i] for i in rows], np.where(labels[rows] == a, 1.0, -1.0))
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (these replace columns of that name).
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the language and score of each text under ``names``; columns that have these names are replaced.
 
     Only the text is looked at.  A null text, or one without a letter, is ``und`` with
     score 0, as is every text if nothing could be learned.  Equal texts get equal
@@ -187,7 +188,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("__found", predict(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("__found.lang_pred"), "score": F.col("__found.score")}).drop("__found")
+    (found,) = spare([*docs.columns, *names], "__found")
+    given = docs.withColumn(found, predict(F.col(text_col).cast("string")))
+    return given.withColumns({names[0]: F.col(f"{found}.lang_pred"), names[1]: F.col(f"{found}.score")}).drop(found)
 
 
 def language_report(docs: DataFrame, id_col: str = "doc_id", per_language: int = 400) -> DataFrame:

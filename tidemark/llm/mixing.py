@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.storage import spare
+
 WEIGHTS = (5, 2, 1)
 #: Weight at the start and the end of training, in turn by source; linear between.
 SCHEDULES = ((1.0, 3.0), (1.0, 1.0), (3.0, 1.0))
@@ -92,6 +94,11 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     new = ("size", "source_size", "target", "taken", "position", "positions")
     kept = [c for c in docs.columns if c not in new]
+    own = [c for c in kept if c.startswith("__")]  # names as those used below
+    away = dict(zip(own, spare(docs.columns, *[f"kept{c}" for c in own]), strict=True))
+    docs = docs.withColumnsRenamed(away)
+    kept, names = [away.get(c, c) for c in kept], kept
+    id_col, text_col, source_col = (away.get(c, c) for c in (id_col, text_col, source_col))
     rows = docs.select(*kept, word_count(F.col(text_col).cast("string")).alias("size")).withColumns({"__source": F.col(source_col).cast("string"), "__hash": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))})
     width = max(1, len(hex(buckets - 1)) - 2)
     rows = rows.withColumn("__bucket", F.substring("__hash", 1, width))
@@ -118,7 +125,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     later = lambda k: F.least((k * F.col("source_size") + F.col("__before")) / F.col("target"), F.lit(1.0))
     placed = placed.withColumns({"__copies": copies.cast("int"), "__start": start, "__end": end})
     positions = F.transform(F.slice(F.sequence(F.lit(0), F.greatest("__copies", F.lit(1))), F.lit(1), F.col("__copies")), lambda k: _position(later(k), F.col("__start"), F.col("__end")))
-    return placed.select(*kept, "size", "source_size", "target", "taken", _position(due, start, end).alias("position"), positions.alias("positions"))
+    return placed.select(*[F.col(c).alias(n) for c, n in zip(kept, names, strict=True)], "size", "source_size", "target", "taken", _position(due, start, end).alias("position"), positions.alias("positions"))
 
 
 def training_order(mix: DataFrame, id_col: str = "doc_id", position: str = "position") -> DataFrame:

@@ -122,8 +122,8 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[:size]
 
 
-def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` between 0 and 1 (replaces a column of that name).
+def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a score between 0 and 1 under ``name`` (replaces a column of that name).
 
     Only the text is looked at, the whole of it.  Null and empty texts have no
     difference and get the score of the curve there.  Equal texts get equal scores.
@@ -135,7 +135,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text")
         for texts in batches:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", score(F.col(text_col).cast("string")))
+    return docs.withColumn(name, score(F.col(text_col).cast("string")))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.3, per_class: int = 1500) -> DataFrame:
