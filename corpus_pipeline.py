@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, langid, minhash, mixing, quality
-from tidemark.llm.storage import materialize
+from tidemark.llm.storage import materialize, scratch, spare
 
 #: Language predictions under this score are rejected, with texts in no language.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -19,14 +19,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null texts and texts without a letter go.  If no label could be learned from,
     all texts are ``und`` and all go.
     """
-    found = langid.identify(docs.withColumnRenamed("lang", "__lang"), langid.fit_languages(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).withColumnRenamed("__lang", "lang").select(*docs.columns)
+    lang, score = spare(docs.columns, "lang_pred", "score")
+    found = langid.identify(docs, langid.fit_languages(docs), names=(lang, score))
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose quality score is 0.3 or more; learned from ``labels``."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score_quality(docs, model).where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    (score,) = spare(docs.columns, "score")
+    return quality.score_quality(docs, model, name=score).where(F.col(score) >= LEAST_QUALITY).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written as Parquet in the shared folder and read by the next."""
+    """The stages in order, each written as Parquet in the shared folder and read by the next.
+
+    The result's table goes with the session, what was written before it at the end.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    with scratch(spark):
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name)
+        name, stage = STAGES[-1]
+        return materialize(stage(spark, docs, sf_dir), name, keep=True)
