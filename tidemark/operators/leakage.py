@@ -37,8 +37,8 @@ def _split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, rows.select("class", "id").distinct().checkpoint()
 
 
-#: Words of 64 bits in the sketch of a set; the three lowest bits of an element choose the word.
-_SKETCH = 8
+#: Words of 64 bits in the sketch of a set; the lowest bits of an element choose the word.
+_SKETCH = 16
 
 
 def _cells(rows: DataFrame, column: str, order: DataFrame, threshold: float) -> DataFrame:
@@ -50,7 +50,7 @@ def _cells(rows: DataFrame, column: str, order: DataFrame, threshold: float) ->
     bits whether an odd number of elements fall on it: as many bits differ at most as
     elements are in only one of two sets.
     """
-    bit = lambda i: F.when(F.pmod("e", F.lit(_SKETCH)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("e", 3), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    bit = lambda i: F.when(F.pmod("e", F.lit(_SKETCH)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("e", 4), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
     cells = rows.select("id", F.size(column).alias("n"), F.explode(column).alias("e"))
     sketch = cells.groupBy("id").agg(*[F.bit_xor(bit(i)).alias(f"b{i}") for i in range(_SKETCH)])
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))  # a set at a time
@@ -60,28 +60,35 @@ def _cells(rows: DataFrame, column: str, order: DataFrame, threshold: float) ->
     return kept.join(sketch, "id").select("id", "n", "e", "place", (F.col("place") <= n - F.ceil(2 * threshold / (1 + threshold) * n) + 1).alias("few"), band.alias("band"), *[f"b{i}" for i in range(_SKETCH)])
 
 
-def _candidates(left: DataFrame, right: DataFrame, column: str, threshold: float, same: bool) -> DataFrame:
-    """Pairs that may reach ``threshold`` in ``column``.
+def _meet(larger: DataFrame, smaller: DataFrame, threshold: float, on: Column) -> DataFrame:
+    """``a, b``: pairs of a set ``x`` and one ``y`` that is no larger, by the cells of either; ``on`` tells pairs of equal sizes apart.
 
-    Prefixes meet on an element and a band of sizes; sizes of a pair differ by one band at
-    most.  A pair leaves the join only if the elements behind the shared one are enough
-    on both sides, and if no more bits of the sketches differ than elements may.
-    With ``same`` each pair of different classes is there once.
+    Prefixes meet on an element and a band of sizes: the smaller is in the same band or the
+    next.  A pair leaves the join only if the elements behind the shared one are enough on
+    both sides, and if no more bits of the sketches differ than elements may.
     """
+    y = smaller.where("few").withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    n, m = F.col("x.n"), F.col("y.n")
+    shared = F.ceil(threshold / (1 + threshold) * (n + m))  # as many elements at least
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(_SKETCH)), F.lit(0))
+    # what is cheap to tell comes first
+    cond = (F.col("x.e") == F.col("y.e")) & (F.col("x.band") == F.col("y.band")) & (m <= n) & on & (m >= threshold * n)
+    cond = cond & (1 + F.least(n - F.col("x.place"), m - F.col("y.place")) >= shared) & (n + m - differ >= 2 * shared)
+    return larger.alias("x").join(y.alias("y"), cond).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _candidates(left: DataFrame, right: DataFrame, column: str, threshold: float, same: bool) -> DataFrame:
+    """Pairs that may reach ``threshold`` in ``column``; with ``same`` each pair of different classes once, the lesser left."""
     threshold -= 1e-6  # similarities are rounded to as much
     order = (left if same else left.select(column).unionAll(right.select(column))).select(F.explode(column).alias("e")).groupBy("e").agg(F.count("*").alias("df"))
     a = _cells(left, column, order, threshold)
-    b = a if same else _cells(right, column, order, threshold)
-    b = b.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    both = x("n") + y("n")
-    shared = F.ceil(threshold / (1 + threshold) * both)  # as many elements at least
-    differ = sum((F.bit_count(x(f"b{i}").bitwiseXOR(y(f"b{i}"))) for i in range(_SKETCH)), F.lit(0))
-    on = (x("e") == y("e")) & (x("band") == y("band")) & (1 + F.least(x("n") - x("place"), y("n") - y("place")) >= shared) & (both - differ >= 2 * shared)
-    on = on & F.when(x("n") >= y("n"), y("few") & (y("n") >= threshold * x("n"))).otherwise(x("few") & (x("n") >= threshold * y("n")))
     if same:
-        on = on & (x("id") < y("id"))
-    return a.alias("x").join(b.alias("y"), on).select(x("id").alias("left_id"), y("id").alias("right_id")).distinct()
+        pairs = _meet(a, a, threshold, (F.col("y.n") < F.col("x.n")) | (F.col("x.id") < F.col("y.id")))
+        return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id")).distinct()
+    b = _cells(right, column, order, threshold)
+    one = _meet(a, b, threshold, F.lit(True)).select(F.col("a").alias("left_id"), F.col("b").alias("right_id"))
+    other = _meet(b, a, threshold, F.col("y.n") < F.col("x.n")).select(F.col("b").alias("left_id"), F.col("a").alias("right_id"))
+    return one.unionByName(other).distinct()
 
 
 def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

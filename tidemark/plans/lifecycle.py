@@ -80,24 +80,6 @@ def formatted_evidence(spark, sf):
     return _evidence(spark, sf).select("lang", "product", T.format_evidence(e).alias("evidence"), T.mixed_ratings(e).alias("mixed"), F.array_join(T.evidence_lists(e, 3)["ids"], ",").alias("ids"))
 
 
-PROFILES = ((None, "max"), (3.0, "max"), (3.5, "mean"), (-1.0, "max"), (None, "Weighted Mean"), (4.0, "weighted_mean"))
-PROFILE_LABELS = ("eval_unfiltered", "rating_gte_3", "rating_gte_3_5_aggregation_mean", "rating_gte_neg_1", "aggregation_weighted_mean", "rating_gte_4_aggregation_weighted_mean")
-
-
-@register("profile_labels", "SELECT * FROM (VALUES " + ", ".join(f"({'NULL::DOUBLE' if r is None else f'{r}::DOUBLE'}, '{a}', '{label}')" for (r, a), label in zip(PROFILES, PROFILE_LABELS, strict=True)) + ") t(min_rating, aggregation, label)")
-def profile_labels(spark, sf):
-    rows = spark.createDataFrame(list(PROFILES), "min_rating double, aggregation string")
-    return rows.select("*", T.infer_profile(F.col("min_rating"), F.col("aggregation")).alias("label"))
-
-
-LITERALS = (("5", 5), ("0", None), ("-3", None), ("12.9", 12), ("1e3", 1000), ('"77"', 77), ('" 8 "', 8), ('"x"', None), ("true", None), ("null", None), ('"-4"', None), ("NaN", None), ('""', None), ("1706745600000", 1706745600000))
-
-
-@register("coerced_timestamps", "SELECT * FROM (VALUES " + ", ".join(f"({_lit(a)}, {'NULL::BIGINT' if b is None else f'{b}::BIGINT'})" for a, b in LITERALS) + ") t(literal, ms)")
-def coerced_timestamps(spark, sf):
-    return spark.createDataFrame([(a,) for a, _ in LITERALS], "literal string").select("literal", T.json_timestamp_ms(F.col("literal")).alias("ms"))
-
-
 @register("json_digests", """SELECT p_partkey, sha256('{"name":"' || p_name || '","size":' || p_size || ',"type":null}') AS digest FROM part""")
 def json_digests(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.json_digest(size=F.col("p_size"), name=F.col("p_name"), type=F.lit(None).cast("string")).alias("digest"))
@@ -231,14 +213,23 @@ def grounding_delta(spark, sf):
 
 # --- boundary behaviour ----------------------------------------------------------------
 
-TEXTS = (*R.QUERY_TEXTS, *(f"{a} {b}" for a in ("latest", "good one:", "safest", "worst", "plain", "current", "avoid any") for b in ("webcam", "router", "puppy food", "usb hub", "laptop", "monitor for my kid")))
+OPENINGS = (*R.QUERY_TEXTS, *(f"{a} {b}" for a in ("latest", "good one:", "safest", "worst", "plain", "current", "avoid any") for b in ("webcam", "router", "puppy food", "usb hub", "laptop", "monitor for my kid")))
+#: ``i, text``: benchmark items and turns of conversations, each behind one of the openings, so that every rule of the policy is met.
+_ROWS = f"(SELECT i, ([{', '.join(_lit(t) for t in OPENINGS)}])[1 + i % {len(OPENINGS)}] || ' ' || coalesce(text, '') AS text FROM (SELECT item_id AS i, text FROM benchmark UNION ALL SELECT 1000000 + conv_id * 100 + turn, text FROM conversations))"
+
+
+def _rows(spark, sf):
+    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("i"), "text")
+    turns = table(spark, sf, "conversations").select((1_000_000 + F.col("conv_id") * 100 + F.col("turn")).alias("i"), "text")
+    opening = F.element_at(F.array(*[F.lit(t) for t in OPENINGS]), (F.col("i") % len(OPENINGS) + 1).cast("int"))
+    return items.unionByName(turns).select("i", F.concat(opening, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+
 
 
 def _entries(spark, sf):
     """Bank rows of which some have provenance, some tags, some neither."""
-    rows = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string")
     i = F.col("i")
-    return rows.select(
+    return _rows(spark, sf).select(
         i.cast("long").alias("query_id"), "text", F.when(i % 5 == 0, "out_of_scope").when(i % 5 == 1, "ambiguous").when(i % 5 == 2, "boundary").when(i % 5 == 3, "answerable").alias("answerability"),
         F.array(F.lit("boundary_eval"), F.concat(F.lit("boundary_type:"), F.when(i % 2 == 0, "ambiguous_query").otherwise(" ")), F.when(i % 7 == 0, "behavior:refuse").otherwise("x"), F.when(i % 3 == 0, "evaluation_surface:policy_terminal").otherwise("evaluation_lane:runtime_e2e"), F.lit("challenge_tag:c1")).alias("subset_tags"),
         F.when(i % 11 == 0, " clarify ").alias("expected_behavior"), F.when(i % 4 == 0, "low_evidence_boundary").alias("boundary_type"), F.when(i % 13 == 0, "runtime_e2e").alias("evaluation_surface"),
@@ -246,7 +237,7 @@ def _entries(spark, sf):
     )
 
 
-_CTX = f"""en AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_lit(t)})' for i, t in enumerate(TEXTS))}) t(i, text)),
+_CTX = f"""en AS {_ROWS},
 cx AS (SELECT CAST(i AS BIGINT) AS query_id, text AS query, {_CLEAN_Q} AS sq, CASE WHEN i % 11 = 0 THEN 'clarify' WHEN i % 7 = 0 THEN 'refuse' ELSE CASE i % 5 WHEN 0 THEN 'refuse' WHEN 1 THEN 'clarify' WHEN 2 THEN 'hedge_or_refuse' ELSE 'answer' END END AS expected,
 CASE WHEN i % 4 = 0 THEN 'low_evidence_boundary' WHEN i % 2 = 0 THEN 'ambiguous_query' END AS boundary_type, CASE WHEN i % 13 = 0 THEN 'runtime_e2e' WHEN i % 17 = 0 THEN 'policy_terminal' WHEN i % 3 = 0 THEN 'policy_terminal' ELSE 'runtime_e2e' END AS surface, CASE WHEN i % 6 = 0 THEN 'own' ELSE 'c1' END AS tag FROM en)"""
 
@@ -345,14 +336,14 @@ def boundary_guardrail_status(spark, sf):
 
 
 _MAN = f"""mq AS (SELECT i, text, CASE i % 6 WHEN 0 THEN 'out_of_scope_category' WHEN 1 THEN 'ambiguous_query' WHEN 2 THEN 'low_evidence_boundary' WHEN 3 THEN 'negative_problem_seeking' WHEN 4 THEN 'unsupported_attribute_claim' ELSE 'recency_sensitive_boundary' END AS boundary_type, CASE WHEN i % 3 = 0 THEN 'policy_terminal' ELSE 'runtime_e2e' END AS evaluation_surface,
-'f' || (i % 9) AS challenge_family, 'fam' || (i % 21) AS family_id, CASE WHEN i % 4 <> 0 THEN 'recommendation' END AS intent, text AS query FROM (SELECT * FROM (VALUES {', '.join(f'({i}, {_lit(t)})' for i, t in enumerate(TEXTS))}) t(i, text))), mr AS (SELECT *, {_RECENT} AS recent FROM mq)"""
+'f' || (i % 9) AS challenge_family, 'fam' || (i % 21) AS family_id, CASE WHEN i % 4 <> 0 THEN 'recommendation' END AS intent, text AS query FROM {_ROWS}), mr AS (SELECT *, {_RECENT} AS recent FROM mq)"""
 
 
 def _manual(spark, sf):
     i = F.col("i")
     names = ["out_of_scope_category", "ambiguous_query", "low_evidence_boundary", "negative_problem_seeking", "unsupported_attribute_claim", "recency_sensitive_boundary"]
-    return spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string").select(
-        F.concat(F.lit("bq_"), i.cast("string")).alias("manual_id"), "text", F.element_at(F.array(*[F.lit(n) for n in names]), i % 6 + 1).alias("boundary_type"), F.lit("boundary").alias("answerability"), F.lit("hedge_or_refuse").alias("expected_behavior"),
+    return _rows(spark, sf).select(
+        F.concat(F.lit("bq_"), i.cast("string")).alias("manual_id"), "text", F.element_at(F.array(*[F.lit(n) for n in names]), (i % 6 + 1).cast("int")).alias("boundary_type"), F.lit("boundary").alias("answerability"), F.lit("hedge_or_refuse").alias("expected_behavior"),
         F.when(i % 3 == 0, "policy_terminal").otherwise("runtime_e2e").alias("evaluation_surface"), F.concat(F.lit("f"), (i % 9).cast("string")).alias("challenge_family"), F.array(F.lit("t"), F.concat(F.lit("t"), (i % 2).cast("string"))).alias("challenge_tags"),
         F.lit("someone").alias("author_id"), F.concat(F.lit("fam"), (i % 21).cast("string")).alias("family_id"), F.when(i % 4 != 0, "recommendation").alias("intent"),
     )
@@ -383,48 +374,6 @@ def boundary_source_problems(spark, sf):
 # --- checks ----------------------------------------------------------------------------
 
 
-def _gate_row(spark):
-    t = "struct<min_tokens:int,min_chunks:int,min_score:double>"
-    rows = [("sha", "sha", "old", False, (20, 1, 0.7), (20, 1, 0.7), (50, 1, 0.7), (20, 1, 0.7), ["retrieval_dev_holdout"], [], ["retrieval_dev_holdout"], "candidate-promoted")]
-    return spark.createDataFrame(rows, f"query_bank_sha string, calibration_sha string, holdout_sha string, calibration_limited boolean, recommended {t}, baseline {t}, candidate {t}, current {t}, evaluated_subsets array<string>, eligible_subsets array<string>, limited_subsets array<string>, decision string")
-
-
-def _rules_sql(rules: dict[str, bool]) -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {str(ok).lower()})" for n, ok in rules.items()) + ") t(rule, ok)"
-
-
-@register("gate_decision_checks", _rules_sql({
-    "calibration_present": True, "calibration_of_this_bank": True, "calibration_unlimited": True, "recommended_present": True, "holdout_present": True, "holdout_of_this_bank": False, "baseline_present": True, "candidate_present": True,
-    "holdout_evaluated": True, "holdout_eligible": False, "holdout_unlimited": False, "recommended_is_candidate": False, "decision_known": True, "current_as_decided": False,
-}))
-def gate_decision_checks(spark, sf):
-    return checks.gate_decision(_gate_row(spark))
-
-
-def _retrieval_row(spark):
-    c = "struct<aggregation:string,min_rating:double>"
-    rows = [("sha", "sha", "sha", True, "fit", "fit", ["gate_calibration"], ["retrieval_dev_holdout"], [], None, ("max", None), ("mean", 3.0), ("max", None), ("mean", 4.0), ("max", None), "baseline-retained")]
-    return spark.createDataFrame(rows, f"query_bank_sha string, fit_sha string, holdout_sha string, corpus_aligned boolean, fit_role string, holdout_role string, fit_subsets array<string>, holdout_subsets array<string>, fit_limited array<string>, holdout_limited array<string>, fit_baseline {c}, fit_candidate {c}, holdout_baseline {c}, holdout_candidate {c}, current {c}, decision string")
-
-
-@register("retrieval_decision_checks", _rules_sql({
-    "fit_of_this_bank": True, "holdout_of_this_bank": True, "corpus_aligned": True, "fit_role": True, "holdout_role": False, "fit_baseline_present": True, "fit_candidate_present": True, "holdout_baseline_present": True, "holdout_candidate_present": True,
-    "fit_evaluated": True, "holdout_evaluated": True, "fit_unlimited": True, "holdout_unlimited": True, "same_baseline": True, "same_candidate": False, "decision_known": True, "current_as_decided": True,
-}))
-def retrieval_decision_checks(spark, sf):
-    return checks.retrieval_decision_checks(_retrieval_row(spark))
-
-
-@register("handoff_checks", _rules_sql({
-    "decision_valid": True, "retrieval_decision_valid": False, "threshold_present": True, "retrieval_present": True, "threshold_as_decided": True, "retrieval_as_decided": True, "current_threshold": False, "current_retrieval": True,
-    "materialized_retrieval_present": False, "materialized_retrieval_as_decided": True, "fingerprint_present": True, "fingerprint_of_anchor": False,
-}))
-def handoff_checks(spark, sf):
-    t, c = "struct<min_tokens:int,min_chunks:int,min_score:double>", "struct<aggregation:string,min_rating:double>"
-    row = [("baseline-retained", "perhaps", (20, 1, 0.7), ("max", 3.0), None, "f1", (20, 1, 0.7), (50, 1, 0.7), ("max", 3.0), ("mean", 3.0), (30, 1, 0.7), ("max", 3.0), "f2")]
-    return checks.handoff(spark.createDataFrame(row, f"decision string, retrieval_decision string, threshold {t}, retrieval {c}, materialized_retrieval {c}, corpus_fingerprint string, baseline {t}, candidate {t}, retrieval_baseline {c}, retrieval_candidate {c}, current {t}, current_retrieval {c}, anchor_fingerprint string"))
-
-
 _ART = "ar AS (SELECT event_type AS artifact, max(ts) AS modified, count(*) FILTER (value > 900) AS errors FROM events WHERE event_type <> 'click' GROUP BY event_type), st AS (SELECT min(modified) + INTERVAL 500 MILLISECOND AS t FROM ar), ex AS (SELECT DISTINCT event_type AS artifact FROM events UNION ALL SELECT 'never')"
 _INVT = f"{_ART}, iv AS (SELECT ex.artifact, modified IS NOT NULL AS present, coalesce(modified >= (SELECT t FROM st) - INTERVAL 1 SECOND, false) AS fresh_for_run, modified IS NOT NULL AND coalesce(errors, 0) = 0 AS valid FROM ex LEFT JOIN ar ON ar.artifact = ex.artifact)"
 
@@ -461,11 +410,6 @@ def corpus_alignment(spark, sf):
     return checks.anchor_alignment(local, remote, li.agg(F.count("*").alias("points_count")))
 
 
-@register("run_identity", "SELECT 'second' AS provider, 'm2' AS model")
-def run_identity(spark, sf):
-    return checks.run_identity(spark.createDataFrame([(1, "first", " "), (2, "Second ", "m2"), (3, None, "m3")], "place int, provider string, model string"), "none")
-
-
 _RESP = "rs AS (SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'refuse' WHEN 1 THEN 'answer' END AS policy, event_id % 4 AS n, event_id % 3 <> 0 AS cited, event_id % 5 <> 0 AS grounded, CASE WHEN event_id % 7 = 0 THEN 'I cannot recommend it' WHEN event_id % 11 = 0 THEN ' ' ELSE 'fine \"a\"' END AS said FROM events)"
 
 
@@ -552,12 +496,12 @@ def explanation_sources(spark, sf):
 _REQS = f"""rq AS (SELECT CAST(i AS BIGINT) AS request_id, text AS query, {_CLEAN_Q} AS sq FROM en), ke AS (SELECT *, trim(regexp_replace(lower(sq), '\\s+', ' ', 'g')) || ':3:' || CASE WHEN request_id % 2 = 0 THEN 'true' ELSE 'false' END || ':4.0' AS cache_key FROM rq)"""
 
 
-@register("request_paths", f"""WITH en AS (SELECT * FROM (VALUES {', '.join(f'({i}, {_lit(t)})' for i, t in enumerate(TEXTS))}) t(i, text)), {_REQS}, {_policy_of('sq', 'rq')}, pu AS (SELECT DISTINCT text, d FROM pd),
+@register("request_paths", f"""WITH en AS {_ROWS}, {_REQS}, {_policy_of('sq', 'rq')}, pu AS (SELECT DISTINCT text, d FROM pd),
 z AS (SELECT ke.*, d[1] AS action, request_id % 2 = 0 AS explain, request_id % 2 = 0 AND request_id % 4 = 0 AS hit, request_id % 5 AS n FROM ke JOIN pu ON pu.text = ke.sq), p AS (SELECT *, CASE WHEN action <> 'allow' THEN 'policy' WHEN explain AND cache_key IN (SELECT cache_key FROM z WHERE request_id % 4 = 0) THEN 'cache' WHEN n = 0 THEN 'empty' WHEN explain THEN 'explained' ELSE 'listed' END AS path FROM z)
 SELECT request_id, sq AS sanitized, cache_key, path, CASE WHEN path = 'policy' THEN action ELSE 'allow' END AS behavior, CAST(CASE WHEN path IN ('explained', 'listed') THEN least(n, 3) ELSE 0 END AS BIGINT) AS returned, path = 'explained' AS put FROM p""")
 def request_paths(spark, sf):
     """Requests, every fourth of which is in the cache, with none to four products."""
-    rows = spark.createDataFrame(list(enumerate(TEXTS)), "request_id int, query string").withColumn("request_id", F.col("request_id").cast("long"))
+    rows = _rows(spark, sf).select(F.col("i").alias("request_id"), F.col("text").alias("query"))
     i = F.col("request_id")
     key = T.cache_key(T.sanitize_query(F.col("query")), F.lit(3), i % 2 == 0, F.lit(4.0))
     cached = rows.where(i % 4 == 0).select(key.alias("cache_key"))

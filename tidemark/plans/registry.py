@@ -37,7 +37,7 @@ def merkle_sql(name: str, ids: str, depth: int = 4) -> str:
 
 
 def queries() -> dict[str, Query]:
-    from tidemark.plans import lifecycle, stores  # noqa: F401 - they register their own
+    from tidemark.plans import decisions, lifecycle, stores  # noqa: F401 - they register their own
 
     return dict(_QUERIES)
 

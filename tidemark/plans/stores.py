@@ -153,29 +153,6 @@ def bank_subset(spark, sf):
     return readers.active_subset(readers.load_bank(good), "t1", need_items=True, non_empty=True).select("query_id")
 
 
-VALUES = (None, "", " ", "a_1", "A", "5", "-3", "0", "1.5", "NaN", "inf", "true", "False", "yes", "{}", '{"a": 1}', "[1]", "{bad", "99999999999999999999", "a__b")
-_WRONG = {
-    "non_empty": ["missing", "empty", "empty"] + [None] * 17,
-    "whole_number": ["missing"] + ["not an integer"] * 4 + [None] * 3 + ["not an integer"] * 12,
-    "positive_number": ["missing"] + ["not an integer"] * 4 + [None, "not positive", "not positive"] + ["not an integer"] * 12,
-    "finite_number": ["missing"] + ["not a number"] * 4 + [None] * 4 + ["not finite"] * 2 + ["not a number"] * 7 + [None, "not a number"],
-    "boolean": ["missing"] + ["not a boolean"] * 10 + [None, None] + ["not a boolean"] * 7,
-    "json_object": ["missing"] + ["not an object"] * 13 + [None, None] + ["not an object"] * 4,
-    "identifier": ["missing", "not an identifier", "not an identifier", None, "not an identifier", None, "not an identifier", None] + ["not an identifier"] * 2 + [None, None, "not an identifier", None] + ["not an identifier"] * 4 + [None, "not an identifier"],
-}
-
-
-def _quoted(s):
-    return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
-
-
-@register("validated_values", "SELECT * FROM (VALUES " + ", ".join(f"({i}, " + ", ".join(_quoted(_WRONG[n][i]) for n in _WRONG) + ")" for i in range(len(VALUES))) + ") t(i, " + ", ".join(_WRONG) + ")")
-def validated_values(spark, sf):
-    """every validator over the same values."""
-    rows = spark.createDataFrame(list(enumerate(VALUES)), "i int, v string")
-    return rows.select("i", *[getattr(V, n)(F.col("v")).alias(n) for n in _WRONG])
-
-
 @register("stream_request_counters", """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS requests, round(sum(value), 4) AS total, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100, count(*) FILTER (value <= 250) AS le_250, count(*) FILTER (value <= 500) AS le_500 FROM events GROUP BY ALL)
 SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def stream_request_counters(spark, sf):
