@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
@@ -61,10 +62,11 @@ def refusal_messages(spark, sf):
 
 
 def _evidence(spark, sf):
-    """Documents of a language as pieces of evidence of forty products, in order of their ids."""
-    d = table(spark, sf, "documents")
+    """The first five documents of a language that are pieces of evidence of each of forty products, in order of their ids."""
+    d = table(spark, sf, "documents").withColumn("product", F.col("doc_id") % 40)
+    place = F.row_number().over(Window.partitionBy("lang", "product").orderBy("doc_id"))
     piece = F.struct("doc_id", F.concat(F.lit("review_"), F.col("doc_id").cast("string")).alias("review_id"), F.when(F.col("doc_id") % 5 != 0, (F.col("doc_id") % 6).cast("double")).alias("rating"), "text")
-    return d.groupBy("lang", (F.col("doc_id") % 40).alias("product")).agg(F.array_sort(F.collect_list(piece)).alias("evidence"))
+    return d.withColumn("i", place).where("i <= 5").groupBy("lang", "product").agg(F.array_sort(F.collect_list(piece)).alias("evidence"))
 
 
 _CLEAN_Q = r"trim(regexp_replace(regexp_replace(regexp_replace(text, '[\r\n\t]+', ' ', 'g'), '[\x00-\x1F\x7F]', '', 'g'), '\s+', ' ', 'g'))"
@@ -540,7 +542,10 @@ _BANK = f"""{_BUCK}, {R._pairs_sql("SELECT 'test:' || sq AS id, text FROM jn WHE
 kl AS (SELECT component, sha256(string_agg(a.norm || chr(9) || a.id, chr(10) ORDER BY a.norm || chr(9) || a.id)) AS akey FROM k JOIN a USING (id) GROUP BY component), kf AS (SELECT k.id, ('0x' || akey2[1:16])::UBIGINT::DOUBLE / 18446744073709551615.0::DOUBLE AS f FROM k JOIN (SELECT component, sha256(akey) AS akey2 FROM kl) USING (component))"""
 
 
-@register("overlap_bank", f"""WITH RECURSIVE {_BANK} SELECT jn.query_id, jn.text, CASE WHEN split = 'train' THEN 'gate_calibration' WHEN f < 0.8 THEN CASE WHEN f / 0.8::DOUBLE < 0.75 THEN 'retrieval_dev_holdout' ELSE 'retrieval_final_report' END ELSE CASE WHEN (f - 0.8::DOUBLE) / (1 - 0.8::DOUBLE) < 1.0::DOUBLE / 3 THEN 'faithfulness_dev_seed' ELSE 'faithfulness_final_seed' END END AS subset_tags,
+_SUBSET = "CASE WHEN split = 'train' THEN 'gate_calibration' WHEN f < 0.8 THEN CASE WHEN f / 0.8::DOUBLE < 0.75 THEN 'retrieval_dev_holdout' ELSE 'retrieval_final_report' END ELSE CASE WHEN (f - 0.8::DOUBLE) / (1 - 0.8::DOUBLE) < 1.0::DOUBLE / 3 THEN 'faithfulness_dev_seed' ELSE 'faithfulness_final_seed' END END"
+
+
+@register("overlap_bank", f"""WITH RECURSIVE {_BANK} SELECT jn.query_id, jn.text, {_SUBSET} AS subset_tags,
 n_relevant, mass, 'judgments:split=' || split || ':query_id=' || sq AS source_ref FROM jn LEFT JOIN kf ON kf.id = split || ':' || sq""")
 def overlap_bank(spark, sf):
     """The first 120 queries with three products or more (K9)."""
@@ -548,10 +553,10 @@ def overlap_bank(spark, sf):
     return _bank(spark, sf).select("query_id", "text", F.array_join("subset_tags", ",").alias("subset_tags"), F.size(F.map_keys("relevant_items")).cast("long").alias("n_relevant"), mass.alias("mass"), "source_ref")
 
 
-@register("overlap_bank_summary", f"WITH {_BUCK} SELECT 'source_split' AS kind, split AS value, count(*) AS queries FROM jn GROUP BY split UNION ALL SELECT 'source_type', 'judged_overlap', count(*) FROM jn UNION ALL SELECT 'answerability', 'answerable', count(*) FROM jn UNION ALL SELECT 'has_provenance', 'true', count(*) FROM jn UNION ALL SELECT 'schema_version', '1', count(*) FROM jn UNION ALL SELECT 'origin_family', 'judged_queries', count(*) FROM jn UNION ALL SELECT 'curation_mode', 'automatic', count(*) FROM jn UNION ALL SELECT 'selection_policy', 'corpus_overlap', count(*) FROM jn UNION ALL SELECT 'subset_assignment_policy', 'component_hash', count(*) FROM jn UNION ALL SELECT 'tag', 'gate_calibration', count(*) FROM jn WHERE split = 'train'")
+@register("overlap_bank_summary", f"WITH RECURSIVE {_BANK}, tg AS (SELECT {_SUBSET} AS tag FROM jn LEFT JOIN kf ON kf.id = split || ':' || sq) SELECT 'source_split' AS kind, split AS value, count(*) AS queries FROM jn GROUP BY split UNION ALL SELECT 'source_type', 'judged_overlap', count(*) FROM jn UNION ALL SELECT 'answerability', 'answerable', count(*) FROM jn UNION ALL SELECT 'has_provenance', 'true', count(*) FROM jn UNION ALL SELECT 'schema_version', '1', count(*) FROM jn UNION ALL SELECT 'origin_family', 'judged_queries', count(*) FROM jn UNION ALL SELECT 'curation_mode', 'automatic', count(*) FROM jn UNION ALL SELECT 'selection_policy', 'corpus_overlap', count(*) FROM jn UNION ALL SELECT 'subset_assignment_policy', 'component_hash', count(*) FROM jn UNION ALL SELECT 'tag', tag, count(*) FROM tg GROUP BY tag")
 def overlap_bank_summary(spark, sf):
-    """A34, N3; tags of test queries are in ``overlap_bank``."""
-    return querybank.bank_summary(_bank(spark, sf)).where("kind <> 'tag' or value = 'gate_calibration'")
+    """A34, N3."""
+    return querybank.bank_summary(_bank(spark, sf))
 
 
 @register("bank_relevance", f"WITH {_BUCK} SELECT count(*) AS total_queries, count(*) AS with_relevant_items, min(n_relevant) AS min_items, quantile_cont(n_relevant, 0.5) AS median_items, max(n_relevant) AS max_items FROM jn")
@@ -573,12 +578,13 @@ def corpus_differences(spark, sf):
     return fingerprints.differing_ids(users, table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), "id")
 
 
-@register("bank_manifest", f"WITH {_BUCK}, {R.merkle_sql('m', _PARTS)} SELECT (SELECT count(*) FROM jn) AS canonical_row_count, m0.n AS corpus_product_count, m0.d AS corpus_fingerprint, 'ready' AS status FROM m0")
+@register("bank_manifest", f"WITH {_BUCK}, {R.merkle_sql('m', _PARTS)} SELECT (SELECT count(*) FROM jn) AS canonical_row_count, m0.n AS corpus_product_count, m0.d AS corpus_fingerprint, 'ready' AS status, 'query_bank' AS dataset_name, (SELECT min(n_relevant) FROM jn) AS min_relevant_items, (SELECT quantile_cont(n_relevant, 0.5) FROM jn) AS median_relevant_items, (SELECT max(n_relevant) FROM jn) AS max_relevant_items, true AS digest_present FROM m0")
 def bank_manifest(spark, sf):
-    """Some of the manifest's fields; its digest is of this engine's own form."""
+    """The manifest's fields; of the digest, which is of this engine's own form, whether it is there."""
     m = querybank.manifest(_bank(spark, sf), querybank.corpus_anchor(table(spark, sf, "lineitem"), "l_partkey"))
-    j = lambda p: F.get_json_object("manifest", f"$.{p}")
-    return m.select(j("canonical_row_count").cast("long").alias("canonical_row_count"), j("corpus_product_count").cast("long").alias("corpus_product_count"), j("corpus_fingerprint").alias("corpus_fingerprint"), j("status").alias("status"))
+    j = lambda p, t="string": F.get_json_object("manifest", f"$.{p}").cast(t).alias(p)
+    counts = [j(p, "long") for p in ("canonical_row_count", "corpus_product_count", "min_relevant_items", "max_relevant_items")]
+    return m.select(*counts, j("corpus_fingerprint"), j("status"), j("dataset_name"), j("median_relevant_items", "double"), F.get_json_object("manifest", "$.query_bank_sha256").rlike("^[0-9a-f]{64}$").alias("digest_present"))
 
 
 @register("bootstrap_bank", """WITH c AS (SELECT p_name AS text, count(*) AS record_count, list_sort(list(CAST(p_partkey AS VARCHAR))) AS ids, min(p_partkey) AS first_row FROM part GROUP BY p_name) SELECT printf('qc_%04d', row_number() OVER (ORDER BY record_count DESC, lower(text), text)) AS query_id, text, 'part.parquet:query_id=' || ids[1] || CASE WHEN len(ids) > 1 THEN '(+' || (len(ids) - 1) || ' more)' ELSE '' END AS source_ref FROM c""")
@@ -754,3 +760,27 @@ def text_helpers(spark, sf):
         "p_partkey", F.round(T.term_overlap(F.col("p_name"), F.col("p_type")), 6).alias("overlap"), T.profile_label(F.col("p_type")).alias("label"),
         F.array_join(T.tags_with(tag, "size:"), ",").alias("brand_id"), F.array_join(T.csv_list(F.lit("a, b,, a ,")), "|").alias("parts"),
     )
+
+
+@register("zipped_scores", "SELECT conv_id, turn, text, length(text) % 7 AS score FROM conversations")
+def zipped_scores(spark, sf):
+    """Explanations with their scores, every one with its counterpart."""
+    c = table(spark, sf, "conversations")
+    scores = c.select("conv_id", "turn", (F.length("text") % 7).cast("long").alias("score"))
+    return cases.zip_scores(c.select("conv_id", "turn", "text"), scores, "conv_id", "turn").select("conv_id", "turn", "text", "score")
+
+
+@register("distinct_roles", "SELECT conv_id, array_to_string(list_sort(list(turn::VARCHAR || ':' || role)), ',') AS turns FROM conversations GROUP BY conv_id")
+def distinct_roles(spark, sf):
+    """Each conversation's turns, in none of which a turn is there twice."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.concat_ws(":", F.col("turn").cast("string"), "role"))).alias("t"))
+    return turns.select("conv_id", F.array_join(querybank.unique_or_error(F.col("t"), "turn"), ",").alias("turns"))
+
+
+@register("frozen_ages", "WITH m AS (SELECT epoch_ms(max(ts)) AS t FROM events WHERE event_type = 'purchase') SELECT event_id, floor((t - epoch_ms(ts)) / 86400000.0)::BIGINT AS days FROM events, m")
+def frozen_ages(spark, sf):
+    """Ages counted back from the time at which a manifest was frozen, that of the last purchase."""
+    e = table(spark, sf, "events").select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    manifest = e.where("event_type = 'purchase'").agg(F.max("ms").alias("frozen_at_ms"))
+    at = checks.frozen_reference(manifest)
+    return e.select("event_id", F.floor((F.lit(at) - F.col("ms")) / 86_400_000).alias("days"))

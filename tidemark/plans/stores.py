@@ -11,6 +11,7 @@ from tidemark.plans import registry as R
 from tidemark.plans.registry import register
 from tidemark.session import table
 from tidemark.sources import readers
+from tidemark.sources.collection import Collection, get_record, put_record
 from tidemark.sources.paths import new_path
 from tidemark.streaming.serving import cache_settings, run_to_table, semantic_cache, stream_counters
 
@@ -26,11 +27,11 @@ def source_json_lines(spark, sf):
 
 
 def _mixed_lines(spark, sf):
-    """A file a part, with lines that are no JSON, blank ones, and ones of another type."""
+    """Four files, in folders, with lines that are no JSON, blank ones, and ones of another type."""
     path = new_path(spark, "mixed-lines")
     i = F.col("event_id")
     line = F.when(i % 50 == 7, "{not json").when(i % 50 == 9, "").when(i % 50 == 11, '{"doc_id": "x"}').otherwise(F.to_json(F.struct(i.alias("doc_id"), F.col("event_type").alias("lang"))))
-    table(spark, sf, "events").coalesce(1).sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    table(spark, sf, "events").select("event_id", line.alias("value"), (i % 4).alias("part")).repartition(4, "part").sortWithinPartitions("part", "event_id").select("value", "part").write.partitionBy("part").text(path)
     return path
 
 
@@ -40,10 +41,18 @@ def source_good_rows(spark, sf):
     return good.select("doc_id", "lang")
 
 
-@register("source_bad_lines", "WITH n AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS line FROM events) SELECT CAST(line AS INT) AS line, CASE event_id % 50 WHEN 7 THEN '{not json' ELSE '{\"doc_id\": \"x\"}' END AS value FROM n WHERE event_id % 50 IN (7, 11)")
+@register("source_bad_lines", "WITH n AS (SELECT event_id, event_id % 4 AS part, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS line FROM events) SELECT CAST(part AS INT) AS part, line, CASE event_id % 50 WHEN 7 THEN '{not json' ELSE '{\"doc_id\": \"x\"}' END AS value FROM n WHERE event_id % 50 IN (7, 11)")
 def source_bad_lines(spark, sf):
     """Lines that don't fit, with their numbers."""
-    return readers.numbered_json_rows(spark, _mixed_lines(spark, sf), _DOC)[1].select("line", "value")
+    return readers.numbered_json_rows(spark, _mixed_lines(spark, sf), _DOC)[1].select("part", "line", "value")
+
+
+@register("source_stream_rows", "SELECT event_id AS doc_id, event_type AS lang, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS line FROM events QUALIFY event_id % 50 NOT IN (7, 9, 11)")
+def source_stream_rows(spark, sf):
+    """The same files as a stream, two a batch."""
+    path = new_path(spark, "lines-of-a-stream")
+    readers.stream_json_rows(spark, f"{_mixed_lines(spark, sf)}/*", _DOC, f"{path}/good", f"{path}/bad", f"{path}/progress", 2)
+    return spark.read.parquet(f"{path}/good").select("doc_id", "lang", "line")
 
 
 @register("source_delimited", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CAST(NULL AS VARCHAR) AS colour FROM part")
@@ -56,10 +65,11 @@ def source_delimited(spark, sf):
 
 @register("source_json_array", "SELECT item_id, text FROM benchmark")
 def source_json_array(spark, sf):
-    """One array over many lines."""
+    """Arrays over many lines, of a thousand objects at most."""
     path = new_path(spark, "array")
-    rows = table(spark, sf, "benchmark").agg(F.array_join(F.collect_list(F.to_json(F.struct("item_id", "text"))), ",\n").alias("j"))
-    rows.select(F.concat(F.lit("[\n"), "j", F.lit("\n]")).alias("value")).write.text(path)
+    rows = table(spark, sf, "benchmark").groupBy(F.floor(F.col("item_id") / 1000).alias("part")).agg(F.array_join(F.collect_list(F.to_json(F.struct("item_id", "text"))), ",\n").alias("j"))
+    # a file an array
+    rows.select(F.concat(F.lit("[\n"), "j", F.lit("\n]")).alias("value"), "part").write.partitionBy("part").text(path)
     return readers.read_json_array(spark, path, non_empty=True).select("item_id", "text")
 
 
@@ -83,6 +93,42 @@ def upserted_points(spark, sf):
     return readers.scroll(spark, path, ["id", "label"])
 
 
+def _collection(spark, sf):
+    """A collection after two upserts, a deletion and a compaction between them."""
+    points = Collection(spark, new_path(spark, "points"))
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    points.create(e)
+    points.upsert(e.where("id % 5 = 0").withColumn("label", F.lit(-1)))
+    points.compact()
+    points.delete(e.where("id % 7 = 0").select("id"))
+    points.upsert(e.where("id % 14 = 0").withColumn("label", F.lit(-2)).unionByName(e.where("id % 100 = 0").withColumn("id", F.col("id") + 1_000_000)))
+    return points
+
+
+@register("collection_points", "SELECT vec_id AS id, CASE WHEN vec_id % 14 = 0 THEN -2 WHEN vec_id % 5 = 0 THEN -1 ELSE label END AS label, len(embedding) AS dims FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 14 = 0 UNION ALL SELECT 1000000 + vec_id, label, len(embedding) FROM embeddings WHERE vec_id % 100 = 0")
+def collection_points(spark, sf):
+    """The last version of a collection."""
+    return _collection(spark, sf).read(columns=["id", "label", "vector"]).select("id", "label", F.size("vector").cast("long").alias("dims"))
+
+
+@register("collection_snapshot", "SELECT vec_id AS id, CASE WHEN vec_id % 5 = 0 THEN -1 ELSE label END AS label FROM embeddings WHERE vec_id < 300")
+def collection_snapshot(spark, sf):
+    """An earlier version of it, of a range of ids."""
+    return _collection(spark, sf).read(2, ["id", "label"], F.col("id") < 300)
+
+
+@register("collection_info", "SELECT points_count, 5 AS version, 'yellow' AS status, true AS there, 1700000000000 AS stamped_at, points_count AS recorded FROM (SELECT count(*) FILTER (vec_id % 7 <> 0 OR vec_id % 14 = 0) + count(*) FILTER (vec_id % 100 = 0) AS points_count FROM embeddings)")
+def collection_info(spark, sf):
+    """What is known of a collection, and the record about it."""
+    points = _collection(spark, sf)
+    info = points.info()
+    records = Collection(spark, new_path(spark, "records"), "key")
+    put_record(records, "anchor:points", info, 1)
+    put_record(records, "anchor:points", info, 1_700_000_000_000)
+    record = get_record(records, "anchor:points", "points_count long").select(F.col("points_count").alias("recorded"), "stamped_at")
+    return info.join(record).select("points_count", "version", "status", F.lit(points.exists()).alias("there"), "stamped_at", "recorded")
+
+
 @register("split_read", f"WITH {R._SPLIT} SELECT event_id FROM s WHERE split = 'val'")
 def split_read(spark, sf):
     """One split of three, read by its folder."""

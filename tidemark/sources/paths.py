@@ -19,24 +19,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder in the shared folder that nothing else uses; it goes with the session."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, store = file_system(spark, path)
+    store.mkdirs(where)
+    store.deleteOnExit(where)
+    return f"{path}/table"
 
 
-def _open(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """A path and the store that it is in, as Spark reaches them."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether there is a file or folder, in any store that Spark's file systems reach."""
-    where, store = _open(spark, path)
+    where, store = file_system(spark, path)
     return bool(store.exists(where))
 
 
 def head(spark: SparkSession, path: str, size: int = 4096) -> str:
     """The first bytes of a file, or of the first file of a folder, as text."""
-    where, store = _open(spark, path)
+    where, store = file_system(spark, path)
     if store.getFileStatus(where).isDirectory():
         files = [s.getPath() for s in store.listStatus(where) if s.getLen() and not s.getPath().getName().startswith(("_", "."))]
         if not files:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,16 +34,53 @@ def read_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tupl
     return good, parsed.where("j.__bad is not null").select("file", "value")
 
 
-def numbered_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """As ``read_json_rows``, with ``file`` and ``line``, counted from 1, of each row and each line that doesn't fit.
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """``file, line, value`` and the other columns of a text source, with lines counted from 1 in each file, empty ones too.
 
-    A file is read as one text, so this is for banks and reports, not for corpora.
+    Files are read in splits as any others, large ones by many tasks.  A split's lines
+    are numbered where they are; what comes before it is the sum of the counts of the
+    file's splits before it, of which there is a row a split.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    known = lines.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__id"))
+    splits = known.groupBy("file", "__from").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "__from", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    return known.join(splits, ["file", "__from"]).withColumn("line", F.col("__before") + F.col("__id") - F.col("__first") + 1).drop("__from", "__id", "__first", "__before")
+
+
+def _judged(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """Lines that hold something, with ``j``: their fields, and ``__bad`` if they are no such object."""
     wide = T.StructType([*schema.fields, T.StructField("__bad", T.StringType())])
-    parsed = files.where(F.trim("value") != "").withColumn("line", F.col("line") + 1).withColumn("j", F.from_json("value", wide, {"columnNameOfCorruptRecord": "__bad"}))
-    good = parsed.where("j.__bad is null").select("file", "line", *[F.col(f"j.{f.name}").alias(f.name) for f in schema.fields])
-    return good, parsed.where("j.__bad is not null").select("file", "line", "value")
+    return lines.where(F.trim("value") != "").withColumn("j", F.from_json("value", wide, {"columnNameOfCorruptRecord": "__bad"}))
+
+
+def numbered_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """As ``read_json_rows``, with ``file`` and ``line``, counted from 1, of each row and each line that doesn't fit."""
+    parsed = _judged(numbered_lines(spark.read.text(path)), schema)
+    rest = [c for c in parsed.columns if c not in ("value", "j", "file", "line")]  # columns of folders
+    good = parsed.where("j.__bad is null").select("file", "line", *rest, *[F.col(f"j.{f.name}").alias(f.name) for f in schema.fields])
+    return good, parsed.where("j.__bad is not null").select("file", "line", *rest, "value")
+
+
+def stream_json_rows(spark: SparkSession, path: str, schema: T.StructType, good: str, bad: str, progress: str, files_a_batch: int = 1000) -> None:
+    """JSON lines as they arrive as files under ``path``: rows to the table ``good``, the others with file and line to ``bad``.
+
+    A batch has whole files, so that lines can be numbered in it.  Ends when all files
+    there are have been read; begun again, with the same ``progress``, it goes on with
+    what is new.  Tables are Parquet, a folder a batch, which is written anew if a batch
+    is repeated.
+    """
+
+    def take(batch: DataFrame, number: int) -> None:
+        parsed = _judged(numbered_lines(batch), schema).persist()
+        rows = parsed.where("j.__bad is null").select("file", "line", *[F.col(f"j.{f.name}").alias(f.name) for f in schema.fields])
+        rows.write.mode("overwrite").parquet(f"{good}/batch={number}")
+        parsed.where("j.__bad is not null").select("file", "line", "value").write.mode("overwrite").parquet(f"{bad}/batch={number}")
+        parsed.unpersist()
+
+    lines = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path)
+    lines = lines.select("value", "_metadata")
+    lines.writeStream.foreachBatch(take).option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
 
 
 def require_json_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
