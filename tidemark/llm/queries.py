@@ -132,6 +132,16 @@ p AS (SELECT *, CASE WHEN taken > 0 THEN before / target END AS due, CASE WHEN (
 SELECT doc_id, size, source_size, target, taken, CASE WHEN e - a = 0 THEN due ELSE abs((sqrt(a * a + (e - a) * 2.0::DOUBLE * due * ((a + e) / 2)) - a) / (e - a)) END AS position FROM p
 """
 
+#: The same plan, a row a copy.
+_OP6_ORDER = (
+    _OP6[: _OP6.index("p AS (SELECT *, CASE WHEN taken > 0")].rstrip().rstrip(",")
+    + """,
+n AS (SELECT *, unnest(range(whole + CASE WHEN wanted - whole * source_size > before AND size > 0 THEN 1 ELSE 0 END)) AS copy, CASE WHEN (rank - 1) % 3 = 2 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS a, CASE WHEN (rank - 1) % 3 = 0 THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END AS e FROM k WHERE taken > 0),
+p AS (SELECT *, least((copy * source_size + before) / target, 1.0::DOUBLE) AS due FROM n)
+SELECT doc_id, CAST(copy AS INTEGER) AS copy, CAST(least(size, taken - copy * size) AS BIGINT) AS words, CASE WHEN e - a = 0 THEN due ELSE abs((sqrt(a * a + (e - a) * 2.0::DOUBLE * due * ((a + e) / 2)) - a) / (e - a)) END AS position FROM p
+"""
+)
+
 _OP7 = """
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
@@ -248,4 +258,4 @@ FROM n LEFT JOIN c ON c.r = n.r LEFT JOIN k a ON a.digest = n.text_digest LEFT J
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_duplicates": _OP1, "op3_license_scan": _op3(), "op6_curriculum_mix": _OP6, "op7_warc_round_trip": _OP7, "op12_sessions": _OP12, "op13_conversation_repair": _op13()}
+    return {"op1_near_duplicates": _OP1, "op3_license_scan": _op3(), "op6_curriculum_mix": _OP6, "op6_training_order": _OP6_ORDER, "op7_warc_round_trip": _OP7, "op12_sessions": _OP12, "op13_conversation_repair": _op13()}
