@@ -272,3 +272,29 @@ def test_media_round_trip(spark, docs, tmp_path):
     read = {r["id"]: r for r in gif.read_media(odd).collect()}
     assert read[1]["error"] is None and read[1]["frames"] is None and read[2]["error"] == "no GIF header"
     assert gif.frame_rows(gif.read_media(gif.store_texts(docs(rows)))).where("doc_id is null").count() == 4
+
+
+def test_archives_as_streams(spark, tmp_path, monkeypatch):
+    """Payloads full of record ends, archives of several members, cut-off and plain ones, all in one folder; few large archives or many small."""
+    import gzip
+
+    from tidemark.llm import warc
+
+    pages = [(i, f"http://h/{i}", ("\r\n\r\nWARC/1.1\r\n\r\n" * 30 + f"é{i}") if i % 3 else "") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for small in (1 << 12, 1 << 24):
+        monkeypatch.setattr(warc, "SMALL_BYTES", small)
+        path = str(tmp_path / f"a{small}")
+        warc.write_archives(warc.plan_records(df), path)
+        got = warc.read_archives(spark, path).where("type = 'response'").collect()
+        assert sorted(bytes(r["payload"]).decode() for r in got) == sorted(p[2] for p in pages)
+        assert len(list((tmp_path / f"a{small}").glob("*.gz"))) == (1 if small > 1 << 20 else 9)
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "many.warc.gz").write_bytes(gzip.compress(record(1, "a\r\n\r\nb")) + gzip.compress(record(2, "c")))
+    (folder / "cut.warc.gz").write_bytes(gzip.compress(record(3, "d") + record(4, "e" * 5000)[:200]))
+    (folder / "plain.warc").write_bytes(record(5, "\r\n\r\n") + record(6, "x"))
+    got = {r["record_id"]: bytes(r["payload"]) for r in warc.read_archives(spark, str(folder)).collect()}
+    assert got == {"<1>": b"a\r\n\r\nb", "<2>": b"c", "<3>": b"d", "<5>": b"\r\n\r\n", "<6>": b"x"}
+    assert [(r["records"], r["damage"]) for r in warc.damaged_archives(spark, str(folder)).collect()] == [(1, "record cut off")]

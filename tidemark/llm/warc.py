@@ -7,14 +7,16 @@ capture.
 
 Archives are written by Spark's own text writer, one record a row with the records'
 closing line breaks as line separator, so that they go through Spark's committers to
-any store it can reach.  They are read as binary files and cut by ``Content-Length``,
-never at line breaks, so that payloads may hold anything.
+any store it can reach.  They are read as a stream, by Spark's text reader with the same
+separator, whose pieces are put together again and cut by ``Content-Length``, never at
+line breaks, so that payloads may hold anything and no archive is held whole.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,8 +26,8 @@ from tidemark.llm.storage import materialize, new_path
 
 RECORD_END = "\r\n\r\n"
 NL = "\r\n"
-#: Bytes of records that an archive is planned to hold before compression.
-FILE_BYTES = 16 << 20
+#: Bytes of records, before compression, that an archive holds at least while there are fewer archives than tasks of a shuffle, and at most.
+SMALL_BYTES, FILE_BYTES = 16 << 20, 1 << 30
 CUT = 1 << 20
 
 RECORD_SCHEMA = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, content_type string, header map<string,string>, http_header string, payload binary"
@@ -57,7 +59,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     revisits = materialize(revisits.select(F.concat_ws("|", F.col("id").cast("string"), "digest").alias("__key"), F.col("first_id").alias("refers_id")), "revisits")
     # payloads are dealt once, over as many files as their bytes need, and stay there for the join and for the archives
     total = narrow.agg(F.sum(F.col("bytes") + 1000)).first()[0] or 0
-    files = int(total // FILE_BYTES) + 1
+    few = min(int(total // SMALL_BYTES), 2 * int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    files = max(int(total // FILE_BYTES), few) + 1
     dealt = rows.withColumn("__key", F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("-")), "digest")).repartition(files, "__key")
     joined = dealt.join(revisits.repartition(files, "__key"), "__key", "left").drop("__key")
     kind = F.when(F.col("refers_id").isNotNull(), "revisit").otherwise("response")
@@ -100,13 +103,19 @@ def write_archives(captures: DataFrame, path: str, date: str = "2020-01-01T00:00
 
 
 def parse_records(data: bytes, damage: list[str] | None = None) -> Iterator[tuple]:
-    """The records of one archive (gzipped or not, of one member or many), as rows of ``RECORD_SCHEMA``.
+    """The records of one archive (gzipped or not, of one member or many), as ``parse_stream`` gives them."""
+    damage = [] if damage is None else damage
+    return parse_stream(_inflate(data, damage), damage)
+
+
+def parse_stream(feed: Iterator[bytes], damage: list[str] | None = None) -> Iterator[tuple]:
+    """The records of one archive that comes in pieces, as rows of ``RECORD_SCHEMA``; a record at a time is held.
 
     A damaged or cut-off record ends the archive: what stands before it is returned, and
     what is wrong is added to ``damage``.
     """
     damage = [] if damage is None else damage
-    buffer, feed = bytearray(), _inflate(data, damage)
+    buffer = bytearray()
     at = 0
 
     def more() -> bool:
@@ -174,23 +183,37 @@ def _inflate(data: bytes, damage: list[str]) -> Iterator[bytes]:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under ``path``; one task reads a file at a time, record by record."""
+    """Every record of the archives under ``path``, read record by record.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split(" ")[0] for f in RECORD_SCHEMA.split(", ")]
+    Gzipped archives (``.gz``) are streams, of any size; others, which Spark would cut
+    anywhere, are read a file at a time.
+    """
+    names = [f.split(" ")[0] for f in RECORD_SCHEMA.split(", ")]
+
+    def frames(records: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for row in records:
+            rows.append(row)
+            size += len(row[-1])
+            if size > 4 * CUT:
+                yield pd.DataFrame(rows, columns=names)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = (row for batch in batches for row in zip(batch["file"], batch["piece"], strict=True))
+        for _, own in groupby(pieces, key=lambda row: row[0]):
+            yield from frames(parse_stream(piece + RECORD_END.encode() for _, piece in own))
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                rows, size = [], 0
-                for row in parse_records(content):
-                    rows.append(row)
-                    size += len(row[-1])
-                    if size > 4 * CUT:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows, size = [], 0
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD_SCHEMA)
+                yield from frames(parse_records(content))
+
+    zipped = spark.read.option("lineSep", RECORD_END).option("ignoreCorruptFiles", True).option("pathGlobFilter", "*.gz").text(path)
+    zipped = zipped.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece")).mapInPandas(streams, RECORD_SCHEMA)
+    return zipped.unionByName(spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select("content").mapInPandas(files, RECORD_SCHEMA))
 
 
 def damaged_archives(spark: SparkSession, path: str) -> DataFrame:
