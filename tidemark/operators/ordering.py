@@ -23,14 +23,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def _full_order(rows: DataFrame, order: list[Column | str]) -> list[Column]:
-    """The order, with the rows' other columns behind it, so that equal keys don't have to share a part."""
+    """The order, with a digest of the row's other columns behind it, so that equal keys don't have to share a part and reruns agree."""
     named = {c for c in order if isinstance(c, str)}
     rest = [c for c, t in rows.dtypes if c not in named and "map<" not in t and t != "variant"]
-    return [F.col(c) if isinstance(c, str) else c for c in order] + [F.col(c) for c in rest]
+    return [F.col(c) if isinstance(c, str) else c for c in order] + ([F.xxhash64(*rest)] if rest else [])
 
 
 def placed(rows: DataFrame, order: list[Column | str], name: str = "place") -> DataFrame:
-    """``rows`` with their place in ``order``, from 1.  Nulls come where the order puts them; ties are in the order of the other columns."""
+    """``rows`` with their place in ``order``, from 1.  Nulls come where the order puts them; ties are in the order of a digest of the other columns."""
     return running(rows.withColumn("__one", F.lit(1)), order, "__one", name).withColumn(name, F.col(name) + 1).drop("__one")
 
 
