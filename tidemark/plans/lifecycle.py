@@ -155,7 +155,7 @@ def bundle_inventory(spark, sf):
     return cases.inventory_problems(bundles, outcomes, "s", ("product", "kind"))
 
 
-_CL = "cl AS (SELECT doc_id AS explanation_id, round(('0x' || md5(doc_id || '/' || i)[1:8])::UBIGINT::DOUBLE / 4294967295.0::DOUBLE, 6) AS score FROM documents, (SELECT unnest(range(0, 3)) AS i) WHERE doc_id % 4 <> 0)"
+_CL = "cl AS (SELECT doc_id AS explanation_id, round(('0x' || md5(doc_id || '/' || i)[1:8])::UBIGINT::DOUBLE / 4294967295.0::DOUBLE, 6) AS score FROM (SELECT doc_id, unnest(range(0, doc_id % 4)) AS i FROM documents))"
 _MM = f"""{R._SCORED}, {_CL}, ex AS (SELECT sc.doc_id AS explanation_id, sc.explanation, sc.score, x.text FROM sc JOIN x ON x.doc_id = sc.doc_id), qz AS (SELECT explanation_id, text, {R._QUOTES} AS quotes FROM ex),
 qf AS (SELECT explanation_id, CAST(len(list_filter(quotes, lambda y: {R._IN})) AS BIGINT) AS found, CAST(len(quotes) AS BIGINT) AS n FROM qz), cp AS (SELECT explanation_id, count(*) AS n, count(*) FILTER (score >= 0.5) AS p, sum(score) AS s, min(score) AS lo FROM cl GROUP BY explanation_id),
 mm AS (SELECT ex.explanation_id, ex.explanation, ex.score, qf.found, qf.n AS quotes, coalesce(cp.n, 1) AS n, coalesce(cp.p, (ex.score >= 0.5)::INT) AS p, coalesce(cp.s, ex.score) AS s, coalesce(cp.lo, ex.score) AS lo FROM ex JOIN qf USING (explanation_id) LEFT JOIN cp USING (explanation_id))"""
@@ -163,7 +163,9 @@ _MMS = "count(*) AS samples, CAST(sum(found) AS BIGINT) AS quotes_found, CAST(su
 
 
 def _claims(spark, sf):
-    d = table(spark, sf, "documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("explanation_id"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    """None to three claims of each explanation."""
+    n = F.col("doc_id") % 4
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("explanation_id"), F.posexplode(F.array_repeat(F.lit(1), n.cast("int"))).alias("i", "one"))
     share = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("explanation_id").cast("string"), F.col("i").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967295.0
     return d.select("explanation_id", F.round(share, 6).alias("score"))
 

@@ -715,7 +715,10 @@ def leakage_pairs(spark, sf):
     return _leaks(spark, sf)
 
 
-@register("leakage_risk", f"WITH {_pairs_sql(_SHORT, _BENCH, 'TRUE')}, s AS (SELECT count(*) FILTER (severity = 'exact_duplicate') AS exact, count(*) FILTER (severity = 'high_confidence_near_duplicate') AS near, count(*) FILTER (severity = 'semantic_watchlist') AS watch, count(DISTINCT right_id) FILTER (severity = 'semantic_watchlist') AS watch_right FROM v) SELECT *, CASE WHEN exact > 0 OR near >= 10 THEN 'high' WHEN near > 0 OR watch_right >= 20 THEN 'moderate' ELSE 'low' END AS risk_level FROM s")
+_RISK = "s AS (SELECT count(*) FILTER (severity = 'exact_duplicate') AS exact, count(*) FILTER (severity = 'high_confidence_near_duplicate') AS near, count(*) FILTER (severity = 'semantic_watchlist') AS watch, count(DISTINCT right_id) FILTER (severity = 'semantic_watchlist') AS watch_right FROM v) SELECT *, CASE WHEN exact > 0 OR near >= 10 THEN 'high' WHEN near > 0 OR watch_right >= 20 THEN 'moderate' ELSE 'low' END AS risk_level FROM s"
+
+
+@register("leakage_risk", f"WITH {_pairs_sql(_SHORT, _BENCH, 'TRUE')}, {_RISK}")
 def leakage_risk(spark, sf):
     return leakage.leakage_risk(_leaks(spark, sf))
 
@@ -734,7 +737,10 @@ def paraphrase_components(spark, sf):
     return _components(spark, sf)
 
 
-@register("component_keys", f"WITH RECURSIVE {_pairs_sql(_SHORT, _SHORT, 'a.id < b.id')}, {_STRONG}, l AS (SELECT component, count(*) AS members, sha256(string_agg(a.norm || chr(9) || a.id, chr(10) ORDER BY a.norm || chr(9) || a.id)) AS assignment_key FROM k JOIN a USING (id) GROUP BY component) SELECT component, members, 'qpc_' || assignment_key[1:16] AS component_id, assignment_key FROM l")
+_KEYS = "l AS (SELECT component, count(*) AS members, sha256(string_agg(a.norm || chr(9) || a.id, chr(10) ORDER BY a.norm || chr(9) || a.id)) AS assignment_key FROM k JOIN a USING (id) GROUP BY component) SELECT component, members, 'qpc_' || assignment_key[1:16] AS component_id, assignment_key FROM l"
+
+
+@register("component_keys", f"WITH RECURSIVE {_pairs_sql(_SHORT, _SHORT, 'a.id < b.id')}, {_STRONG}, {_KEYS}")
 def component_keys(spark, sf):
     rows, _ = _surface(spark, sf)
     return leakage.component_keys(_components(spark, sf), rows.select("id", T.squeeze(F.lower("text")).alias("norm")))
@@ -746,13 +752,16 @@ def _conversations(spark, sf):
     return c, table(spark, sf, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text").unionByName(c)
 
 
-# no SQL for these: a join of all shared trigrams of long texts does not end in useful time; tests compare with brute force
-@register("conversation_leakage_pairs")
+_TURNS = "SELECT conv_id * 100 + turn AS id, text FROM conversations"
+_TURNS_TOO = f"SELECT -1 - item_id AS id, text FROM benchmark UNION ALL {_TURNS}"
+
+
+@register("conversation_leakage_pairs", f"WITH {_pairs_sql(_TURNS, _TURNS_TOO, 'TRUE')} SELECT * FROM v")
 def conversation_leakage_pairs(spark, sf):
     return leakage.flagged_pairs(*_conversations(spark, sf), "id", "id")
 
 
-@register("conversation_leakage_risk")
+@register("conversation_leakage_risk", f"WITH {_pairs_sql(_TURNS, _TURNS_TOO, 'TRUE')}, {_RISK}")
 def conversation_leakage_risk(spark, sf):
     return leakage.class_risk(*leakage.flagged_classes(*_conversations(spark, sf), "id", "id"))
 
@@ -763,12 +772,12 @@ def _conversation_components(spark, sf):
     return leakage.components(rows, leakage.class_links(judged, members))
 
 
-@register("conversation_components")
+@register("conversation_components", f"WITH RECURSIVE {_pairs_sql(_TURNS, _TURNS, 'a.id < b.id')}, {_STRONG} SELECT id, component FROM k")
 def conversation_components(spark, sf):
     return _conversation_components(spark, sf)
 
 
-@register("conversation_component_keys")
+@register("conversation_component_keys", f"WITH RECURSIVE {_pairs_sql(_TURNS, _TURNS, 'a.id < b.id')}, {_STRONG}, {_KEYS}")
 def conversation_component_keys(spark, sf):
     rows, _ = _conversations(spark, sf)
     return leakage.component_keys(_conversation_components(spark, sf), rows.select("id", T.squeeze(F.lower("text")).alias("norm")))

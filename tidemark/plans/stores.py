@@ -55,6 +55,19 @@ def source_stream_rows(spark, sf):
     return spark.read.parquet(f"{path}/good").select("doc_id", "lang", "line")
 
 
+@register("source_reviews", "SELECT 'text ' || event_id AS text, CASE WHEN event_id % 9 <> 0 THEN CAST(1 + event_id % 5 AS DOUBLE) END AS rating, 'u' || user_id AS user_id, 'p' || (event_id % 40) AS parent_asin, epoch_ms(ts) AS timestamp, event_id % 3 = 0 AS verified_purchase FROM events WHERE event_id % 50 <> 7")
+def source_reviews(spark, sf):
+    """Reviews as JSON lines, some of which break off."""
+    path, i = new_path(spark, "reviews"), F.col("event_id")
+    row = F.struct(
+        F.concat(F.lit("text "), i.cast("string")).alias("text"), F.when(i % 9 != 0, (1 + i % 5).cast("double")).alias("rating"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id"), F.concat(F.lit("p"), (i % 40).cast("string")).alias("parent_asin"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), (i % 3 == 0).alias("verified_purchase"),
+    )
+    line = F.when(i % 50 == 7, F.substring(F.to_json(row), 1, 20)).otherwise(F.to_json(row))
+    table(spark, sf, "events").select(line.alias("value")).write.text(path)
+    return readers.read_reviews(spark, path)
+
+
 @register("source_delimited", "SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CAST(NULL AS VARCHAR) AS colour FROM part")
 def source_delimited(spark, sf):
     """A table whose file says nothing of its delimiter, columns by other names, one that isn't there."""
