@@ -779,7 +779,7 @@ def distinct_roles(spark, sf):
     return turns.select("conv_id", F.array_join(querybank.unique_or_error(F.col("t"), "turn"), ",").alias("turns"))
 
 
-@register("frozen_ages", "WITH m AS (SELECT epoch_ms(max(ts)) AS t FROM events WHERE event_type = 'purchase') SELECT event_id, floor((t - epoch_ms(ts)) / 86400000.0)::BIGINT AS days FROM events, m")
+@register("frozen_ages", "WITH m AS (SELECT epoch_us(max(ts)) // 1000 AS t FROM events WHERE event_type = 'purchase') SELECT event_id, floor((t - epoch_us(ts) // 1000) / 86400000.0)::BIGINT AS days FROM events, m")
 def frozen_ages(spark, sf):
     """Ages counted back from the time at which a manifest was frozen, that of the last purchase."""
     e = table(spark, sf, "events").select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))

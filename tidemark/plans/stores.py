@@ -55,7 +55,7 @@ def source_stream_rows(spark, sf):
     return spark.read.parquet(f"{path}/good").select("doc_id", "lang", "line")
 
 
-@register("source_reviews", "SELECT 'text ' || event_id AS text, CASE WHEN event_id % 9 <> 0 THEN CAST(1 + event_id % 5 AS DOUBLE) END AS rating, 'u' || user_id AS user_id, 'p' || (event_id % 40) AS parent_asin, epoch_ms(ts) AS timestamp, event_id % 3 = 0 AS verified_purchase FROM events WHERE event_id % 50 <> 7")
+@register("source_reviews", "SELECT 'text ' || event_id AS text, CASE WHEN event_id % 9 <> 0 THEN CAST(1 + event_id % 5 AS DOUBLE) END AS rating, 'u' || user_id AS user_id, 'p' || (event_id % 40) AS parent_asin, epoch_us(ts) // 1000 AS timestamp, event_id % 3 = 0 AS verified_purchase FROM events WHERE event_id % 50 <> 7")
 def source_reviews(spark, sf):
     """Reviews as JSON lines, some of which break off."""
     path, i = new_path(spark, "reviews"), F.col("event_id")
