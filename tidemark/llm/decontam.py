@@ -64,6 +64,10 @@ class Canonical:
         self._read(self.FIRST)
         self.power = np.cumprod(np.full(1 << 12, U64(0x9E3779B97F4A7C15)))
         self.numbers, self.units, self.plain = self._hashes(NUMBERS), self._hashes(UNITS), self._hashes(NEVER_NAMES)
+        # by their last 16 bits, the words that may be in one of the lists
+        self.listed = np.zeros(1 << 16, bool)
+        for known in (self.numbers, self.units, self.plain):
+            self.listed[(known & U64(0xFFFF)).astype(np.int64)] = True
         self.slots = mix64(np.arange(1, 5, dtype=np.uint64) * U64(0xA24BAED4963EE407))
 
     def _read(self, until: int) -> None:
@@ -74,6 +78,8 @@ class Canonical:
         self.lower = np.append(self.lower, np.array([ord(c.lower()) if len(c.lower()) == 1 else i for i, c in enumerate(chars, at)], np.int64))
         self.upper = np.append(self.upper, np.array([c.isupper() for c in chars]))
         self.code = mix64(np.arange(until, dtype=np.uint64) + U64(0x51ED27)) | U64(1)
+        self.end = np.zeros(until, bool)
+        self.end[list(ENDS)] = True
 
     def _hashes(self, words: str) -> np.ndarray:
         return np.sort(np.array([self._raw(w)[0][0] for w in words.split()], np.uint64))
@@ -96,19 +102,19 @@ class Canonical:
         change = np.flatnonzero(np.diff(kind, prepend=255))
         first = change[kind[change] > 0]
         if not len(first):
-            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool), fresh or bool(np.isin(codes, ENDS).any())
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool), fresh or bool(self.end[codes].any())
         bounds = np.append(change, len(codes))
         last = bounds[np.searchsorted(bounds, first, "right")]
         length = last - first
         if length.max() > len(self.power):
             self.power = np.cumprod(np.full(int(length.max()), self.power[0]))
         place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length - first, length)
+        at = place + np.repeat(first, length)
         values = self.code[self.lower[codes[at]]] * self.power[place]
         h = mix64(np.add.reduceat(values, np.cumsum(length) - length) + length.astype(np.uint64))
         second = np.minimum(first + 1, len(codes) - 1)
         title = self.upper[codes[first]] & (length > 1) & ~self.upper[codes[second]]
-        ends = np.cumsum(np.isin(codes, ENDS))
+        ends = np.cumsum(self.end[codes])
         opens = np.empty(len(first), bool)
         opens[0] = fresh or ends[first[0]] > 0
         opens[1:] = ends[first[1:]] > ends[last[:-1] - 1]
@@ -129,12 +135,19 @@ class Canonical:
         h, cls, title, opens = (np.concatenate([p[k] for p in parts]) for k in range(4))
         if not len(h):
             return empty
+        few = np.flatnonzero(self.listed[(h & U64(0xFFFF)).astype(np.int64)])
+
+        def among(known: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(h), bool)
+            out[few] = _among(h[few], known)
+            return out
+
         kind = np.full(len(h), WORD)
-        kind[(cls == 2) | _among(h, self.numbers)] = NUMBER
-        kind[(cls == 1) & title & ~opens & (kind == WORD) & ~_among(h, self.plain)] = NAME
+        kind[(cls == 2) | among(self.numbers)] = NUMBER
+        kind[(cls == 1) & title & ~opens & (kind == WORD) & ~among(self.plain)] = NAME
         after = np.zeros(len(h), bool)
         after[1:] = kind[:-1] == NUMBER
-        kind[after & _among(h, self.units)] = UNIT
+        kind[after & among(self.units)] = UNIT
         # a run of names is one
         goes_on = np.zeros(len(h), bool)
         goes_on[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
