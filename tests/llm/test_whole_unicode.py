@@ -5,8 +5,8 @@ import os
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontam, mixing
-from tidemark.llm.storage import by_keys, materialize, shared_dir, spare
+from tidemark.llm import decontam, mixing, storage
+from tidemark.llm.storage import by_keys, materialize, spare
 
 
 def test_letters_of_all_planes(spark):
@@ -42,8 +42,6 @@ def test_filter_in_segments(spark, monkeypatch):
 
 
 def test_keys_few_and_many(spark, monkeypatch):
-    from tidemark.llm import storage
-
     rows, keys = spark.range(100).withColumnRenamed("id", "k"), spark.range(0, 100, 3).withColumnRenamed("id", "k")
     want = {how: sorted(r[0] for r in by_keys(rows, keys, "k", how).collect()) for how in ("left_semi", "left_anti")}
     monkeypatch.setattr(storage, "BROADCAST_KEYS", 3)
@@ -66,14 +64,14 @@ def test_columns_of_the_caller_stay(spark, tmp_path):
     assert spare(["Score", "_score"], "score", "x") == ["__score", "x"]
 
 
-def test_run_leaves_its_result_only(spark, tmp_path):
+def test_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i, f"The day was fine and the road was long {i % 7} " * 20, "en", "s") for i in range(40)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "nothing of the kind stands anywhere in these few documents at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    folder = shared_dir(spark).removeprefix("file:")
-    before = set(os.listdir(folder))
+    made, new_path = [], storage.new_path
+    monkeypatch.setattr(storage, "new_path", lambda *a, **k: made.append(new_path(*a, **k)) or made[-1])
     result = corpus_pipeline.run(spark, str(tmp_path))
-    left = {x for x in set(os.listdir(folder)) - before if not x.startswith(".")}
-    assert len(left) == 1 and result.count() > 0
+    left = [p for p in made if os.path.exists(p.removeprefix("file:"))]
+    assert len(made) > 10 and len(left) == 1 and result.count() > 0
     one = materialize(spark.range(3), "one")
     assert one.count() == 3
