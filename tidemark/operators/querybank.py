@@ -214,8 +214,8 @@ def manifest(bank: DataFrame, anchor: DataFrame, risk: DataFrame | None = None)
 
 
 def corpus_anchor(rows: DataFrame, product: str = "product_id") -> DataFrame:
-    """Number of products and a fingerprint of the trimmed, distinct ids: the root of their Merkle tree."""
-    return root(merkle_tree(rows, product)).select(F.col("n").alias("products"), "fingerprint")
+    """Number of products, null for none, and a fingerprint of the trimmed, distinct ids: the root of their Merkle tree."""
+    return root(merkle_tree(rows, product)).select(F.nullif(F.col("n"), F.lit(0)).alias("products"), "fingerprint")
 
 
 def duplicate_ids(bank: DataFrame, key: str = "query_id") -> DataFrame:
