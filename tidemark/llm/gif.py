@@ -317,7 +317,8 @@ def store_texts(docs: DataFrame, text_col: str = "text", media_col: str = "media
 
     A null text is stored as an empty one, which is one row of spaces.  Equal texts
     give equal bytes.  Columns of the new names are replaced.  Without ``compress``
-    the codes are left uncompressed, which is faster and takes more room.
+    the codes are left uncompressed, which is faster and takes more room.  Rows that repeat
+    are stored one by one, an empty table gives none; other columns stay as they are.
     """
 
     @F.pandas_udf("n_bytes long, media binary")
@@ -345,7 +346,8 @@ def read_media(rows: DataFrame, media_col: str = "media", with_payload: bool = T
     are no GIF, or a damaged one, give the frames before the damage, a null payload and
     the reason in ``error``; null media give null frames and no error.  Screens and frames
     of more than ``max_pixels`` are an error.  Columns of the three names are replaced.
-    What is read leaves the worker in parts of bounded size.
+    What is read leaves the worker in parts of bounded size.  Rows that repeat are read one
+    by one, an empty table gives none.
     """
     fields = [f.split(" ")[0] for f in FRAME.split(", ")]
     frame_type = ", ".join(f"{n}: {t}" for n, t in (f.split(" ", 1) for f in FRAME.split(", ")))
@@ -382,6 +384,10 @@ def _read_one(data: bytes | None, fields: list[str], with_payload: bool, max_pix
 
 
 def frame_rows(media: DataFrame) -> DataFrame:
-    """One row a frame of ``read_media``'s rows: their other columns and the frame's fields."""
+    """One row a frame of ``read_media``'s rows: their other columns and the frame's fields.
+
+    Null media, and those damaged before their first frame, have no row; rows that repeat
+    have theirs each; an empty table gives none.
+    """
     keep = [c for c in media.columns if c not in ("frames", "payload", "error")]
     return media.select(*keep, F.explode("frames").alias("f")).select(*keep, "f.*")

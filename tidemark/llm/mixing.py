@@ -43,6 +43,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     size, and what is above is shared again by weight until none is above.  That is one
     level ``l`` with ``target = min(cap * size, l * weight)``, found from running sums of
     the sources in order of ``size / weight``.  Sources without a word have target 0.
+    All sources are ordered in one task, a row each: some millions of them at most.
     """
     # a row a source: the windows below are over those, not over documents
     by_name = Window.partitionBy("__part").orderBy(F.col("source").isNull(), F.col("source"))

@@ -98,7 +98,12 @@ def length_histogram(lengths: DataFrame, name: str = "n_tokens") -> DataFrame:
 
 
 def context_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """``limit, docs_over, total, truncated_total``: exact answers for any limits, from the histogram."""
+    """``limit, docs_over, total, truncated_total``: exact answers for any limits, from the histogram.
+
+    A document of just the limit's length is not over it.  A limit that is named twice has
+    two rows; an empty histogram gives zeros, no limits no rows.  Null lengths, which
+    ``length_histogram`` has none of, are over no limit.
+    """
     spark: SparkSession = histogram.sparkSession
     asked = spark.createDataFrame([(int(v),) for v in limits], "limit long")
     over = F.col("n_tokens") > F.col("limit")
@@ -109,7 +114,11 @@ def context_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def quantile_lengths(histogram: DataFrame, shares: list[float]) -> DataFrame:
-    """``share, n_tokens``: the length of the document at place ``ceil(share * documents)``, at least the first."""
+    """``share, n_tokens``: the length of the document at place ``ceil(share * documents)``, at least the first.
+
+    Documents of equal length share their places.  A share that is named twice has two
+    rows, one over 1 none; an empty histogram gives no rows.
+    """
     total = histogram.agg(F.max("rank_to").alias("all"))
     asked = histogram.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
     places = asked.join(F.broadcast(total), F.lit(True)).withColumn("place", F.greatest(F.ceil(F.col("share") * F.col("all")), F.lit(1)))
