@@ -55,3 +55,12 @@ def test_mix_with_clashing_columns(spark):
     a = sorted(map(str, mixing.plan_mix(docs).collect()))
     assert a == sorted(map(str, mixing.plan_mix(docs.repartition(3)).collect())) and len(a) == 3
     assert mixing.plan_mix(docs).columns[:3] == ["doc_id", "text", "source"]
+
+
+def test_limits_and_shares_named_twice(spark):
+    h = spark.createDataFrame([(2, 3, 6, 1, 3), (5, 1, 5, 4, 4)], "n_tokens long, docs long, tokens long, rank_from long, rank_to long")
+    assert sorted(map(tuple, tokens.context_limits(h, [2, 2, 1]).collect())) == [(1, 4, 11, 4), (2, 1, 11, 8), (2, 1, 11, 8)]
+    assert sorted(map(tuple, tokens.quantile_lengths(h, [0.75, 0.75, 0.76, 1.5]).collect())) == [(0.75, 2), (0.75, 2), (0.76, 5)]
+    none = h.limit(0)
+    assert sorted(map(tuple, tokens.context_limits(none, [3]).collect())) == [(3, 0, 0, 0)] and tokens.quantile_lengths(none, [0.5]).count() == 0
+    assert tokens.context_limits(h, []).count() == 0

@@ -108,7 +108,7 @@ def context_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
     asked = spark.createDataFrame([(int(v),) for v in limits], "limit long")
     over = F.col("n_tokens") > F.col("limit")
     # the limits are a stated list; the histogram is combined into one row a limit
-    joined = histogram.select("n_tokens", "docs", "tokens", F.explode(F.array(*[F.lit(int(v)).cast("long") for v in limits])).alias("limit")) if limits else histogram.limit(0).withColumn("limit", F.lit(0).cast("long"))
+    joined = histogram.select("n_tokens", "docs", "tokens", F.explode(F.array(*[F.lit(v).cast("long") for v in sorted({int(v) for v in limits})])).alias("limit")) if limits else histogram.limit(0).withColumn("limit", F.lit(0).cast("long"))
     sums = joined.groupBy("limit").agg(F.sum(F.when(over, F.col("docs")).otherwise(0)).alias("docs_over"), F.sum("tokens").alias("total"), F.sum(F.when(over, F.col("limit") * F.col("docs")).otherwise(F.col("tokens"))).alias("truncated_total"))
     return asked.join(sums, "limit", "left").na.fill(0)
 
