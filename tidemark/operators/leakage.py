@@ -51,13 +51,14 @@ def _cells(rows: DataFrame, column: str, order: DataFrame, threshold: float) ->
     elements are in only one of two sets.
     """
     bit = lambda i: F.when(F.pmod("e", F.lit(_SKETCH)) == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright("e", 4), F.lit(64)).cast("int"))).otherwise(F.lit(0).cast("long"))
-    cells = rows.select("id", F.size(column).alias("n"), F.explode(column).alias("e"))
-    sketch = cells.groupBy("id").agg(*[F.bit_xor(bit(i)).alias(f"b{i}") for i in range(_SKETCH)])
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))  # a set at a time
+    cells = rows.select("id", F.size(column).alias("n"), F.explode(column).alias("e")).join(order, "e")
+    of = Window.partitionBy("id")  # a set at a time
+    place = F.row_number().over(of.orderBy("df", "e"))
+    sketch = [F.bit_xor(bit(i)).over(of).alias(f"b{i}") for i in range(_SKETCH)]
     n = F.col("n")
-    kept = cells.join(order, "e").withColumn("place", place).where(F.col("place") <= n - F.ceil(threshold * n) + 1)
+    kept = cells.select("id", "n", "e", place.alias("place"), *sketch).where(F.col("place") <= n - F.ceil(threshold * n) + 1)
     band = F.floor(F.log(n) / -math.log(threshold) + 1e-9)
-    return kept.join(sketch, "id").select("id", "n", "e", "place", (F.col("place") <= n - F.ceil(2 * threshold / (1 + threshold) * n) + 1).alias("few"), band.alias("band"), *[f"b{i}" for i in range(_SKETCH)])
+    return kept.select("id", "n", "e", "place", (F.col("place") <= n - F.ceil(2 * threshold / (1 + threshold) * n) + 1).alias("few"), band.alias("band"), *[f"b{i}" for i in range(_SKETCH)])
 
 
 def _meet(larger: DataFrame, smaller: DataFrame, threshold: float, on: Column) -> DataFrame:
