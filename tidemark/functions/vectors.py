@@ -15,6 +15,17 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(as_doubles(a), as_doubles(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a times b plus c in double precision, rounded once: the product's and the sum's errors are carried along."""
+    split = lambda x: x * 134217729.0 - (x * 134217729.0 - x)  # noqa: E731 - the upper half of the digits
+    high_a, high_b, p = split(a), split(b), a * b
+    low_a, low_b = a - high_a, b - high_b
+    lost = ((high_a * high_b - p) + high_a * low_b + low_a * high_b) + low_a * low_b
+    s = p + c
+    back = s - p
+    return s + (((p - (s - back)) + (c - back)) + lost)
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(as_doubles(v), F.lit(0.0), lambda s, x: s + x * x))
 
