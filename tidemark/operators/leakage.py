@@ -6,11 +6,13 @@ import hashlib
 import math
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import jaccard, squeeze, token_set, trigram_set
+from tidemark.functions.text import jaccard, squeeze, token_set
 from tidemark.functions.vectors import hash_fraction, item_coverage, subset_tag
 from tidemark.operators.ordering import ensure_checkpoint_dir
 
@@ -18,13 +20,30 @@ from tidemark.operators.ordering import ensure_checkpoint_dir
 COSINE, TOKEN, TRIGRAM, ITEMS = (0.96, 0.93), (0.75, 0.60), (0.72, 0.68), (0.50, 0.34)
 
 
+def _trigram_codes(norm: Column) -> Column:
+    """The trigrams of ``trigram_set`` as numbers, one for each three code points, from a text in lower case with single spaces."""
+
+    @F.pandas_udf("array<long>")
+    def codes(texts: pd.Series) -> pd.Series:
+        def of(t: str | None) -> np.ndarray | None:
+            if not t:
+                return None if t is None else np.empty(0, np.int64)
+            c = np.frombuffer(f"  {t}  ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            return np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:])
+
+        return pd.Series([of(t) for t in texts], dtype=object)
+
+    return codes(norm)
+
+
 def _prepared(rows: DataFrame, id_col: str, text_col: str, items: str | None, by_id: bool) -> DataFrame:
     """Sets of each row, and its class: rows of one class have equal texts and items, so that one stands for all."""
     t = F.col(text_col)
     kept = F.col(items) if items else F.lit(None).cast("array<string>")
     # 64-bit hashes of the elements: smaller to shuffle than strings, and faster to intersect
     hashed = lambda s: F.transform(s, lambda x: F.xxhash64(x))
-    out = rows.select(F.col(id_col).alias("id"), squeeze(F.lower(t)).alias("norm"), hashed(token_set(t)).alias("tokens"), hashed(trigram_set(t)).alias("grams"), F.coalesce(kept, F.array().cast("array<string>")).alias("items"))
+    norm = squeeze(F.lower(t))
+    out = rows.select(F.col(id_col).alias("id"), norm.alias("norm"), hashed(token_set(t)).alias("tokens"), _trigram_codes(norm).alias("grams"), F.coalesce(kept, F.array().cast("array<string>")).alias("items"))
     # vectors belong to ids, not to texts
     own = [F.col("id").cast("string").alias("i")] if by_id else []
     return out.withColumn("class", F.unhex(F.md5(F.to_json(F.struct("norm", F.array_sort("items").alias("items"), *own)).cast("binary"))))
@@ -92,7 +111,90 @@ def _candidates(left: DataFrame, right: DataFrame, column: str, threshold: float
     return one.unionByName(other).distinct()
 
 
-def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+#: Bits of a row's sketches of tokens and of trigrams, rows of a group at most, groups that even few rows are dealt into, and rows compared at a time.
+_BITS, _GROUP, _GROUPS, _TILE = {"tokens": 512, "grams": 1024}, 16_384, 8, 1024
+
+
+def _sketched(rows: DataFrame, groups: int) -> DataFrame:
+    """``id``, its group, and for either set its size and a sketch: for each bit whether an odd number of elements fall on it."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [batch.column("id"), batch.column("g")]
+            for column, bits in _BITS.items():
+                sets, packed, sizes = batch.column(column), [], []
+                for i in range(len(sets)):
+                    e = np.asarray(sets[i].values).astype(np.uint64) if sets[i].is_valid else np.empty(0, np.uint64)
+                    # multiplied, so that all of an element's bits have a say
+                    at = (e * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
+                    packed.append(np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
+                    sizes.append(len(e))
+                out += [pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=["id", "g", "tokens_n", "tokens", "grams_n", "grams"])
+
+    dealt = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "tokens", "grams")
+    return dealt.mapInArrow(sketch, "id binary, g int, tokens_n int, tokens binary, grams_n int, grams binary")
+
+
+def _tiles(n: np.ndarray, packed: np.ndarray, bits: int, share: float, side: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows in order of size, ``_TILE`` at a time, with their sketches as +1 and -1 and two columns that add what may differ."""
+    order = np.argsort(n, kind="stable")
+    order, out = order[n[order] > 0], []
+    for at in range(0, len(order), _TILE):
+        k = order[at : at + _TILE]
+        cells = np.ones((len(k), bits + 2), np.float32)
+        cells[:, :bits] = 1 - 2.0 * np.unpackbits(np.frombuffer(b"".join(packed[k]), np.uint8).reshape(len(k), -1), axis=1)
+        cells[:, bits + side] = 2 * share * n[k]
+        out.append((k, cells))
+    return out
+
+
+def _near(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """Pairs that may reach the watchlist threshold of tokens or of trigrams: sketches of all pairs are compared, a pair of groups a task's.
+
+    Two sets of n and m elements with a Jaccard similarity of t differ in (1 - t) / (1 + t)
+    (n + m) elements at most, and their sketches in no more bits.  For long texts over one
+    alphabet, whose prefixes (``_candidates``) nearly all meet, and many times: a comparison is
+    a few floating-point operations a bit in a matrix product, nothing is kept of it, and
+    a row is shuffled once for each group, as a sketch.  A task holds two groups.
+    """
+    size = [max(1, -(-n // _GROUP), min(_GROUPS, -(-n // _TILE))) for n in ([left.count()] * 2 if same else [left.count(), right.count()])]
+    sides = [_sketched(x, n) for x, n in zip((left, right), size, strict=True)]
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    a = sides[0].withColumnRenamed("g", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(size[1] - 1)) if same else every(size[1])))
+    b = sides[1].withColumnRenamed("g", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")) if same else every(size[0])))
+    tasks = min(4096, 2 * size[0] * size[1])
+    a, b = (x.repartition(tasks, "i", "j") for x in (a, b))
+
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        ids, found = (x["id"].to_numpy(), y["id"].to_numpy()), []
+        for column, t in (("tokens", TOKEN[1]), ("grams", TRIGRAM[1])):
+            t -= 1e-6  # similarities are rounded to as much
+            bits, share = _BITS[column], (1 - t) / (1 + t)
+            n, m = x[f"{column}_n"].to_numpy(), y[f"{column}_n"].to_numpy()
+            tiles = _tiles(m, y[column].to_numpy(), bits, share, 1)
+            for k, cells in _tiles(n, x[column].to_numpy(), bits, share, 0):
+                for h, others in tiles:
+                    if m[h[-1]] < t * n[k[0]] or n[k[-1]] < t * m[h[0]]:
+                        continue
+                    p, q = np.nonzero(cells @ others.T >= bits - 0.5)
+                    p, q = k[p], h[q]
+                    fit = np.minimum(n[p], m[q]) >= t * np.maximum(n[p], m[q])
+                    found.append((p[fit], q[fit]))
+        p, q = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+        out = pd.DataFrame({"left_id": ids[0][p], "right_id": ids[1][q]})
+        if same:
+            turned = (out["left_id"] > out["right_id"]).to_numpy(bool)
+            if key[0] == key[1]:
+                out = out[(out["left_id"] < out["right_id"]).to_numpy(bool)]
+            else:
+                out.loc[turned, ["left_id", "right_id"]] = out.loc[turned, ["right_id", "left_id"]].to_numpy()
+        return out
+
+    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(compare, "left_id binary, right_id binary").distinct()
+
+
+def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False, sketches: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of classes with overlap signals, and ``class, id`` of the members on the left and on the right.
 
     Rows of equal texts and items are one class, compared once however many copies it
@@ -102,11 +204,12 @@ def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id"
     equi-joins that lose no pair that could be flagged: texts by prefixes of their token
     and trigram sets at the watchlist thresholds (``_candidates``), equal texts by hash, items by a shared
     item, and vectors from ``cosines`` (``left_id, right_id, cosine``), which a vector
-    search supplies.  Every candidate is then judged on whole sets.
+    search supplies.  With ``sketches`` the texts' candidates come from ``_near`` instead, for
+    texts whose prefixes nearly all meet.  Every candidate is then judged on whole sets.
     """
     a, left_members = _split(_prepared(left, left_id, left_text, items, cosines is not None))
     b, right_members = (a, left_members) if same else _split(_prepared(right, right_id, right_text, items, cosines is not None))
-    parts = [_candidates(a, b, "tokens", TOKEN[1], same), _candidates(a, b, "grams", TRIGRAM[1], same)]
+    parts = [_near(a, b, same)] if sketches else [_candidates(a, b, "tokens", TOKEN[1], same), _candidates(a, b, "grams", TRIGRAM[1], same)]
     parts.append(a.select(F.col("id").alias("left_id"), F.md5(F.col("norm").cast("binary")).alias("h")).join(b.select(F.col("id").alias("right_id"), F.md5(F.col("norm").cast("binary")).alias("h")), "h").select("left_id", "right_id"))
     if items:
         parts.append(a.select(F.col("id").alias("left_id"), F.explode("items").alias("i")).join(b.select(F.col("id").alias("right_id"), F.explode("items").alias("i")), "i").select("left_id", "right_id"))
@@ -136,9 +239,9 @@ def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id"
     return judged, left_members, right_members
 
 
-def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> DataFrame:
+def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False, sketches: bool = False) -> DataFrame:
     """Pairs across two surfaces (or, with ``same``, of one, each once) with overlap signals: ``flagged_classes`` by members."""
-    judged, left_members, right_members = flagged_classes(left, right, left_id, right_id, left_text, right_text, items, cosines, same)
+    judged, left_members, right_members = flagged_classes(left, right, left_id, right_id, left_text, right_text, items, cosines, same, sketches)
     pairs = judged.join(left_members.select(F.col("class").alias("left_class"), F.col("id").alias("left_id")), "left_class").join(right_members.select(F.col("class").alias("right_class"), F.col("id").alias("right_id")), "right_class")
     if same:
         pairs = pairs.where("left_class <> right_class and left_id <> right_id or left_class = right_class and left_id < right_id").withColumns({"left_id": F.least("left_id", "right_id"), "right_id": F.greatest("left_id", "right_id")})
@@ -171,6 +274,7 @@ def _risk_level() -> Column:
 
 def class_risk(judged: DataFrame, left_members: DataFrame, right_members: DataFrame) -> DataFrame:
     """A30 of two surfaces from ``flagged_classes``: the same row, without a row for each pair of copies."""
+    judged = judged.checkpoint()  # read twice
     many = [m.groupBy(F.col("class").alias(f"{n}_class")).agg(F.count("*").alias(f"{n}_n")) for m, n in ((left_members, "left"), (right_members, "right"))]
     counted = judged.join(many[0], "left_class").join(many[1], "right_class")
     of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("left_n") * F.col("right_n"))), F.lit(0))
@@ -182,6 +286,7 @@ def class_risk(judged: DataFrame, left_members: DataFrame, right_members: DataFr
 
 def class_links(judged: DataFrame, members: DataFrame) -> DataFrame:
     """``left_id, right_id``: links that join what exact and near pairs of ``flagged_classes`` (``same``) join, one a member and one a pair of classes."""
+    judged = judged.checkpoint()  # read twice
     least = members.groupBy("class").agg(F.min("id").alias("least"))
     strong = judged.where((F.col("severity") != "semantic_watchlist") & (F.col("left_class") != F.col("right_class")))
     ends = [least.select(F.col("class").alias(f"{n}_class"), F.col("least").alias(f"{n}_id")) for n in ("left", "right")]

@@ -758,17 +758,17 @@ _TURNS_TOO = f"SELECT -1 - item_id AS id, text FROM benchmark UNION ALL {_TURNS}
 
 @register("conversation_leakage_pairs", f"WITH {_pairs_sql(_TURNS, _TURNS_TOO, 'TRUE')} SELECT * FROM v")
 def conversation_leakage_pairs(spark, sf):
-    return leakage.flagged_pairs(*_conversations(spark, sf), "id", "id")
+    return leakage.flagged_pairs(*_conversations(spark, sf), "id", "id", sketches=True)
 
 
 @register("conversation_leakage_risk", f"WITH {_pairs_sql(_TURNS, _TURNS_TOO, 'TRUE')}, {_RISK}")
 def conversation_leakage_risk(spark, sf):
-    return leakage.class_risk(*leakage.flagged_classes(*_conversations(spark, sf), "id", "id"))
+    return leakage.class_risk(*leakage.flagged_classes(*_conversations(spark, sf), "id", "id", sketches=True))
 
 
 def _conversation_components(spark, sf):
     rows, _ = _conversations(spark, sf)
-    judged, members, _ = leakage.flagged_classes(rows, rows, "id", "id", same=True)
+    judged, members, _ = leakage.flagged_classes(rows, rows, "id", "id", same=True, sketches=True)
     return leakage.components(rows, leakage.class_links(judged, members))
 
 
