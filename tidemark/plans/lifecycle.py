@@ -712,7 +712,7 @@ def leakage_signals(spark, sf):
     )
     near = retrieval.vector_search(left.select(F.col("id").alias("query_id"), "vector"), right.select(F.col("id").alias("point_id"), "vector"), 50)
     cosines = near.where("score >= 0.93").select(F.col("query_id").alias("left_id"), F.col("point_id").alias("right_id"), F.col("score").alias("cosine"))
-    return leakage.flagged_pairs(left, right, "id", "id", items="items", cosines=cosines)
+    return leakage.flagged_pairs(left, right, "id", "id", items="items", cosines=cosines, sketches=True)
 
 
 @register("worst_leaks", "WITH v AS (SELECT * FROM ({pairs})) SELECT left_id, right_id, severity FROM v ORDER BY CASE severity WHEN 'exact_duplicate' THEN 0 WHEN 'high_confidence_near_duplicate' THEN 1 ELSE 2 END, cosine DESC, token_jaccard DESC, trigram_jaccard DESC, item_coverage DESC, left_id, right_id LIMIT 100".replace("{pairs}", R._SQL["leakage_signals"]))
