@@ -733,7 +733,7 @@ def weighted_metric(spark, sf):
     """The mean over labels, weighted by their queries."""
     from tidemark.operators import evaluation
 
-    rows = evaluation.ranking_metrics(R._ranking(spark, sf), X.judgments(spark, sf)).join(X.queries(spark, sf).select("query_id", "label"), "query_id")
+    rows = evaluation.ranking_metrics(R._ranking(spark, sf), X.shared_grades(spark, sf)).join(X.queries(spark, sf).select("query_id", "label"), "query_id")
     return evaluation.weighted_mean(rows.groupBy("label").agg(F.count("*").alias("n"), F.avg("ndcg").alias("ndcg")), "ndcg", "n")
 
 
