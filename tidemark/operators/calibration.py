@@ -220,7 +220,9 @@ def limit_queries(queries: DataFrame, limit: int | None, order: list[str]) -> Da
 
 def missed_items(judgments: DataFrame | SharedGrades, retrieved: DataFrame) -> DataFrame:
     """``query_id, product_id, grade`` of relevant products that were not retrieved."""
-    judged = judgments.rows() if isinstance(judgments, SharedGrades) else judgments.where("grade > 0").select("query_id", "product_id", "grade")
+    if isinstance(judgments, SharedGrades):
+        return judgments.rows(without=retrieved)
+    judged = judgments.where("grade > 0").select("query_id", "product_id", "grade")
     return judged.join(retrieved.select("query_id", "product_id").distinct(), ["query_id", "product_id"], "left_anti")
 
 

@@ -52,13 +52,23 @@ class SharedGrades:
         gains = F.transform(F.slice(changed, 1, k), lambda g, i: F.when(g > 0, g / F.log2(i + 2.0)).otherwise(0.0))
         return rows.select("query_id", F.aggregate(gains, F.lit(0.0), lambda a, x: a + x).alias("idcg"), "relevant")
 
-    def rows(self) -> DataFrame:
-        """``query_id, product_id, grade``, a row for each query and relevant product; a profile's are dealt by salts."""
+    def rows(self, without: DataFrame | None = None) -> DataFrame:
+        """``query_id, product_id, grade``, a row for each query and relevant product; a profile's are dealt by salts.
+
+        ``without``: pairs (``query_id, product_id``) that are left out.  They go along with their
+        query as a list, so that what is shuffled are queries and grades, not these rows.
+        """
         salts = 32
-        of = self.queries.select("query_id", "profile", F.col("product_id").alias("__own"), "less", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
+        of = self.queries.select("query_id", "profile", F.col("product_id").alias("__own"), "less")
+        if without is not None:
+            of = of.join(without.groupBy("query_id").agg(F.collect_set("product_id").alias("__without")), "query_id", "left")
+        of = of.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
         grade = F.col("grade") - F.when(F.col("product_id") == F.col("__own"), F.col("less")).otherwise(0.0)
         dealt = self.grades.withColumn("__salt", F.pmod(F.xxhash64("product_id"), F.lit(salts)).cast("int"))
-        return dealt.join(of, ["profile", "__salt"]).select("query_id", "product_id", grade.alias("grade")).where("grade > 0")
+        rows = dealt.join(of, ["profile", "__salt"])
+        if without is not None:
+            rows = rows.where(~F.coalesce(F.array_contains("__without", F.col("product_id")), F.lit(False)))
+        return rows.select("query_id", "product_id", grade.alias("grade")).where("grade > 0")
 
     def products(self) -> DataFrame:
         """``product_id`` of each product that is relevant to a query."""
