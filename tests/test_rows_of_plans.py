@@ -2,6 +2,7 @@
 
 import pytest
 
+from tidemark.operators import calibration
 from tidemark.plans import fixtures, registry
 
 POINTS, QUERIES = 4000, 80
@@ -59,3 +60,13 @@ def test_missed_items_are_not_shuffled(spark, sf):
     shown = {(r["query_id"], r["product_id"]) for r in registry._ranking(spark, sf).collect()}
     assert got == {k: g for k, g in long.items() if k not in shown} and len(got) > 70_000
     assert sum(counts(df, "shuffleRecordsWritten").values()) < len(got)
+
+
+def test_rows_of_dataset_queries(spark, sf):
+    """A dataset's row of each query, too, is worked out without a row for each of its products."""
+    retrieved, attempted = registry._ranking(spark, sf, 20), registry._attempted(spark, sf)
+    df, _ = calibration.dataset_rows(fixtures.shared_grades(spark, sf), retrieved, attempted)
+    long, _ = calibration.dataset_rows(fixtures.judgments(spark, sf), retrieved, attempted)
+    assert sorted(df.collect()) == sorted(long.collect())
+    rows = counts(df, "numOutputRows")
+    assert max(rows.values()) < QUERIES * POINTS / 8, rows

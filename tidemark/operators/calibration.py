@@ -235,12 +235,11 @@ def dataset_rows(judgments: DataFrame | SharedGrades, retrieved: DataFrame, atte
     """
     done = attempted.where("error is null").select("query_id").distinct()
     if isinstance(judgments, SharedGrades):
-        # a row a query is asked for with the sum of its grades
-        positive = judgments.rows()
+        of_query = judgments.masses().toDF("query_id", "relevant_count", "relevant_grade_mass")
     else:
-        positive = judgments = judgments.where("grade > 0").groupBy("query_id", "product_id").agg(F.max("grade").alias("grade"))
+        judgments = judgments.where("grade > 0").groupBy("query_id", "product_id").agg(F.max("grade").alias("grade"))
+        of_query = judgments.groupBy("query_id").agg(F.count("*").alias("relevant_count"), F.sum("grade").alias("relevant_grade_mass"))
     observations = graded(retrieved.where(F.col("rank") <= k).join(done, "query_id", "left_semi"), judgments).withColumn("grade", F.coalesce("grade", F.lit(0.0)))
-    of_query = positive.groupBy("query_id").agg(F.count("*").alias("relevant_count"), F.sum("grade").alias("relevant_grade_mass"))
     return query_rows(done, observations).join(of_query, "query_id", "left").na.fill(0), observations
 
 

@@ -37,6 +37,13 @@ class SharedGrades:
         rows = self.queries.select("query_id", "profile").join(n, "profile").join(lost, "query_id", "left")
         return rows.select("query_id", (F.col("n") - F.coalesce("lost", F.lit(0))).alias("relevant")).where("relevant > 0")
 
+    def masses(self) -> DataFrame:
+        """``query_id, relevant, mass``: ``relevant`` with the sum of the query's grades over 0."""
+        total = self.grades.where("grade > 0").groupBy("profile").agg(F.sum("grade").alias("total"))
+        off = self.own.where("grade > 0").select("query_id", F.least("grade", "less").alias("off"))
+        rows = self.relevant().join(self.queries.select("query_id", "profile"), "query_id").join(total, "profile").join(off, "query_id", "left")
+        return rows.select("query_id", "relevant", (F.col("total") - F.coalesce("off", F.lit(0.0))).alias("mass"))
+
     def ideal(self, k: int) -> DataFrame:
         """``query_id, idcg, relevant``.  A profile's first k + 1 products are enough, as only one of them is less for a query."""
         # a profile's grades are counted before they are put in order: few differ
