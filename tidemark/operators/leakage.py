@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import jaccard, squeeze, token_set
 from tidemark.functions.vectors import hash_fraction, item_coverage, subset_tag
+from tidemark.operators import tiles
 from tidemark.operators.ordering import ensure_checkpoint_dir
 
 # Strong and watchlist thresholds of each signal.
@@ -111,90 +112,69 @@ def _candidates(left: DataFrame, right: DataFrame, column: str, threshold: float
     return one.unionByName(other).distinct()
 
 
-#: Bits of a row's sketches of tokens and of trigrams, rows of a group at most, groups that even few rows are dealt into, and rows compared at a time.
-_BITS, _GROUP, _GROUPS, _TILE = {"tokens": 512, "grams": 1024}, 16_384, 8, 1024
+#: Rows of a tile at most, rows compared at a time, tiles that even few rows are parted into, and members that a row of a tile stands for about.
+_GROUP, _TILE, _GROUPS, _COPIES = 4096, 1024, 16, 500
 
+_LIMITS = {"cosine": COSINE, "tokens": TOKEN, "grams": TRIGRAM, "items": ITEMS}
 
-def _sketched(rows: DataFrame, groups: int) -> DataFrame:
-    """``id``, its group, and for either set its size and a sketch: for each bit whether an odd number of elements fall on it."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [batch.column("id"), batch.column("g")]
-            for column, bits in _BITS.items():
-                sets, packed, sizes = batch.column(column), [], []
-                for i in range(len(sets)):
-                    e = np.asarray(sets[i].values).astype(np.uint64) if sets[i].is_valid else np.empty(0, np.uint64)
-                    # multiplied, so that all of an element's bits have a say
-                    at = (e * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits.bit_length() + 1)
-                    packed.append(np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes())
-                    sizes.append(len(e))
-                out += [pa.array(sizes, pa.int32()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["id", "g", "tokens_n", "tokens", "grams_n", "grams"])
-
-    dealt = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), "tokens", "grams")
-    return dealt.mapInArrow(sketch, "id binary, g int, tokens_n int, tokens binary, grams_n int, grams binary")
-
-
-def _tiles(n: np.ndarray, packed: np.ndarray, bits: int, share: float, side: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Rows in order of size, ``_TILE`` at a time, with their sketches as +1 and -1 and two columns that add what may differ."""
-    order = np.argsort(n, kind="stable")
-    order, out = order[n[order] > 0], []
-    for at in range(0, len(order), _TILE):
-        k = order[at : at + _TILE]
-        cells = np.ones((len(k), bits + 2), np.float32)
-        cells[:, :bits] = 1 - 2.0 * np.unpackbits(np.frombuffer(b"".join(packed[k]), np.uint8).reshape(len(k), -1), axis=1)
-        cells[:, bits + side] = 2 * share * n[k]
-        out.append((k, cells))
-    return out
-
-
-def _near(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
-    """Pairs that may reach the watchlist threshold of tokens or of trigrams: sketches of all pairs are compared, a pair of groups a task's.
-
-    Two sets of n and m elements with a Jaccard similarity of t differ in (1 - t) / (1 + t)
-    (n + m) elements at most, and their sketches in no more bits.  For long texts over one
-    alphabet, whose prefixes (``_candidates``) nearly all meet, and many times: a comparison is
-    a few floating-point operations a bit in a matrix product, nothing is kept of it, and
-    a row is shuffled once for each group, as a sketch.  A task holds two groups.
+def _tiles(entries: DataFrame, rows: int, order: list[Column]) -> DataFrame:
+    """``tiles.packed`` of at most ``rows`` entries, of which it depends how many tiles there are."""
+    missing = {"norm": "binary", "items": "array<long>", "vector": "array<double>"}
+    entries = entries.withColumns({c: F.lit(None).cast(t) for c, t in missing.items() if c not in entries.columns})
+    if "items_n" not in entries.columns:
+        entries = entries.withColumn("items_n", F.lit(0))
+    ensure_checkpoint_dir(entries.sparkSession)
+    parts = min(256, max(1, -(-rows // (4 * _GROUP)), min(_GROUPS, -(-rows // _TILE))))
+    return tiles.packed(entries, [F.size("left_ids") == 0, *order], parts, min(_GROUP, max(_TILE, -(-rows // _GROUPS))))
+
+
+def _single(left: DataFrame, right: DataFrame, same: bool) -> DataFrame:
+    """An entry for each row of either side."""
+    sides = ((left, True, False),) if same else ((left, True, False), (right, False, True))
+    of = lambda there, x: F.array("id") if there else F.array().cast(f"array<{dict(x.dtypes)['id']}>")
+    parts = [x.withColumns({"key": F.lit(None).cast("binary"), "left_ids": of(a, x), "right_ids": of(b or same, x)}) for x, a, b in sides]
+    return parts[0] if same else parts[0].unionByName(parts[1])
+
+
+def _near(left: DataFrame, right: DataFrame, same: bool, sized: bool = True) -> DataFrame:
+    """Flagged pairs of rows (``id``, sets and what else ``tiles.packed`` compares), every pair of which is compared; with ``same`` each once, the lesser left.
+
+    For long texts over one alphabet, whose prefixes (``_candidates``) nearly all meet, and for
+    vectors.  ``sized``: see ``tiles.compared``.
     """
-    size = [max(1, -(-n // _GROUP), min(_GROUPS, -(-n // _TILE))) for n in ([left.count()] * 2 if same else [left.count(), right.count()])]
-    sides = [_sketched(x, n) for x, n in zip((left, right), size, strict=True)]
-    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    a = sides[0].withColumnRenamed("g", "i").withColumn("j", F.explode(F.sequence(F.col("i"), F.lit(size[1] - 1)) if same else every(size[1])))
-    b = sides[1].withColumnRenamed("g", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j")) if same else every(size[0])))
-    tasks = min(4096, 2 * size[0] * size[1])
-    a, b = (x.repartition(tasks, "i", "j") for x in (a, b))
-
-    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        ids, found = (x["id"].to_numpy(), y["id"].to_numpy()), []
-        for column, t in (("tokens", TOKEN[1]), ("grams", TRIGRAM[1])):
-            t -= 1e-6  # similarities are rounded to as much
-            bits, share = _BITS[column], (1 - t) / (1 + t)
-            n, m = x[f"{column}_n"].to_numpy(), y[f"{column}_n"].to_numpy()
-            tiles = _tiles(m, y[column].to_numpy(), bits, share, 1)
-            for k, cells in _tiles(n, x[column].to_numpy(), bits, share, 0):
-                for h, others in tiles:
-                    if m[h[-1]] < t * n[k[0]] or n[k[-1]] < t * m[h[0]]:
-                        continue
-                    p, q = np.nonzero(cells @ others.T >= bits - 0.5)
-                    p, q = k[p], h[q]
-                    fit = np.minimum(n[p], m[q]) >= t * np.maximum(n[p], m[q])
-                    found.append((p[fit], q[fit]))
-        p, q = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
-        out = pd.DataFrame({"left_id": ids[0][p], "right_id": ids[1][q]})
-        if same:
-            turned = (out["left_id"] > out["right_id"]).to_numpy(bool)
-            if key[0] == key[1]:
-                out = out[(out["left_id"] < out["right_id"]).to_numpy(bool)]
-            else:
-                out.loc[turned, ["left_id", "right_id"]] = out.loc[turned, ["right_id", "left_id"]].to_numpy()
-        return out
+    rows = left.count() + (0 if same else right.count())
+    packed = _tiles(_single(left, right, same), rows, [F.size("grams"), F.col("id")])
+    return _levels(tiles.compared(packed, _TILE, _LIMITS, sized, same, dict(left.dtypes)["id"]), same)
+
 
-    return a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(compare, "left_id binary, right_id binary").distinct()
+def _levels(pairs: DataFrame, same: bool) -> DataFrame:
+    """Pairs of ``tiles.compared`` with the names of their severities."""
+    names = F.array(*[F.lit(s) for s in ("exact_duplicate", "high_confidence_near_duplicate", "semantic_watchlist")])
+    ends = [F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id")] if same else ["left_id", "right_id"]
+    return pairs.select(*ends, "cosine", "token_jaccard", "trigram_jaccard", "item_coverage", names[F.col("level").cast("int")].alias("severity"))
 
 
-def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False, sketches: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _text_tiles(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_text: str, right_text: str) -> DataFrame:
+    """Tiles of two surfaces' texts: rows of equal texts are an entry, on whichever side they are, so that texts of both sides are compared once.
+
+    Texts are shuffled, their sets are worked out behind that.  An entry stands for some
+    ``_COPIES`` members at most; those of a text with more are dealt to several.
+    """
+    sides = [x.select(F.lit(k).alias("side"), F.col(i).alias("id"), squeeze(F.lower(F.col(t))).alias("text")) for k, (x, i, t) in enumerate(((left, left_id, left_text), (right, right_id, right_text)))]
+    rows = left.count() + right.count()
+    both = sides[0].unionByName(sides[1]).where("text is not null and id is not null").withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    texts = both.select("key", "text").distinct()
+    members = both.select("key", "side", "id").distinct()
+    shares = members.groupBy("key").agg(F.ceil(F.count("*") / _COPIES).alias("shares"))
+    of = lambda k: F.collect_list(F.when(F.col("side") == k, F.col("id")))
+    dealt = members.join(shares, "key").groupBy("key", F.pmod(F.xxhash64("id"), "shares").alias("share")).agg(of(0).alias("left_ids"), of(1).alias("right_ids"))
+    entries = dealt.join(texts, "key").withColumn("norm", F.col("key"))
+    entries = entries.withColumns({"tokens": F.transform(token_set(F.col("text")), lambda x: F.xxhash64(x)), "grams": _trigram_codes(F.col("text"))})
+    return _tiles(entries, rows, [F.length("text"), F.col("key"), F.col("share")])
+
+
+def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False, strong: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of classes with overlap signals, and ``class, id`` of the members on the left and on the right.
 
     Rows of equal texts and items are one class, compared once however many copies it
@@ -204,12 +184,14 @@ def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id"
     equi-joins that lose no pair that could be flagged: texts by prefixes of their token
     and trigram sets at the watchlist thresholds (``_candidates``), equal texts by hash, items by a shared
     item, and vectors from ``cosines`` (``left_id, right_id, cosine``), which a vector
-    search supplies.  With ``sketches`` the texts' candidates come from ``_near`` instead, for
-    texts whose prefixes nearly all meet.  Every candidate is then judged on whole sets.
+    search supplies.  Every candidate is then judged on whole sets.  With ``strong`` only
+    exact and near pairs are wanted of texts alone: the latter have similar tokens, at the
+    higher threshold, whatever their trigrams, so that prefixes of tokens find them all.
     """
     a, left_members = _split(_prepared(left, left_id, left_text, items, cosines is not None))
     b, right_members = (a, left_members) if same else _split(_prepared(right, right_id, right_text, items, cosines is not None))
-    parts = [_near(a, b, same)] if sketches else [_candidates(a, b, "tokens", TOKEN[1], same), _candidates(a, b, "grams", TRIGRAM[1], same)]
+    strong = strong and not items and cosines is None
+    parts = [_candidates(a, b, "tokens", TOKEN[0], same)] if strong else [_candidates(a, b, "tokens", TOKEN[1], same), _candidates(a, b, "grams", TRIGRAM[1], same)]
     parts.append(a.select(F.col("id").alias("left_id"), F.md5(F.col("norm").cast("binary")).alias("h")).join(b.select(F.col("id").alias("right_id"), F.md5(F.col("norm").cast("binary")).alias("h")), "h").select("left_id", "right_id"))
     if items:
         parts.append(a.select(F.col("id").alias("left_id"), F.explode("items").alias("i")).join(b.select(F.col("id").alias("right_id"), F.explode("items").alias("i")), "i").select("left_id", "right_id"))
@@ -235,13 +217,31 @@ def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id"
     )
     # generated, so that the filter below does not work the signals out again for each of its conditions
     judged = full.select(F.col("left_id").alias("left_class"), F.col("right_id").alias("right_class"), F.explode(F.array(signals)).alias("s")).withColumn("severity", severity(F.col("s")))
-    judged = judged.where("severity is not null").select("left_class", "right_class", "s.cosine", "s.token_jaccard", "s.trigram_jaccard", "s.item_coverage", "severity")
+    judged = judged.where("severity <> 'semantic_watchlist'" if strong else "severity is not null").select("left_class", "right_class", "s.cosine", "s.token_jaccard", "s.trigram_jaccard", "s.item_coverage", "severity")
     return judged, left_members, right_members
 
 
-def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False, sketches: bool = False) -> DataFrame:
-    """Pairs across two surfaces (or, with ``same``, of one, each once) with overlap signals: ``flagged_classes`` by members."""
-    judged, left_members, right_members = flagged_classes(left, right, left_id, right_id, left_text, right_text, items, cosines, same, sketches)
+def flagged_pairs(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False, sketches: bool = False, vector: str | None = None) -> DataFrame:
+    """Pairs across two surfaces (or, with ``same``, of one, each once) with overlap signals: ``flagged_classes`` by members.
+
+    With ``sketches`` all pairs are compared, a tile of rows against a tile, and judged there
+    (``tiles``), for texts whose prefixes nearly all meet, for results that are quadratic, and for
+    cosines (dot products) of vectors, every pair of which counts that reaches the threshold.
+    """
+    if sketches and (items or vector or same):
+        kept = F.coalesce(F.col(items), F.array().cast("array<string>")) if items else F.array().cast("array<string>")
+        hashed = lambda s: F.transform(s, lambda x: F.xxhash64(x))
+
+        def rows(x: DataFrame, id_col: str, text_col: str) -> DataFrame:
+            norm = squeeze(F.lower(F.col(text_col)))
+            return x.select(F.col(id_col).alias("id"), F.unhex(F.md5(norm.cast("binary"))).alias("norm"), hashed(token_set(F.col(text_col))).alias("tokens"), _trigram_codes(norm).alias("grams"), hashed(F.array_distinct(kept)).alias("items"), F.size(kept).alias("items_n"), (F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")).alias("vector"))
+
+        one = rows(left, left_id, left_text)
+        return _near(one, one if same else rows(right, right_id, right_text), same, sized=not items and not vector)
+    if sketches:
+        packed = _text_tiles(left, right, left_id, right_id, left_text, right_text)
+        return _levels(tiles.compared(packed, _TILE, _LIMITS, True, False, dict(left.dtypes)[left_id]), False)
+    judged, left_members, right_members = flagged_classes(left, right, left_id, right_id, left_text, right_text, items, cosines, same)
     pairs = judged.join(left_members.select(F.col("class").alias("left_class"), F.col("id").alias("left_id")), "left_class").join(right_members.select(F.col("class").alias("right_class"), F.col("id").alias("right_id")), "right_class")
     if same:
         pairs = pairs.where("left_class <> right_class and left_id <> right_id or left_class = right_class and left_id < right_id").withColumns({"left_id": F.least("left_id", "right_id"), "right_id": F.greatest("left_id", "right_id")})
@@ -272,16 +272,14 @@ def _risk_level() -> Column:
     return F.when((F.col("exact") > 0) | (F.col("near") >= 10), "high").when((F.col("near") > 0) | (F.col("watch_right") >= 20), "moderate").otherwise("low")
 
 
-def class_risk(judged: DataFrame, left_members: DataFrame, right_members: DataFrame) -> DataFrame:
-    """A30 of two surfaces from ``flagged_classes``: the same row, without a row for each pair of copies."""
-    judged = judged.checkpoint()  # read twice
-    many = [m.groupBy(F.col("class").alias(f"{n}_class")).agg(F.count("*").alias(f"{n}_n")) for m, n in ((left_members, "left"), (right_members, "right"))]
-    counted = judged.join(many[0], "left_class").join(many[1], "right_class")
-    of = lambda s: F.coalesce(F.sum(F.when(F.col("severity") == s, F.col("left_n") * F.col("right_n"))), F.lit(0))
-    sums = counted.agg(of("exact_duplicate").alias("exact"), of("high_confidence_near_duplicate").alias("near"), of("semantic_watchlist").alias("watch"))
-    watched = judged.where(F.col("severity") == "semantic_watchlist").select(F.col("right_class").alias("class")).distinct()
-    sums = sums.crossJoin(F.broadcast(right_members.join(watched, "class").agg(F.count_distinct("id").alias("watch_right"))))  # one row
-    return sums.withColumn("risk_level", _risk_level())
+def text_risk(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text") -> DataFrame:
+    """A30 of ``flagged_pairs`` with ``sketches`` on two surfaces: the same row, counted where pairs are judged."""
+    packed = _text_tiles(left, right, left_id, right_id, left_text, right_text)
+    by_text = tiles.counted(packed, _TILE, _LIMITS, True).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("exact", "near", "watch")]).checkpoint()  # read twice
+    sums = by_text.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("exact", "near", "watch")])
+    ids = right.select(F.col(right_id).alias("id"), F.unhex(F.md5(squeeze(F.lower(F.col(right_text))).cast("binary"))).alias("key"))
+    watched = ids.join(by_text.where("watch > 0").select("key"), "key").agg(F.count_distinct("id").alias("watch_right"))
+    return sums.crossJoin(F.broadcast(watched)).withColumn("risk_level", _risk_level())  # one row
 
 
 def class_links(judged: DataFrame, members: DataFrame) -> DataFrame:

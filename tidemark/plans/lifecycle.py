@@ -698,7 +698,7 @@ x AS (SELECT lp.id AS left_id, rp.id AS right_id, CASE WHEN round(list_dot_produ
 SELECT left_id, right_id, cosine, token_jaccard, trigram_jaccard, item_coverage, CASE WHEN exact THEN 'exact_duplicate' WHEN (cosine >= 0.96 AND (token_jaccard >= 0.75 OR trigram_jaccard >= 0.72 OR item_coverage >= 0.5)) OR (token_jaccard >= 0.75 AND trigram_jaccard >= 0.72) THEN 'high_confidence_near_duplicate'
 WHEN cosine >= 0.93 OR token_jaccard >= 0.6 OR trigram_jaccard >= 0.68 OR item_coverage >= 0.34 THEN 'semantic_watchlist' END AS severity FROM x WHERE severity IS NOT NULL""")
 def leakage_signals(spark, sf):
-    """J7, M9, M10 with all four signals: texts, vectors from a search, and shared items."""
+    """J7, M9, M10 with all four signals: texts, vectors, of which every pair counts, and shared items."""
     e = table(spark, sf, "embeddings")
     i = F.col("vec_id")
     n = e.agg(F.count("*").alias("n"))
@@ -710,9 +710,7 @@ def leakage_signals(spark, sf):
         (i + 10000000).alias("id"), F.concat(F.when(i % 5 == 0, "point ").otherwise("vector "), i.cast("string"), label).alias("text"), F.when(i % 3 == 0, F.col("embedding")).otherwise(F.col("other")).alias("vector"),
         F.when(i % 2 == 0, F.array(F.concat(F.lit("a"), F.floor(i / 4).cast("string")), F.lit("c"))).otherwise(F.array(F.lit("d"))).alias("items"),
     )
-    near = retrieval.vector_search(left.select(F.col("id").alias("query_id"), "vector"), right.select(F.col("id").alias("point_id"), "vector"), 50)
-    cosines = near.where("score >= 0.93").select(F.col("query_id").alias("left_id"), F.col("point_id").alias("right_id"), F.col("score").alias("cosine"))
-    return leakage.flagged_pairs(left, right, "id", "id", items="items", cosines=cosines, sketches=True)
+    return leakage.flagged_pairs(left, right, "id", "id", items="items", vector="vector", sketches=True)
 
 
 @register("worst_leaks", "WITH v AS (SELECT * FROM ({pairs})) SELECT left_id, right_id, severity FROM v ORDER BY CASE severity WHEN 'exact_duplicate' THEN 0 WHEN 'high_confidence_near_duplicate' THEN 1 ELSE 2 END, cosine DESC, token_jaccard DESC, trigram_jaccard DESC, item_coverage DESC, left_id, right_id LIMIT 100".replace("{pairs}", R._SQL["leakage_signals"]))

@@ -762,12 +762,12 @@ def conversation_leakage_pairs(spark, sf):
 
 @register("conversation_leakage_risk", f"WITH {_pairs_sql(_TURNS, _TURNS_TOO, 'TRUE')}, {_RISK}")
 def conversation_leakage_risk(spark, sf):
-    return leakage.class_risk(*leakage.flagged_classes(*_conversations(spark, sf), "id", "id", sketches=True))
+    return leakage.text_risk(*_conversations(spark, sf), "id", "id")
 
 
 def _conversation_components(spark, sf):
     rows, _ = _conversations(spark, sf)
-    judged, members, _ = leakage.flagged_classes(rows, rows, "id", "id", same=True, sketches=True)
+    judged, members, _ = leakage.flagged_classes(rows, rows, "id", "id", same=True, strong=True)
     return leakage.components(rows, leakage.class_links(judged, members))
 
 
