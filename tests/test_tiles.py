@@ -9,7 +9,7 @@ from tidemark.operators import leakage
 from tidemark.plans import registry
 
 
-@pytest.mark.parametrize("query", ["leakage_signals"])
+@pytest.mark.parametrize("query", ["leakage_signals", "worst_leaks"])
 def test_every_near_vector_counts(spark, tmp_path, monkeypatch, query):
     monkeypatch.setattr(leakage, "_GROUP", 64)
     monkeypatch.setattr(leakage, "_TILE", 32)
