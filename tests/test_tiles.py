@@ -9,6 +9,38 @@ from tidemark.operators import leakage
 from tidemark.plans import registry
 
 
+@pytest.fixture
+def small(monkeypatch):
+    for name, n in (("_GROUP", 16), ("_TILE", 8), ("_COPIES", 3)):
+        monkeypatch.setattr(leakage, name, n)
+
+
+def surfaces(spark):
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdef", k=r.randint(2, 6))) for _ in range(60)]
+    texts = []
+    for i in range(60):
+        base = r.choice(texts).split() if i % 2 else []
+        texts.append(" ".join((base[: len(base) - r.randint(0, 4)] if base else r.choices(words, k=r.randint(1, 30))) + r.choices(words, k=r.randint(0, 3))))
+    left = [(i, t) for i, t in enumerate([*texts[:45], *[texts[0]] * 11, "", " ", None])]
+    right = [(100 + i, t) for i, t in enumerate([*texts[20:], *[texts[0].upper()] * 7, *[texts[59]] * 4, "", "!", None])] + [(None, texts[1])]
+    return [spark.createDataFrame(x, "id long, text string") for x in (left, right)]
+
+
+def rows(pairs):
+    return sorted(tuple(r) for r in pairs.where("left_id is not null and right_id is not null").collect())
+
+
+def test_texts_in_tiles(spark, small):
+    left, right = surfaces(spark)
+    want, found = leakage.flagged_pairs(left, right, "id", "id"), leakage.flagged_pairs(left, right, "id", "id", sketches=True)
+    assert len(rows(want)) > 150 and rows(found) == rows(want)
+    assert rows(leakage.flagged_pairs(left, left, "id", "id", same=True, sketches=True)) == rows(leakage.flagged_pairs(left, left, "id", "id", same=True))
+    # what is flagged leaves the task that compares it, and goes through no shuffle and no join
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Join" not in plan
+
+
 @pytest.mark.parametrize("query", ["leakage_signals", "worst_leaks"])
 def test_every_near_vector_counts(spark, tmp_path, monkeypatch, query):
     monkeypatch.setattr(leakage, "_GROUP", 64)
