@@ -41,6 +41,12 @@ def test_texts_in_tiles(spark, small):
     assert "CartesianProduct" in plan and "Exchange" not in plan and "Join" not in plan
 
 
+def test_risk_in_tiles(spark, small):
+    left, right = surfaces(spark)
+    right = right.where("id is not null")
+    assert leakage.text_risk(left, right, "id", "id").first() == leakage.leakage_risk(leakage.flagged_pairs(left, right, "id", "id")).first()
+
+
 @pytest.mark.parametrize("query", ["leakage_signals", "worst_leaks"])
 def test_every_near_vector_counts(spark, tmp_path, monkeypatch, query):
     monkeypatch.setattr(leakage, "_GROUP", 64)
@@ -60,3 +66,22 @@ def test_every_near_vector_counts(spark, tmp_path, monkeypatch, query):
     if query == "leakage_signals":
         assert sum(x[names.index("cosine")] >= 0.93 for x in want) > 14_000
         assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_strong_links_without_all_pairs(spark, monkeypatch, tmp_path):
+    left, _ = surfaces(spark)
+    left.selectExpr("id as conv_id", "0 as turn", "text").write.parquet(str(tmp_path / "conversations.parquet"))
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    strong = [r for r in leakage.flagged_pairs(left, left, "id", "id", same=True).collect() if r["severity"] != "semantic_watchlist"]
+    of = {r["id"]: r["id"] for r in left.collect()}
+    for _ in of:
+        for x in strong:
+            a, b = x["left_id"], x["right_id"]
+            of[a] = of[b] = min(of[a], of[b])
+
+    def never(*_, **__):
+        raise AssertionError("all pairs are compared")
+
+    monkeypatch.setattr(leakage, "_near", never)
+    got = {r["id"] // 100: r["component"] // 100 for r in registry.queries()["conversation_components"](spark, str(tmp_path)).collect()}
+    assert got == of and len(set(of.values())) < len(of) - 11

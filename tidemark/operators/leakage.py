@@ -174,7 +174,7 @@ def _text_tiles(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return _tiles(entries, rows, [F.length("text"), F.col("key"), F.col("share")])
 
 
-def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False, strong: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id", right_id: str = "query_id", left_text: str = "text", right_text: str = "text", items: str | None = None, cosines: DataFrame | None = None, same: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of classes with overlap signals, and ``class, id`` of the members on the left and on the right.
 
     Rows of equal texts and items are one class, compared once however many copies it
@@ -184,14 +184,11 @@ def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id"
     equi-joins that lose no pair that could be flagged: texts by prefixes of their token
     and trigram sets at the watchlist thresholds (``_candidates``), equal texts by hash, items by a shared
     item, and vectors from ``cosines`` (``left_id, right_id, cosine``), which a vector
-    search supplies.  Every candidate is then judged on whole sets.  With ``strong`` only
-    exact and near pairs are wanted of texts alone: the latter have similar tokens, at the
-    higher threshold, whatever their trigrams, so that prefixes of tokens find them all.
+    search supplies.  Every candidate is then judged on whole sets.
     """
     a, left_members = _split(_prepared(left, left_id, left_text, items, cosines is not None))
     b, right_members = (a, left_members) if same else _split(_prepared(right, right_id, right_text, items, cosines is not None))
-    strong = strong and not items and cosines is None
-    parts = [_candidates(a, b, "tokens", TOKEN[0], same)] if strong else [_candidates(a, b, "tokens", TOKEN[1], same), _candidates(a, b, "grams", TRIGRAM[1], same)]
+    parts = [_candidates(a, b, "tokens", TOKEN[1], same), _candidates(a, b, "grams", TRIGRAM[1], same)]
     parts.append(a.select(F.col("id").alias("left_id"), F.md5(F.col("norm").cast("binary")).alias("h")).join(b.select(F.col("id").alias("right_id"), F.md5(F.col("norm").cast("binary")).alias("h")), "h").select("left_id", "right_id"))
     if items:
         parts.append(a.select(F.col("id").alias("left_id"), F.explode("items").alias("i")).join(b.select(F.col("id").alias("right_id"), F.explode("items").alias("i")), "i").select("left_id", "right_id"))
@@ -217,7 +214,7 @@ def flagged_classes(left: DataFrame, right: DataFrame, left_id: str = "query_id"
     )
     # generated, so that the filter below does not work the signals out again for each of its conditions
     judged = full.select(F.col("left_id").alias("left_class"), F.col("right_id").alias("right_class"), F.explode(F.array(signals)).alias("s")).withColumn("severity", severity(F.col("s")))
-    judged = judged.where("severity <> 'semantic_watchlist'" if strong else "severity is not null").select("left_class", "right_class", "s.cosine", "s.token_jaccard", "s.trigram_jaccard", "s.item_coverage", "severity")
+    judged = judged.where("severity is not null").select("left_class", "right_class", "s.cosine", "s.token_jaccard", "s.trigram_jaccard", "s.item_coverage", "severity")
     return judged, left_members, right_members
 
 
@@ -294,6 +291,72 @@ def class_links(judged: DataFrame, members: DataFrame) -> DataFrame:
     return copies.unionByName(strong.join(ends[0], "left_class").join(ends[1], "right_class").select("left_id", "right_id"))
 
 
+#: Counts of elements by hash, which order a set's elements, and words of a cell's sketch.
+_COUNTS, _WORDS = 1 << 16, 4
+
+
+def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """``h, n, band, words, few, prefix``: as in ``_cells``, the elements of each set's prefix, those that seem rarest first, and a sketch; ``texts``: ``h, tokens``.
+
+    The order is by how often elements of an equal hash occur, a few counts that go along with
+    the tasks, so that a set is put in order where it is; any order that all sets have in
+    common loses no pair.
+    """
+    seen = texts.select(F.explode("tokens").alias("e")).groupBy(F.pmod("e", F.lit(_COUNTS)).cast("int").alias("c")).agg(F.count("*").alias("n")).toPandas()  # _COUNTS rows at most
+    counts = np.zeros(_COUNTS, np.int64)
+    counts[seen["c"].to_numpy(int)] = seen["n"].to_numpy(np.int64)
+    sent = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for tokens in batch.column("tokens"):
+                e = np.asarray(tokens.values, np.int64)
+                n = len(e)
+                place = np.lexsort((e, sent.value[e % _COUNTS]))
+                kept = e[place[: n - math.ceil(threshold * n) + 1]]
+                at = ((e.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.int64)
+                words = np.packbits((np.bincount(at, minlength=64 * _WORDS) & 1).astype(np.uint8)).view(np.int64)
+                for column, v in zip(out, (n, math.floor(math.log(n) / -math.log(threshold) + 1e-9), n - math.ceil(2 * threshold / (1 + threshold) * n) + 1, words, kept), strict=True):
+                    column.append(v)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), *[pa.array(c, pa.int32()) for c in out[:3]], *[pa.array(c, longs) for c in out[3:]]], names=["h", "n", "band", "few", "words", "prefix"])
+
+    return texts.where(F.size("tokens") > 0).select("h", "tokens").mapInArrow(prefixes, "h long, n int, band int, few int, words array<long>, prefix array<long>")
+
+
+def strong_links(rows: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """``left_id, right_id``: links that join what exact and near pairs of one surface's texts join: a text's copies with the least, and a near pair of texts by their least.
+
+    A near pair has similar tokens, at the higher threshold, whatever its trigrams, so that
+    prefixes of tokens find every one, and texts need not be compared by trigrams.  As in
+    ``_meet``, with cells of a few numbers; candidates are judged on whole sets.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    named = rows.select(F.col(id_col).alias("id"), squeeze(F.lower(F.col(text_col))).alias("text")).where("text is not null and id is not null").withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    texts = named.groupBy("key").agg(F.min("id").alias("least"), F.first("text").alias("text")).select(F.xxhash64("key").alias("h"), "key", "least", "text").checkpoint()
+    copies = named.select("key", "id").join(texts.select("key", "least"), "key").where("id <> least").select(F.col("least").alias("left_id"), F.col("id").alias("right_id"))
+    sets = texts.withColumn("tokens", F.transform(token_set(F.col("text")), lambda x: F.xxhash64(x)))
+    t = TOKEN[0] - 1e-6  # similarities are rounded to as much
+    found = _prefixes(sets, t)
+    words = [F.col("words")[i].alias(f"b{i}") for i in range(_WORDS)]
+    larger = found.select("h", "n", "band", *words, F.posexplode("prefix").alias("place", "e")).alias("x")
+    both = found.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    smaller = both.select("h", "n", "band", *words, F.posexplode(F.slice("prefix", F.lit(1), F.col("few"))).alias("place", "e")).alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    shared = F.ceil(t / (1 + t) * (n + m))
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(_WORDS)), F.lit(0))
+    cond = (F.col("x.e") == F.col("y.e")) & (F.col("x.band") == F.col("y.band")) & (m <= n) & ((m < n) | (F.col("x.h") < F.col("y.h"))) & (m >= t * n)
+    cond = cond & (F.least(n - F.col("x.place"), m - F.col("y.place")) >= shared) & (n + m - differ >= 2 * shared)
+    pairs = larger.join(smaller, cond).select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct().checkpoint()
+    met = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    whole = sets.join(met, "h").select("h", "least", "tokens", _trigram_codes(F.col("text")).alias("grams"))
+    sides = [whole.select(F.col("h").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("least", "tokens", "grams")]) for k in "ab"]
+    alike = lambda c, limit: F.round(jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")), 6) >= limit[0]
+    near = pairs.join(sides[0], "a").join(sides[1], "b").where(alike("tokens", TOKEN) & alike("grams", TRIGRAM))
+    return copies.unionByName(near.select(F.col("a_least").alias("left_id"), F.col("b_least").alias("right_id")))
+
+
 def surface_matrix(entries: DataFrame) -> DataFrame:
     """A row for each two surfaces (the lesser name left): pairs of each severity and the risk.
 

@@ -767,8 +767,7 @@ def conversation_leakage_risk(spark, sf):
 
 def _conversation_components(spark, sf):
     rows, _ = _conversations(spark, sf)
-    judged, members, _ = leakage.flagged_classes(rows, rows, "id", "id", same=True, strong=True)
-    return leakage.components(rows, leakage.class_links(judged, members))
+    return leakage.components(rows, leakage.strong_links(rows, "id"))
 
 
 @register("conversation_components", f"WITH RECURSIVE {_pairs_sql(_TURNS, _TURNS, 'a.id < b.id')}, {_STRONG} SELECT id, component FROM k")
